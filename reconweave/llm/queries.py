@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from reconweave.llm import exact_dedup, near_dedup, packing
+from reconweave.llm import exact_dedup, language_id, licenses, mixing, near_dedup, packing, pii, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,16 +19,94 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(language_id.of_documents(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(language_id.of_pages(_table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES = {
-    "op1_packing": op1_packing,
-    "op2_exact_dedup": op2_exact_dedup,
-    "op7_near_dedup": op7_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_packing,
+        op2_exact_dedup,
+        op3_language_id,
+        language_id_pages,
+        op4_pii,
+        op5_mixing,
+        op6_warc,
+        op7_near_dedup,
+        op8_licenses,
+        op9_quality,
+        op10_sharding,
+    )
 }
 
+
+def _license_sql() -> str:
+    rows = licenses.template_rows(licenses.TEMPLATES, licenses.THRESHOLD)
+    quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    values = ", ".join("(" + ", ".join(map(quote, row)) + ")" for row in rows)
+    scale = round(licenses.THRESHOLD * 1000)
+    return rf"""
+        WITH t(template, n_template, least, most, bigram) AS (VALUES {values}),
+        d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        p AS (
+            SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10))) AS piece FROM d
+            UNION ALL SELECT doc_id, unnest(string_split_regex(text, '\n[ \t\r]*\n')) FROM d
+            UNION ALL SELECT doc_id, text FROM d
+        ),
+        w AS (SELECT doc_id, row_number() OVER () AS pos, string_split(trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM p),
+        b AS (SELECT doc_id, pos, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w),
+        e AS (SELECT doc_id, pos, len(b) AS n, unnest(b) AS bigram FROM b),
+        c AS (
+            SELECT doc_id, pos, n, template, n_template, count(*) AS c FROM e JOIN t USING (bigram)
+            GROUP BY ALL HAVING c * 2000 >= {scale} * (n + n_template)
+        ),
+        h AS (
+            SELECT doc_id, template, round(2 * c / (n + n_template), 6) AS score FROM c
+            QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY round(2 * c / (n + n_template), 6) DESC, template) = 1
+        ),
+        s AS (SELECT doc_id, template, max(score) AS score FROM h GROUP BY doc_id, template),
+        f AS (
+            SELECT doc_id, string_agg(template, ',' ORDER BY template) AS licenses, max(score) AS best_score, count(*) AS n_licenses,
+                   first(template ORDER BY score DESC, template) AS best
+            FROM s GROUP BY doc_id
+        )
+        SELECT doc_id, licenses, best, best_score, coalesce(n_licenses, 0) AS n_licenses FROM d LEFT JOIN f USING (doc_id)
+    """
+
+
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
         WITH t AS (
@@ -40,4 +117,13 @@ ORACLE_SQL = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
     """,
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        g AS (SELECT html, max(page_id) AS top FROM p WHERE octet_length(encode(html)) >= 1000 GROUP BY html)
+        SELECT page_id, octet_length(encode(p.html)) AS payload_bytes, sha1(p.html) AS payload_digest,
+               CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN top <> page_id THEN top END AS refers_to
+        FROM p LEFT JOIN g ON p.html = g.html
+    """,
+    "op8_licenses": _license_sql(),
 }
