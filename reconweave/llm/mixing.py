@@ -67,7 +67,7 @@ def quotas(weights: DataFrame, period: int = PERIOD) -> DataFrame:
 
 def period_slots(quota: DataFrame, period: int = PERIOD) -> DataFrame:
     """(source, quota, nth, slot): earliest deadline first over one period, as a fold on one row of all sources."""
-    one = quota.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "quota"))).alias("q"))
+    one = quota.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "quota"))).alias("q")).where(F.size("q") > 0)
 
     def window(x: Column, n: Column) -> Column:
         release = F.floor(n * period / x["quota"])

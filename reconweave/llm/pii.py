@@ -251,6 +251,30 @@ MARKED = (
     "a @ b is 5 @ 3",
     "thinner words | without | any | number | here",
     "1. first 2. second 3. third (4) fourth",
+    "please ring {phone|(212) 555-0147} after 5 pm",
+    "office {phone|+1 (415) 555-2671}, home {phone|415-555-0132}",
+    "reach me at {phone|555-0155} or by mail {email|kim@post.example.net}",
+    "telefon {phone|+49 89 5550 4321}, büro {phone|089/5550 4321}",
+    "tél. {phone|06 12 55 01 44} ou {phone|+33 1 55 50 22 33}",
+    "contact {email|sales-team@shop.example.com}; fax {phone|020 7946 0111}",
+    "host {ip|10.1.2.3} port 22, host {ip|172.20.0.5}:443 up",
+    "ping {ip|203.0.113.77} took 35 ms, {ip|198.51.100.4} timed out",
+    "visa {card|4012 8888 8888 1881} until 03/29",
+    "charged {card|5105105105105100} for 19.99 on 2024-02-11",
+    "master {card|5555-5555-5555-4444}, amex {card|3714 496353 98431}",
+    "old card {card|4222.2222.2222.2222} was blocked",
+    "write {email|admin@localhost} about ticket 4711",
+    "from {email|a.b-c@sub.mail.example.org} to {email|team@example.com}!",
+    "chapter 7 has 120 pages and 3.2.1 sections",
+    "version 10.4.2 came out on 2023-12-24 at 09:15:00",
+    "sum of 12 + 30 = 42 and 50 - 8 = 42",
+    'secret = "f06dafba290f173ddc961bc432d962e52652aa01" and key "a1b2c3d4e5f60718293a4b5c6d7e8f9012345678"',
+    "id 987654321 of batch 9876543210987654 closed",
+    "isbn 978-0-306-40615-7 has 300 pages",
+    "dates 01/02/2020 and 31.12.2019 were fine",
+    "by @carol and @dave77 in 2022",
+    "the of%%% and*** 7777 to### 424242 is&&&",
+    "prices: 5,000.00 or 2,499.50 at 19 percent",
 )
 
 
