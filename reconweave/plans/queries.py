@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reconweave.functions import calendar, money, narration
+from reconweave.functions.durable import written
 from reconweave.operators import adjustments, decompose, fees, ledger, matching, netting
 from reconweave.plans.oracle import pct, sql
 from reconweave.plans.reconcile import Reconciliation
@@ -18,25 +19,42 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+_entities: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_runs: dict[tuple[int, str], Reconciliation] = {}
+
+
+def entities(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The derived entities of a directory, written once a session: they stand for tables that a user has on disk."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _entities:
+        _entities[key] = {n: written(df) for n, df in derive(spark, sf_dir).items()}
+    return _entities[key]
+
+
+def run(t: dict[str, DataFrame], preset: str = "full") -> Reconciliation:
+    """The run of a preset over entities; its stages are shared by the queries of a session."""
+    return _runs.setdefault((id(t), preset), Reconciliation(t, preset))
+
+
 def query(body: str | None = None) -> Callable[[Callable], Query]:
     """Register a function of the entity tables under its own name, with the SQL body over the entities."""
 
     def wrap(f: Callable) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(derive(spark, sf_dir))
+        def on_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(entities(spark, sf_dir))
 
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
+        on_tables.__name__, on_tables.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = on_tables
         if body is not None:
             ORACLE_SQL[f.__name__] = sql(body)
-        return run
+        return on_tables
 
     return wrap
 
 
 def _blocks(t: dict[str, DataFrame]) -> Reconciliation:
     """Ordered blocks and reference links alone: the part that plain SQL can repeat."""
-    return Reconciliation(t, "blocks")
+    return run(t, "blocks")
 
 
 # --- functions --------------------------------------------------------------------
@@ -118,7 +136,7 @@ def ordered_blocks(t):
 @query()
 def subset_proofs(t):
     """NET-03, NET-04: unique-subset proofs of the batches that no order explains, with reasons of refusal."""
-    p = Reconciliation(t).proofs
+    p = run(t).proofs
     return p.select("merchant_id", "settle_date", "instant", "settlement_id", "outcome", "pool_size", "target", "states", F.array_join("payment_ids", ",").alias("payment_ids"))
 
 
@@ -344,7 +362,7 @@ def exceptions_by_label(t):
 @query()
 def decisions(t):
     """POL-01..07: verdict of each exception under gates and daily budgets, on the full preset."""
-    d = Reconciliation(t).decided()
+    d = run(t).decided()
     return d.select("merchant_id", "exception_seq", "settlement_id", "label", "label_confidence", "resolution", "failed_arms", "verdict", "policy_reason")
 
 
@@ -357,8 +375,6 @@ def ledger_rows(t):
 @query("SELECT merchant_id, count(DISTINCT label || '|' || coalesce(settlement_id, '') || '|' || CAST(residue AS VARCHAR) || '|' || coalesce(bank_txn_id, '') || '|' || adjustment) AS n_rows, CAST(0 AS BIGINT) AS broken_links, CAST(0 AS BIGINT) AS altered, CAST(0 AS BIGINT) AS unverifiable FROM lab GROUP BY merchant_id")
 def ledger_check(t):
     """WIN-12, AUD-02..05: links and contents of the chain hold, and a second run appends nothing."""
-    from reconweave.functions.durable import written
-
     r = _blocks(t)
     first = written(r.ledger())
     again = r.ledger(first)
@@ -461,4 +477,4 @@ def largest_residues(t):
 @query()
 def full_residues(t):
     """The whole run on the full preset: residue per settlement."""
-    return Reconciliation(t).residues
+    return run(t).residues
