@@ -1,0 +1 @@
+"""Settlement reconciliation for many merchants at once, on Spark DataFrames."""

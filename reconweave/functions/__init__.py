@@ -1 +1 @@
-"""."""
+"""Column functions and small helpers that the operators share."""

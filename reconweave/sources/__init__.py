@@ -1 +1 @@
-"""."""
+"""Entity tables: derivation from other tables, and validated ingest."""

@@ -1 +1 @@
-"""."""
+"""Structured Streaming forms of ingest, posting and detection."""
