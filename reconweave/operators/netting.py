@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconweave.functions.calendar import add_banking_days
+from reconweave.functions.durable import written
 
 GROUP = ["merchant_id", "settle_date", "instant"]
 MAX_ITEMS, MAX_STATES = 400, 250_000
@@ -117,7 +118,9 @@ def subset_proofs(pool: DataFrame, settlement: DataFrame) -> DataFrame:
             left = left.drop(index=members).reset_index(drop=True)
         return pd.DataFrame(out, columns=[c.split()[0] for c in PROOFS.split(", ")])
 
-    return rows.groupBy(*GROUP).applyInPandas(prove, PROOFS).unionByName(refused)
+    # few rows but much work per group: as many partitions as cores, which adaptive execution leaves alone
+    dealt = rows.repartition(pool.sparkSession.sparkContext.defaultParallelism * 2, *GROUP)
+    return dealt.groupBy(*GROUP).applyInPandas(prove, PROOFS).unionByName(refused)
 
 
 def netting(payment: DataFrame, settlement: DataFrame, cal: DataFrame, use_subsets: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -130,11 +133,11 @@ def netting(payment: DataFrame, settlement: DataFrame, cal: DataFrame, use_subse
         pool = pool.join(batches.select(*GROUP).distinct(), GROUP, "left_semi")
         if used is not None:
             pool = pool.join(used, ["merchant_id", "payment_id"], "left_anti")
-        blocks = ordered_blocks(pool, batches).withColumn("solver", F.lit("H1_ordered_block"))
+        blocks = written(ordered_blocks(pool, batches).withColumn("solver", F.lit("H1_ordered_block")))
         members.append(blocks)
         if use_subsets:
             rest = batches.join(blocks.select(*GROUP).distinct(), GROUP, "left_anti")
-            tried = subset_proofs(pool.join(rest.select(*GROUP).distinct(), GROUP, "left_semi"), rest)
+            tried = written(subset_proofs(pool.join(rest.select(*GROUP).distinct(), GROUP, "left_semi"), rest))
             proofs.append(tried)
             unique = tried.where("outcome = 'UNIQUE'").select("merchant_id", "settlement_id", F.explode("payment_ids").alias("payment_id"), *GROUP[1:], F.lit(None).cast("int").alias("hypothesis"), F.lit("H2_subset_sum").alias("solver"))
             members.append(unique)
