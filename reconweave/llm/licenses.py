@@ -5,8 +5,10 @@ blank lines, and the whole. A piece and a template are normalised alike (lower
 case, everything but a-z and 0-9 as one space) and become sets of word
 bigrams. With a and b their sizes, Dice 2c / (a + b) can reach ``t`` only if
 a lies between b t / (2 - t) and b (2 - t) / t: pieces outside the bounds of
-all templates are dropped before any bigram is built, and each (piece,
-template) outside its own bounds in the join. Common bigrams are counted by a
+all templates are dropped before the join, and each (piece, template) outside
+its own bounds in it. The threshold also means that a match holds one of a few
+anchor words (see ``anchor_words``): texts and pieces without any of them are
+passed over by one regular expression, which loses no match. Common bigrams are counted by a
 hash join with the templates' bigrams, a table of fixed size.
 
 Only built-in functions are used.
@@ -66,6 +68,26 @@ def template_rows(templates: dict[str, str], threshold: float) -> list[tuple[str
     return rows
 
 
+def anchor_words(rows: list[tuple[str, int, int, int, str]], threshold: float) -> list[str]:
+    """Words of which every piece that reaches the threshold with some template has at least one.
+
+    A match shares at least c bigrams with its template. If fewer than c of the
+    template's bigrams are free of its anchor words, a match has an anchor.
+    Long words are taken first, as they are rare.
+    """
+    anchors: set[str] = set()
+    for name in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == name]
+        left = {r[4] for r in own if not set(r[4].split()) & anchors}
+        shared = -(-round(threshold * 1000) * (own[0][2] + own[0][1]) // 2000)
+        while len(left) >= shared:
+            words = {w for pair in left for w in pair.split()}
+            best = max(sorted(words), key=lambda w: (len(w) ** 3 * sum(w in pair.split() for pair in left), w))
+            anchors.add(best)
+            left = {pair for pair in left if best not in pair.split()}
+    return sorted(anchors)
+
+
 def template_table(spark: SparkSession, templates: dict[str, str], threshold: float) -> DataFrame:
     """The rows of ``template_rows`` as a table."""
     quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
@@ -89,10 +111,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     rows = template_rows(templates or TEMPLATES, threshold)
     low, high = min(r[2] for r in rows), max(r[3] for r in rows)
     scale = round(threshold * 1000)
+    anchored = f"(?<![a-z0-9])(?:{'|'.join(anchor_words(rows, threshold))})(?![a-z0-9])"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # a word that counts as such once normalised may stand beside a letter that does not: boundaries are those of a-z and 0-9
+    texts = texts.where(F.lower("text").rlike(anchored))
     parts = texts.select("uid", "doc_id", F.posexplode(pieces(F.col("text"))).alias("at", "p")).select("uid", "doc_id", "at", "p.piece")
-    # a bigram takes three characters and a space: short pieces need no words
-    parts = parts.where(F.length("piece") >= 4 * low - 1)
+    # low bigrams take a word more, of one character at least, and as many spaces
+    parts = parts.where((F.length("piece") >= 2 * low + 1) & F.lower("piece").rlike(anchored))
     words = parts.select("uid", "doc_id", "at", F.split(F.trim(F.regexp_replace(F.lower("piece"), "[^a-z0-9]+", " ")), " ").alias("w"))
     # distinct bigrams may be fewer than words, so only the lower bound holds for words; the upper one for their bigrams
     words = words.where(F.size("w") > low)
