@@ -13,6 +13,7 @@ from reconweave.operators import adjustments, decompose, fees, ledger, matching,
 from reconweave.plans.oracle import pct, sql
 from reconweave.plans.reconcile import Reconciliation
 from reconweave.sources.derive import DECLARED_HOLIDAYS, FIRST_DAY, GST_BP, LAST_DAY, derive
+from reconweave.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -478,3 +479,35 @@ def largest_residues(t):
 def full_residues(t):
     """The whole run on the full preset: residue per settlement."""
     return run(t).residues
+
+
+# --- event streams in their batch form ------------------------------------------------
+
+
+def _on_events(f: Callable) -> Query:
+    def on_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+    on_table.__name__, on_table.__doc__ = f.__name__, f.__doc__
+    QUERIES[f.__name__] = on_table
+    return on_table
+
+
+@_on_events
+def rate_flags(events):
+    """ST-04: users with more than two events in an hour."""
+    return jobs.rate_flags(events, "user_id", "ts", 2, "1 hour").select(F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), "user_id", "n")
+
+
+@_on_events
+def stale_items(events):
+    """ST-06: users whose last event is a click older than a day at the end of the log."""
+    end = events.agg(F.max("ts").alias("ts")).first().ts
+    stale = jobs.stale_items(events, "user_id", "ts", "event_type", "click", end, 24 * 60)
+    return stale.select("user_id", F.unix_seconds(F.col("claimed_at").cast("timestamp")).alias("claimed_at"))
+
+
+ORACLE_SQL["rate_flags"] = "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, user_id, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 2"
+ORACLE_SQL["stale_items"] = """
+    SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS claimed_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS rn FROM events) AS e
+    WHERE rn = 1 AND event_type = 'click' AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
