@@ -76,6 +76,8 @@ class WordIds(dict):
 
     def learn(self, words: set[bytes]) -> None:
         new = words - self.keys()
+        if not new:
+            return
         if len(self) + len(new) > REMEMBERED:
             self.clear()
             new = words
