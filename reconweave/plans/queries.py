@@ -511,3 +511,70 @@ ORACLE_SQL["rate_flags"] = "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT)
 ORACLE_SQL["stale_items"] = """
     SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS claimed_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS rn FROM events) AS e
     WHERE rn = 1 AND event_type = 'click' AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
+
+
+# --- reports ----------------------------------------------------------------------------
+
+
+@query(
+    """SELECT h.merchant_id, l.bank_txn_id, h.settlement_id, h.payment_id, p.order_id, p.amount_paise, p.method FROM h1 h LEFT JOIN links l ON l.merchant_id = h.merchant_id AND l.settlement_id = h.settlement_id
+       JOIN payment p ON p.merchant_id = h.merchant_id AND p.payment_id = h.payment_id"""
+)
+def evidence_chain(t):
+    """JN-19, RPT-02: the payments and orders behind each credit, within their merchant."""
+    r = _blocks(t)
+    link = r.matched["links"].select("merchant_id", "settlement_id", "bank_txn_id")
+    facts = t["payment"].select("merchant_id", "payment_id", "order_id", "amount_paise", "method")
+    return r.members.join(link, ["merchant_id", "settlement_id"], "left").join(facts, ["merchant_id", "payment_id"]).select("merchant_id", "bank_txn_id", "settlement_id", "payment_id", "order_id", "amount_paise", "method")
+
+
+@query(
+    """SELECT d.merchant_id, count(*) AS credits, count(bank_txn_id) AS matched, CAST(coalesce(sum(bank_paise), 0) AS BIGINT) AS credited, CAST(coalesce(sum(bank_paise), 0) - coalesce(sum(abs(residue)) FILTER (bank_txn_id IS NOT NULL), 0) AS BIGINT) AS accounted_for,
+       count(*) FILTER (bank_txn_id IS NOT NULL AND membership_proven AND residue = 0) AS proved_to_the_paise, CAST(coalesce(sum(gross) FILTER (NOT within_tolerance), 0) AS BIGINT) AS value_at_risk FROM dec d GROUP BY d.merchant_id"""
+)
+def overview(t):
+    """RPT-05: headline figures per merchant."""
+    matched = F.col("bank_txn_id").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return _blocks(t).decomposition.groupBy("merchant_id").agg(
+        F.count("*").alias("credits"), F.count("bank_txn_id").alias("matched"), total("bank_paise").alias("credited"), (total("bank_paise") - total(F.when(matched, F.abs("residue")))).alias("accounted_for"),
+        F.count(F.when(matched & F.col("membership_proven") & (F.col("residue") == 0), 1)).alias("proved_to_the_paise"), total(F.when(~F.col("within_tolerance"), F.col("gross"))).alias("value_at_risk"),
+    )
+
+
+@query(
+    """SELECT CAST(th AS BIGINT) AS threshold_pct, count(*) AS credits, count(*) FILTER (p * 100 >= th) AS covered, count(*) FILTER (p * 100 >= th AND good) AS correct FROM (
+         SELECT merchant_id, bank_txn_id, max(probability) AS p, max_by(settlement_id, probability) AS s, substr(bank_txn_id, 4) = substr(max_by(settlement_id, probability), 5) AS good FROM score GROUP BY merchant_id, bank_txn_id
+       ) AS b, (VALUES (10), (20), (30), (40), (50), (60), (70), (80), (90)) AS v(th) GROUP BY th"""
+)
+def coverage_curve(t):
+    """EV-07: credits covered, and rightly so, by their best candidate at nine thresholds (one array per row, no second table)."""
+    best = _blocks(t).matched["candidates"].groupBy("merchant_id", "bank_txn_id").agg(F.max(F.struct("probability", "settlement_id")).alias("b"))
+    good = F.substring("bank_txn_id", 4, 100) == F.substring("b.settlement_id", 5, 100)
+    rows = best.select(F.col("b.probability").alias("p"), good.alias("good"), F.explode(F.sequence(F.lit(10), F.lit(90), F.lit(10))).alias("th"))
+    covered = F.col("p") * 100 >= F.col("th")
+    return rows.groupBy(F.col("th").cast("long").alias("threshold_pct")).agg(F.count("*").alias("credits"), F.count(F.when(covered, 1)).alias("covered"), F.count(F.when(covered & F.col("good"), 1)).alias("correct"))
+
+
+@query(
+    f"SELECT merchant_id, settlement_id, bank_txn_id, CAST({' + '.join(decompose.COMPONENTS)} + residue AS BIGINT) AS total, bank_paise, {' + '.join(decompose.COMPONENTS)} + residue = bank_paise AS equal FROM dec WHERE bank_txn_id IS NOT NULL"
+)
+def dq_component_sums(t):
+    """DQ-01: components and residue of a matched settlement add up to its credit."""
+    rows = decompose.components_long(_blocks(t).decomposition).where("bank_txn_id is not null")
+    key = ["merchant_id", "settlement_id", "bank_txn_id"]
+    s = rows.groupBy(*key).agg(F.sum(F.when(F.col("component") != "TOTAL_bank_credit", F.col("amount_paise"))).alias("total"), F.sum(F.when(F.col("component") == "TOTAL_bank_credit", F.col("amount_paise"))).alias("bank_paise"))
+    return s.withColumn("equal", F.col("total") == F.col("bank_paise"))
+
+
+@query(
+    """SELECT merchant_id, 'exception' AS kind, settlement_id, adjustment, CAST(abs(residue) AS BIGINT) AS size FROM exc
+       UNION ALL SELECT merchant_id, 'residue', settlement_id, '', CAST(abs(residue) AS BIGINT) FROM dec d WHERE bank_txn_id IS NOT NULL AND residue <> 0 AND within_tolerance AND NOT ambiguous"""
+)
+def attention_queue(t):
+    """RPT-07: all exceptions, and matched credits with a residue that raised none."""
+    r = _blocks(t)
+    size = F.abs("residue").alias("size")
+    first = r.exceptions.select("merchant_id", F.lit("exception").alias("kind"), "settlement_id", "adjustment", size)
+    quiet = r.decomposition.where("bank_txn_id is not null and residue <> 0").join(r.exceptions.where("adjustment = ''").select("merchant_id", "settlement_id"), ["merchant_id", "settlement_id"], "left_anti")
+    return first.unionByName(quiet.select("merchant_id", F.lit("residue").alias("kind"), "settlement_id", F.lit("").alias("adjustment"), size))
