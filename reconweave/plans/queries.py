@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reconweave.functions import calendar, money, narration
 from reconweave.functions.durable import written
-from reconweave.operators import adjustments, decompose, fees, ledger, matching, netting
+from reconweave.operators import adjustments, decompose, fees, ledger, matching, netting, scorer
 from reconweave.plans.oracle import pct, sql
 from reconweave.plans.reconcile import Reconciliation
 from reconweave.sources.derive import DECLARED_HOLIDAYS, FIRST_DAY, GST_BP, LAST_DAY, derive
@@ -578,3 +578,27 @@ def attention_queue(t):
     first = r.exceptions.select("merchant_id", F.lit("exception").alias("kind"), "settlement_id", "adjustment", size)
     quiet = r.decomposition.where("bank_txn_id is not null and residue <> 0").join(r.exceptions.where("adjustment = ''").select("merchant_id", "settlement_id"), ["merchant_id", "settlement_id"], "left_anti")
     return first.unionByName(quiet.select("merchant_id", F.lit("residue").alias("kind"), "settlement_id", F.lit("").alias("adjustment"), size))
+
+
+def _purchases(events: DataFrame) -> DataFrame:
+    return events.select((F.col("value") / (F.col("value") + 100)).alias("probability"), (F.col("event_type") == "purchase").cast("double").alias("label"))
+
+
+@_on_events
+def score_reliability(events):
+    """EV-08: reliability of a score, here the value of an event as a sign of purchase, in ten bins."""
+    r = scorer.reliability(_purchases(events))
+    return r.select("bin", "n", F.round("mean_p", 6).alias("mean_p"), F.round("rate", 6).alias("rate"))
+
+
+@_on_events
+def score_auc(events):
+    """EV-09, WIN-13: area under the curve of the same score, by average ranks."""
+    return scorer.auc(_purchases(events)).select(F.round("auc", 6).alias("auc"))
+
+
+_SCORES = "SELECT value / (value + 100) AS p, CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0 END AS y FROM events"
+ORACLE_SQL["score_reliability"] = f"SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM ({_SCORES}) AS s GROUP BY 1"
+ORACLE_SQL["score_auc"] = f"""
+    SELECT round((sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS auc
+    FROM (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r FROM ({_SCORES}) AS s) AS q"""
