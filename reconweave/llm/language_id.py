@@ -1,7 +1,7 @@
 """Language of documents and pages by Bayesian fusion of four kinds of evidence.
 
 1. Text: naive Bayes over hashed byte trigrams, trained on at most ``SAMPLE``
-   documents (first in a hash order) with the language they declare. A class
+   different texts (first in a hash order) with the language they declare. A class
    "und" with even trigrams stands for all other text (even over half of the
    buckets, so that odd spellings of a known language stay with it). As trigrams of a text
    depend on each other, their log likelihood counts as that of at most
@@ -90,9 +90,13 @@ class TextModel:
 
 
 def fit(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """Train on at most ``sample`` rows of (text, declared) that are first in a hash order of their text."""
-    known = rows.where("declared is not null and length(text) > 0")
-    chosen = known.select("text", "declared").orderBy(F.xxhash64("text"), "declared").limit(sample)
+    """Train on at most ``sample`` different texts of (text, declared), those first in a hash order.
+
+    The order is found on hashes alone; only the chosen texts are brought together, each once.
+    """
+    known = rows.where("declared is not null and length(text) > 0").select("text", "declared", F.xxhash64("text").alias("h"))
+    cut = known.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h").alias("h")).first().h
+    chosen = known.where(F.col("h") <= F.lit(cut)).groupBy("h").agg(F.min(F.struct("text", "declared")).alias("one")).select("one.*")
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
