@@ -602,3 +602,10 @@ ORACLE_SQL["score_reliability"] = f"SELECT CAST(least(floor(p * 10), 9) AS BIGIN
 ORACLE_SQL["score_auc"] = f"""
     SELECT round((sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS auc
     FROM (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r FROM ({_SCORES}) AS s) AS q"""
+
+
+@query()
+def preset_totals(t):
+    """EV-10: run totals under three presets, side by side."""
+    parts = [run(t, p).totals.withColumn("preset", F.lit(p)) for p in ("deterministic", "repair", "blocks")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
