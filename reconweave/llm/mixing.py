@@ -40,7 +40,7 @@ CAP = 4
 #: The mix ends when sources with more than one part in ENDED of the weight have ended.
 ENDED = 10
 #: Documents of a source whose sizes are summed in one window.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 2_000
 
 
 def order_key(doc_id: Column) -> Column:
