@@ -26,7 +26,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
 import uuid
 import zlib
 from collections.abc import Iterator
