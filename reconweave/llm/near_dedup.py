@@ -4,11 +4,11 @@
    a 128-bit key of the set. Texts with equal sets become one class.
 2. Signatures are banded. In each bucket the smallest class is the centre.
    Round one tests each class against the smallest centre it shares a bucket
-   with. A test compares the signatures in batches of 16 values; after a batch
+   with, and the two members of each bucket of two. A test compares the signatures in batches of 16 values; after a batch
    the pair is dropped when the posterior probability that its similarity
    reaches the threshold is under ``miss``. Survivors are checked exactly on
    their full shingle sets, and confirmed links give connected components.
-3. Round two takes the buckets that still hold several components and tests
+3. Round two takes the larger buckets that still hold several components and tests
    every pair across components there, inside numpy tiles that give only the
    links that join components. So each pair that shares a bucket is either
    connected already or tested, and no pair list of a group is written out.
@@ -285,7 +285,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MI
     bands = reps.select("rep", F.posexplode(F.array(*band)).alias("band", "key"))
     centres = durable(bands.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1"), "centres")
     members = durable(bands.join(small(centres, 32), "key"), "members")
-    pairs = members.where("rep <> centre").groupBy(F.col("rep").alias("b")).agg(F.min("centre").alias("a"))
+    apart = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"), "n")
+    # round two leaves buckets of two out, so each of them is tested here
+    pairs = apart.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(apart.where("n = 2").select("a", "b")).distinct()
     first = durable(confirmed(durable(pruned(pairs, reps, threshold, miss), "pairs"), docs, k, percent), "links")
     labels = durable(components(first), "labels")
     more = durable(across(members, labels, reps, docs, k, percent, miss), "across")

@@ -97,6 +97,21 @@ def test_near_groups_against_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_links_beside_a_smaller_unlike_text(spark):
+    rng = random.Random(5)
+    rows = []
+    for t in range(40):
+        y = [f"t{t}w{i}" for i in range(200)]
+        x = [*y[:185], *(f"t{t}x{i}" for i in range(15))]
+        z = [*(f"t{t}z{i}" for i in range(70)), *y[70:]]
+        rows += [(3 * t, " ".join(z)), (3 * t + 1, " ".join(x)), (3 * t + 2, " ".join(y))]
+    component, _ = brute_components(rows, 4, 80)
+    assert all(component[3 * t + 2] == 3 * t + 1 for t in range(40))
+    rng.shuffle(rows)
+    got = near_dedup.near_groups(frame(spark, rows), k=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == component
+
+
 def test_near_edges(spark):
     got = near_dedup.near_groups(frame(spark, [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None)])).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == [(1, 1, True), (1, 1, True), (2, 2, True)]
