@@ -13,10 +13,10 @@ slot = period * (block div quota) + slot in the period of (block mod quota).
 All documents get a slot; when a source ends, its slots stay empty and the
 others go on in the same proportions. ``in_mix`` tells which slots come before
 sources with over a tenth of the weight have ended: the part of the whole in
-which the target weights hold.
+which the target weights hold. ``mixture`` cuts there; ``in_order`` keeps every
+document.
 
-Default weights: a source weighs its bytes, but at most a third of those of
-all others together, so no source gets over a quarter of the mix.
+Default weights: a source weighs its bytes.
 
 Only built-in functions are used. The period is doubled until it is four times
 the number of sources; tables of sources and of one period are broadcast.
@@ -31,12 +31,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconweave.llm.common import durable, utf8_bytes
+from reconweave.llm.common import durable, small, utf8_bytes
 
 PERIOD = 4096
 BLOCK_BYTES = 64 << 10
-#: Largest share of one source under the default weights, as 1 / CAP.
-CAP = 4
 #: The mix ends when sources with more than one part in ENDED of the weight have ended.
 ENDED = 10
 #: Documents of a source whose sizes are summed in one window.
@@ -50,10 +48,7 @@ def order_key(doc_id: Column) -> Column:
 
 def default_weights(sizes: DataFrame) -> DataFrame:
     """(source, weight) from (source, bytes)."""
-    everything = F.sum("bytes").over(Window.partitionBy(F.lit(0)))
-    others = F.expr(f"(everything - bytes) div {CAP - 1}")
-    capped = F.when(F.col("everything") == F.col("bytes"), F.col("bytes")).otherwise(F.least("bytes", F.greatest(others, F.lit(1))))
-    return sizes.withColumn("everything", everything).select("source", capped.alias("weight"))
+    return sizes.select("source", F.col("bytes").alias("weight"))
 
 
 def quotas(weights: DataFrame, period: int = PERIOD) -> DataFrame:
@@ -172,3 +167,23 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, period: in
     # at most one row per source, and no more sources than slots in a period
     same = F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__source")
     return docs.join(F.broadcast(cuts), same & (mine <= F.col("__cut")), "left_semi")
+
+
+def in_order(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All rows of ``docs`` in the mixed order; all columns as they are."""
+    at = mix(docs, weights, period, block_bytes).select(
+        F.coalesce("doc_id", F.lit(0)).alias("__doc_id"), F.col("doc_id").isNull().alias("__null"), F.col("source").alias("__source"), F.col("size").alias("__size"), "slot", "place"
+    )
+    # rows alike in these columns are side by side in the order, so all take the first one's place
+    at = at.groupBy("__doc_id", "__null", "__source", "__size").agg(F.min(F.struct("slot", "place")).alias("__at"))
+    at = durable(at, "places")
+    keyed = docs.withColumns(
+        {
+            "__doc_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+            "__null": F.col("doc_id").cast("long").isNull(),
+            "__source": F.coalesce(F.col("source").cast("string"), F.lit("")),
+            "__size": utf8_bytes(F.col("text")) + 8,
+        }
+    )
+    placed = keyed.join(small(at, 64), ["__doc_id", "__null", "__source", "__size"], "left")
+    return placed.orderBy("__at").select(*docs.columns)

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -126,6 +127,17 @@ def test_mix_is_whole_and_on_time(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_every_document_is_in_the_mixed_order(spark):
+    rows = [(i, "z" * 92, "hot" if i % 10 else f"s{i % 40}", "en") for i in range(600)] + [(5, "same", "a", "en"), (5, "same", "a", "en"), (None, None, None, None), (None, "n", "b", "en")]
+    got = corpus_pipeline.mixing_stage(spark, docs(spark, rows), "")
+    assert got.columns == ["doc_id", "text", "source", "lang"]
+    assert Counter(map(tuple, got.collect())) == Counter(rows)
+    n = {r.source: r.quota for r in mixing.quotas(mixing.default_weights(spark.createDataFrame([("a", 900), ("b", 100)], "source string, bytes long")), 64).collect()}
+    assert n == {"a": 57, "b": 7}
+    order = [r.source for r in mixing.in_order(docs(spark, rows[:600]), period=64, block_bytes=1000).collect()]
+    assert all(abs(order[:t].count("hot") - 0.9 * t) < 30 for t in range(0, 601, 50))
+
+
 def test_given_weights(spark):
     rows = [(i, "y" * 92, "ab"[i % 2], "en") for i in range(400)]
     out = mixing.mix(docs(spark, rows), weights={"a": 3, "b": 1}, period=64, block_bytes=1000).toPandas()
