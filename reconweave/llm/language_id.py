@@ -1,8 +1,9 @@
 """Language of documents and pages by Bayesian fusion of four kinds of evidence.
 
-1. Text: naive Bayes over hashed byte trigrams, trained on at most ``SAMPLE``
-   different texts (first in a hash order) with the language they declare. A class
-   "und" with even trigrams stands for all other text (even over half of the
+1. Text: naive Bayes over hashed byte trigrams, with a class for each language
+   that ``LEAST_DOCUMENTS`` different texts of the whole table declare. It is
+   trained on ``SAMPLE`` texts in all, shared evenly between the languages (of
+   each those first in a hash order). A class "und" with even trigrams stands for all other text (even over half of the
    buckets, so that odd spellings of a known language stay with it). As trigrams of a text
    depend on each other, their log likelihood counts as that of at most
    ``EVIDENCE`` trigrams.
@@ -27,7 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconweave.llm.common import durable, small, text_buffer, text_slices
@@ -43,7 +44,7 @@ SURE = 0.5
 OTHER = "und"
 #: Prior of text in no known language.
 OTHER_PRIOR = 1e-3
-#: Languages are those that at least so many sampled documents declare.
+#: Languages are those that at least so many different texts declare; each is trained on as many at least.
 LEAST_DOCUMENTS = 3
 
 
@@ -90,13 +91,25 @@ class TextModel:
 
 
 def fit(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """Train on at most ``sample`` different texts of (text, declared), those first in a hash order.
+    """Train on about ``sample`` different texts of (text, declared), from each language those first in a hash order.
 
-    The order is found on hashes alone; only the chosen texts are brought together, each once.
+    Languages are counted over all rows. The order is found on hashes alone;
+    only the chosen texts are brought together, each once.
     """
     known = rows.where("declared is not null and length(text) > 0").select("text", "declared", F.xxhash64("text").alias("h"))
-    cut = known.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h").alias("h")).first().h
-    chosen = known.where(F.col("h") <= F.lit(cut)).groupBy("h").agg(F.min(F.struct("text", "declared")).alias("one")).select("one.*")
+    texts = durable(known.groupBy("h").agg(F.min("declared").alias("declared")), "hashes")
+    sizes = {r.declared: r.n for r in texts.groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).collect()}
+    languages = sorted(sizes)
+    if not languages:
+        return TextModel([], np.zeros((0, BUCKETS)))
+    each = max(LEAST_DOCUMENTS, sample // len(languages))
+    # a bound on hashes leaves about twice as many as are taken, so that no task ranks a whole language
+    below = {x: -(1 << 63) + min((1 << 64) - 1, (1 << 64) * (2 * each + 50) // n) for x, n in sizes.items()}
+    bounds = known.sparkSession.createDataFrame(list(below.items()), "declared string, below long")
+    nth = F.row_number().over(Window.partitionBy("declared").orderBy("h"))
+    first = texts.join(F.broadcast(bounds), "declared").where("h <= below").withColumn("nth", nth).where(F.col("nth") <= each)
+    first = durable(first.select("h", "declared"), "first")
+    chosen = known.join(small(first, 16), ["h", "declared"]).groupBy("h", "declared").agg(F.min("text").alias("text")).select("text", "declared")
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -106,15 +119,13 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
                 raw = np.frombuffer(text.as_py().encode(), np.uint8)
                 grams = trigrams(raw)
                 at, times = np.unique(grams[grams >= 0], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"declared": [declared] * (len(at) + 1), "gram": np.append(at, -1).astype(np.int32), "n": np.append(times, 1).astype(np.int64)})
+                yield pa.RecordBatch.from_pydict({"declared": pa.array([declared] * len(at), pa.string()), "gram": at.astype(np.int32), "n": times.astype(np.int64)})
 
     counted = chosen.mapInArrow(count, "declared string, gram int, n long").groupBy("declared", "gram").agg(F.sum("n").alias("n"))
     found = counted.toPandas()
-    documents = found[found.gram == -1].set_index("declared").n
-    languages = sorted(documents[documents >= LEAST_DOCUMENTS].index)
     counts = np.zeros((len(languages), BUCKETS))
     for i, language in enumerate(languages):
-        own = found[(found.declared == language) & (found.gram >= 0)]
+        own = found[found.declared == language]
         counts[i, own.gram] = own.n
     return TextModel(languages, counts)
 

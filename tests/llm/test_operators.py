@@ -82,6 +82,14 @@ def test_language_fusion(spark):
     assert language_id.identify(language_id.of_documents(docs(spark, []))).count() == 0
 
 
+def test_a_rare_language_is_known_at_every_size(spark):
+    rng = random.Random(8)
+    speech = {"en": "the and of this that with from house water night", "fi": "ja on ei se hän että talo vesi yö kanssa"}
+    rows = [(i, " ".join(rng.choices(speech["fi" if i % 100 == 7 else "en"].split(), k=30)) + f" {i}", "h", "fi" if i % 100 == 7 else "en") for i in range(1200)]
+    got = language_id.identify(language_id.of_documents(docs(spark, rows)), sample=40).collect()
+    assert all(r.language == ("fi" if r.id % 100 == 7 else "en") and r.kept for r in got)
+
+
 def test_pages_evidence(spark):
     page = spark.createDataFrame([(1, "https://www.a.example.de/fr/1", "<html lang='fr-FR'><style>p{}</style><p>le mot</p></html>"), (2, None, None)], "page_id long, url string, html string")
     r = {x.id: x for x in language_id.of_pages(page).collect()}
