@@ -7,6 +7,9 @@ blocked into candidates, scored, and assigned one to one.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +21,7 @@ from reconweave.functions.durable import written
 
 WINDOW_DAYS, WINDOW_PAISE, TOLERANCE = 3, 5_000_000, 10_000
 LEAST_PROBABILITY, NEAR_TIE = 0.55, 0.08
-#: Credits or settlements of a component that one optimal assignment takes at most; larger ones are refused.
+#: Credits or settlements of a component up to which the assignment uses a full cost matrix; larger ones use their pairs alone.
 MAX_COMPONENT = 400
 
 
@@ -245,29 +248,74 @@ def assign_costs(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def assign_pairs(pairs: list[dict[int, int]]) -> list[int | None]:
+    """The column of each row, or None: as many links as possible, then the least total cost, from each row's {column: cost}.
+
+    Augmenting shortest paths over the given pairs only, in whole numbers.
+    """
+    none = 1 + sum(max(p.values()) for p in pairs if p)  # no link: dearer than all links together
+    u, v = [0] * len(pairs), defaultdict(int)
+    row_of, column_of = {}, [None] * len(pairs)
+    for start in range(len(pairs)):
+        best, way, done, heap = {}, {}, {}, []
+        i, far = start, 0
+        while True:
+            # a row's own place for no link is the column -1 - i
+            for j, c in [*pairs[i].items(), (-1 - i, none)]:
+                there = far + c - u[i] - v[j]
+                if j not in done and (j not in best or there < best[j]):
+                    best[j], way[j] = there, i
+                    heappush(heap, (there, j))
+            far, j = heappop(heap)
+            while j in done:
+                far, j = heappop(heap)
+            done[j] = far
+            if j not in row_of:
+                break
+            i = row_of[j]
+        u[start] += far
+        for k, d in done.items():
+            if k in row_of:
+                u[row_of[k]] += far - d
+                v[k] -= far - d
+        while True:
+            i = way[j]
+            row_of[j], column_of[i], j = i, j, column_of[i]
+            if i == start:
+                break
+    return [j if j >= 0 else None for j in column_of]
+
+
 def assignment(cands: DataFrame) -> DataFrame:
     """Optimal one-to-one links within each component of the candidate graph.
 
     As many links as possible, then the least sum of round(-ln p * 10^6); links
     under 0.55 fall away afterwards. A component over ``MAX_COMPONENT`` rows on
-    either side is refused, from its counts alone.
+    either side is solved over its pairs, without a matrix.
     """
     labels = component_labels(cands)
     rows = cands.join(labels, ["merchant_id", "bank_txn_id"])
-    size = rows.groupBy("merchant_id", "label").agg(F.greatest(F.count_distinct("bank_txn_id"), F.count_distinct("settlement_id")).alias("n"))
-    rows = rows.join(size.where(F.col("n") <= MAX_COMPONENT), ["merchant_id", "label"]).select("merchant_id", "label", "bank_txn_id", "settlement_id", "probability", "utr_hit")
+    rows = rows.select("merchant_id", "label", "bank_txn_id", "settlement_id", "probability", "utr_hit")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bank_txn_id", "settlement_id"])
         b, s = sorted(pdf.bank_txn_id.unique()), sorted(pdf.settlement_id.unique())
         at = {(r.bank_txn_id, r.settlement_id): r for r in pdf.itertuples()}
-        none = 1e12  # an absent pair, or no link: any link is cheaper
-        cost = np.full((len(b), len(s) + len(b)), none)
+        row, column = ({x: i for i, x in enumerate(side)} for side in (b, s))
+        pairs = [{} for _ in b]
         for (x, y), r in at.items():
-            cost[b.index(x), s.index(y)] = np.round(-np.log(max(r.probability, 1e-9)) * 1e6)
+            pairs[row[x]][column[y]] = int(np.round(-np.log(max(r.probability, 1e-9)) * 1e6))
+        if max(len(b), len(s)) <= MAX_COMPONENT:
+            none = 1e12  # an absent pair, or no link: any link is cheaper
+            cost = np.full((len(b), len(s) + len(b)), none)
+            for i, own in enumerate(pairs):
+                cost[i, list(own)] = list(own.values())
+            chosen = assign_costs(cost)
+        else:
+            chosen = assign_pairs(pairs)
         out = []
-        for x, j in zip(b, assign_costs(cost), strict=True):
-            r = at.get((x, s[j])) if j < len(s) else None
+        for x, j in zip(b, chosen, strict=True):
+            r = at.get((x, s[j])) if j is not None and j < len(s) else None
             if r is not None and r.probability >= LEAST_PROBABILITY:
                 out.append((r.merchant_id, x, r.settlement_id, r.probability, "repaired_utr" if r.utr_hit else "global_assignment"))
         return pd.DataFrame(out, columns=[c.split()[0] for c in LINKS.split(", ")])

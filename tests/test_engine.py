@@ -106,6 +106,31 @@ def test_assignment_is_optimal():
         assert len(set(got.tolist())) == n and cost[np.arange(n), got].sum() == best
 
 
+def test_pairs_give_the_same_optimum_as_a_matrix():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n, m = rng.integers(1, 25, 2)
+        cost = np.where(rng.random((n, m)) < 0.2, rng.integers(0, 50, (n, m)), 10**6)
+        pairs = [{j: int(c) for j, c in enumerate(r) if c < 10**6} for r in cost]
+        got = matching.assign_pairs(pairs)
+        full = matching.assign_costs(np.hstack([cost, np.full((n, n), 10**6)]).astype(float))
+        linked = [(i, j) for i, j in enumerate(got) if j is not None]
+        other = [(i, j) for i, j in enumerate(full.tolist()) if j < m and cost[i, j] < 10**6]
+        assert len({j for _, j in linked}) == len(linked) == len(other)
+        assert sum(pairs[i][j] for i, j in linked) == sum(pairs[i][j] for i, j in other)
+
+
+def test_a_large_component_keeps_its_links(spark):
+    n = matching.MAX_COMPONENT + 50
+    rows = [("m", f"b{i:04}", f"s{j:04}", 0.9 if i == j else 0.6, False) for i in range(n) for j in (i, i + 1) if j < n]
+    cands = spark.createDataFrame(rows, "merchant_id string, bank_txn_id string, settlement_id string, probability double, utr_hit boolean").repartition(2)
+    # the real labels need a round a step of the chain
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(matching, "component_labels", lambda e: e.select("merchant_id", "bank_txn_id", F.lit("b0000").alias("label")).distinct())
+        got = {r.bank_txn_id: r.settlement_id for r in matching.assignment(cands).collect()}
+    assert got == {f"b{i:04}": f"s{i:04}" for i in range(n)}
+
+
 def exception(seq, label, residue, conf, value=50_000_000, ambiguous=False, day=D):
     return ("m", seq, f"s{seq}", None, residue, value, label, conf, ambiguous, day, f"k{seq}", "", "escalate")
 
