@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reconweave.llm.common import durable, small
+from reconweave.llm.common import durable, map_batches, small
 
 #: Bits of a fingerprint beyond log2(rows): about one row in 2**SPARE_BITS is suspected in vain.
 SPARE_BITS = 10
@@ -121,9 +121,10 @@ def suspects(rows: DataFrame, n: int) -> DataFrame:
                 if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), m["part"], np.int32)), pa.array(found.astype(np.int64))], ["part", "prefix"])
 
-    messages = durable(rows.select("part", "fingerprint").mapInArrow(send, "owner int, sender int, part int, n long, low int, code binary, again binary"), "messages")
+    messages = durable(map_batches(rows.select("part", "fingerprint"), send, "owner int, sender int, part int, n long, low int, code binary, again binary"), "messages")
     answers = messages.select("owner", "sender", "part", "n", "low", "code", "again").groupBy("owner").applyInArrow(answer, "owner int, sender int, part int, bitmap binary")
-    marked = messages.drop("again").join(answers, ["owner", "sender", "part"]).select("part", "n", "low", "code", "bitmap").mapInArrow(mark, "part int, prefix long").distinct()
+    answered = messages.drop("again").join(answers, ["owner", "sender", "part"]).select("part", "n", "low", "code", "bitmap")
+    marked = map_batches(answered, mark, "part int, prefix long").distinct()
     prefix = F.shiftrightunsigned("fingerprint", 64 - bits)
     return rows.withColumn("prefix", prefix).join(marked, ["part", "prefix"], "left_semi").drop("prefix")
 

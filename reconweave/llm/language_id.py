@@ -19,8 +19,11 @@ has no letters, if "und" is most probable, or if no language reaches ``SURE``.
 
 Edge cases: a null or empty text has no text evidence and is rejected; null
 declarations, suffixes and hosts give no evidence (a null host is a host of
-its own); repeated rows give repeated results; an empty table, or one without
-declared languages to train on, gives "und" for all rows; further columns are ignored.
+its own); a null id is carried; repeated rows give repeated results; rows that
+share an id are judged each by its own text; a very long text is read whole, in
+windows; of languages that are equally probable the first in the alphabet is
+taken; an empty table, or one without declared languages to train on, gives
+"und" for all rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconweave.llm.common import durable, small, text_buffer, text_slices
+from reconweave.llm.common import LOWER, WINDOW, durable, map_batches, small, text_buffer, text_slices
 
 SAMPLE = 4000
 BUCKETS = 1 << 14
@@ -48,18 +51,27 @@ OTHER_PRIOR = 1e-3
 LEAST_DOCUMENTS = 3
 
 
+#: Bytes as lower-case letters, every other one as a space.
+_LETTERS = np.where((LOWER >= 97) & (LOWER <= 122) | (LOWER >= 128), LOWER, 32).astype(np.int32)
+
+
 def trigrams(raw: np.ndarray) -> np.ndarray:
     """Hashed trigrams of lower-cased bytes, where each byte that is no letter counts as a space; -1 if all are spaces."""
-    low = raw | np.where((raw >= 65) & (raw <= 90), 32, 0).astype(np.uint8)
-    letter = ((low >= 97) & (low <= 122)) | (low >= 128)
-    x = np.where(letter, low, 32).astype(np.int32)
-    if len(x) < 3:
+    if len(raw) < 3:
         return np.zeros(0, np.int32)
+    x = _LETTERS[raw]
     hashed = ((x[:-2] * 961 + x[1:-1] * 31 + x[2:]) * 40503 >> 7) & (BUCKETS - 1)
+    letter = x != 32
     hashed[~(letter[:-2] | letter[1:-1] | letter[2:])] = -1
     return hashed
 
 
+def windows(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of one text that together hold each of its trigrams once."""
+    for lo in range(0, max(len(raw) - 2, 1), WINDOW):
+        yield raw[lo : lo + WINDOW + 2]
+
+
 class TextModel:
     """Log probabilities of trigrams by language, the last class being ``OTHER``."""
 
@@ -69,9 +81,8 @@ class TextModel:
         logs = np.log(smooth / smooth.sum(axis=1, keepdims=True))
         self.logs = np.vstack([logs, np.full((1, BUCKETS), -np.log(BUCKETS / 2))]).astype(np.float32)
 
-    def evidence(self, column) -> tuple[np.ndarray, np.ndarray]:
-        """Tempered log likelihoods, one row per text, and the number of trigrams with a letter."""
-        raw, offsets = text_buffer(column)
+    def sums(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihoods, one row per text, and the number of trigrams with a letter."""
         grams = trigrams(raw)
         n = len(offsets) - 1
         valid = np.zeros(len(raw) + 1, bool)
@@ -79,14 +90,23 @@ class TextModel:
         for cut in (1, 2):
             at = offsets[1:] - cut
             valid[at[at >= 0]] = False
-        table = np.append(grams, np.zeros(len(raw) + 1 - len(grams), grams.dtype))
         at = np.flatnonzero(valid)
         edges = np.searchsorted(at, offsets)
-        used = np.diff(edges)
+        found = grams[at]
         out = np.zeros((n, len(self.languages)))
         for i, logs in enumerate(self.logs):
-            total = np.append(0.0, np.cumsum(logs[table[at]], dtype=np.float64))
+            total = np.append(0.0, np.cumsum(logs[found], dtype=np.float64))
             out[:, i] = total[edges[1:]] - total[edges[:-1]]
+        return out, np.diff(edges)
+
+    def evidence(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Tempered log likelihoods, one row per text, and the number of trigrams with a letter; a long text goes window by window."""
+        raw, offsets = text_buffer(column)
+        if len(offsets) == 2:
+            parts = [self.sums(part, np.array([0, len(part)])) for part in windows(raw)]
+            out, used = sum(x for x, _ in parts), sum(x for _, x in parts)
+        else:
+            out, used = self.sums(raw, offsets)
         return out * (np.minimum(used, EVIDENCE) / np.maximum(used, 1))[:, None], used
 
 
@@ -116,12 +136,14 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
 
         for batch in batches:
             for text, declared in zip(batch["text"], batch["declared"].to_pylist(), strict=True):
-                raw = np.frombuffer(text.as_py().encode(), np.uint8)
-                grams = trigrams(raw)
-                at, times = np.unique(grams[grams >= 0], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"declared": pa.array([declared] * len(at), pa.string()), "gram": at.astype(np.int32), "n": times.astype(np.int64)})
-
-    counted = chosen.mapInArrow(count, "declared string, gram int, n long").groupBy("declared", "gram").agg(F.sum("n").alias("n"))
+                times = np.zeros(BUCKETS, np.int64)
+                for part in windows(np.frombuffer(text.as_buffer(), np.uint8)):
+                    grams = trigrams(part)
+                    times += np.bincount(grams[grams >= 0], minlength=BUCKETS)
+                at = np.flatnonzero(times)
+                yield pa.RecordBatch.from_pydict({"declared": pa.array([declared] * len(at), pa.string()), "gram": at.astype(np.int32), "n": times[at]})
+
+    counted = map_batches(chosen, count, "declared string, gram int, n long").groupBy("declared", "gram").agg(F.sum("n").alias("n"))
     found = counted.toPandas()
     counts = np.zeros((len(languages), BUCKETS))
     for i, language in enumerate(languages):
@@ -137,12 +159,17 @@ def language_tag(declared: Column) -> Column:
 
 
 def identify(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Language of each row of (id, text, declared, suffix, host, domain).
+    """Language of each row of (id, text, declared, suffix, host, domain), one row each.
 
     Returns id, language, confidence, text_language, kept. ``declared`` and
     ``suffix`` are language tags.
     """
-    rows = rows.select("id", F.col("text").cast("string").alias("text"), language_tag(F.col("declared")).alias("declared"), language_tag(F.col("suffix")).alias("suffix"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("domain", F.lit("")).alias("domain"))
+    return verdicts(rows.withColumn("mark", F.lit(None).cast("long")), sample).drop("mark")
+
+
+def verdicts(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``identify`` of rows with a ``mark`` (long), which is carried along."""
+    rows = rows.select("id", "mark", F.col("text").cast("string").alias("text"), language_tag(F.col("declared")).alias("declared"), language_tag(F.col("suffix")).alias("suffix"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("domain", F.lit("")).alias("domain"))
     model = fit(rows, sample)
     names = model.languages
     k = len(names)
@@ -155,10 +182,10 @@ def identify(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 logs, used = model.evidence(batch["text"][lo:hi])
                 values = pa.array(logs.ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, logs.size + 1, k), pa.int32()), values)
-                other = [batch[c][lo:hi] for c in ("id", "declared", "suffix", "host", "domain")]
-                yield pa.RecordBatch.from_arrays([*other, lists, pa.array(used)], ["id", "declared", "suffix", "host", "domain", "logs", "used"])
+                carried = ["id", "mark", "declared", "suffix", "host", "domain"]
+                yield pa.RecordBatch.from_arrays([*(batch[c][lo:hi] for c in carried), lists, pa.array(used)], [*carried, "logs", "used"])
 
-    scored = rows.mapInArrow(score, "id long, declared string, suffix string, host string, domain string, logs array<double>, used long")
+    scored = map_batches(rows, score, "id long, mark long, declared string, suffix string, host string, domain string, logs array<double>, used long")
     scored = durable(scored, "scored")
 
     # text posteriors summed per host, then shrunk level by level; hosts are fewer than documents, yet joins may shuffle
@@ -191,13 +218,13 @@ def identify(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
     place = lambda c: F.element_at(F.array(*map(F.lit, names)), F.array_position(c, F.array_max(c)).cast("int"))
     confidence = F.round(1 / F.aggregate("joint", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("best"))), 6)
     language = F.when(F.col("used") > 0, place(F.col("joint"))).otherwise(OTHER)
-    out = out.select("id", language.alias("language"), F.when(F.col("used") > 0, confidence).otherwise(0.0).alias("confidence"), F.when(F.col("used") > 0, place(F.col("logs"))).otherwise(OTHER).alias("text_language"))
+    out = out.select("id", "mark", language.alias("language"), F.when(F.col("used") > 0, confidence).otherwise(0.0).alias("confidence"), F.when(F.col("used") > 0, place(F.col("logs"))).otherwise(OTHER).alias("text_language"))
     return out.withColumn("kept", (F.col("language") != OTHER) & (F.col("confidence") >= SURE))
 
 
-def of_documents(docs: DataFrame) -> DataFrame:
+def of_documents(docs: DataFrame, *more: Column) -> DataFrame:
     """``documents`` as evidence: the declared language, and the source as host."""
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), F.lit("").alias("domain"))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), F.lit("").alias("domain"), *more)
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
@@ -217,7 +244,14 @@ def of_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def evidence_mark() -> Column:
+    """Hash of all that decides a document's language: rows alike in it and in doc_id have one verdict."""
+    return F.xxhash64(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
+
+
 def keep_known_languages(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is known; all columns as they are."""
-    gone = durable(identify(of_documents(docs)).where("not kept").select(F.col("id").alias("__gone_id")).distinct(), "gone")
-    return docs.join(small(gone, 16), F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")), "left_anti")
+    """The rows of ``docs`` whose language is known, each judged by itself also where rows share a doc_id or have none; all columns as they are."""
+    judged = verdicts(of_documents(docs, evidence_mark().alias("mark")))
+    gone = durable(judged.where("not kept").select(F.col("id").alias("__gone_id"), F.col("mark").alias("__gone_mark")).distinct(), "gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (evidence_mark() == F.col("__gone_mark"))
+    return docs.join(small(gone, 24), same, "left_anti")

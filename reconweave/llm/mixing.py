@@ -19,10 +19,13 @@ document.
 Default weights: a source weighs its bytes.
 
 Only built-in functions are used. The period is doubled until it is four times
-the number of sources; tables of sources and of one period are broadcast.
+the number of sources; the tables of sources and of one period are broadcast
+only where they are counted as small.
 
 Edge cases: a null source counts as the source named ''; a null text has no
-bytes (each document counts 8 bytes more than its text); repeated rows take
+bytes (each document counts 8 bytes more than its text); a text longer than a
+block stays whole, and blocks whose range it covers stay empty; of blocks with
+one deadline the source first in the alphabet goes first; repeated rows take
 places side by side; an empty table gives no rows; further columns are ignored.
 """
 
@@ -37,8 +40,8 @@ PERIOD = 4096
 BLOCK_BYTES = 64 << 10
 #: The mix ends when sources with more than one part in ENDED of the weight have ended.
 ENDED = 10
-#: Documents of a source whose sizes are summed in one window.
-CHUNK_ROWS = 2_000
+#: Documents of a source, about, whose sizes are summed in one window.
+CHUNK_ROWS = 1_000
 
 
 def order_key(doc_id: Column) -> Column:
@@ -120,9 +123,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
         period *= 2
     slots = durable(period_slots(quotas(target, period), period), "slots")
 
-    # running sizes per source, chunk by chunk in the order of the key
-    chunks = max(1, -(-(rows.count()) // CHUNK_ROWS))
-    rows = rows.withColumn("chunk", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * chunks / (1 << 24)).cast("int"))
+    # running sizes per source, chunk by chunk in the order of the key; a source has as many chunks as its rows need
+    chunks = sizes.select("source", F.ceil(F.col("n") / CHUNK_ROWS).alias("chunks"))
+    rows = rows.join(small(chunks, 40), "source")
+    rows = rows.withColumn("chunk", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * F.col("chunks") / (1 << 24)).cast("int")).drop("chunks")
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("source", "chunk").agg(F.sum("size").alias("total")).select("source", "chunk", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "chunk").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -131,15 +135,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
 
     # a source ends at the slot of its first block after the last
     quota = slots.select("source", "quota").distinct()
-    ends = sizes.join(F.broadcast(quota), "source").selectExpr("source", "quota", f"(bytes + {block_bytes - 1}) div {block_bytes} as blocks")
-    ends = ends.selectExpr("source", "quota", "blocks div quota as turn", "blocks % quota as nth").join(F.broadcast(slots.select("source", "nth", "slot")), ["source", "nth"])
+    ends = sizes.join(small(quota, 40), "source").selectExpr("source", "quota", f"(bytes + {block_bytes - 1}) div {block_bytes} as blocks")
+    ends = ends.selectExpr("source", "quota", "blocks div quota as turn", "blocks % quota as nth").join(small(slots.select("source", "nth", "slot"), 48), ["source", "nth"])
     ends = ends.select("quota", (F.col("turn") * period + F.col("slot")).alias("end"))
     gone = F.sum("quota").over(Window.partitionBy(F.lit(0)).orderBy("end"))
     horizon = ends.select("end", gone.alias("gone")).where(F.col("gone") * ENDED > period).agg(F.min("end").alias("horizon")).first()
     last = horizon.horizon if horizon and horizon.horizon is not None else 0
 
-    out = rows.join(F.broadcast(quota), "source").withColumns({"nth": F.expr("block % quota"), "turn": F.expr("block div quota")})
-    out = out.join(F.broadcast(slots.select("source", "nth", F.col("slot").alias("at"))), ["source", "nth"])
+    out = rows.join(small(quota, 40), "source").withColumns({"nth": F.expr("block % quota"), "turn": F.expr("block div quota")})
+    out = out.join(small(slots.select("source", "nth", F.col("slot").alias("at")), 48), ["source", "nth"])
     slot = F.col("turn") * period + F.col("at")
     place = F.row_number().over(Window.partitionBy("source", "block").orderBy("key", "doc_id", "size")) - 1
     return out.select(
@@ -164,9 +168,8 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, period: in
     bound = F.struct(order_key(F.col("doc_id")).alias("key"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
     cuts = durable(mix(docs, weights, period, block_bytes).where("in_mix").groupBy(F.col("source").alias("__source")).agg(F.max(bound).alias("__cut")), "cuts")
     mine = F.struct(order_key(F.col("doc_id").cast("long")).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"))
-    # at most one row per source, and no more sources than slots in a period
     same = F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__source")
-    return docs.join(F.broadcast(cuts), same & (mine <= F.col("__cut")), "left_semi")
+    return docs.join(small(cuts, 80), same & (mine <= F.col("__cut")), "left_semi")
 
 
 def in_order(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -185,5 +188,6 @@ def in_order(docs: DataFrame, weights: dict[str, float] | None = None, period: i
             "__size": utf8_bytes(F.col("text")) + 8,
         }
     )
-    placed = keyed.join(small(at, 64), ["__doc_id", "__null", "__source", "__size"], "left")
+    # always a shuffled join: there are as many places as documents
+    placed = keyed.join(at, ["__doc_id", "__null", "__source", "__size"], "left")
     return placed.orderBy("__at").select(*docs.columns)

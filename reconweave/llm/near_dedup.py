@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconweave.llm.common import durable, mix, small, span_hashes, text_buffer, text_slices, word_bounds
+from reconweave.llm.common import LOWER, durable, map_batches, mix, small, span_hashes, text_buffer, text_slices, word_bounds
 
 PERMUTATIONS, ROWS, BATCH = 128, 4, 16
 BANDS = PERMUTATIONS // ROWS
@@ -52,15 +52,18 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 def shingle_sets(column, k: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of the k-word shingles of each text of an Arrow string array."""
     raw, offsets = text_buffer(column)
-    raw = raw + np.where((raw >= 65) & (raw <= 90), 32, 0).astype(np.uint8)
+    raw = LOWER[raw]
     starts, ends = word_bounds(raw, offsets)
     words = span_hashes(raw, starts, ends)
     first = np.searchsorted(starts, offsets)
+    del raw, starts, ends
     n = max(0, len(words) - k + 1)
     rolled = np.full(n, np.uint64(k))
     for i in range(k):
-        rolled = (rolled + words[i : i + n]) * _STEP
-    rolled = mix(rolled)
+        rolled += words[i : i + n]
+        rolled *= _STEP
+    for lo in range(0, n, 1 << 16):
+        rolled[lo : lo + (1 << 16)] = mix(rolled[lo : lo + (1 << 16)])
     out = []
     for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if hi - lo >= k:
@@ -129,7 +132,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 rows = [next(sigs).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return map_batches(docs, run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
 def pruned(pairs: DataFrame, reps: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -142,7 +145,7 @@ def pruned(pairs: DataFrame, reps: DataFrame, threshold: float, miss: float) ->
 
     sig = reps.select("rep", "sig")
     joined = pairs.join(sig.toDF("b", "sig_b"), "b").join(sig.toDF("a", "sig_a"), "a")
-    return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, PAIRS)
+    return map_batches(joined.select("a", "b", "sig_a", "sig_b"), run, PAIRS)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -163,7 +166,8 @@ def full_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi], pa.array(sets, pa.binary())], ["id", "words"])
 
     ids = durable(ids, "ids")
-    return durable(docs.join(small(ids, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(full, "id long, words binary"), "sets")
+    chosen = docs.join(small(ids, 48), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    return durable(map_batches(chosen, full, "id long, words binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -176,7 +180,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
     sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, k)
     joined = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(check, PAIRS)
+    return map_batches(joined.select("a", "b", "x", "y"), check, PAIRS)
 
 
 def components(links: DataFrame) -> DataFrame:

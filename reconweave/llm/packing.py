@@ -8,13 +8,16 @@ packs at a time, which updates counts of packing patterns. The patterns then
 join back to the pieces by (length, rank).
 
 Edge cases: a null or empty text is a document with the end token alone; a
-null doc_id is carried; repeated rows are packed as often as they occur; an
-empty table gives no rows; further columns are ignored.
+null doc_id is carried; repeated rows are packed as often as they occur; a very
+long text is tokenized block by block and fills as many whole sequences as it
+can; pieces of one length are alike, so ties are settled by the task that cut
+them; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,12 +25,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconweave.llm.common import durable
+from reconweave.llm.common import durable, map_batches
 
 CAPACITY = 2048
 END_ID = 1
-#: Words whose ids a Python worker remembers; the memory is emptied when full.
-REMEMBERED = 500_000
+#: Words whose ids a Python worker remembers (some 10 MB); the memory is emptied when full.
+REMEMBERED = 60_000
+#: Bytes of text whose words are looked up together.
+BLOCK_BYTES = 1 << 19
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
@@ -74,6 +79,14 @@ class WordIds(dict):
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def latin(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of Latin letters."""
+        if not words:
+            return []
+        got = np.array(self.words.encode_ordinary("\x01".join(words) + "\x01"), np.int64)
+        ids, ends = self.id_of[got].tobytes(), ((np.flatnonzero(self.ends[got]) + 1) * 4).tolist()
+        return [ids[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+
     def learn(self, words: set[bytes]) -> None:
         new = words - self.keys()
         if not new:
@@ -81,26 +94,27 @@ class WordIds(dict):
         if len(self) + len(new) > REMEMBERED:
             self.clear()
             new = words
-        new = list(new)
-        plain, at = [], []
-        for w, text in zip(new, b"\n".join(new).decode().lower().split("\n"), strict=True):
+        bare = [w for w in new if w.isalpha() and len(w) <= 64]
+        self.update(zip(bare, self.latin(b"\n".join(bare).lower().decode().split("\n")) if bare else [], strict=True))
+        other = [w for w in new if w not in self]
+        if not other:
+            return
+        cores, at = [], []
+        for w, text in zip(other, b"\n".join(other).decode().lower().split("\n"), strict=True):
             core = text.rstrip(".,!:;?|&%$#*")
             if core.isalpha() and (core.isascii() or max(core) < "\u0250") and len(core) <= 64:
-                plain.append(core)
+                cores.append(core)
                 at.append((w, text[len(core) :]))
             else:
                 self[w] = self.encode(w.decode())
-        if plain:
-            got = np.array(self.words.encode_ordinary("\x01".join(plain) + "\x01"), np.int64)
-            ids, ends = self.id_of[got].tobytes(), (np.flatnonzero(self.ends[got]) + 1) * 4
-            begin = 0
-            for (w, tail), end in zip(at, ends.tolist(), strict=True):
-                self[w] = ids[begin:end] + self.tail(tail) if tail else ids[begin:end]
-                begin = end
+        for (w, tail), ids in zip(at, self.latin(cores), strict=True):
+            self[w] = ids + self.tail(tail) if tail else ids
 
     def tail(self, text: str) -> bytes:
         key = text.encode()
         if key not in self.tails:
+            if len(self.tails) > REMEMBERED:
+                self.tails.clear()
             self.tails[key] = self.encode(text)
         return self.tails[key]
 
@@ -108,31 +122,46 @@ class WordIds(dict):
 _ids: dict[str, WordIds] = {}
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def blocks(text: bytes, most: int) -> Iterator[bytes]:
+    """Parts of a text of about ``most`` bytes, cut at white space only."""
+    at = 0
+    while len(text) - at > most and (space := _SPACE.search(text, at + most)):
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:]
+
+
 def token_ids(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of UTF-8 texts as little-endian uint32 bytes, equal to those of tokenizers on the whole text."""
     if path not in _ids:
         _ids[path] = WordIds(path)
     cache = _ids[path]
     special = [t.encode() for t in ("<|startoftext|>", "<|endoftext|>")]
-    out, block, size = [], [], 0
+    out: list[list[bytes]] = [[] for _ in texts]
+    block, size = [], 0
 
     def flush():
         nonlocal block, size
-        cache.learn(set().union(*block))
-        out.extend(b"".join(map(cache.__getitem__, words)) for words in block)
+        cache.learn(set().union(*(words for _, words in block)))
+        for i, words in block:
+            out[i].append(b"".join(map(cache.__getitem__, words)))
         block, size = [], 0
 
-    for text in texts:
-        if any(s in text for s in special):
-            flush()
-            out.append(cache.encode(text.decode()))
-            continue
-        block.append(text.split())
-        size += len(text)
-        if size > 1 << 20:
-            flush()
+    for i, text in enumerate(texts):
+        for part in blocks(text, BLOCK_BYTES):
+            if any(s in part for s in special):
+                flush()
+                out[i].append(cache.encode(part.decode()))
+                continue
+            block.append((i, part.split()))
+            size += len(part)
+            if size > BLOCK_BYTES:
+                flush()
     flush()
-    return out
+    return [b"".join(parts) for parts in out]
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -180,7 +209,8 @@ def cut_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_I
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     text = F.col("text").cast("string").alias("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
+    return map_batches(rows, cut, PIECES + (", ids binary" if with_ids else ""))
 
 
 def pack_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -266,4 +296,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocab:
             columns += [pa.array(slots["first"][at] + pack_no), pa.array(slots["offset"][at] + nth * length)]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return ranked.select(*[n for n in schema.names if n in ranked.columns], "rank").mapInArrow(place, schema)
+    return map_batches(ranked.select(*[n for n in schema.names if n in ranked.columns], "rank"), place, schema)

@@ -30,6 +30,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reconweave.llm.common import map_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 TRAINING_ROWS = 2000
@@ -369,4 +371,4 @@ def find_personal_data(docs: DataFrame, labelled: DataFrame | None = None) -> Da
                     "n_added": pa.array([len(a) for a in added], pa.int64()),
                 })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SCHEMA)

@@ -23,15 +23,13 @@ def corpus():
     return rows
 
 
-def brute_mix(rows):
-    """doc_ids in the mix of (doc_id, text, source) rows, slot by slot."""
+def brute_order(rows):
+    """(slot, place) of each doc_id of (doc_id, text, source) rows, scheduled slot by slot; sources weigh their bytes."""
     size = {i: len(t.encode()) + 8 for i, t, _ in rows}
     by = defaultdict(list)
     for i, _, s in rows:
         by[s].append(i)
-    total = {s: sum(size[i] for i in ids) for s, ids in by.items()}
-    everything = sum(total.values())
-    weight = {s: b if b == everything else min(b, max(1, (everything - b) // (mixing.CAP - 1))) for s, b in total.items()}
+    weight = {s: sum(size[i] for i in ids) for s, ids in by.items()}
     w, period, n = sum(weight.values()), mixing.PERIOD, len(by)
     quota = {s: 1 + (period - n) * weight[s] // w for s in by}
     order = sorted(by, key=lambda s: (-((period - n) * weight[s] % w), s))
@@ -41,31 +39,22 @@ def brute_mix(rows):
     for s, ids in by.items():
         at = 0
         for i in sorted(ids, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)):
-            blocks[i] = at // mixing.BLOCK_BYTES
+            blocks.setdefault((s, at // mixing.BLOCK_BYTES), []).append(i)
             at += size[i]
-    ends, slot_of, done = {}, {}, dict.fromkeys(by, 0)
-    count = {s: -(-total[s] // mixing.BLOCK_BYTES) for s in by}
-    t = 0
-    while len(ends) < n:
+    out, done, t = {}, dict.fromkeys(by, 0), 0
+    while len(out) < len(rows):
         s = min((-(-(done[x] + 1) * period // q), x) for x, q in quota.items() if done[x] * period // q <= t)[1]
-        slot_of[s, done[s]] = t
-        if done[s] == count[s]:
-            ends.setdefault(s, t)
+        for place, i in enumerate(blocks.get((s, done[s]), [])):
+            out[i] = (t, place)
         done[s] += 1
         t += 1
-    gone, last = 0, 0
-    for s in sorted(ends, key=ends.get):
-        gone += quota[s]
-        if gone * mixing.ENDED > period:
-            last = ends[s]
-            break
-    return {i for i, _, s in rows if slot_of[s, blocks[i]] < last}
+    return out
 
 
 def test_stages_against_brute_force(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_BYTES", 500)
     monkeypatch.setattr(mixing, "PERIOD", 64)
-    monkeypatch.setattr(mixing.mixture, "__defaults__", (None, 64, 500))
+    monkeypatch.setattr(mixing.in_order, "__defaults__", (None, 64, 500))
     rows = corpus()
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -87,10 +76,12 @@ def test_stages_against_brute_force(spark, tmp_path, monkeypatch):
     component, _ = brute_components([(i, text[i]) for i in first.values()], 5, 80)
     near = sorted(i for i, c in component.items() if i == c)
     assert sorted(after["near_dedup"].doc_id) == near
-    mixed = brute_mix([(i, text[i], source[i]) for i in near])
-    assert set(after["mixing"].doc_id) == mixed and 0 < len(mixed) < len(near)
+    order = brute_order([(i, text[i], source[i]) for i in near])
+    assert sorted(after["mixing"].doc_id) == near
+    got = [r.doc_id for r in corpus_pipeline.mixing_stage(spark, spark.read.parquet(str(tmp_path / "2")), "").select("doc_id").collect()]
+    assert got == sorted(near, key=order.get)
     packed = after["packing"]
-    assert set(packed.doc_id) == mixed
+    assert set(packed.doc_id) == set(near)
     assert (packed.groupby("doc_id").length.sum() == packed.groupby("doc_id").doc_tokens.first()).all()
 
 
