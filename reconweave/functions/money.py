@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: paise by which a credit may differ from its prediction.
+TOLERANCE = 100
 AMOUNT = r"^-?\d{1,15}(\.\d{1,2})?$"
 
 

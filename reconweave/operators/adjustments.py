@@ -30,11 +30,22 @@ def adjustments(refund: DataFrame, chargeback: DataFrame, reserve: DataFrame, ca
 
 
 def attach_dates(adj: DataFrame, settlement: DataFrame) -> DataFrame:
-    """``settle_date``: the settlement run on the due date, else the nearest, the earlier of two. Runs are few per merchant."""
-    runs = settlement.groupBy("merchant_id").agg(F.sort_array(F.collect_set("settle_date")).alias("runs"))
-    out = adj.join(F.broadcast(runs), "merchant_id")
-    near = F.array_min(F.transform("runs", lambda d: F.struct(F.abs(F.datediff(d, F.col("due_date"))).alias("far"), d.alias("d"))))
-    return out.withColumn("settle_date", near["d"]).drop("runs")
+    """``settle_date``: the settlement run on the due date, else the nearest, the earlier of two.
+
+    The nearest run is found per (merchant, due date), of which there are no
+    more than days, by the last run up to it and the first after it: due dates
+    and run dates lie in one ordered union.
+    """
+    runs = settlement.select("merchant_id", F.col("settle_date").alias("d")).distinct().withColumn("run", F.col("d"))
+    due = adj.select("merchant_id", F.col("due_date").alias("d")).distinct().withColumn("run", F.lit(None).cast("date"))
+    w = Window.partitionBy("merchant_id").orderBy("d", F.col("run").isNull())
+    both = runs.unionByName(due).withColumns({
+        "before": F.last("run", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "after": F.first("run", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+    })
+    nearer = F.col("after").isNull() | (F.datediff("d", "before") <= F.datediff("after", "d"))
+    found = both.where("run is null").select("merchant_id", F.col("d").alias("due_date"), F.when(nearer, F.col("before")).otherwise(F.col("after")).alias("settle_date"))
+    return adj.join(found.where("settle_date is not null"), ["merchant_id", "due_date"])
 
 
 def cycle_windows(members: DataFrame, payment: DataFrame) -> DataFrame:

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconweave.functions.money import pct_of
+from reconweave.functions.money import TOLERANCE, pct_of
 from reconweave.operators.fees import batch_fees
 from reconweave.sources.derive import GST_BP
 
-TOLERANCE = 10_000
 COMPONENTS = ("gross", "platform_fee", "gst_on_fee", "tds_194o", "refund_netted", "chargeback_debit", "dispute_fee", "dispute_fee_gst", "chargeback_reversal", "reserve_held", "reserve_released")
 
 
-def decompose(settlement: DataFrame, bank: DataFrame, links: DataFrame, members: DataFrame, payment: DataFrame, rate: DataFrame, deducted: DataFrame, ambiguous_payments: DataFrame, near_ties: DataFrame) -> DataFrame:
+def decompose(settlement: DataFrame, bank: DataFrame, links: DataFrame, members: DataFrame, payment: DataFrame, rate: DataFrame, deducted: DataFrame, ambiguous_payments: DataFrame, near_ties: DataFrame, netted: bool = True) -> DataFrame:
     """One row per settlement: eleven components, predicted net, residue, flags.
 
     A settlement without proved members takes its reported gross and fees, and
-    is ambiguous and never within tolerance; one without a credit has its whole
-    predicted payout as residue.
+    is ambiguous and never within tolerance, unless no membership was looked for
+    (``netted`` false); one without a credit has its whole predicted payout as
+    residue.
     """
     facts = members.join(payment.select("merchant_id", "payment_id", "amount_paise", "method", "capture_date"), ["merchant_id", "payment_id"])
     own = batch_fees(facts, rate).select("merchant_id", "settlement_id", F.col("gross").alias("m_gross"), "fee", F.col("gst_on_fee").alias("m_gst"), "reserve_held", "n_members")
@@ -29,7 +29,7 @@ def decompose(settlement: DataFrame, bank: DataFrame, links: DataFrame, members:
     s = settlement.join(link, ["merchant_id", "settlement_id"], "left").join(b, ["merchant_id", "bank_txn_id"], "left")
     s = s.join(own, ["merchant_id", "settlement_id"], "left").join(deducted, ["merchant_id", "settlement_id"], "left")
     s = s.join(tied, ["merchant_id", "settlement_id"], "left").join(near, ["merchant_id", "bank_txn_id"], "left")
-    proven = F.col("n_members").isNotNull()
+    proven = F.col("n_members").isNotNull() if netted else F.lit(True)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     values = {
         "gross": F.coalesce("m_gross", F.col("gross")), "platform_fee": -F.coalesce("fee", F.col("fees")), "gst_on_fee": -F.coalesce("m_gst", F.col("gst")), "tds_194o": -F.col("tds"),
@@ -54,10 +54,16 @@ def exceptions(d: DataFrame, attributed: DataFrame, proofs: DataFrame | None = N
     """Settlements outside tolerance or ambiguous, and refused attributions; ``exception_seq`` orders each merchant's.
 
     Order: ambiguous last, then by size of the residue, then by settlement.
+    ``proofs`` tells why the members of a batch are not proved.
     """
+    if proofs is None:
+        d = d.withColumn("outcome", F.lit(None).cast("string"))
+    else:
+        d = d.join(proofs.select("merchant_id", "settlement_id", "outcome"), ["merchant_id", "settlement_id"], "left")
+    unproven = F.when(~F.col("membership_proven"), F.coalesce("outcome", F.lit("NO_PAYMENTS")))
     from_batches = d.where(~F.col("within_tolerance") | F.col("ambiguous")).select(
         "merchant_id", "settlement_id", "bank_txn_id", "residue", F.col("gross").alias("batch_value"), "confidence", "ambiguous", "unmatched", F.coalesce("value_date", "settle_date").alias("value_date"),
-        F.when(F.col("membership_proven"), F.lit(None).cast("string")).otherwise("membership unproven").alias("partition_refusal"), F.lit(None).cast("string").alias("attribution_refusal"), F.lit("").alias("adjustment"),
+        unproven.alias("partition_refusal"), F.lit(None).cast("string").alias("attribution_refusal"), F.lit("").alias("adjustment"),
     )
     refused = attributed.where("settlement_id is null").select(
         "merchant_id", F.when(F.col("candidates") != "", F.split("candidates", ",")[0]).alias("settlement_id"), F.lit(None).cast("string").alias("bank_txn_id"), (F.col("amount_paise") + F.col("fee_paise")).alias("residue"),
@@ -69,11 +75,21 @@ def exceptions(d: DataFrame, attributed: DataFrame, proofs: DataFrame | None = N
     return both.withColumn("exception_seq", F.row_number().over(order).cast("long"))
 
 
-def run_totals(d: DataFrame, members: DataFrame) -> DataFrame:
-    """Net and absolute residue, gross, credits matched and payments linked per merchant."""
+def run_totals(d: DataFrame, members: DataFrame, decided: DataFrame | None = None) -> DataFrame:
+    """Net and absolute residue, gross, credits matched, payments linked and what was decided, per merchant."""
     m = members.groupBy("merchant_id").agg(F.count("*").alias("links"))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     t = d.groupBy("merchant_id").agg(
-        F.count("*").alias("settlements"), F.sum(F.when(F.col("unmatched"), 0).otherwise(1)).alias("credits_matched"), F.sum("residue").alias("net_residue"), F.sum(F.abs("residue")).alias("abs_residue"),
-        F.sum("gross").alias("gross"), F.sum(F.when(F.col("within_tolerance") & ~F.col("ambiguous"), 1).otherwise(0)).alias("clean"),
+        F.count("*").alias("settlements"), n(~F.col("unmatched")).alias("credits_matched"), F.sum("residue").alias("net_residue"), F.sum(F.abs("residue")).alias("abs_residue"),
+        F.sum("gross").alias("gross"), n(F.col("within_tolerance") & ~F.col("ambiguous")).alias("clean"),
     )
-    return t.join(m, "merchant_id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    t = t.join(m, "merchant_id", "left")
+    counts = ["links"]
+    if decided is not None:
+        verdict = lambda v: n(F.col("verdict") == v)
+        of = decided.groupBy("merchant_id").agg(
+            F.count("*").alias("exceptions"), verdict("AUTO_POST").alias("auto_posted"), verdict("ESCALATE").alias("escalated"), verdict("SUPPRESSED_DUPLICATE").alias("suppressed")
+        )
+        t = t.join(of, "merchant_id", "left")
+        counts += of.columns[1:]
+    return t.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts})

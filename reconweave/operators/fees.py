@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reconweave.functions.durable import small
 from reconweave.functions.money import pct_of
 from reconweave.sources.derive import GST_BP, INSTANT_BP, RESERVE_BP, RESERVE_METHODS
 
@@ -19,8 +20,8 @@ def tier_ranges(rate: DataFrame) -> DataFrame:
 
 
 def with_tier(payment: DataFrame, rate: DataFrame) -> DataFrame:
-    """As-of join: each payment with the tier of its method on its capture date. The tiers are a dimension of few rows."""
-    t = F.broadcast(tier_ranges(rate)).alias("t")
+    """As-of join: each payment with the tier of its method on its capture date."""
+    t = small(tier_ranges(rate), 80).alias("t")
     p = payment.alias("p")
     on = (
         (F.col("p.merchant_id") == F.col("t.merchant_id"))

@@ -8,6 +8,7 @@ blocked into candidates, scored, and assigned one to one.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from heapq import heappop, heappush
 
 import numpy as np
@@ -18,11 +19,11 @@ from pyspark.sql import functions as F
 from reconweave.functions import narration as N
 from reconweave.functions.calendar import with_ordinal
 from reconweave.functions.durable import written
+from reconweave.functions.money import TOLERANCE
 
-WINDOW_DAYS, WINDOW_PAISE, TOLERANCE = 3, 5_000_000, 10_000
+# Windows of the candidates, least probability of a link, margin of a near tie.
+WINDOW_DAYS, WINDOW_PAISE = 3, 5_000_000
 LEAST_PROBABILITY, NEAR_TIE = 0.55, 0.08
-#: Credits or settlements of a component up to which the assignment uses a full cost matrix; larger ones use their pairs alone.
-MAX_COMPONENT = 400
 
 
 def parsed(bank: DataFrame) -> DataFrame:
@@ -145,18 +146,26 @@ def repair_links(credits: DataFrame, settlement: DataFrame, repair: DataFrame, t
 def candidates(credits: DataFrame, settlement: DataFrame, repair: DataFrame, cal: DataFrame) -> DataFrame:
     """Pairs of an open credit and a free settlement: within three banking days, and near in amount or named by the repaired reference.
 
-    Settlements are copied to the seven ordinals around theirs, so the pairs
-    come from an equi-join on (merchant, ordinal).
+    Settlements are copied to the seven ordinals around theirs and to the three
+    steps of the amount around theirs, so the pairs near in amount come from an
+    equi-join on (merchant, ordinal, step); those named by a reference are an
+    equi-join of their own.
     """
-    c = with_ordinal(credits, cal, "value_date", "bank_ord").join(repair.select("merchant_id", "bank_txn_id", F.col("utr").alias("repaired"), F.col("method"), F.col("confidence").alias("repair_confidence")), ["merchant_id", "bank_txn_id"], "left")
-    s = with_ordinal(settlement, cal, "settle_date", "settle_ord").withColumn("bank_ord", F.explode(F.sequence(F.col("settle_ord") - WINDOW_DAYS, F.col("settle_ord") + WINDOW_DAYS)))
-    s = s.select("merchant_id", "bank_ord", "settle_ord", "settlement_id", "utr", "net", "settle_date", "instant")
-    both = c.join(s, ["merchant_id", "bank_ord"])
-    named = F.coalesce(F.col("repaired") == F.col("utr"), F.lit(False))
-    both = both.withColumn("utr_hit", named).where(F.col("utr_hit") | (F.abs(F.col("amount_paise") - F.col("net")) <= WINDOW_PAISE))
-    return both.withColumn("banking_days", F.col("bank_ord") - F.col("settle_ord"))
-
-
+    named = repair.select("merchant_id", "bank_txn_id", F.col("utr").alias("repaired"), F.col("method"), F.col("confidence").alias("repair_confidence"))
+    c = with_ordinal(credits, cal, "value_date", "bank_ord").join(named, ["merchant_id", "bank_txn_id"], "left")
+    s = with_ordinal(settlement, cal, "settle_date", "settle_ord").select("merchant_id", "settle_ord", "settlement_id", "utr", "net", "settle_date", "instant")
+    step = lambda x: F.floor(F.col(x) / F.lit(WINDOW_PAISE))
+    around = s.withColumn("bank_ord", F.explode(F.sequence(F.col("settle_ord") - WINDOW_DAYS, F.col("settle_ord") + WINDOW_DAYS)))
+    around = around.withColumn("step", F.explode(F.sequence(step("net") - 1, step("net") + 1)))
+    far = F.abs(F.col("amount_paise") - F.col("net")) > WINDOW_PAISE
+    near = c.withColumn("step", step("amount_paise")).join(around, ["merchant_id", "bank_ord", "step"]).where(~far).drop("step")
+    told = c.where("repaired is not null").join(s.withColumn("repaired", F.col("utr")), ["merchant_id", "repaired"])
+    told = told.where(far & (F.abs(F.col("bank_ord") - F.col("settle_ord")) <= WINDOW_DAYS))
+    both = near.unionByName(told)
+    return both.withColumns({"utr_hit": F.coalesce(F.col("repaired") == F.col("utr"), F.lit(False)), "banking_days": F.col("bank_ord") - F.col("settle_ord")})
+
+
+# The features in order; the prior's coefficients below.
 FEATURES = (
     "abs_amount_delta_log", "signed_delta_sign", "delta_within_tolerance", "delta_rel_to_net", "banking_day_delta", "abs_banking_day_delta", "same_day", "utr_exact",
     "utr_repaired", "utr_repair_confidence", "token_overlap", "jaro_winkler", "narration_has_any_utr", "settlement_utr_present", "is_instant", "amount_rank_gap",
@@ -188,14 +197,26 @@ def prior(df: DataFrame) -> Column:
     return F.greatest(F.least(1 / (1 + F.exp(-raw)), F.lit(1 - 1e-6)), F.lit(1e-6))
 
 
-def scored(pairs: DataFrame) -> DataFrame:
-    """Candidates with ``probability``, the rank gap of their credit, and its near-tie flag."""
-    p = features(pairs)
-    p = p.withColumn("probability", prior(p))
-    top = p.groupBy("merchant_id", "bank_txn_id").agg(F.sort_array(F.collect_list("probability"), asc=False).alias("ps"))
-    gap = top.select("merchant_id", "bank_txn_id", (F.col("ps")[0] - F.coalesce(F.get("ps", 1), F.lit(0.0))).alias("gap"), (F.size("ps") > 1).alias("several"))
-    out = p.join(gap, ["merchant_id", "bank_txn_id"]).withColumn("f_amount_rank_gap", F.col("gap"))
-    return out.withColumn("near_tie", F.col("several") & (F.col("gap") < NEAR_TIE))
+def scored(pairs: DataFrame, probability: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Candidates with ``probability``, the rank gap of their credit, and its near-tie flag.
+
+    ``probability`` adds that column from the features (a trained model); the
+    prior does without one. The gap between a credit's two best becomes a
+    feature, and all are scored again with it.
+    """
+    rate = probability or (lambda p: p.withColumn("probability", prior(p)))
+    keys = ["merchant_id", "bank_txn_id"]
+
+    def gaps(p: DataFrame) -> DataFrame:
+        top = p.groupBy(*keys).agg(F.sort_array(F.collect_list("probability"), asc=False).alias("ps"))
+        return top.select(*keys, (F.col("ps")[0] - F.coalesce(F.get("ps", 1), F.lit(0.0))).alias("gap"), (F.size("ps") > 1).alias("several"))
+
+    first = features(pairs)
+    first = rate(first)
+    again = first.join(gaps(first), keys).withColumn("f_amount_rank_gap", F.col("gap")).drop("gap", "several")
+    if probability is not None:
+        again = rate(again.drop("probability"))
+    return again.join(gaps(again), keys).withColumn("near_tie", F.col("several") & (F.col("gap") < NEAR_TIE))
 
 
 def greedy(cands: DataFrame) -> DataFrame:
@@ -222,32 +243,6 @@ def component_labels(edges: DataFrame) -> DataFrame:
 LINKS = "merchant_id string, bank_txn_id string, settlement_id string, confidence double, source string"
 
 
-def assign_costs(cost: np.ndarray) -> np.ndarray:
-    """Row by row augmenting shortest paths: the column of each row, at least total cost, rows no more than columns."""
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    row_of, way = np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        row_of[0], j = i, 0
-        slack, done = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while row_of[j]:
-            done[j] = True
-            reduced = cost[row_of[j] - 1] - u[row_of[j]] - v[1:]
-            better = ~done[1:] & (reduced < slack[1:])
-            slack[1:][better], way[1:][better] = reduced[better], j
-            j_next = 1 + int(np.argmin(np.where(done[1:], np.inf, slack[1:])))
-            step = slack[j_next]
-            u[row_of[done]] += step
-            v[done] -= step
-            slack[~done] -= step
-            j = j_next
-        while j:
-            row_of[j], j = row_of[way[j]], way[j]
-    out = np.zeros(n, int)
-    out[row_of[1:][row_of[1:] > 0] - 1] = np.flatnonzero(row_of[1:])
-    return out
-
-
 def assign_pairs(pairs: list[dict[int, int]]) -> list[int | None]:
     """The column of each row, or None: as many links as possible, then the least total cost, from each row's {column: cost}.
 
@@ -290,8 +285,8 @@ def assignment(cands: DataFrame) -> DataFrame:
     """Optimal one-to-one links within each component of the candidate graph.
 
     As many links as possible, then the least sum of round(-ln p * 10^6); links
-    under 0.55 fall away afterwards. A component over ``MAX_COMPONENT`` rows on
-    either side is solved over its pairs, without a matrix.
+    under 0.55 fall away afterwards. Components are solved over their pairs,
+    without a matrix and without a cap.
     """
     labels = component_labels(cands)
     rows = cands.join(labels, ["merchant_id", "bank_txn_id"])
@@ -305,17 +300,9 @@ def assignment(cands: DataFrame) -> DataFrame:
         pairs = [{} for _ in b]
         for (x, y), r in at.items():
             pairs[row[x]][column[y]] = int(np.round(-np.log(max(r.probability, 1e-9)) * 1e6))
-        if max(len(b), len(s)) <= MAX_COMPONENT:
-            none = 1e12  # an absent pair, or no link: any link is cheaper
-            cost = np.full((len(b), len(s) + len(b)), none)
-            for i, own in enumerate(pairs):
-                cost[i, list(own)] = list(own.values())
-            chosen = assign_costs(cost)
-        else:
-            chosen = assign_pairs(pairs)
         out = []
-        for x, j in zip(b, chosen, strict=True):
-            r = at.get((x, s[j])) if j is not None and j < len(s) else None
+        for x, j in zip(b, assign_pairs(pairs), strict=True):
+            r = at[x, s[j]] if j is not None else None
             if r is not None and r.probability >= LEAST_PROBABILITY:
                 out.append((r.merchant_id, x, r.settlement_id, r.probability, "repaired_utr" if r.utr_hit else "global_assignment"))
         return pd.DataFrame(out, columns=[c.split()[0] for c in LINKS.split(", ")])
@@ -323,22 +310,30 @@ def assignment(cands: DataFrame) -> DataFrame:
     return rows.groupBy("merchant_id", "label").applyInPandas(solve, LINKS)
 
 
-def match(bank: DataFrame, settlement: DataFrame, cal: DataFrame, use_repair: bool = True, use_scorer: bool = True, use_global: bool = True) -> dict[str, DataFrame]:
-    """All stages; ``links`` holds the result, the other entries what each stage gave."""
+def without_washed(bank: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(parsed bank rows, washed pairs, credits that are not in such a pair)."""
     rows = written(parsed(bank))
-    washed = wash_pairs(rows)
+    washed = written(wash_pairs(rows))
     gone = washed.select("merchant_id", F.explode(F.array("debit", "credit")).alias("bank_txn_id"))
-    credits = rows.where("amount_paise > 0").join(gone, ["merchant_id", "bank_txn_id"], "left_anti")
-    repair = written(repairs(credits, settlement))
-    if not use_repair:
-        repair = repair.limit(0)
-    links = exact_links(credits, settlement)
+    return rows, washed, rows.where("amount_paise > 0").join(gone, ["merchant_id", "bank_txn_id"], "left_anti")
+
+
+def match(
+    rows: DataFrame, washed: DataFrame, credits: DataFrame, settlement: DataFrame, cal: DataFrame, use_exact: bool = True, use_repair: bool = True, use_global: bool = True,
+    probability: Callable[[DataFrame], DataFrame] | None = None,
+) -> dict[str, DataFrame]:
+    """All stages after ``without_washed``; ``links`` holds the result, the other entries what each stage gave.
+
+    What references leave open is always linked through scored candidates, by
+    assignment or, without ``use_global``, greedily.
+    """
+    repair = written(repairs(credits, settlement)) if use_repair else repairs(credits.limit(0), settlement.limit(0))
+    links = exact_links(credits, settlement) if use_exact else rows.sparkSession.createDataFrame([], LINKS)
     if use_repair:
         links = links.unionByName(repair_links(credits, settlement, repair, links))
-    links = written(links)
-    open_credits = credits.join(links, ["merchant_id", "bank_txn_id"], "left_anti")
-    free = settlement.join(links, ["merchant_id", "settlement_id"], "left_anti")
-    cands = written(scored(candidates(open_credits, free, repair, cal)))
-    if use_scorer:
-        links = links.unionByName(assignment(cands) if use_global else greedy(cands))
-    return {"parsed": rows, "washed": washed, "credits": credits, "repairs": repair, "candidates": cands, "links": written(links)}
+    referenced = written(links)
+    open_credits = credits.join(referenced, ["merchant_id", "bank_txn_id"], "left_anti")
+    free = settlement.join(referenced, ["merchant_id", "settlement_id"], "left_anti")
+    cands = written(scored(candidates(open_credits, free, repair, cal), probability))
+    links = written(referenced.unionByName(assignment(cands) if use_global else greedy(cands)))
+    return {"parsed": rows, "washed": washed, "credits": credits, "repairs": repair, "referenced": referenced, "candidates": cands, "links": links}

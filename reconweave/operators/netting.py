@@ -18,6 +18,7 @@ from reconweave.functions.durable import written
 
 GROUP = ["merchant_id", "settle_date", "instant"]
 MAX_ITEMS, MAX_STATES = 400, 250_000
+MEMBERS = "merchant_id string, settlement_id string, payment_id string, settle_date date, instant boolean, hypothesis int, solver string"
 
 
 def pools(payment: DataFrame, cal: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,10 +62,12 @@ def ordered_blocks(pool: DataFrame, settlement: DataFrame) -> DataFrame:
 
 def count_subsets(amounts: np.ndarray, target: int) -> tuple[str, list[int], int]:
     """Outcome, members and states of the search for subsets that sum to target, counting up to two."""
-    if target <= 0 or not len(amounts) or amounts.sum() < target:
+    if target <= 0 or not len(amounts):
         return "NO_EXACT_SUBSET", [], 0
     if len(amounts) > MAX_ITEMS:
         return "BOUND_ITEMS", [], 0
+    if amounts.sum() < target:
+        return "NO_EXACT_SUBSET", [], 0
     sums, ways, last, before = np.zeros(1, np.int64), np.ones(1, np.int8), np.full(1, -1), np.full(1, -1)
     for i, a in enumerate(amounts.tolist()):
         grown = sums + a
@@ -98,14 +101,14 @@ def subset_proofs(pool: DataFrame, settlement: DataFrame) -> DataFrame:
 
     Batches of a group go in id order, each on what the earlier ones left. The
     pool above the item cap is never brought together: such groups are refused
-    from their counts alone.
+    from their counts alone. A group without payments has no rows here.
     """
     sizes = pool.groupBy(*GROUP).agg(F.count("*").alias("n"))
-    batches = settlement.select(*GROUP, "settlement_id", "gross").join(sizes, GROUP, "left")
+    batches = settlement.select(*GROUP, "settlement_id", "gross").join(sizes, GROUP)
     large = batches.where(F.col("n") > MAX_ITEMS)
     refused = large.select(*GROUP, "settlement_id", F.lit("BOUND_ITEMS").alias("outcome"), F.col("n").alias("pool_size"), F.col("gross").alias("target"), F.lit(0).cast("long").alias("states"), F.array().cast("array<string>").alias("payment_ids"))
     items = pool.join(sizes.where(F.col("n") <= MAX_ITEMS).select(*GROUP), GROUP).select(*GROUP, F.col("payment_id").alias("id"), F.col("amount_paise").alias("amount"), F.lit(0).alias("is_batch"))
-    rows = items.unionByName(batches.where(F.coalesce("n", F.lit(0)) <= MAX_ITEMS).select(*GROUP, F.col("settlement_id").alias("id"), F.col("gross").alias("amount"), F.lit(1).alias("is_batch")))
+    rows = items.unionByName(batches.where(F.col("n") <= MAX_ITEMS).select(*GROUP, F.col("settlement_id").alias("id"), F.col("gross").alias("amount"), F.lit(1).alias("is_batch")))
 
     def prove(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
@@ -156,8 +159,36 @@ def swap_invariant(members: DataFrame, payment: DataFrame, rate: DataFrame) -> D
     return rows.join(several, key, "left_semi").select("merchant_id", "payment_id", "settlement_id", "settle_date", "amount_paise", "method")
 
 
+def twins(tied: DataFrame) -> DataFrame:
+    """Each swap-invariant payment with the number of its twins in other batches and the first of them, by aggregates instead of pairs."""
+    key = ["merchant_id", "settle_date", "amount_paise", "method"]
+    per = tied.groupBy(*key, "settlement_id").agg(F.count("*").alias("n"), F.min("payment_id").alias("first"))
+    w = Window.partitionBy(*key)
+    per = per.withColumns({"all": F.sum("n").over(w), "best": F.min(F.struct("first", "settlement_id")).over(w)})
+    other = F.min(F.when(F.col("settlement_id") != F.col("best.settlement_id"), F.col("first"))).over(w)
+    per = per.withColumn("first_twin", F.when(F.col("settlement_id") != F.col("best.settlement_id"), F.col("best.first")).otherwise(other))
+    per = per.select(*key, "settlement_id", (F.col("all") - F.col("n")).alias("twins"), "first_twin")
+    return tied.join(per, [*key, "settlement_id"]).select("merchant_id", "payment_id", "settlement_id", "twins", "first_twin")
+
+
+#: What each outcome of a proof means.
+REASONS = {
+    "AMBIGUOUS_MULTIPLE_PARTITIONS": "more than one set of payments adds up to the batch",
+    "NO_EXACT_SUBSET": "no set of payments adds up to the batch",
+    "BOUND_ITEMS": f"the pool holds more than {MAX_ITEMS} payments",
+    "BOUND_STATES": f"more than {MAX_STATES} different sums were reached",
+}
+
+
+def refusals(proofs: DataFrame) -> DataFrame:
+    """Batches whose members are not proved: outcome, reason, pool size, target, states."""
+    reason = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])[F.col("outcome")]
+    refused = proofs.where("outcome <> 'UNIQUE'")
+    return refused.select("merchant_id", "settlement_id", "outcome", reason.alias("reason"), "pool_size", "target", "states")
+
+
 def group_status(payment: DataFrame, settlement: DataFrame, cal: DataFrame, members: DataFrame) -> DataFrame:
-    """Pool and batch totals of each group and how it was solved."""
+    """Pool and batch totals of each group, their difference, and how it was solved."""
     same_day, regular = pools(payment, cal)
     taken = members.where("instant").select("merchant_id", "payment_id")
     pool = same_day.unionByName(regular.join(taken, ["merchant_id", "payment_id"], "left_anti"))
@@ -166,4 +197,5 @@ def group_status(payment: DataFrame, settlement: DataFrame, cal: DataFrame, memb
     how = members.groupBy(*GROUP).agg(F.min("solver").alias("solver"))
     out = want.join(have, GROUP, "left").join(how, GROUP, "left")
     status = F.when(F.col("n_items").isNull(), "no_payments").otherwise(F.coalesce("solver", F.lit("failed")))
-    return out.select(*GROUP, "n_batches", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("pool_paise", F.lit(0)).alias("pool_paise"), "batch_paise", status.alias("status"))
+    paise = F.coalesce("pool_paise", F.lit(0))
+    return out.select(*GROUP, "n_batches", F.coalesce("n_items", F.lit(0)).alias("n_items"), paise.alias("pool_paise"), "batch_paise", (paise - F.col("batch_paise")).alias("delta"), status.alias("status"))

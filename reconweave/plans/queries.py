@@ -1,85 +1,45 @@
-"""The registered reconciliation queries, each with the SQL that gives the same rows where SQL can."""
+"""The registered reconciliation queries, each with the SQL that gives the same rows where SQL can.
 
-from __future__ import annotations
+All run on the full preset. The SQL repeats the stages with plain, often
+quadratic statements, proofs and assignments included.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconweave.functions import calendar, money, narration
 from reconweave.functions.durable import written
-from reconweave.operators import adjustments, decompose, fees, ledger, matching, netting, scorer
-from reconweave.plans.oracle import pct, sql
-from reconweave.plans.reconcile import Reconciliation
-from reconweave.sources.derive import DECLARED_HOLIDAYS, FIRST_DAY, GST_BP, LAST_DAY, derive
+from reconweave.operators import adjustments, decompose, fees, investigate, ledger, matching, netting
+from reconweave.plans.oracle import inr, pct
+from reconweave.plans.registry import ORACLE_SQL, QUERIES, Query, entities, on_table, query, run  # noqa: F401
 from reconweave.streaming import jobs
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-_entities: dict[tuple[str, str], dict[str, DataFrame]] = {}
-_runs: dict[tuple[int, str], Reconciliation] = {}
-
-
-def entities(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The derived entities of a directory, written once a session: they stand for tables that a user has on disk."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _entities:
-        _entities[key] = {n: written(df) for n, df in derive(spark, sf_dir).items()}
-    return _entities[key]
-
-
-def run(t: dict[str, DataFrame], preset: str = "full") -> Reconciliation:
-    """The run of a preset over entities; its stages are shared by the queries of a session."""
-    return _runs.setdefault((id(t), preset), Reconciliation(t, preset))
-
-
-def query(body: str | None = None) -> Callable[[Callable], Query]:
-    """Register a function of the entity tables under its own name, with the SQL body over the entities."""
-
-    def wrap(f: Callable) -> Query:
-        def on_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(entities(spark, sf_dir))
-
-        on_tables.__name__, on_tables.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = on_tables
-        if body is not None:
-            ORACLE_SQL[f.__name__] = sql(body)
-        return on_tables
-
-    return wrap
-
-
-def _blocks(t: dict[str, DataFrame]) -> Reconciliation:
-    """Ordered blocks and reference links alone: the part that plain SQL can repeat."""
-    return run(t, "blocks")
-
-
 # --- functions --------------------------------------------------------------------
 
 
 @query(
     """SELECT merchant_id, bank_txn_id, CASE WHEN amount_paise < 0 THEN '-' ELSE '' END || CAST(abs(amount_paise) // 100 AS VARCHAR) || '.' || lpad(CAST(abs(amount_paise) % 100 AS VARCHAR), 2, '0') AS plain,
        CASE WHEN amount_paise < 0 THEN '-' ELSE '' END || CASE WHEN length(w) > 3 THEN ltrim(reverse(regexp_replace(reverse(left(w, length(w) - 3)), '(\\d\\d)', '\\1,', 'g')), ',') || ',' || right(w, 3) ELSE w END || '.' || lpad(CAST(abs(amount_paise) % 100 AS VARCHAR), 2, '0') AS grouped,
-       amount_paise AS parsed, (abs(amount_paise) * 230 + 5000) // 10000 AS share
+       amount_paise AS parsed, (abs(amount_paise) * 230 + 5000) // 10000 AS share, CASE WHEN amount_paise < 0 THEN -1 ELSE 1 END * ((abs(amount_paise) + 50000) // 100000) / 100.0::DOUBLE AS lakh
        FROM (SELECT bank.*, CAST(abs(amount_paise) // 100 AS VARCHAR) AS w FROM bank) AS b"""
 )
 def fn_money(t):
-    """FN-01..04: format, parse back, and take a share of each bank amount."""
+    """FN-01..05: format, parse back, take a share of, and express in lakh each bank amount."""
     plain = money.fmt(F.col("amount_paise"))
-    return t["bank"].select("merchant_id", "bank_txn_id", plain.alias("plain"), money.fmt_inr(F.col("amount_paise")).alias("grouped"), money.parse(plain).alias("parsed"), money.pct_of(F.abs("amount_paise"), 230).alias("share"))
+    return t["bank"].select("merchant_id", "bank_txn_id", plain.alias("plain"), money.fmt_inr(F.col("amount_paise")).alias("grouped"), money.parse(plain).alias("parsed"), money.pct_of(F.abs("amount_paise"), 230).alias("share"), money.lakh(F.col("amount_paise")).alias("lakh"))
 
 
-@query("SELECT c.d, c.holiday, CAST(c.ord AS BIGINT) AS ord, x.due AS plus_two, CAST(c.ord - (SELECT ord FROM cal WHERE d = DATE '2025-11-01') AS BIGINT) AS distance FROM cal c JOIN due2 x ON x.d = c.d WHERE c.d BETWEEN DATE '2025-09-05' AND DATE '2026-02-10'")
-def banking_days(t):
-    """FN-06..08: holidays, two banking days on, and the signed distance from a fixed date."""
-    cal = calendar.banking_calendar(t["bank"].sparkSession, FIRST_DAY, LAST_DAY, DECLARED_HOLIDAYS)
-    days = cal.where("d between date '2025-09-05' and date '2026-02-10'").withColumn("from", F.lit("2025-11-01").cast("date"))
-    out = calendar.banking_distance(calendar.add_banking_days(days, cal, "d", 2, "plus_two"), cal, "from", "d", "distance")
-    return out.select("d", "holiday", F.col("ord").cast("long").alias("ord"), "plus_two", F.col("distance").cast("long").alias("distance"))
+@query(
+    """SELECT p.merchant_id, p.payment_id, CAST(c.ord AS BIGINT) AS ord, c.holiday, x.due AS plus_two, CAST(t.ord - c.ord AS BIGINT) AS distance, p.capture_date AS day,
+       CAST(epoch(p.created_at) AS BIGINT) % 86400 AS second_of_day FROM payment p JOIN cal c ON c.d = p.capture_date JOIN due2 x ON x.d = p.capture_date JOIN cal t ON t.d = x.due"""
+)
+def payment_days(t):
+    """FN-06..08, FN-21: of each payment its banking day, two banking days on, their distance, and the date and second of its instant."""
+    out = calendar.banking_distance(calendar.add_banking_days(t["payment"], t["cal"], "capture_date", 2, "plus_two"), t["cal"], "capture_date", "plus_two", "distance")
+    out = calendar.with_ordinal(out, t["cal"].select("d", "ord"), "capture_date", "ord").join(F.broadcast(t["cal"].select(F.col("d").alias("capture_date"), "holiday")), "capture_date")
+    return out.select("merchant_id", "payment_id", F.col("ord").cast("long").alias("ord"), "holiday", "plus_two", F.col("distance").cast("long").alias("distance"), F.to_date("created_at").alias("day"), calendar.second_of_day(F.col("created_at")).alias("second_of_day"))
 
 
 @query(
@@ -131,39 +91,54 @@ def payment_pools(t):
 @query("SELECT merchant_id, settlement_id, payment_id, settle_date, instant, hypothesis FROM h1")
 def ordered_blocks(t):
     """WIN-01, WIN-02, NET-02: members of batches by the first order whose running sums hit every total."""
-    return _blocks(t).members.select("merchant_id", "settlement_id", "payment_id", "settle_date", "instant", "hypothesis")
+    return run(t).members.where("hypothesis is not null").select("merchant_id", "settlement_id", "payment_id", "settle_date", "instant", "hypothesis")
 
 
-@query()
+@query("SELECT merchant_id, settlement_id, payment_id, settle_date, instant, solver FROM members")
+def batch_members(t):
+    """NET-02, NET-03, NET-06: proved members of all batches, by either solver."""
+    return run(t).members.select("merchant_id", "settlement_id", "payment_id", "settle_date", "instant", "solver")
+
+
+@query(
+    """SELECT merchant_id, settle_date, false AS instant, settlement_id, outcome, pool_size, CAST(target AS BIGINT) AS target, states, coalesce(payment_ids, '') AS payment_ids FROM proofs LEFT JOIN (
+         SELECT merchant_id, settlement_id, string_agg(payment_id, ',' ORDER BY payment_id) AS payment_ids FROM members WHERE solver = 'H2_subset_sum' GROUP BY ALL) AS m USING (merchant_id, settlement_id)"""
+)
 def subset_proofs(t):
     """NET-03, NET-04: unique-subset proofs of the batches that no order explains, with reasons of refusal."""
     p = run(t).proofs
     return p.select("merchant_id", "settle_date", "instant", "settlement_id", "outcome", "pool_size", "target", "states", F.array_join("payment_ids", ",").alias("payment_ids"))
 
 
+@query("SELECT merchant_id, settlement_id, outcome, pool_size, CAST(target AS BIGINT) AS target, states FROM proofs WHERE outcome <> 'UNIQUE'")
+def refusals(t):
+    """NET-04: batches whose members could not be proved, and on what the proof failed."""
+    return netting.refusals(run(t).proofs).drop("reason")
+
+
 @query(
-    """SELECT s.merchant_id, s.settle_date, s.instant, s.n_batches, coalesce(p.n, 0) AS n_items, CAST(coalesce(p.have, 0) AS BIGINT) AS pool_paise, CAST(s.want AS BIGINT) AS batch_paise,
-              CASE WHEN p.n IS NULL THEN 'no_payments' WHEN h.merchant_id IS NOT NULL THEN 'H1_ordered_block' ELSE 'failed' END AS status
+    """SELECT s.merchant_id, s.settle_date, s.instant, s.n_batches, coalesce(p.n, 0) AS n_items, CAST(coalesce(p.have, 0) AS BIGINT) AS pool_paise, CAST(s.want AS BIGINT) AS batch_paise, CAST(coalesce(p.have, 0) - s.want AS BIGINT) AS delta,
+              CASE WHEN p.n IS NULL THEN 'no_payments' ELSE coalesce(h.solver, 'failed') END AS status
        FROM (SELECT merchant_id, settle_date, instant, count(*) AS n_batches, sum(gross) AS want FROM settlement GROUP BY ALL) AS s
        LEFT JOIN (SELECT merchant_id, capture_date AS settle_date, true AS instant, count(*) AS n, sum(amount_paise) AS have FROM cap GROUP BY ALL
                   UNION ALL SELECT merchant_id, due, false, count(*), sum(amount_paise) FROM cap JOIN due2 ON d = capture_date WHERE payment_id NOT IN (SELECT payment_id FROM h1i) GROUP BY ALL) AS p USING (merchant_id, settle_date, instant)
-       LEFT JOIN (SELECT DISTINCT merchant_id, settle_date, instant FROM h1) AS h USING (merchant_id, settle_date, instant)"""
+       LEFT JOIN (SELECT merchant_id, settle_date, instant, min(solver) AS solver FROM members GROUP BY ALL) AS h USING (merchant_id, settle_date, instant)"""
 )
 def group_status(t):
     """NET-05: totals of each group's pool and batches, and how it was solved."""
-    return netting.group_status(t["payment"], t["settlement"], t["cal"], _blocks(t).members)
+    return netting.group_status(t["payment"], t["settlement"], t["cal"], run(t).members)
 
 
 @query("SELECT merchant_id, payment_id, settlement_id, settle_date, amount_paise, method FROM swap")
 def swap_invariant(t):
     """AG-13: payments with an indistinguishable twin in another batch of their date."""
-    return _blocks(t).tied
+    return run(t).tied
 
 
-@query("SELECT merchant_id, payment_id, amount_paise FROM cap WHERE payment_id NOT IN (SELECT payment_id FROM h1)")
+@query("SELECT merchant_id, payment_id, amount_paise FROM cap WHERE payment_id NOT IN (SELECT payment_id FROM members)")
 def unassigned_payments(t):
     """SET-06: captured payments in no proved batch."""
-    r = _blocks(t)
+    r = run(t)
     return t["payment"].where("status = 'captured'").join(r.members, ["merchant_id", "payment_id"], "left_anti").select("merchant_id", "payment_id", "amount_paise")
 
 
@@ -173,14 +148,7 @@ def unassigned_payments(t):
 )
 def tie_comparison(t):
     """RPT-09: each ambiguous payment with its twins in other batches, counted by aggregates instead of pairs."""
-    key = ["merchant_id", "settle_date", "amount_paise", "method"]
-    tied = _blocks(t).tied
-    per = tied.groupBy(*key, "settlement_id").agg(F.count("*").alias("n"), F.min("payment_id").alias("first"))
-    w = Window.partitionBy(*key)
-    per = per.withColumns({"all": F.sum("n").over(w), "best": F.min(F.struct("first", "settlement_id")).over(w)})
-    other = F.min(F.when(F.col("settlement_id") != F.col("best.settlement_id"), F.col("first"))).over(w)
-    per = per.withColumn("first_twin", F.when(F.col("settlement_id") != F.col("best.settlement_id"), F.col("best.first")).otherwise(other))
-    return tied.join(per.select(*key, "settlement_id", (F.col("all") - F.col("n")).alias("twins"), "first_twin"), [*key, "settlement_id"]).select("merchant_id", "payment_id", "settlement_id", "twins", "first_twin")
+    return netting.twins(run(t).tied)
 
 
 # --- matching ---------------------------------------------------------------------
@@ -195,19 +163,37 @@ def wash_pairs(t):
 @query("SELECT merchant_id, bank_txn_id, utr, method, confidence FROM repair")
 def utr_repairs(t):
     """JN-03..05: what damaged references repair to."""
-    return _blocks(t).matched["repairs"]
+    return run(t).matched["repairs"]
 
 
-@query("SELECT merchant_id, bank_txn_id, settlement_id, confidence, source FROM links")
+@query("SELECT merchant_id, bank_txn_id, settlement_id, confidence, source FROM reflinks")
 def reference_links(t):
     """JN-01, JN-06: links by exact and by uniquely repaired references."""
-    return _blocks(t).matched["links"]
+    return run(t).matched["referenced"]
+
+
+@query("SELECT merchant_id, bank_txn_id, settlement_id, round(confidence, 6) AS confidence, source FROM links")
+def bank_links(t):
+    """SNK-01: all links between credits and settlements."""
+    return run(t).matched["links"].withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    """SELECT 'credit' AS side, merchant_id, bank_txn_id AS id FROM credits WHERE bank_txn_id NOT IN (SELECT bank_txn_id FROM reflinks)
+       UNION ALL SELECT 'settlement', merchant_id, settlement_id FROM settlement WHERE settlement_id NOT IN (SELECT settlement_id FROM reflinks)"""
+)
+def open_items(t):
+    """SET-01: credits and settlements that no reference links."""
+    m = run(t).matched
+    c = m["credits"].join(m["referenced"], ["merchant_id", "bank_txn_id"], "left_anti").select(F.lit("credit").alias("side"), "merchant_id", F.col("bank_txn_id").alias("id"))
+    s = t["settlement"].join(m["referenced"], ["merchant_id", "settlement_id"], "left_anti").select(F.lit("settlement").alias("side"), "merchant_id", F.col("settlement_id").alias("id"))
+    return c.unionByName(s)
 
 
 @query("SELECT merchant_id, bank_txn_id, settlement_id, CAST(banking_days AS BIGINT) AS banking_days, utr_hit, abs(amount_paise - net) AS delta FROM cand")
 def candidate_pairs(t):
     """JN-08: blocked candidate pairs of open credits and free settlements."""
-    c = _blocks(t).matched["candidates"]
+    c = run(t).matched["candidates"]
     return c.select("merchant_id", "bank_txn_id", "settlement_id", F.col("banking_days").cast("long").alias("banking_days"), "utr_hit", F.abs(F.col("amount_paise") - F.col("net")).alias("delta"))
 
 
@@ -216,7 +202,7 @@ def candidate_pairs(t):
 )
 def pair_features(t):
     """SC-01, SC-02, FN-14..17: features and prior probability of each candidate pair."""
-    c = _blocks(t).matched["candidates"]
+    c = run(t).matched["candidates"]
     r = lambda n: F.round(n, 6).alias(n)
     return c.select("merchant_id", "bank_txn_id", "settlement_id", r("f_abs_amount_delta_log"), "f_utr_exact", r("f_token_overlap"), r("f_jaro_winkler"), "f_delta_within_tolerance", r("probability"))
 
@@ -224,7 +210,7 @@ def pair_features(t):
 @query("SELECT merchant_id, bank_txn_id, near_tie FROM gaps")
 def near_ties(t):
     """WIN-03, WIN-04: credits whose two best candidates are almost as probable."""
-    return _blocks(t).matched["candidates"].select("merchant_id", "bank_txn_id", "near_tie").distinct()
+    return run(t).matched["candidates"].select("merchant_id", "bank_txn_id", "near_tie").distinct()
 
 
 @query(
@@ -236,27 +222,19 @@ def near_ties(t):
 )
 def greedy_links(t):
     """JN-13: each credit's most probable settlement, first come first served."""
-    return matching.greedy(_blocks(t).matched["candidates"]).select("merchant_id", "bank_txn_id", "settlement_id", F.round("confidence", 6).alias("confidence"))
+    return matching.greedy(run(t).matched["candidates"]).select("merchant_id", "bank_txn_id", "settlement_id", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+@query("SELECT merchant_id, bank_txn_id, settlement_id, round(confidence, 6) AS confidence, source FROM assigned")
 def assignment_links(t):
     """JN-12: optimal one-to-one links within components of the candidate graph."""
-    return matching.assignment(_blocks(t).matched["candidates"])
+    return run(t).matched["links"].where("source in ('global_assignment', 'repaired_utr')").withColumn("confidence", F.round("confidence", 6))
 
 
-@query(
-    """SELECT merchant_id, settlement_id, count(bank_txn_id) AS n_in_window, min(bank_txn_id) FILTER (rn = 1) AS closest FROM (
-         SELECT s.merchant_id, s.settlement_id, b.bank_txn_id, row_number() OVER (PARTITION BY s.merchant_id, s.settlement_id ORDER BY abs(b.amount_paise - s.net), b.bank_txn_id) AS rn
-         FROM settlement s JOIN cal sc ON sc.d = s.settle_date JOIN (SELECT b.*, c.ord AS o FROM bank b JOIN cal c ON c.d = b.value_date WHERE amount_paise > 0) AS b ON b.merchant_id = s.merchant_id AND abs(b.o - sc.ord) <= 3
-       ) AS x GROUP BY ALL"""
-)
+@query("SELECT merchant_id, settlement_id, n_in_window, closest FROM closest")
 def closest_credits(t):
     """JN-09: the credit nearest in amount within three banking days of each settlement, and how many there are."""
-    b = calendar.with_ordinal(t["bank"].where("amount_paise > 0"), t["cal"], "value_date", "o").select("merchant_id", "bank_txn_id", "amount_paise", "o")
-    s = calendar.with_ordinal(t["settlement"], t["cal"], "settle_date", "so").withColumn("o", F.explode(F.sequence(F.col("so") - 3, F.col("so") + 3)))
-    j = s.join(b, ["merchant_id", "o"])
-    return j.groupBy("merchant_id", "settlement_id").agg(F.count("*").alias("n_in_window"), F.min_by("bank_txn_id", F.struct(F.abs(F.col("amount_paise") - F.col("net")), "bank_txn_id")).alias("closest"))
+    return investigate.closest_credits(t["settlement"], t["bank"], t["cal"]).drop("closest_paise")
 
 
 # --- adjustments ------------------------------------------------------------------
@@ -275,19 +253,19 @@ def attached_adjustments(t):
 @query("SELECT merchant_id, settle_date, settlement_id, obs_lo, obs_hi, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, equal, n_batches FROM win")
 def cycle_windows(t):
     """WIN-05..07: observed and inferred ranges of the day of each batch."""
-    return adjustments.cycle_windows(_blocks(t).members, t["payment"])
+    return adjustments.cycle_windows(run(t).members, t["payment"])
 
 
 @query("SELECT merchant_id, type, adjustment_id, settle_date, settlement_id, basis, candidates FROM owned")
 def attributions(t):
     """JN-11, WIN-08, WIN-09: the batch that owns each adjustment, or why none is proved to."""
-    return _blocks(t).attributed.select("merchant_id", "type", "adjustment_id", "settle_date", "settlement_id", "basis", "candidates")
+    return run(t).attributed.select("merchant_id", "type", "adjustment_id", "settle_date", "settlement_id", "basis", "candidates")
 
 
 @query("SELECT merchant_id, settlement_id, CAST(refund_netted AS BIGINT) AS refund_netted, CAST(chargeback AS BIGINT) AS chargeback, CAST(dispute_fee AS BIGINT) AS dispute_fee, CAST(reversal AS BIGINT) AS reversal, CAST(reserve_released AS BIGINT) AS reserve_released FROM ded")
 def batch_deductions(t):
     """AG-05, AG-07, JN-14: deductions of each batch; disputes with a debit of their own count by fee alone."""
-    return _blocks(t).deducted
+    return run(t).deducted
 
 
 # --- decomposition ----------------------------------------------------------------
@@ -298,7 +276,7 @@ _COMPONENTS = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in decompose.COMPONE
 @query(f"SELECT merchant_id, settlement_id, bank_txn_id, bank_paise, membership_proven, {_COMPONENTS}, CAST(predicted AS BIGINT) AS predicted, CAST(residue AS BIGINT) AS residue, unmatched, within_tolerance FROM dec")
 def decomposition(t):
     """AG-08, JN-15, NET-06: eleven components, predicted net and residue of every settlement."""
-    d = _blocks(t).decomposition
+    d = run(t).decomposition
     return d.select("merchant_id", "settlement_id", "bank_txn_id", "bank_paise", "membership_proven", *decompose.COMPONENTS, "predicted", "residue", "unmatched", "within_tolerance")
 
 
@@ -311,195 +289,201 @@ def decomposition(t):
 )
 def component_rows(t):
     """AG-09, SNK-01: the decomposition in long form."""
-    return decompose.components_long(_blocks(t).decomposition).withColumn("bank_txn_id", F.coalesce("bank_txn_id", F.lit("")))
+    return decompose.components_long(run(t).decomposition).withColumn("bank_txn_id", F.coalesce("bank_txn_id", F.lit("")))
 
 
-@query(
-    """SELECT merchant_id, count(*) AS settlements, count(bank_txn_id) AS credits_matched, CAST(sum(residue) AS BIGINT) AS net_residue, CAST(sum(abs(residue)) AS BIGINT) AS abs_residue, CAST(sum(gross) AS BIGINT) AS gross,
-       count(*) FILTER (within_tolerance AND NOT tied AND NOT near) AS clean, CAST(sum(n_members) AS BIGINT) AS links
-       FROM (SELECT d.*, coalesce(g.near_tie, false) AND bank_txn_id IS NOT NULL AS near FROM dec d LEFT JOIN gaps g USING (merchant_id, bank_txn_id)) AS d GROUP BY merchant_id"""
-)
+TOTALS = """
+    SELECT d.*, coalesce(v.exceptions, 0) AS exceptions, coalesce(v.auto_posted, 0) AS auto_posted, coalesce(v.escalated, 0) AS escalated, CAST(0 AS BIGINT) AS suppressed FROM (
+        SELECT merchant_id, count(*) AS settlements, count(bank_txn_id) AS credits_matched, CAST(sum(residue) AS BIGINT) AS net_residue, CAST(sum(abs(residue)) AS BIGINT) AS abs_residue, CAST(sum(gross) AS BIGINT) AS gross,
+               count(*) FILTER (within_tolerance AND NOT ambiguous) AS clean, CAST(sum(n_members) AS BIGINT) AS links FROM dec GROUP BY merchant_id
+    ) AS d LEFT JOIN (
+        SELECT merchant_id, count(*) AS exceptions, count(*) FILTER (verdict = 'AUTO_POST') AS auto_posted, count(*) FILTER (verdict = 'ESCALATE') AS escalated FROM verdicts GROUP BY merchant_id
+    ) AS v USING (merchant_id)"""
+
+
+@query(TOTALS)
 def run_totals(t):
     """AG-11: totals of a run per merchant."""
-    return _blocks(t).totals
+    return run(t).totals
 
 
-@query("SELECT merchant_id, exception_seq, settlement_id, bank_txn_id, CAST(residue AS BIGINT) AS residue, CAST(batch_value AS BIGINT) AS batch_value, ambiguous, unmatched, value_date, basis AS attribution_refusal, adjustment FROM exc")
+@query("SELECT merchant_id, exception_seq, settlement_id, bank_txn_id, CAST(residue AS BIGINT) AS residue, CAST(batch_value AS BIGINT) AS batch_value, ambiguous, unmatched, value_date, unproven AS partition_refusal, basis AS attribution_refusal, adjustment FROM exc")
 def exceptions(t):
     """NET-07, SET-03, SRT-01: what needs a decision, in order."""
-    return _blocks(t).exceptions.select("merchant_id", "exception_seq", "settlement_id", "bank_txn_id", "residue", "batch_value", "ambiguous", "unmatched", "value_date", "attribution_refusal", "adjustment")
+    return run(t).exceptions.select("merchant_id", "exception_seq", "settlement_id", "bank_txn_id", "residue", "batch_value", "ambiguous", "unmatched", "value_date", "partition_refusal", "attribution_refusal", "adjustment")
 
 
 # --- decisions --------------------------------------------------------------------
 
 
-@query(
-    """SELECT merchant_id, exception_seq, label,
-       CASE WHEN label IN ('timing_offset', 'netted_refund', 'reserve_movement', 'chargeback_debit') THEN 'journal_entry' WHEN label = 'fee_variance' THEN CASE WHEN abs(residue) <= 10000 THEN 'journal_entry' ELSE 'chase_platform' END
-            WHEN label IN ('ambiguous_candidates', 'duplicate_credit', 'attribution_ambiguous', 'partition_unproven') THEN 'escalate' ELSE CASE WHEN abs(residue) <= 10000 THEN 'write_off_within_limit' ELSE 'escalate' END END AS resolution FROM lab"""
-)
+#: The lookups of an exception in order, as SQL.
+_TOOLS = "list_concat(plan, list_filter(['check_swap_invariance', 'check_duplicate_credit', 'get_refunds', 'get_chargebacks', 'get_reserve_movements', 'check_rate_card'], lambda x: NOT list_contains(plan, x)))"
+PLAN = """
+    SELECT *, {tools} AS steps FROM (
+        SELECT *, CASE WHEN basis IS NOT NULL OR unproven IS NOT NULL THEN [] WHEN ambiguous THEN ['get_settlement', 'check_swap_invariance'] WHEN unmatched THEN ['get_settlement', 'check_duplicate_credit', 'get_bank_candidates']
+            WHEN abs(residue) <= 100 THEN ['get_settlement', 'compare_records'] WHEN residue < 0 AND variance THEN ['get_settlement', 'compare_records', 'check_rate_card']
+            WHEN residue < 0 AND r THEN ['get_settlement', 'compare_records', 'check_rate_card', 'get_refunds'] WHEN residue < 0 AND c THEN ['get_settlement', 'compare_records', 'check_rate_card', 'get_refunds', 'get_chargebacks']
+            WHEN residue < 0 THEN ['get_settlement', 'compare_records', 'check_rate_card', 'get_refunds', 'get_chargebacks', 'get_reserve_movements']
+            WHEN r THEN ['get_settlement', 'compare_records', 'get_refunds'] WHEN c THEN ['get_settlement', 'compare_records', 'get_refunds', 'get_chargebacks']
+            WHEN v THEN ['get_settlement', 'compare_records', 'get_refunds', 'get_chargebacks', 'get_reserve_movements']
+            ELSE ['get_settlement', 'compare_records', 'get_refunds', 'get_chargebacks', 'get_reserve_movements', 'get_payments_in_batch'] END AS plan FROM lab
+    ) AS p""".format(tools=_TOOLS)
+
+
+def _of(docs: str, key: str, on: str, claim: str, source: str, tool: str) -> str:
+    """Statements about the documents of each exception's batch."""
+    return f"""SELECT p.merchant_id, p.exception_seq, '{tool}' AS tool, {claim} AS claim, '{source}' AS source, f.{key} AS source_id, f.amount_paise AS paise FROM p {on} JOIN {docs} WHERE p.adjustment = ''"""
+
+
+_MEMBERS = "JOIN members h ON h.merchant_id = p.merchant_id AND h.settlement_id = p.settlement_id"
+_S = "SELECT merchant_id, exception_seq, "
+_STATED = " UNION ALL ".join((
+    f"{_S}'get_settlement' AS tool, 'reported net ' || {inr('net')} || ' on ' || CAST(run_date AS VARCHAR) AS claim, 'settlement' AS source, settlement_id AS source_id, net AS paise FROM p WHERE net IS NOT NULL",
+    f"{_S}'get_settlement', 'reported gross ' || {inr('reported_gross')} || ', fees ' || {inr('fees')} || ', tax ' || {inr('gst')}, 'settlement', settlement_id, reported_gross FROM p WHERE net IS NOT NULL",
+    f"SELECT p.merchant_id, exception_seq, 'get_bank_candidates', 'nearest credit in the window is ' || {inr('b.amount_paise')} || ', off by ' || {inr('b.amount_paise - net')}, 'bank_txn', closest, b.amount_paise FROM p JOIN bank b ON b.merchant_id = p.merchant_id AND b.bank_txn_id = closest",
+    f"{_S}'get_bank_candidates', CAST(n_in_window AS VARCHAR) || ' credits within 3 banking days', 'settlement', settlement_id, 0 FROM p WHERE net IS NOT NULL",
+    f"{_S}'get_payments_in_batch', CAST(n_payments AS VARCHAR) || ' payments make up the batch, gross ' || {inr('batch_gross')}, 'settlement', settlement_id, batch_gross FROM p WHERE n_payments > 0",
+    f"{_S}'get_payments_in_batch', 'card volume ' || {inr('card')}, 'payment', first_card, card FROM p WHERE first_card IS NOT NULL",
+    _of("refund f ON f.merchant_id = h.merchant_id AND f.payment_id = h.payment_id AND f.netted", "refund_id", _MEMBERS, f"'netted refund of ' || {inr('f.amount_paise')}", "refund", "get_refunds"),
+    _of("chargeback f ON f.merchant_id = h.merchant_id AND f.payment_id = h.payment_id", "dispute_id", _MEMBERS, f"'dispute of ' || {inr('f.amount_paise')} || ' with fee ' || {inr('f.fee_paise')}", "chargeback", "get_chargebacks"),
+    _of("reserve f ON f.merchant_id = p.merchant_id AND f.release_date = p.run_date", "reserve_id", "", f"'reserve of ' || {inr('f.amount_paise')} || ' released on the date'", "reserve", "get_reserve_movements"),
+    f"{_S}'inspect_narration', 'narration: ' || narration, 'bank_txn', bank_txn_id, 0 FROM p WHERE bank_paise IS NOT NULL",
+    f"{_S}'inspect_narration', 'reference ' || ctokens[1] || CASE WHEN utr_exact THEN ' equals the reference of the settlement' ELSE ' differs from the reference of the settlement' END, 'bank_txn', bank_txn_id, 0 FROM p WHERE len(ctokens) > 0",
+    f"SELECT p.merchant_id, exception_seq, 'check_rate_card', 'published card rate ' || printf('%.2f', published_bp / 100.0) || '% from ' || CAST(t.effective_from AS VARCHAR), 'rate_card', p.merchant_id, 0 FROM p JOIN facts t ON t.merchant_id = p.merchant_id AND t.payment_id = first_card WHERE card > 0",
+    f"{_S}'check_rate_card', 'residue is ' || printf('%.4f', abs(residue) * 100.0::DOUBLE / card) || '% of the card volume', 'settlement', settlement_id, residue FROM p WHERE card > 0",
+    f"{_S}'check_swap_invariance', 'payments here could change places with others of the date without any total changing', 'settlement', settlement_id, 0 FROM p WHERE ambiguous",
+    f"{_S}'check_duplicate_credit', 'no credit is linked: a payout that came back, or a retry that is not matched', 'settlement', settlement_id, 0 FROM p WHERE unmatched",
+    f"{_S}'compare_records', 'credit ' || {inr('bank_paise')} || ' against net ' || {inr('net')} || ': off by ' || {inr('delta')} || ', ' || CAST(bank_days AS VARCHAR) || ' banking days', 'bank_txn', bank_txn_id, delta FROM p WHERE net IS NOT NULL AND bank_paise IS NOT NULL",
+))
+#: Statements of the lookups that were made, of equal claims one, and those about refusals.
+_EVIDENCE = f"""
+    SELECT merchant_id, exception_seq, claim, source, min(source_id) AS source_id, min(CAST(paise AS BIGINT)) AS paise FROM (
+        SELECT s.* EXCLUDE tool FROM ({_STATED}) AS s JOIN p USING (merchant_id, exception_seq) WHERE list_contains(p.steps, s.tool)
+        UNION ALL {_S}'the payments of the batch are not proved: ' || unproven, 'settlement', settlement_id, batch_value FROM p WHERE unproven IS NOT NULL
+        UNION ALL {_S}'the gross is the reported one, not summed from payments', 'settlement', settlement_id, 0 FROM p WHERE unproven IS NOT NULL
+        UNION ALL {_S}'adjustment ' || adjustment || ' belongs to no proved batch: ' || basis, 'adjustment', adjustment, residue FROM p WHERE basis IS NOT NULL
+    ) AS e GROUP BY ALL"""
+
+
+@query("SELECT merchant_id, exception_seq, label, conf AS label_confidence, resolution FROM lab")
 def classifications(t):
-    """INV-01..07, JN-16..18: label and resolution of each exception from what its lookups found."""
-    return _blocks(t).classified.select("merchant_id", "exception_seq", "label", "resolution")
+    """INV-02, INV-06, INV-07: label and resolution of each exception from what its lookups found."""
+    return run(t).classified.select("merchant_id", "exception_seq", "label", "label_confidence", "resolution")
 
 
 @query(
-    """SELECT merchant_id, exception_seq, substr(sha256(concat_ws('|', merchant_id, coalesce(settlement_id, ''), 'resolve_exception', label, CAST(CAST(residue AS BIGINT) AS VARCHAR),
-         substr(sha256('settlement:' || coalesce(settlement_id, '') || ';bank:' || coalesce(bank_txn_id, '') || ';adjustment:' || adjustment), 1, 16))), 1, 32) AS idempotency_key FROM lab"""
+    """SELECT merchant_id, exception_seq, net, reported_gross, n_in_window, closest, n_payments, CAST(batch_gross AS BIGINT) AS batch_gross, n_refunds, CAST(refunds_total AS BIGINT) AS refunds_total, r AS refunds_explain,
+              n_chargebacks, CAST(chargebacks_total AS BIGINT) AS chargebacks_total, c AS chargebacks_explain, n_reserves, v AS reserves_explain, utr_exact, delta, CAST(bank_days AS BIGINT) AS bank_days FROM sig"""
 )
-def idempotency_keys(t):
-    """POL-08, FN-18: the key that makes a decision repeatable without effect."""
-    return _blocks(t).classified.select("merchant_id", "exception_seq", "idempotency_key")
+def exception_signals(t):
+    """INV-01, INV-05, JN-16..18: what the lookups around each exception found."""
+    names = ("net", "reported_gross", "n_in_window", "closest", "n_payments", "batch_gross", "n_refunds", "refunds_total", "refunds_explain", "n_chargebacks", "chargebacks_total", "chargebacks_explain", "n_reserves", "reserves_explain", "utr_exact", "delta")
+    return run(t).signals.select("merchant_id", "exception_seq", *names, F.col("bank_days").cast("long").alias("bank_days"))
 
 
 @query(
-    """SELECT merchant_id, label, count(*) AS n, CAST(sum(abs(residue)) AS BIGINT) AS value_paise FROM lab GROUP BY ALL"""
+    """SELECT merchant_id, exception_seq, CAST(card AS BIGINT) AS card_paise, published_bp, CASE WHEN card > 0 THEN round(abs(residue) * 100.0::DOUBLE / card, 6) ELSE 0.0::DOUBLE END AS implied_pct, variance AS consistent FROM sig"""
 )
-def exceptions_by_label(t):
-    """AG-14, RPT-06: exceptions and their value by label."""
-    return _blocks(t).classified.groupBy("merchant_id", "label").agg(F.count("*").alias("n"), F.sum(F.abs("residue")).alias("value_paise"))
+def rate_checks(t):
+    """INV-03: the rate that a residue implies on the card volume, against the published one."""
+    return run(t).signals.select("merchant_id", "exception_seq", "card_paise", "published_bp", F.round("implied_pct", 6).alias("implied_pct"), F.col("fee_variance").alias("consistent"))
 
 
-@query()
-def decisions(t):
-    """POL-01..07: verdict of each exception under gates and daily budgets, on the full preset."""
-    d = run(t).decided()
-    return d.select("merchant_id", "exception_seq", "settlement_id", "label", "label_confidence", "resolution", "failed_arms", "verdict", "policy_reason")
-
-
-@query()
-def ledger_rows(t):
-    """AUD-01, SNK-05: the hash-chained ledger of all decisions."""
-    return _blocks(t).ledger()
+@query(
+    """SELECT merchant_id, exception_seq, narration, coalesce(len(ctokens), 0) AS n_tokens, utr_exact, round(CASE WHEN utr IS NULL THEN 1.0 ELSE coalesce(list_max(list_transform(ctokens, lambda c: jaro_similarity(c, utr) + 0.1 * (1 - jaro_similarity(c, utr)) *
+         CASE WHEN left(c, 4) = left(utr, 4) THEN 4 WHEN left(c, 3) = left(utr, 3) THEN 3 WHEN left(c, 2) = left(utr, 2) THEN 2 WHEN left(c, 1) = left(utr, 1) THEN 1 ELSE 0 END)), 0.0) END::DOUBLE, 6) AS similarity FROM sig"""
+)
+def narration_checks(t):
+    """INV-04: what the narration of each exception's credit says about its reference."""
+    n = F.when(F.col("tokens").isNull(), 0).otherwise(F.size("tokens")).cast("long")
+    return run(t).signals.select("merchant_id", "exception_seq", "narration", n.alias("n_tokens"), "utr_exact", F.round("similarity", 6).alias("similarity"))
 
 
-@query("SELECT merchant_id, count(DISTINCT label || '|' || coalesce(settlement_id, '') || '|' || CAST(residue AS VARCHAR) || '|' || coalesce(bank_txn_id, '') || '|' || adjustment) AS n_rows, CAST(0 AS BIGINT) AS broken_links, CAST(0 AS BIGINT) AS altered, CAST(0 AS BIGINT) AS unverifiable FROM lab GROUP BY merchant_id")
-def ledger_check(t):
-    """WIN-12, AUD-02..05: links and contents of the chain hold, and a second run appends nothing."""
-    r = _blocks(t)
-    first = written(r.ledger())
-    again = r.ledger(first)
-    return ledger.summary(ledger.verify(first.unionByName(again))).drop("head")
+@query(f"SELECT merchant_id, exception_seq, array_to_string(steps, '>') AS steps FROM ({PLAN}) AS p")
+def lookup_plans(t):
+    """INV-08: the lookups made for each exception, in order."""
+    return investigate.explained(run(t).classified).select("merchant_id", "exception_seq", F.array_join("steps", ">").alias("steps"))
 
 
-# --- evaluation and data quality ----------------------------------------------------
+@query(f"SELECT e.* FROM (WITH p AS MATERIALIZED ({PLAN}) {_EVIDENCE}) AS e")
+def evidence_rows(t):
+    """INV-09: each statement of evidence with the row that it is read from."""
+    rows = investigate.explained(run(t).classified).select("merchant_id", "exception_seq", F.explode("evidence").alias("e"))
+    return rows.select("merchant_id", "exception_seq", "e.*")
 
 
 @query(
-    """SELECT coalesce(merchant_id, 'all') AS merchant_id, tp, fp, fn, round(tp / (tp + fp)::DOUBLE, 6) AS precision_rows, round(tp / (tp + fn)::DOUBLE, 6) AS recall_rows, tp_paise FROM (
-         SELECT merchant_id, count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (t AND NOT p) AS fn, CAST(coalesce(sum(amount_paise) FILTER (p AND t), 0) AS BIGINT) AS tp_paise FROM (
-           SELECT merchant_id, h.payment_id IS NOT NULL AS p, u.payment_id IS NOT NULL AS t, u.amount_paise FROM h1 h FULL JOIN truth u USING (merchant_id, settlement_id, payment_id)
-         ) AS x GROUP BY ROLLUP (merchant_id)
-       ) AS y"""
+    f"""SELECT p.merchant_id, p.exception_seq, 'Residue ' || {inr('residue')} || ' on ' || {inr('batch_value')} || ': ' || label || '. ' || CASE label
+         WHEN 'fee_variance' THEN 'The gap is ' || printf('%.4f', abs(residue) * 100.0::DOUBLE / card) || '% of the card volume above the published ' || printf('%.2f', published_bp / 100.0) || '%.'
+         WHEN 'ambiguous_candidates' THEN 'Equal payments could be exchanged between batches, so nothing is posted.' WHEN 'attribution_ambiguous' THEN adjustment || ' fits no batch by its time (' || basis || '), so no payout nets it.'
+         WHEN 'duplicate_credit' THEN 'No credit is linked; ' || CAST(n_in_window AS VARCHAR) || ' lie in the window.' WHEN 'partition_unproven' THEN 'Members are not proved (' || unproven || '), so the residue shows nothing.'
+         WHEN 'unexplained' THEN CAST(len(steps) AS VARCHAR) || ' lookups explain none of it.' ELSE 'The rows found account for it.' END || ' Evidence: ' || CAST(coalesce(n, 0) AS VARCHAR) || '.' AS rationale
+        FROM ({PLAN}) AS p LEFT JOIN (SELECT merchant_id, exception_seq, count(*) AS n FROM (WITH p AS MATERIALIZED ({PLAN}) {_EVIDENCE}) AS e GROUP BY ALL) AS e USING (merchant_id, exception_seq)"""
 )
-def link_scores(t):
-    """EV-01: precision and recall of payment links, by merchant and overall."""
-    p = _blocks(t).members.select("merchant_id", "settlement_id", "payment_id", F.lit(True).alias("p"))
-    u = t["truth"].select("merchant_id", "settlement_id", "payment_id", "amount_paise", F.lit(True).alias("u"))
-    j = p.join(u, ["merchant_id", "settlement_id", "payment_id"], "full")
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    both, only_p, only_u = F.col("p") & F.col("u"), F.col("p") & F.col("u").isNull(), F.col("u") & F.col("p").isNull()
-    s = j.rollup("merchant_id").agg(n(both).alias("tp"), n(only_p).alias("fp"), n(only_u).alias("fn"), F.coalesce(F.sum(F.when(both, F.col("amount_paise"))), F.lit(0)).alias("tp_paise"))
-    share = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(a) + F.col(b)), 6)
-    return s.select(F.coalesce("merchant_id", F.lit("all")).alias("merchant_id"), "tp", "fp", "fn", share("tp", "fp").alias("precision_rows"), share("tp", "fn").alias("recall_rows"), "tp_paise")
+def rationales(t):
+    """INV-10: the reason of each label in words."""
+    return investigate.explained(run(t).classified).select("merchant_id", "exception_seq", "rationale")
 
 
-@query("SELECT merchant_id, count(*) AS links, count(*) FILTER (substr(bank_txn_id, 4) = substr(settlement_id, 5)) AS correct FROM links GROUP BY merchant_id")
-def bank_link_accuracy(t):
-    """EV-06: how many bank links name the batch that the credit was derived from."""
-    right = F.substring("bank_txn_id", 4, 100) == F.substring("settlement_id", 5, 100)
-    return _blocks(t).matched["links"].groupBy("merchant_id").agg(F.count("*").alias("links"), F.sum(right.cast("long")).alias("correct"))
-
-
-@query(
-    """SELECT merchant_id, CASE WHEN abs(residue) = 0 THEN 'exact' WHEN abs(residue) <= 100 THEN 'to_1_rupee' WHEN abs(residue) <= 10000 THEN 'to_100_rupees' ELSE 'above' END AS bucket, count(*) AS n, CAST(sum(abs(residue)) AS BIGINT) AS value_paise FROM dec GROUP BY ALL"""
-)
-def residue_buckets(t):
-    """EV-04: residues by size."""
-    a = F.abs("residue")
-    bucket = F.when(a == 0, "exact").when(a <= 100, "to_1_rupee").when(a <= 10_000, "to_100_rupees").otherwise("above")
-    return _blocks(t).decomposition.groupBy("merchant_id", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(F.abs("residue")).alias("value_paise"))
+@query("SELECT merchant_id, exception_seq, idempotency_key FROM lab")
+def idempotency_keys(t):
+    """POL-08, FN-18: the key that makes a decision repeatable without effect."""
+    return run(t).classified.select("merchant_id", "exception_seq", "idempotency_key")
 
 
 @query(
-    """SELECT s.merchant_id, s.settlement_id, s.gross, CAST(sum(u.amount_paise) AS BIGINT) AS members_paise, s.gross = sum(u.amount_paise) AS equal FROM settlement s JOIN truth u USING (merchant_id, settlement_id) GROUP BY s.merchant_id, s.settlement_id, s.gross"""
+    """SELECT merchant_id, label, count(*) AS n, CAST(sum(abs(residue)) AS BIGINT) AS value_paise FROM lab GROUP BY ALL"""
 )
-def dq_batch_sums(t):
-    """DQ-02: linked payments add up to the reported gross."""
-    m = t["truth"].groupBy("merchant_id", "settlement_id").agg(F.sum("amount_paise").alias("members_paise"))
-    return t["settlement"].join(m, ["merchant_id", "settlement_id"]).select("merchant_id", "settlement_id", "gross", "members_paise", (F.col("gross") == F.col("members_paise")).alias("equal"))
+def exceptions_by_label(t):
+    """AG-14, RPT-06: exceptions and their value by label."""
+    return run(t).classified.groupBy("merchant_id", "label").agg(F.count("*").alias("n"), F.sum(F.abs("residue")).alias("value_paise"))
 
 
-@query(
-    """SELECT rule, n FROM (
-         SELECT 'payment_in_two_batches' AS rule, count(*) AS n FROM (SELECT merchant_id, payment_id FROM truth GROUP BY ALL HAVING count(*) > 1) AS a
-         UNION ALL SELECT 'unsettled_status', count(*) FROM truth JOIN payment USING (merchant_id, payment_id) WHERE status <> 'captured'
-         UNION ALL SELECT 'credit_off_net', count(*) FROM bank b JOIN settlement s ON s.merchant_id = b.merchant_id AND substr(b.bank_txn_id, 4) = substr(s.settlement_id, 5) WHERE b.amount_paise <> s.net
-         UNION ALL SELECT 'no_reference', count(*) FROM settlement WHERE utr IS NULL
-         UNION ALL SELECT 'methods_without_tier', count(*) FROM (SELECT DISTINCT merchant_id, method FROM payment) AS p ANTI JOIN rate USING (merchant_id, method)
-       ) AS r"""
-)
-def dq_census(t):
-    """DQ-03, DQ-05, DQ-07, DQ-08: one count per rule."""
-    key = F.substring("bank_txn_id", 4, 100)
-    twice = t["truth"].groupBy("merchant_id", "payment_id").count().where("count > 1")
-    wrong = t["truth"].select("merchant_id", "payment_id").join(t["payment"], ["merchant_id", "payment_id"]).where("status <> 'captured'")
-    off = t["bank"].withColumn("k", key).join(t["settlement"].select("merchant_id", "net", F.substring("settlement_id", 5, 100).alias("k")), ["merchant_id", "k"]).where("amount_paise <> net")
-    bare = t["payment"].select("merchant_id", "method").distinct().join(t["rate"], ["merchant_id", "method"], "left_anti")
-    parts = {"payment_in_two_batches": twice, "unsettled_status": wrong, "credit_off_net": off, "no_reference": t["settlement"].where("utr is null"), "methods_without_tier": bare}
-    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n") for name, df in parts.items()]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+@query("SELECT merchant_id, exception_seq, settlement_id, label, conf AS label_confidence, resolution, failed_arms, failed_text, verdict, policy_reason FROM verdicts")
+def decisions(t):
+    """POL-01..07: verdict of each exception under gates and daily budgets."""
+    return run(t).verdicts.select("merchant_id", "exception_seq", "settlement_id", "label", "label_confidence", "resolution", "failed_arms", "failed_text", "verdict", "policy_reason")
 
 
 @query(
-    """SELECT merchant_id, method, count(*) AS n, CAST(sum(amount_paise) AS BIGINT) AS value_paise, quantile_disc(amount_paise, 0.5) AS p50, max(amount_paise) AS largest FROM payment WHERE status = 'captured' GROUP BY ALL"""
+    """SELECT v.merchant_id, v.exception_seq, 'SUPPRESSED_DUPLICATE' AS verdict, c.verdict AS prior_verdict FROM verdicts v JOIN chain c USING (merchant_id, idempotency_key)"""
 )
-def dq_method_mix(t):
-    """DQ-06, SRT-04: volume, value and ticket size by method."""
-    p = t["payment"].where("status = 'captured'")
-    return p.groupBy("merchant_id", "method").agg(F.count("*").alias("n"), F.sum("amount_paise").alias("value_paise"), F.expr("cast(percentile_disc(0.5) within group (order by amount_paise) as bigint)").alias("p50"), F.max("amount_paise").alias("largest"))
+def decisions_again(t):
+    """POL-05, AUD-05: a second run over the same rows decides nothing and carries the verdicts before."""
+    r = run(t)
+    return r.decided(r.ledger()).select("merchant_id", "exception_seq", "verdict", "prior_verdict")
 
 
-@query(
-    f"""SELECT merchant_id, settlement_id, bank_txn_id, residue FROM (
-        SELECT merchant_id, settlement_id, bank_txn_id, CAST(residue AS BIGINT) AS residue, row_number() OVER (PARTITION BY merchant_id ORDER BY abs(residue) DESC, settlement_id) AS rn FROM dec WHERE bank_txn_id IS NOT NULL AND {GST_BP} > 0
-    ) AS x WHERE rn <= 20"""
-)
-def largest_residues(t):
-    """SRT-02, RPT-07: each merchant's twenty matched credits with the largest residue."""
-    w = Window.partitionBy("merchant_id").orderBy(F.abs("residue").desc(), "settlement_id")
-    d = _blocks(t).decomposition.where("bank_txn_id is not null").withColumn("rn", F.row_number().over(w))
-    return d.where("rn <= 20").select("merchant_id", "settlement_id", "bank_txn_id", "residue")
+@query("SELECT merchant_id, seq, idempotency_key, verdict, label || '|' || CAST(CAST(residue AS BIGINT) AS VARCHAR) AS payload, prev_hash, hash FROM chain")
+def ledger_rows(t):
+    """AUD-01, SNK-05, FN-19: the hash-chained ledger of all decisions."""
+    return run(t).ledger().select("merchant_id", "seq", "idempotency_key", "verdict", "payload", "prev_hash", "hash")
 
 
-@query()
-def full_residues(t):
-    """The whole run on the full preset: residue per settlement."""
-    return run(t).residues
+@query("SELECT merchant_id, count(*) AS n_rows, CAST(0 AS BIGINT) AS broken_links, count(*) FILTER (seq % 50 = 7) AS altered, CAST(0 AS BIGINT) AS unverifiable, max_by(hash, seq) AS head FROM chain GROUP BY merchant_id")
+def ledger_check(t):
+    """WIN-12, AUD-02..05: links and contents of the chain, in which every fiftieth verdict was altered afterwards; a second run appends nothing."""
+    r = run(t)
+    first = written(r.ledger())
+    again = r.ledger(first)
+    altered = first.unionByName(again).withColumn("verdict", F.when(F.col("seq") % 50 == 7, "ALTERED").otherwise(F.col("verdict")))
+    return ledger.summary(ledger.verify(altered))
 
 
 # --- event streams in their batch form ------------------------------------------------
 
 
-def _on_events(f: Callable) -> Query:
-    def on_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(spark.read.parquet(f"{sf_dir}/events.parquet"))
-
-    on_table.__name__, on_table.__doc__ = f.__name__, f.__doc__
-    QUERIES[f.__name__] = on_table
-    return on_table
-
-
-@_on_events
+@on_table("events", "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, user_id, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 2")
 def rate_flags(events):
     """ST-04: users with more than two events in an hour."""
     return jobs.rate_flags(events, "user_id", "ts", 2, "1 hour").select(F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), "user_id", "n")
 
 
-@_on_events
+@on_table(
+    "events",
+    """SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS claimed_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS rn FROM events) AS e
+       WHERE rn = 1 AND event_type = 'click' AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+)
 def stale_items(events):
     """ST-06: users whose last event is a click older than a day at the end of the log."""
     end = events.agg(F.max("ts").alias("ts")).first().ts
@@ -507,105 +491,24 @@ def stale_items(events):
     return stale.select("user_id", F.unix_seconds(F.col("claimed_at").cast("timestamp")).alias("claimed_at"))
 
 
-ORACLE_SQL["rate_flags"] = "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, user_id, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 2"
-ORACLE_SQL["stale_items"] = """
-    SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS claimed_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS rn FROM events) AS e
-    WHERE rn = 1 AND event_type = 'click' AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
-
-
-# --- reports ----------------------------------------------------------------------------
-
-
-@query(
-    """SELECT h.merchant_id, l.bank_txn_id, h.settlement_id, h.payment_id, p.order_id, p.amount_paise, p.method FROM h1 h LEFT JOIN links l ON l.merchant_id = h.merchant_id AND l.settlement_id = h.settlement_id
-       JOIN payment p ON p.merchant_id = h.merchant_id AND p.payment_id = h.payment_id"""
-)
-def evidence_chain(t):
-    """JN-19, RPT-02: the payments and orders behind each credit, within their merchant."""
-    r = _blocks(t)
-    link = r.matched["links"].select("merchant_id", "settlement_id", "bank_txn_id")
-    facts = t["payment"].select("merchant_id", "payment_id", "order_id", "amount_paise", "method")
-    return r.members.join(link, ["merchant_id", "settlement_id"], "left").join(facts, ["merchant_id", "payment_id"]).select("merchant_id", "bank_txn_id", "settlement_id", "payment_id", "order_id", "amount_paise", "method")
-
-
-@query(
-    """SELECT d.merchant_id, count(*) AS credits, count(bank_txn_id) AS matched, CAST(coalesce(sum(bank_paise), 0) AS BIGINT) AS credited, CAST(coalesce(sum(bank_paise), 0) - coalesce(sum(abs(residue)) FILTER (bank_txn_id IS NOT NULL), 0) AS BIGINT) AS accounted_for,
-       count(*) FILTER (bank_txn_id IS NOT NULL AND membership_proven AND residue = 0) AS proved_to_the_paise, CAST(coalesce(sum(gross) FILTER (NOT within_tolerance), 0) AS BIGINT) AS value_at_risk FROM dec d GROUP BY d.merchant_id"""
-)
-def overview(t):
-    """RPT-05: headline figures per merchant."""
-    matched = F.col("bank_txn_id").isNotNull()
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return _blocks(t).decomposition.groupBy("merchant_id").agg(
-        F.count("*").alias("credits"), F.count("bank_txn_id").alias("matched"), total("bank_paise").alias("credited"), (total("bank_paise") - total(F.when(matched, F.abs("residue")))).alias("accounted_for"),
-        F.count(F.when(matched & F.col("membership_proven") & (F.col("residue") == 0), 1)).alias("proved_to_the_paise"), total(F.when(~F.col("within_tolerance"), F.col("gross"))).alias("value_at_risk"),
-    )
-
-
-@query(
-    """SELECT CAST(th AS BIGINT) AS threshold_pct, count(*) AS credits, count(*) FILTER (p * 100 >= th) AS covered, count(*) FILTER (p * 100 >= th AND good) AS correct FROM (
-         SELECT merchant_id, bank_txn_id, max(probability) AS p, max_by(settlement_id, probability) AS s, substr(bank_txn_id, 4) = substr(max_by(settlement_id, probability), 5) AS good FROM score GROUP BY merchant_id, bank_txn_id
-       ) AS b, (VALUES (10), (20), (30), (40), (50), (60), (70), (80), (90)) AS v(th) GROUP BY th"""
+@on_table(
+    "events",
+    """SELECT user_id, event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS until FROM events""",
 )
-def coverage_curve(t):
-    """EV-07: credits covered, and rightly so, by their best candidate at nine thresholds (one array per row, no second table)."""
-    best = _blocks(t).matched["candidates"].groupBy("merchant_id", "bank_txn_id").agg(F.max(F.struct("probability", "settlement_id")).alias("b"))
-    good = F.substring("bank_txn_id", 4, 100) == F.substring("b.settlement_id", 5, 100)
-    rows = best.select(F.col("b.probability").alias("p"), good.alias("good"), F.explode(F.sequence(F.lit(10), F.lit(90), F.lit(10))).alias("th"))
-    covered = F.col("p") * 100 >= F.col("th")
-    return rows.groupBy(F.col("th").cast("long").alias("threshold_pct")).agg(F.count("*").alias("credits"), F.count(F.when(covered, 1)).alias("covered"), F.count(F.when(covered & F.col("good"), 1)).alias("correct"))
+def event_times(events):
+    """FN-23, WIN-11: a field of each event's JSON, and the time until the end of each step of its run (user) when steps take ``value``."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return events.select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"), F.round(F.sum("value").over(w), 4).alias("until"))
 
 
 @query(
-    f"SELECT merchant_id, settlement_id, bank_txn_id, CAST({' + '.join(decompose.COMPONENTS)} + residue AS BIGINT) AS total, bank_paise, {' + '.join(decompose.COMPONENTS)} + residue = bank_paise AS equal FROM dec WHERE bank_txn_id IS NOT NULL"
+    """SELECT m.merchant_id, c.bank_txn_id AS credit, d.bank_txn_id AS debit FROM (SELECT DISTINCT merchant_id FROM bank) AS m JOIN refs c USING (merchant_id) JOIN refs d ON d.merchant_id = c.merchant_id AND d.ref = c.ref AND d.amount_paise = -c.amount_paise
+       WHERE c.amount_paise > 0 AND d.value_date BETWEEN c.value_date AND c.value_date + 5 GROUP BY ALL"""
 )
-def dq_component_sums(t):
-    """DQ-01: components and residue of a matched settlement add up to its credit."""
-    rows = decompose.components_long(_blocks(t).decomposition).where("bank_txn_id is not null")
-    key = ["merchant_id", "settlement_id", "bank_txn_id"]
-    s = rows.groupBy(*key).agg(F.sum(F.when(F.col("component") != "TOTAL_bank_credit", F.col("amount_paise"))).alias("total"), F.sum(F.when(F.col("component") == "TOTAL_bank_credit", F.col("amount_paise"))).alias("bank_paise"))
-    return s.withColumn("equal", F.col("total") == F.col("bank_paise"))
+def wash_stream(t):
+    """ST-05 in its batch form: credits and the debits within five days that take them back, as the stream joins them."""
+    rows = matching.parsed(t["bank"]).select("merchant_id", F.col("amount_paise").alias("amount"), F.explode("candidates").alias("ref"), F.col("value_date").cast("timestamp").alias("at"), F.col("bank_txn_id").alias("id"))
+    return jobs.wash_stream(rows.where("amount > 0"), rows.where("amount < 0")).distinct()
 
 
-@query(
-    """SELECT merchant_id, 'exception' AS kind, settlement_id, adjustment, CAST(abs(residue) AS BIGINT) AS size FROM exc
-       UNION ALL SELECT merchant_id, 'residue', settlement_id, '', CAST(abs(residue) AS BIGINT) FROM dec d WHERE bank_txn_id IS NOT NULL AND residue <> 0 AND within_tolerance AND NOT ambiguous"""
-)
-def attention_queue(t):
-    """RPT-07: all exceptions, and matched credits with a residue that raised none."""
-    r = _blocks(t)
-    size = F.abs("residue").alias("size")
-    first = r.exceptions.select("merchant_id", F.lit("exception").alias("kind"), "settlement_id", "adjustment", size)
-    quiet = r.decomposition.where("bank_txn_id is not null and residue <> 0").join(r.exceptions.where("adjustment = ''").select("merchant_id", "settlement_id"), ["merchant_id", "settlement_id"], "left_anti")
-    return first.unionByName(quiet.select("merchant_id", F.lit("residue").alias("kind"), "settlement_id", F.lit("").alias("adjustment"), size))
-
-
-def _purchases(events: DataFrame) -> DataFrame:
-    return events.select((F.col("value") / (F.col("value") + 100)).alias("probability"), (F.col("event_type") == "purchase").cast("double").alias("label"))
-
-
-@_on_events
-def score_reliability(events):
-    """EV-08: reliability of a score, here the value of an event as a sign of purchase, in ten bins."""
-    r = scorer.reliability(_purchases(events))
-    return r.select("bin", "n", F.round("mean_p", 6).alias("mean_p"), F.round("rate", 6).alias("rate"))
-
-
-@_on_events
-def score_auc(events):
-    """EV-09, WIN-13: area under the curve of the same score, by average ranks."""
-    return scorer.auc(_purchases(events)).select(F.round("auc", 6).alias("auc"))
-
-
-_SCORES = "SELECT value / (value + 100) AS p, CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0 END AS y FROM events"
-ORACLE_SQL["score_reliability"] = f"SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM ({_SCORES}) AS s GROUP BY 1"
-ORACLE_SQL["score_auc"] = f"""
-    SELECT round((sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS auc
-    FROM (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r FROM ({_SCORES}) AS s) AS q"""
-
-
-@query()
-def preset_totals(t):
-    """EV-10: run totals under three presets, side by side."""
-    parts = [run(t, p).totals.withColumn("preset", F.lit(p)) for p in ("deterministic", "repair", "blocks")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+from reconweave.plans import evaluation, exchange, reports  # noqa: E402, F401

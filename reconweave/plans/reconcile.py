@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -10,42 +11,66 @@ from pyspark.sql import functions as F
 from reconweave.functions.durable import written
 from reconweave.operators import adjustments, decompose, investigate, ledger, matching, netting
 
-# The stages that each preset turns on.
+STAGES = ("exact", "repair", "model", "global", "netting", "agent")
+# The stages that each preset turns on; the last two leave references out, so that only scores link.
 PRESETS = {
-    "deterministic": {"repair": False, "scorer": False, "global": False, "netting": False},
-    "repair": {"repair": True, "scorer": False, "global": False, "netting": False},
-    "scorer": {"repair": True, "scorer": True, "global": False, "netting": False},
-    "global": {"repair": True, "scorer": True, "global": True, "netting": False},
-    "blocks": {"repair": True, "scorer": False, "global": False, "netting": True, "subsets": False},
-    "netting": {"repair": True, "scorer": True, "global": True, "netting": True},
-    "full": {"repair": True, "scorer": True, "global": True, "netting": True},
+    "deterministic": ("exact",),
+    "repair": ("exact", "repair"),
+    "scorer": ("exact", "repair", "model"),
+    "global": ("exact", "repair", "model", "global"),
+    "netting": ("exact", "repair", "model", "global", "netting"),
+    "full": ("exact", "repair", "model", "global", "netting", "agent"),
+    "stress_greedy": ("model", "netting", "agent"),
+    "stress_global": ("model", "global", "netting", "agent"),
 }
 
 
 class Reconciliation:
-    """Stages on demand; each expensive one is written once and reread by those after it."""
+    """Stages on demand; each expensive one is written once and reread by those after it.
 
-    def __init__(self, tables: dict[str, DataFrame], preset: str = "full"):
+    ``probability`` is a trained pair model (see ``scorer.trained``), used by
+    the presets with the model stage; without one the prior scores pairs.
+    ``like`` is a run over the same tables; equal stages of such runs are made once.
+    """
+
+    def __init__(self, tables: dict[str, DataFrame], preset: str = "full", probability: Callable[[DataFrame], DataFrame] | None = None, like: Reconciliation | None = None):
         self.t = tables
-        self.on = PRESETS[preset]
+        self.on = set(PRESETS[preset])
+        self.probability = probability if "model" in self.on else None
+        self.made: dict = like.made if like is not None else {}
 
-    @cached_property
+    def once(self, key: object, make: Callable[[], object]):
+        """What ``make`` gives, made once for all runs that share stages."""
+        if key not in self.made:
+            self.made[key] = make()
+        return self.made[key]
+
+    @property
     def matched(self) -> dict[str, DataFrame]:
-        return matching.match(self.t["bank"], self.t["settlement"], self.t["cal"], self.on["repair"], self.on["scorer"], self.on["global"])
+        stages = ["exact" in self.on, "repair" in self.on, "global" in self.on]
+        washed = self.once("washed", lambda: matching.without_washed(self.t["bank"]))
+        return self.once((*stages, self.probability), lambda: matching.match(*washed, self.t["settlement"], self.t["cal"], *stages, self.probability))
 
-    @cached_property
-    def _netted(self) -> tuple[DataFrame, DataFrame | None]:
-        members, proofs = netting.netting(self.t["payment"], self.t["settlement"], self.t["cal"], self.on.get("subsets", True))
-        return written(members), proofs
+    @property
+    def _netted(self) -> tuple[DataFrame, DataFrame]:
+        def make() -> tuple[DataFrame, DataFrame]:
+            members, proofs = netting.netting(self.t["payment"], self.t["settlement"], self.t["cal"])
+            return written(members), proofs
+
+        return self.once("netted", make)
+
+    @property
+    def netted(self) -> bool:
+        return "netting" in self.on
 
     @cached_property
     def members(self) -> DataFrame:
-        members = self._netted[0]
-        return members if self.on["netting"] else members.limit(0)
+        """Payments of each batch whose members are proved."""
+        return self._netted[0] if self.netted else self.t["bank"].sparkSession.createDataFrame([], netting.MEMBERS)
 
     @property
     def proofs(self) -> DataFrame | None:
-        return self._netted[1]
+        return self._netted[1] if self.netted else None
 
     @cached_property
     def tied(self) -> DataFrame:
@@ -63,24 +88,33 @@ class Reconciliation:
 
     @cached_property
     def decomposition(self) -> DataFrame:
-        m = self.matched
-        return written(decompose.decompose(self.t["settlement"], self.t["bank"], m["links"], self.members, self.t["payment"], self.t["rate"], self.deducted, self.tied, m["candidates"]))
+        m, t = self.matched, self.t
+        return written(decompose.decompose(t["settlement"], t["bank"], m["links"], self.members, t["payment"], t["rate"], self.deducted, self.tied, m["candidates"], self.netted))
 
     @cached_property
     def exceptions(self) -> DataFrame:
-        return written(decompose.exceptions(self.decomposition, self.attributed))
+        return written(decompose.exceptions(self.decomposition, self.attributed, self.proofs))
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        """Each exception with what the lookups found."""
+        return written(investigate.signals(self.exceptions, self.members, self.t, self.matched["parsed"]))
 
     @cached_property
     def classified(self) -> DataFrame:
-        t = self.t
-        sig = investigate.signals(self.exceptions, self.members, t["payment"], t["refund"], t["chargeback"], t["reserve"], t["settlement"])
-        return investigate.idempotency(investigate.classify(sig))
+        return written(investigate.idempotency(investigate.classify(self.signals)))
 
     def decided(self, seen: DataFrame | None = None) -> DataFrame:
+        """Verdicts; ``seen`` is the ledger so far, whose keys are not decided again."""
         return investigate.decide(investigate.gates(self.classified, seen))
 
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        """``decided`` on an empty ledger."""
+        return written(self.decided())
+
     def ledger(self, before: DataFrame | None = None) -> DataFrame:
-        return ledger.append(before, ledger.entries(self.decided(before)))
+        return ledger.append(before, ledger.entries(self.verdicts if before is None else self.decided(before)))
 
     @property
     def residues(self) -> DataFrame:
@@ -88,13 +122,13 @@ class Reconciliation:
 
     @property
     def totals(self) -> DataFrame:
-        return decompose.run_totals(self.decomposition, self.members)
+        return decompose.run_totals(self.decomposition, self.members, self.verdicts if "agent" in self.on else None)
 
 
-def reconcile(tables: dict[str, DataFrame], preset: str = "full") -> dict[str, DataFrame]:
+def reconcile(tables: dict[str, DataFrame], preset: str = "full", probability: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """Result tables of one run."""
-    r = Reconciliation(tables, preset)
+    r = Reconciliation(tables, preset, probability)
     return {
-        "payment_link": r.members, "bank_link": r.matched["links"], "decomposition": decompose.components_long(r.decomposition), "exception": r.decided(),
-        "totals": r.totals.withColumn("preset", F.lit(preset)),
+        "payment_link": r.members, "bank_link": r.matched["links"], "decomposition": decompose.components_long(r.decomposition), "exception": r.verdicts,
+        "candidate": r.matched["candidates"], "totals": r.totals.withColumn("preset", F.lit(preset)),
     }

@@ -1,7 +1,9 @@
-"""Row validation of incoming files: one declarative pass that gives each row its first failing rule.
+"""Validation of incoming files: whole files first, then one declarative pass that gives each row its first failing rule.
 
-Rows come as text lines with a file name and line number. The rules of an
-entity are columns in order; the first that is not null is the reject reason.
+Files come as (merchant_id, file, content). A file that fails a gate is refused
+whole, with a row that says why. Rows come as text lines with a file name and
+line number. The rules of an entity are columns in order; the first that is not
+null is the reject reason.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reconweave.functions.durable import small
 from reconweave.functions.money import AMOUNT
 
 # Exact headers and the kind of each column. "!" marks required, "±" an amount that may be negative.
@@ -22,7 +25,10 @@ ENTITIES: dict[str, dict[str, str]] = {
     "reserve": {"reserve_id": "id", "amount": "amount", "held_on": "date", "release_date": "date", "released_at_ist": "ts_ist?", "netted_flag": "flag"},
 }
 FLAGS_TRUE, FLAGS_FALSE = ("true", "t", "1", "yes", "y"), ("false", "f", "0", "no", "n", "")
-MAX_ID, MAX_RAW = 128, 400
+MAX_ID, MAX_RAW, MAX_FILE = 128, 400, 64 << 20
+SAMPLE = 20
+#: A quoted field with doubled quotes inside.
+QUOTED = '"([^"]|"")*"'
 
 
 def _stamp(text: Column, zone_minutes: int) -> Column:
@@ -69,52 +75,139 @@ def _rule(name: str, text: Column, kind: str) -> Column:
     return F.lit(None).cast("string")
 
 
-def read_lines(spark: SparkSession, path: str, merchant_id: str) -> DataFrame:
-    """(merchant_id, file, line_no, line) of text files, header included as line 1; a file is read whole, up to 64 MB by the gate below."""
+def read_files(spark: SparkSession, path: str, merchant_id: str | None = None) -> DataFrame:
+    """(merchant_id, file, content) of files; without a merchant the folder above ``observable`` names it."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    return files.where(F.col("length").between(1, 64 << 20)).where(F.is_valid_utf8(F.col("content"))).select(
-        F.lit(merchant_id).alias("merchant_id"), F.col("path").alias("file"), F.posexplode(F.split(text, "\r?\n")).alias("n", "line")
-    ).select("merchant_id", "file", (F.col("n") + 1).cast("long").alias("line_no"), "line")
+    merchant = F.lit(merchant_id) if merchant_id is not None else F.regexp_extract("path", "/([^/]+)/observable/", 1)
+    return files.select(merchant.alias("merchant_id"), F.col("path").alias("file"), "content")
+
+
+def gate_files(files: DataFrame, entity: str, merchants: DataFrame | None = None) -> DataFrame:
+    """Files with ``refusal``: why a whole file is refused, or null."""
+    if merchants is None:
+        files = files.withColumn("known", F.lit(True))
+    else:
+        known = merchants.select("merchant_id").distinct().withColumn("known", F.lit(True))
+        files = files.join(small(known, 32), "merchant_id", "left")
+    text = F.when(F.is_valid_utf8(F.col("content")), F.decode("content", "UTF-8"))
+    header = F.lower(F.trim(F.split(F.regexp_replace(text, "^\ufeff", ""), "\r?\n")[0]))
+    size = F.octet_length("content")
+    why = (
+        F.when(F.col("known").isNull(), "UNKNOWN_MERCHANT").when(F.coalesce(size, F.lit(0)) == 0, "EMPTY_FILE").when(size > MAX_FILE, "FILE_TOO_LARGE")
+        .when(text.isNull(), "NOT_UTF8").when(header != ",".join(ENTITIES[entity]), "BAD_HEADER")
+    )
+    return files.withColumn("refusal", why).drop("known")
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """(merchant_id, file, line_no, line) of files that are not refused, header included as line 1."""
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
+    rows = files.where("refusal is null").select("merchant_id", "file", F.posexplode(F.split(text, "\r?\n")).alias("n", "line"))
+    return rows.select("merchant_id", "file", (F.col("n") + 1).cast("long").alias("line_no"), "line")
+
+
+def parse_line(line: Column, columns: int) -> Column:
+    """Fields of a CSV line as a struct c0, c1, ...: quotes, doubled quotes and commas inside them."""
+    schema = ", ".join(f"c{i} string" for i in range(columns))
+    return F.from_csv(line, F.lit(schema), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
 
 
 def validate(lines: DataFrame, entity: str, committed: DataFrame | None = None) -> DataFrame:
-    """Each data line with its typed columns and ``reject_reason``, null if it is accepted.
+    """Each data line with its typed columns, ``reject_reason`` (null if it is accepted) and ``detail``.
 
     Order: column count, the fields' rules in column order, the sum of a
-    settlement, a repeated id within the file among rows that parse, an id
-    that was committed before.
+    settlement, quotes that do not close, a repeated id within the file among
+    rows that parse, an id that was committed before.
     """
     columns = ENTITIES[entity]
     header = ",".join(columns)
-    schema = ", ".join(f"c{i} string" for i in range(len(columns) + 1))
     bad_files = lines.where((F.col("line_no") == 1) & (F.lower(F.trim("line")) != header)).select("merchant_id", "file").distinct()
     data = lines.where((F.col("line_no") > 1) & (F.trim("line") != "")).join(bad_files, ["merchant_id", "file"], "left_anti")
-    parsed = data.withColumn("f", F.from_csv("line", F.lit(schema), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}))
+    parsed = data.withColumn("f", parse_line(F.col("line"), len(columns) + 1))
     field = lambda i: F.coalesce(F.col(f"f.c{i}"), F.lit(""))
     # quoted commas do not separate: count those outside quotes
-    commas = F.length(F.regexp_replace(F.regexp_replace("line", '"([^"]|"")*"', ""), "[^,]", ""))
-    rules = [F.when(commas != len(columns) - 1, "ARITY"), *[_rule(n, field(i), k) for i, (n, k) in enumerate(columns.items())]]
+    commas = F.length(F.regexp_replace(F.regexp_replace("line", QUOTED, ""), "[^,]", ""))
+    reject = lambda reason, detail: F.when(reason.isNotNull(), F.struct(reason.alias("reason"), detail.alias("detail")))
+    rules = [reject(F.when(commas != len(columns) - 1, "ARITY"), F.concat((commas + 1).cast("string"), F.lit(f" fields instead of {len(columns)}")))]
+    rules += [reject(_rule(n, field(i), k), F.concat(F.lit(f"{n}: "), field(i))) for i, (n, k) in enumerate(columns.items())]
     typed = {n: _value(field(i), k) for i, (n, k) in enumerate(columns.items())}
-    out = parsed.withColumns({n: v for n, v in typed.items()}).withColumn("reject_reason", F.coalesce(*rules))
+    out = parsed.withColumns(typed).withColumn("r", F.coalesce(*rules))
+    late = []
     if entity == "settlements":
         off = F.col("gross") - F.col("fees") - F.col("gst") - F.col("tds") != F.col("net")
-        out = out.withColumn("reject_reason", F.coalesce("reject_reason", F.when(off, "MONETARY_INCONSISTENT")))
+        late.append(reject(F.when(off, "MONETARY_INCONSISTENT"), F.lit("net is not gross less fees, gst and tds")))
+    open_quote = F.length(F.regexp_replace(F.regexp_replace("line", QUOTED, ""), '[^"]', "")) > 0
+    late.append(reject(F.when(open_quote, "UNPARSEABLE"), F.lit("a quote does not close")))
+    out = out.withColumn("r", F.coalesce("r", *late))
     key = next(iter(columns))
-    again = F.row_number().over(Window.partitionBy("merchant_id", "file", key, F.col("reject_reason").isNull()).orderBy("line_no")) > 1
-    out = out.withColumn("reject_reason", F.coalesce("reject_reason", F.when(again, "DUPLICATE_IN_FILE")))
+    same = Window.partitionBy("merchant_id", "file", key, F.col("r").isNull()).orderBy("line_no")
+    out = out.withColumns({"n": F.row_number().over(same), "first": F.min("line_no").over(same)})
+    again = reject(F.when(F.col("n") > 1, "DUPLICATE_IN_FILE"), F.concat(F.lit("same id as line "), F.col("first").cast("string")))
+    out = out.withColumn("r", F.coalesce("r", again)).drop("n", "first")
     if committed is not None:
         known = committed.select("merchant_id", F.col(key)).distinct().withColumn("known", F.lit(True))
-        out = out.join(known, ["merchant_id", key], "left").withColumn("reject_reason", F.coalesce("reject_reason", F.when(F.col("known"), "DUPLICATE_EXISTING"))).drop("known")
-    return out.drop("f")
+        before = reject(F.when(F.col("known"), "DUPLICATE_EXISTING"), F.concat(F.lit("already committed: "), F.col(key)))
+        out = out.join(known, ["merchant_id", key], "left").withColumn("r", F.coalesce("r", before)).drop("known")
+    return out.withColumns({"reject_reason": F.col("r.reason"), "detail": F.col("r.detail")}).drop("f", "r")
 
 
 def rejects(validated: DataFrame) -> DataFrame:
-    """Rejected lines with number, reason and the raw line cut at 400 characters."""
+    """Rejected lines with number, reason, detail and the raw line cut at 400 characters."""
     raw = F.when(F.length("line") > MAX_RAW, F.concat(F.substring("line", 1, MAX_RAW), F.lit("…"))).otherwise(F.col("line"))
-    return validated.where("reject_reason is not null").select("merchant_id", "file", "line_no", "reject_reason", raw.alias("raw_line"))
+    return validated.where("reject_reason is not null").select("merchant_id", "file", "line_no", "reject_reason", "detail", raw.alias("raw_line"))
+
+
+def refused_files(gated: DataFrame) -> DataFrame:
+    """A reject row, line 0, for each file that is refused whole."""
+    return gated.where("refusal is not null").select(
+        "merchant_id", "file", F.lit(0).cast("long").alias("line_no"), F.col("refusal").alias("reject_reason"), F.concat(F.coalesce(F.octet_length("content"), F.lit(0)).cast("string"), F.lit(" bytes")).alias("detail"), F.lit("").alias("raw_line")
+    )
 
 
 def report(validated: DataFrame) -> DataFrame:
-    """Rows seen, accepted and rejected by reason."""
+    """Rows accepted and rejected by reason."""
     return validated.groupBy("merchant_id", F.coalesce("reject_reason", F.lit("ACCEPTED")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def file_report(gated: DataFrame, validated: DataFrame) -> DataFrame:
+    """Of each file, refused ones included: SHA-256, refusal, rows seen, accepted, rejected, rejects by reason, and the first twenty rejected lines."""
+    keys = ["merchant_id", "file"]
+    bad = F.col("reject_reason").isNotNull()
+    n = validated.groupBy(*keys).agg(F.count("*").alias("seen"), F.count(F.when(~bad, 1)).alias("accepted"), F.count(F.when(bad, 1)).alias("rejected"))
+    why = validated.where(bad).groupBy(*keys, "reject_reason").agg(F.count("*").alias("n"))
+    why = why.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "reject_reason", F.col("n").cast("string")))), ",").alias("by_reason"))
+    first = validated.where(bad).withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("line_no"))).where(F.col("nth") <= SAMPLE)
+    first = first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("line_no")), lambda x: x.cast("string")), ",").alias("sample_lines"))
+    files = gated.select(*keys, F.sha2("content", 256).alias("sha256"), "refusal")
+    out = files.join(n, keys, "left").join(why, keys, "left").join(first, keys, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("seen", "accepted", "rejected")} | {c: F.coalesce(c, F.lit("")) for c in ("by_reason", "sample_lines")})
+
+
+def ingest(files: DataFrame, entity: str, merchants: DataFrame | None = None, committed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Accepted rows, all rejects (of files and of lines) and the report of (merchant_id, file, content) rows."""
+    gated = gate_files(files, entity, merchants)
+    rows = validate(lines_of(gated), entity, committed)
+    accepted = rows.where("reject_reason is null").select("merchant_id", *ENTITIES[entity])
+    return {"accepted": accepted, "rejects": refused_files(gated).unionByName(rejects(rows)), "report": file_report(gated, rows)}
+
+
+def load_dataset(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The seven entities of all merchants under ``root``/<merchant>/observable, accepted rows only, and the tiers of their rate cards.
+
+    An entity is a file, or a folder of files each with the header.
+    """
+    names = {"settlements": "settlements", "bank": "bank_statement", "reserve": "reserve_ledger"}
+    out = {e: ingest(read_files(spark, f"{root}/*/observable/{names.get(e, e)}.csv"), e)["accepted"] for e in ENTITIES}
+    cards = spark.read.text(f"{root}/*/config/rate_card_published.json", wholetext=True)
+    return out | {"rate": rate_tiers(cards.select(F.col("value").alias("card")))}
+
+
+CARD = "merchant_id string, tolerance_paise bigint, reserve_methods array<string>, methods map<string,array<struct<effective_from:string,pct:string,flat_paise:bigint>>>"
+
+
+def rate_tiers(cards: DataFrame) -> DataFrame:
+    """(merchant_id, method, effective_from, pct_bp, flat_paise) from rate cards as JSON text in ``card``."""
+    card = cards.select(F.from_json("card", CARD).alias("c")).select("c.merchant_id", F.explode("c.methods").alias("method", "tiers"))
+    tiers = card.select("merchant_id", "method", F.explode("tiers").alias("t"))
+    bp = F.round(F.col("t.pct").cast("decimal(9,4)") * 100).cast("long")
+    return tiers.select("merchant_id", "method", F.col("t.effective_from").cast("date").alias("effective_from"), bp.alias("pct_bp"), "t.flat_paise")

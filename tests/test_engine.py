@@ -99,29 +99,21 @@ def test_first_come_takes_each_once(spark):
 
 def test_assignment_is_optimal():
     rng = np.random.default_rng(2)
-    for n in range(1, 6):
-        cost = rng.integers(0, 50, (n, n + 2)).astype(float)
-        got = matching.assign_costs(cost)
-        best = min(sum(cost[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(n + 2), n))
-        assert len(set(got.tolist())) == n and cost[np.arange(n), got].sum() == best
-
-
-def test_pairs_give_the_same_optimum_as_a_matrix():
-    rng = np.random.default_rng(4)
-    for _ in range(60):
-        n, m = rng.integers(1, 25, 2)
-        cost = np.where(rng.random((n, m)) < 0.2, rng.integers(0, 50, (n, m)), 10**6)
-        pairs = [{j: int(c) for j, c in enumerate(r) if c < 10**6} for r in cost]
+    for _ in range(150):
+        n, m = rng.integers(1, 6, 2)
+        cost = np.where(rng.random((n, m)) < 0.6, rng.integers(0, 50, (n, m)), -1)
+        pairs = [{j: int(c) for j, c in enumerate(r) if c >= 0} for r in cost]
         got = matching.assign_pairs(pairs)
-        full = matching.assign_costs(np.hstack([cost, np.full((n, n), 10**6)]).astype(float))
         linked = [(i, j) for i, j in enumerate(got) if j is not None]
-        other = [(i, j) for i, j in enumerate(full.tolist()) if j < m and cost[i, j] < 10**6]
-        assert len({j for _, j in linked}) == len(linked) == len(other)
-        assert sum(pairs[i][j] for i, j in linked) == sum(pairs[i][j] for i, j in other)
+        assert len({j for _, j in linked}) == len(linked) and all(j in pairs[i] for i, j in linked)
+        tries = itertools.product(*[[None, *p] for p in pairs])
+        links = [[(i, j) for i, j in enumerate(c) if j is not None] for c in tries]
+        best = min((-len(t), sum(pairs[i][j] for i, j in t)) for t in links if len({j for _, j in t}) == len(t))
+        assert (-len(linked), sum(pairs[i][j] for i, j in linked)) == best
 
 
 def test_a_large_component_keeps_its_links(spark):
-    n = matching.MAX_COMPONENT + 50
+    n = 450
     rows = [("m", f"b{i:04}", f"s{j:04}", 0.9 if i == j else 0.6, False) for i in range(n) for j in (i, i + 1) if j < n]
     cands = spark.createDataFrame(rows, "merchant_id string, bank_txn_id string, settlement_id string, probability double, utr_hit boolean").repartition(2)
     # the real labels need a round a step of the chain
@@ -131,6 +123,34 @@ def test_a_large_component_keeps_its_links(spark):
     assert got == {f"b{i:04}": f"s{i:04}" for i in range(n)}
 
 
+@pytest.mark.parametrize(("residue", "inside"), [(99, True), (100, True), (-100, True), (101, False), (-101, False), (10_000, False)])
+def test_tolerance_is_one_rupee(spark, residue, inside):
+    row = spark.createDataFrame([(residue, None, None, False, False, False, False, False, False)], "residue bigint, attribution_refusal string, partition_refusal string, ambiguous boolean, unmatched boolean, refunds_explain boolean, chargebacks_explain boolean, reserves_explain boolean, fee_variance boolean")
+    assert row.select(investigate.label().alias("l")).first().l == ("timing_offset" if inside else "unexplained")
+    pairs = spark.createDataFrame([(5000 + residue, 5000, "U", ["U"], False, 0.0, "U", 0, D, D, False)], "amount_paise bigint, net bigint, utr string, candidates array<string>, utr_hit boolean, repair_confidence double, canon string, banking_days int, value_date date, settle_date date, instant boolean")
+    assert matching.features(pairs).first().f_delta_within_tolerance == float(inside)
+
+
+def test_closest_credits_against_all_pairs(spark):
+    rng = random.Random(6)
+    day = lambda n: dt.date(2025, 11, 3) + dt.timedelta(days=n)
+    cal = spark.createDataFrame([(day(n), False, n) for n in range(-10, 30)], "d date, holiday boolean, ord int")
+    bank = [("m", f"b{i:02}", rng.choice([-5, 10, 10, 20, 25, 40, 90]), day(rng.randrange(12))) for i in range(40)]
+    sets = [("m", f"s{i}", rng.choice([5, 10, 15, 22, 60, 200]), day(rng.randrange(14))) for i in range(25)]
+    got = {r.settlement_id: (r.n_in_window, r.closest) for r in investigate.closest_credits(spark.createDataFrame(sets, "merchant_id string, settlement_id string, net bigint, settle_date date"), spark.createDataFrame(bank, "merchant_id string, bank_txn_id string, amount_paise bigint, value_date date"), cal).collect()}
+    for _, s, net, at in sets:
+        near = [(abs(a - net), b) for _, b, a, d in bank if a > 0 and abs((d - at).days) <= 3]
+        assert got.get(s) == ((len(near), min(near)[1]) if near else None)
+
+
+def test_nearest_run_date(spark):
+    day = lambda n: dt.date(2025, 11, n)
+    runs = spark.createDataFrame([("m", day(n)) for n in (4, 8, 9)], "merchant_id string, settle_date date")
+    adj = spark.createDataFrame([("m", n, day(n)) for n in (1, 4, 5, 6, 7, 8, 20)] + [("z", 5, day(5))], "merchant_id string, id int, due_date date")
+    got = {(r.merchant_id, r.id): r.settle_date.day for r in adjustments.attach_dates(adj, runs).collect()}
+    assert got == {("m", 1): 4, ("m", 4): 4, ("m", 5): 4, ("m", 6): 4, ("m", 7): 8, ("m", 8): 8, ("m", 20): 9}
+
+
 def exception(seq, label, residue, conf, value=50_000_000, ambiguous=False, day=D):
     return ("m", seq, f"s{seq}", None, residue, value, label, conf, ambiguous, day, f"k{seq}", "", "escalate")
 
@@ -164,3 +184,16 @@ def test_merchants_never_meet(spark):
     b = batches(spark, [100]).unionByName(batches(spark, [250], "n"))
     got = {(r.merchant_id, r.payment_id, r.settlement_id) for r in netting.ordered_blocks(p, b).collect()}
     assert got == {("m", "p000", "s0"), ("n", "p000", "s0")}
+
+
+def test_reconcile_gives_all_tables(spark):
+    from reconweave.plans.reconcile import reconcile
+    from reconweave.sources.derive import Entities
+
+    t = Entities(spark, "/root/testdata/sf0.001")
+    out = reconcile(t)
+    n = {name: df.count() for name, df in out.items()}
+    assert n["decomposition"] == 13 * t["settlement"].count() and n["payment_link"] > 0 and n["exception"] > 0
+    assert out["totals"].agg(F.sum("exceptions")).first()[0] == n["exception"]
+    assert out["bank_link"].groupBy("merchant_id", "settlement_id").count().where("count > 1").isEmpty()
+    assert out["bank_link"].groupBy("merchant_id", "bank_txn_id").count().where("count > 1").isEmpty()

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from reconweave.sources import ingest
 
 HEADER = "payment_id,order_id,amount,method,status,created_at_ist"
@@ -45,3 +47,39 @@ def test_report_and_cut_lines(spark):
     v = ingest.validate(lines(spark, rows), "payments")
     assert ingest.report(v).first().outcome == "MALFORMED_AMOUNT"
     assert len(ingest.rejects(v).first().raw_line) == 401
+
+
+def test_refused_files_leave_a_row(spark):
+    head = HEADER.encode()
+    files = spark.createDataFrame(
+        [("m", "a", bytearray(b"")), ("m", "b", bytearray(head + b"\n\xff")), ("m", "c", bytearray(b"id\n1")), ("z", "d", bytearray(head)), ("m", "e", bytearray(b"\xef\xbb\xbf" + head.upper() + b"\r\np1,o1,1.00,upi,captured,2025-12-01\r\n")), ("m", "f", None)],
+        "merchant_id string, file string, content binary",
+    )
+    out = ingest.ingest(files, "payments", spark.createDataFrame([("m",)], "merchant_id string"))
+    assert {r.file: r.reject_reason for r in out["rejects"].collect()} == {"a": "EMPTY_FILE", "b": "NOT_UTF8", "c": "BAD_HEADER", "d": "UNKNOWN_MERCHANT", "f": "EMPTY_FILE"}
+    assert [r.payment_id for r in out["accepted"].collect()] == ["p1"]
+    report = {r.file: (r.refusal, r.seen, r.accepted) for r in out["report"].collect()}
+    assert len(report) == 6 and report["e"] == (None, 1, 1) and report["c"] == ("BAD_HEADER", 0, 0)
+
+
+def test_open_quotes_and_details(spark):
+    v = ingest.validate(lines(spark, ['p1,o1,1.00,upi,captured,2025-12-01"', 'p2,"o""2",1.00,upi,captured,2025-12-01', "p2,o,1.00,upi,captured,2025-12-01", "p3,o,x,upi,captured,2025-12-01"]), "payments")
+    got = {r.line_no: (r.reject_reason, r.detail) for r in v.collect()}
+    assert got[3] == (None, None) and got[4] == ("DUPLICATE_IN_FILE", "same id as line 3") and got[5] == ("MALFORMED_AMOUNT", "amount: x")
+    assert got[2][0] in ("INVALID_DATE", "UNPARSEABLE")
+
+
+def test_runs_count_only_when_committed(spark, tmp_path):
+    from reconweave.sources import sinks
+
+    df = spark.createDataFrame([("m", 1), ("n", 2)], "merchant_id string, x int")
+    sinks.save_run({"a": df, "b": df}, str(tmp_path), "r1")
+    df.write.partitionBy("merchant_id").parquet(str(tmp_path / "a" / "run_id=r2"))
+    assert sinks.read_run(spark, str(tmp_path), "a", "r1").count() == 2
+    with pytest.raises(ValueError, match="not committed"):
+        sinks.read_run(spark, str(tmp_path), "a", "r2")
+    sinks.save_run({"a": df.limit(1), "b": df}, str(tmp_path), "r1")
+    assert sinks.read_run(spark, str(tmp_path), "a", "r1").count() == 1
+    more = spark.createDataFrame([("m", 9), ("o", 3)], "merchant_id string, x int")
+    assert {tuple(r) for r in sinks.upsert(df, more, ["merchant_id"]).collect()} == {("m", 9), ("n", 2), ("o", 3)}
+    assert {tuple(r) for r in sinks.absent(more, df, ["merchant_id"], ["x"]).collect()} == {("o", 3)}

@@ -26,3 +26,16 @@ def test_auc_counts_ties_half(spark):
     df = spark.createDataFrame([(0.5, 1.0), (0.5, 0.0), (0.2, 0.0), (0.9, 1.0)], "probability double, label double")
     assert scorer.auc(df).first().auc == pytest.approx((1 + 1 + 1 + 0.5) / 4)
     assert scorer.auc(df.where("label = 0")).first().auc is None
+
+
+def test_saved_models_give_the_same_scores(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(float(y), s, *[rng.gauss(2.0 * y, 1.0) for _ in FEATURES]) for s in ("train", "dev") for y in (0, 1) for _ in range(40)]
+    df = spark.createDataFrame(rows, ["label", "split", *[f"f_{n}" for n in FEATURES]])
+    probability = scorer.trained(df, str(tmp_path))
+    again = scorer.load(str(tmp_path))
+    key = lambda d: sorted(r.probability for r in d.collect())
+    assert key(probability(df)) == key(again(df)) and scorer.auc(probability(df)).first().auc > 0.9
+    with pytest.raises(Exception, match="f_"):
+        again(df.drop("f_same_day")).count()
+    assert scorer.trained(df.where("label = 0")) is None
