@@ -1,22 +1,27 @@
 """Licence scan: Dice coefficient of word bigrams between pieces of a text and licence templates.
 
-A text is compared at three grains: each sentence or line, each block between
-blank lines, and the whole. A piece and a template are normalised alike (lower
-case, everything but a-z and 0-9 as one space) and become sets of word
-bigrams. With a and b their sizes, Dice 2c / (a + b) can reach ``t`` only if
-a lies between b t / (2 - t) and b (2 - t) / t: pieces outside the bounds of
-all templates are dropped before the join, and each (piece, template) outside
-its own bounds in it. The threshold also means that a match holds one of a few
-anchor words (see ``anchor_words``): texts and pieces without any of them are
-passed over by one regular expression, which loses no match. Common bigrams are counted by a
-hash join with the templates' bigrams, a table of fixed size.
+A text is compared at four grains: each sentence or line, each block between
+blank lines, the whole, and windows of a template's length laid over the words
+so that an anchor word stands where the template has it. So neither line breaks
+nor what stands around a notice decide whether it is found. A piece and a
+template are normalised alike (lower case, everything but a-z and 0-9 as one
+space) and become sets of word bigrams. With a and b their sizes, Dice
+2c / (a + b) can reach ``t`` only if a lies between b t / (2 - t) and
+b (2 - t) / t: pieces outside the bounds of all templates are dropped before
+the join, and each (piece, template) outside its own bounds in it. The
+threshold also means that a match holds one of a few anchor words (see
+``anchor_words``): texts and pieces without any of them are passed over by one
+regular expression, which loses no match. Common bigrams are counted by a hash
+join with the templates' bigrams, a table of fixed size.
 
 Only built-in functions are used.
 
 Edge cases: a null or empty text has no licence; a null doc_id is carried;
-repeated rows give repeated results, and rows that share a doc_id share their licences; pieces of one word have no bigram and
-match nothing; a piece takes its best template, the first in the alphabet of equal ones; an empty
-table gives no rows; further columns are ignored.
+each row has its own licences, also where rows share a doc_id; repeated rows
+give repeated results; a very long text is scanned whole; pieces of one word
+have no bigram and match nothing; a piece takes its best template, the first in
+the alphabet of equal ones; a template that is part of another one found in the
+text is not named; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,7 +65,7 @@ def template_rows(templates: dict[str, str], threshold: float) -> list[tuple[str
     """(template, bigrams, least and most bigrams of a candidate, bigram), one row per distinct bigram."""
     rows = []
     for name, text in sorted(templates.items()):
-        words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+        words = _words(text)
         pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
         n, scale = len(pairs), round(threshold * 1000)
         least, most = -(-n * scale // (2000 - scale)), n * (2000 - scale) // scale
@@ -88,6 +93,25 @@ def anchor_words(rows: list[tuple[str, int, int, int, str]], threshold: float) -
     return sorted(anchors)
 
 
+def _words(text: str) -> list[str]:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).split()
+
+
+def window_rows(templates: dict[str, str], anchors: list[str]) -> list[tuple[str, int, int]]:
+    """(anchor, its place in a template, words of the template), from 0, each once."""
+    rows = set()
+    for text in templates.values():
+        words = _words(text)
+        rows |= {(w, i, len(words)) for i, w in enumerate(words) if w in anchors}
+    return sorted(rows)
+
+
+def contained(templates: dict[str, str]) -> list[tuple[str, str]]:
+    """(template, another one whose words hold its words side by side)."""
+    flat = {n: f" {' '.join(_words(t))} " for n, t in templates.items()}
+    return [(a, b) for a in sorted(flat) for b in sorted(flat) if a != b and flat[a] in flat[b]]
+
+
 def template_table(spark: SparkSession, templates: dict[str, str], threshold: float) -> DataFrame:
     """The rows of ``template_rows`` as a table."""
     quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
@@ -104,44 +128,58 @@ def pieces(text: Column) -> Column:
     return F.concat(grain("line", sentences), several, F.array(F.struct(F.lit("text").alias("grain"), text.alias("piece"))))
 
 
+def windows(texts: DataFrame, rows: list[tuple[str, int, int]]) -> DataFrame:
+    """(uid, at, w): windows over the words ``w`` of each text that put an anchor where a template has it; ``at`` below 0."""
+    places: dict[str, list[tuple[int, int]]] = {}
+    for word, place, n in rows:
+        places.setdefault(word, []).append((place, n))
+    spots = lambda xs: F.array(*[F.struct(F.lit(p).alias("place"), F.lit(n).alias("n")) for p, n in xs])
+    table = F.create_map(*[x for w, xs in places.items() for x in (F.lit(w), spots(xs))])
+    seen = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("i"))), lambda s: s["word"].isin(*places))
+    starts = F.flatten(F.transform(seen, lambda s: F.transform(F.element_at(table, s["word"]), lambda p: F.struct(F.greatest(s["i"] - p["place"], F.lit(0)).alias("start"), p["n"].alias("n")))))
+    cut = F.transform(F.array_distinct(starts), lambda s: F.slice("w", s["start"] + 1, s["n"]))
+    return texts.select("uid", F.posexplode(cut).alias("i", "w")).select("uid", (-1 - F.col("i")).alias("at"), "w")
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, licenses (comma-joined templates found), best, best_score, n_licenses."""
     spark = docs.sparkSession
-    table = template_table(spark, templates or TEMPLATES, threshold)
-    rows = template_rows(templates or TEMPLATES, threshold)
+    templates = templates or TEMPLATES
+    table = template_table(spark, templates, threshold)
+    rows = template_rows(templates, threshold)
+    anchors = anchor_words(rows, threshold)
     low, high = min(r[2] for r in rows), max(r[3] for r in rows)
     scale = round(threshold * 1000)
-    anchored = f"(?<![a-z0-9])(?:{'|'.join(anchor_words(rows, threshold))})(?![a-z0-9])"
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    anchored = f"(?<![a-z0-9])(?:{'|'.join(anchors)})(?![a-z0-9])"
+    # a row is counted under an id of its own; its result goes to all rows of equal doc_id and text
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    texts = marked.withColumn("uid", F.struct(F.monotonically_increasing_id().alias("n"), "doc_id", "mark"))
     # a word that counts as such once normalised may stand beside a letter that does not: boundaries are those of a-z and 0-9
     texts = texts.where(F.lower("text").rlike(anchored))
-    parts = texts.select("uid", "doc_id", F.posexplode(pieces(F.col("text"))).alias("at", "p")).select("uid", "doc_id", "at", "p.piece")
+    flat = lambda x: F.split(F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")), " ")
+    parts = texts.select("uid", F.posexplode(pieces(F.col("text"))).alias("at", "p")).select("uid", "at", "p.piece")
     # low bigrams take a word more, of one character at least, and as many spaces
     parts = parts.where((F.length("piece") >= 2 * low + 1) & F.lower("piece").rlike(anchored))
-    words = parts.select("uid", "doc_id", "at", F.split(F.trim(F.regexp_replace(F.lower("piece"), "[^a-z0-9]+", " ")), " ").alias("w"))
+    words = parts.select("uid", "at", flat(F.col("piece")).alias("w")).unionByName(windows(texts.select("uid", flat(F.col("text")).alias("w")), window_rows(templates, anchors)))
     # distinct bigrams may be fewer than words, so only the lower bound holds for words; the upper one for their bigrams
     words = words.where(F.size("w") > low)
     shorter = F.size("w") - 1
     bigrams = F.array_distinct(F.zip_with(F.slice("w", 1, shorter), F.slice("w", 2, shorter), lambda a, b: F.concat_ws(" ", a, b)))
-    sets = words.select("uid", "doc_id", "at", bigrams.alias("b")).withColumn("n", F.size("b")).where(F.col("n").between(low, high))
-    common = sets.select("uid", "doc_id", "at", "n", F.explode("b").alias("bigram")).join(F.broadcast(table), "bigram").where(F.col("n").between(F.col("least"), F.col("most")))
-    counted = common.groupBy("uid", "doc_id", "at", "n", "template", "n_template").agg(F.count("*").alias("c"))
+    sets = words.select("uid", "at", bigrams.alias("b")).withColumn("n", F.size("b")).where(F.col("n").between(low, high))
+    common = sets.select("uid", "at", "n", F.explode("b").alias("bigram")).join(F.broadcast(table), "bigram").where(F.col("n").between(F.col("least"), F.col("most")))
+    counted = common.groupBy("uid", "at", "n", "template", "n_template").agg(F.count("*").alias("c"))
     hits = counted.where(F.col("c") * 2000 >= scale * (F.col("n") + F.col("n_template")))
     dice = F.round(2 * F.col("c") / (F.col("n") + F.col("n_template")), 6)
     # of templates close to one another a piece takes the nearest
-    nearest = hits.groupBy("uid", "doc_id", "at").agg(F.min(F.struct((-dice).alias("score"), "template")).alias("best"))
-    scored = nearest.groupBy("doc_id", "best.template").agg((-F.min("best.score")).alias("score"))
-    best = F.array_min(F.collect_list(F.struct((-F.col("score")).alias("score"), "template")))
-    found = durable(
-        scored.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("template")), ",").alias("licenses"), best.alias("best"), F.count("*").alias("n_licenses")),
-        "licenses",
-    )
-    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
-    out = ids.join(small(found, 64), F.col("id").eqNullSafe(F.col("doc_id")), "left")
-    return out.select(
-        F.col("id").alias("doc_id"),
-        "licenses",
-        F.col("best.template").alias("best"),
-        (-F.col("best.score")).alias("best_score"),
-        F.coalesce("n_licenses", F.lit(0)).cast("long").alias("n_licenses"),
-    )
+    nearest = hits.groupBy("uid", "at").agg(F.min(F.struct((-dice).alias("score"), "template")).alias("best"))
+    scored = nearest.groupBy("uid", "best.template").agg(F.min("best.score").alias("score"))
+    found = scored.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("score", "template"))).alias("all"))
+    found = found.groupBy("uid.doc_id", "uid.mark").agg(F.first("all").alias("all"))
+    names = F.transform("all", lambda x: x["template"])
+    for part, whole in contained(templates):
+        inside = F.array_contains(names, part) & F.array_contains(names, whole)
+        without = F.expr(f"filter(all, x -> x.template <> '{part}')")
+        found = found.withColumn("all", F.when(inside, without).otherwise(F.col("all")))
+    found = durable(found.select(F.col("doc_id").alias("__doc_id"), F.col("mark").alias("__mark"), F.array_join(F.array_sort(names), ",").alias("licenses"), F.get("all", 0).alias("best"), F.size("all").cast("long").alias("n_licenses")), "licenses")
+    out = marked.select("doc_id", "mark").join(small(found, 112), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("mark") == F.col("__mark")), "left")
+    return out.select("doc_id", "licenses", F.col("best.template").alias("best"), (-F.col("best.score")).alias("best_score"), F.coalesce("n_licenses", F.lit(0)).cast("long").alias("n_licenses"))

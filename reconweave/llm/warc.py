@@ -9,7 +9,9 @@ others revisit it, without a payload of their own.
 
 Reading sorts the index rows of the selected records by archive and offset and
 coalesces neighbours into ranges of at most ``RANGE_BYTES``, skipping gaps of
-over ``GAP_BYTES``; each range is one read.
+over ``GAP_BYTES``; each range is one read. Index rows are small while each
+stands for a read, so tasks are dealt by the summed lengths: as many ranges of
+(archive, offset) as ``TASK_BYTES`` need, which also split an archive.
 
 Archives go through pyarrow's file systems, so the shared folder can be local,
 HDFS or an object store.
@@ -17,8 +19,8 @@ HDFS or an object store.
 Edge cases: a null or empty html has an empty payload; a null url is written
 as an empty target; a null page_id sorts before all others and is written as
 "-"; rows that repeat page_id and html are written as often as they occur, under
-one record id; an empty table gives no archives and no rows; further
-columns are ignored.
+one record id; a very long page is one record and one read; an empty table
+gives no archives and no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +35,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconweave.llm.common import durable, shared_dir, small
+from reconweave.llm.common import durable, map_batches, shared_dir, small
 
 LEAST_BYTES = 1000
 ARCHIVE_BYTES = 256 << 20
 RANGE_BYTES, GAP_BYTES = 4 << 20, 64 << 10
+#: Bytes of archives that a task reads, about.
+TASK_BYTES = 8 << 20
 #: The date of all records: results do not depend on when they are written.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -145,7 +149,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
             if out is not None:
                 out.close()
 
-    index = durable(rows.select("page_id", "url", "payload", "sha1", "first_id", "response_id").mapInArrow(write, INDEX + ", response_id string"), "index")
+    index = durable(map_batches(rows.select("page_id", "url", "payload", "sha1", "first_id", "response_id"), write, INDEX + ", response_id string"), "index")
     return index.withColumn("archive", F.concat(F.lit(folder + "/"), "archive"))
 
 
@@ -192,8 +196,11 @@ def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
         if opened is not None:
             opened[1].close()
 
-    ordered = selected.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
-    return ordered.mapInArrow(read, RECORDS)
+    wanted = selected.select("archive", "offset", "length")
+    total = wanted.agg(F.sum("length")).first()[0] or 0
+    # a stated number of partitions is one that adaptive execution leaves alone
+    ordered = wanted.repartitionByRange(-(-total // TASK_BYTES) or 1, "archive", "offset").sortWithinPartitions("archive", "offset")
+    return map_batches(ordered, read, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
