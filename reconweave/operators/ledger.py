@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,31 +27,46 @@ def entries(decided: DataFrame) -> DataFrame:
     )
 
 
+CHAIN = "merchant_id string, seq long, idempotency_key string, prev_hash string, hash string"
+
+
+def _fold(batches: Iterator) -> Iterator:
+    """Chain rows that come merchant by merchant in order, with the end of each merchant's chain so far; only that end is held."""
+    import pyarrow as pa
+
+    merchant, seq, end = None, 0, ""
+    names = ["merchant_id", "idempotency_key", "canon", "last_seq", "last_hash"]
+    for batch in batches:
+        out = []
+        for m, key, canon, last_seq, last_hash in zip(*(batch[n].to_pylist() for n in names), strict=True):
+            if m != merchant:
+                merchant, seq, end = m, last_seq, last_hash
+            before, seq = end, seq + 1
+            end = hashlib.sha256((before + canon).encode()).hexdigest()
+            out.append((m, seq, key, before, end))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["merchant_id", "seq", "idempotency_key", "prev_hash", "hash"])
+
+
 def append(ledger: DataFrame | None, new: DataFrame) -> DataFrame:
     """New rows as chained ledger rows per merchant, after the ledger's last; keys already there, or repeated, add nothing.
 
-    Each hash needs the one before, so a merchant's new rows are one fold, over
-    hashes and keys only; merchants run in parallel.
+    Each hash needs the one before, so a merchant's new rows pass through one
+    task in order, row by row, while merchants run in parallel.
     """
     first = Window.partitionBy("merchant_id", "idempotency_key").orderBy("exception_seq")
     rows = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     if ledger is not None:
         rows = rows.join(ledger.select("merchant_id", "idempotency_key"), ["merchant_id", "idempotency_key"], "left_anti")
-    digest = rows.withColumn("canon", canonical())
-    lists = digest.groupBy("merchant_id").agg(F.array_sort(F.collect_list(F.struct("exception_seq", "idempotency_key", "canon"))).alias("xs"))
+    line = rows.select("merchant_id", "exception_seq", "idempotency_key", canonical().alias("canon"))
     if ledger is None:
-        lists = lists.withColumns({"last_seq": F.lit(0).cast("long"), "last_hash": F.lit(GENESIS)})
+        line = line.withColumns({"last_seq": F.lit(0).cast("long"), "last_hash": F.lit(GENESIS)})
     else:
         ends = ledger.groupBy("merchant_id").agg(F.max("seq").alias("last_seq"), F.max_by("hash", "seq").alias("last_hash"))
-        lists = lists.join(ends, "merchant_id", "left").withColumns({"last_seq": F.coalesce("last_seq", F.lit(0)), "last_hash": F.coalesce("last_hash", F.lit(GENESIS))})
-    start = F.struct(F.col("last_seq").alias("seq"), F.col("last_hash").alias("hash"), F.array().cast("array<struct<seq:bigint,idempotency_key:string,prev_hash:string,hash:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        h = F.sha2(F.concat(s["hash"], x["canon"]), 256)
-        row = F.struct((s["seq"] + 1).alias("seq"), x["idempotency_key"].alias("idempotency_key"), s["hash"].alias("prev_hash"), h.alias("hash"))
-        return F.struct((s["seq"] + 1).alias("seq"), h.alias("hash"), F.array_append(s["out"], row).alias("out"))
-
-    chain = lists.select("merchant_id", F.explode(F.aggregate("xs", start, step)["out"]).alias("c")).select("merchant_id", "c.*")
+        line = line.join(ends, "merchant_id", "left").withColumns({"last_seq": F.coalesce("last_seq", F.lit(0)), "last_hash": F.coalesce("last_hash", F.lit(GENESIS))})
+    line = line.repartition("merchant_id").sortWithinPartitions("merchant_id", "exception_seq", "idempotency_key")
+    chain = line.select("merchant_id", "idempotency_key", "canon", "last_seq", "last_hash").mapInArrow(_fold, CHAIN)
     return chain.join(rows, ["merchant_id", "idempotency_key"]).select("merchant_id", "seq", *FIELDS, "prev_hash", "hash")
 
 
@@ -68,3 +86,8 @@ def summary(verified: DataFrame) -> DataFrame:
     return verified.groupBy("merchant_id").agg(
         F.count("*").alias("n_rows"), bad("link_ok").alias("broken_links"), bad("content_ok").alias("altered"), bad("verifiable").alias("unverifiable"), F.max_by("hash", "seq").alias("head"),
     )
+
+
+def verify_ledger(ledger: DataFrame) -> DataFrame:
+    """Rows, breaks and head of each merchant's chain, links and contents checked."""
+    return summary(verify(ledger))

@@ -101,11 +101,13 @@ def repairs(rows: DataFrame, settlement: DataFrame) -> DataFrame:
     exact = cand.join(known.withColumn("cand", F.col("utr")), ["merchant_id", "cand"]).select(*keys, "utr", F.lit(1).alias("n"), F.lit("exact").alias("method"), F.lit(1.0).alias("confidence"))
     respaced = cand.withColumn("flat", F.regexp_replace("cand", r"\s", "")).where("flat <> cand").join(known.withColumn("flat", F.col("utr")), ["merchant_id", "flat"])
     respaced = respaced.select(*keys, "utr", F.lit(1).alias("n"), F.lit("despaced").alias("method"), F.lit(0.98).alias("confidence"))
-    head = lambda x: F.substring(x, 1, 8)
+    # each reference stands under all its beginnings of eight signs or more, so that equal beginnings meet by an equi-join, whatever the bank's prefix
+    begun = known.select("merchant_id", "utr", F.explode(F.when(F.length("utr") >= 8, F.sequence(F.lit(8), F.length("utr")))).alias("n"))
+    begun = begun.select("merchant_id", "utr", F.substring("utr", F.lit(1), F.col("n")).alias("cand"))
     long_enough = cand.where(F.length("cand") >= 8)
-    prefix = long_enough.withColumn("h", head("cand")).join(known.withColumn("h", head("utr")), ["merchant_id", "h"]).where(F.col("utr").startswith(F.col("cand")))
-    folded = long_enough.withColumn("h", head(fold(F.col("cand")))).join(known.withColumn("h", head(fold(F.col("utr")))), ["merchant_id", "h"])
-    folded = folded.where(F.startswith(fold(F.col("utr")), fold(F.col("cand"))) & (differing(F.col("cand"), F.col("utr")).between(1, 3)))
+    prefix = long_enough.join(begun, ["merchant_id", "cand"])
+    folded = long_enough.withColumn("h", fold(F.col("cand"))).join(begun.select("merchant_id", "utr", fold(F.col("cand")).alias("h")), ["merchant_id", "h"])
+    folded = folded.where(differing(F.col("cand"), F.col("utr")).between(1, 3))
     whole = F.length("utr") == F.length("cand")
 
     def unique(hits: DataFrame, method: str, confidence: float) -> DataFrame:
@@ -228,16 +230,23 @@ def greedy(cands: DataFrame) -> DataFrame:
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
-    """(merchant, bank row, label): components of the candidate graph by repeated minima over both sides."""
-    e = written(edges.select("merchant_id", "bank_txn_id", "settlement_id").distinct())
-    labels = e.select("merchant_id", "bank_txn_id").distinct().withColumn("label", F.col("bank_txn_id"))
+    """(merchant, bank row, label): components of the candidate graph by alternating star steps, whose rounds grow with the logarithm of its size; each round is written."""
+    m = "merchant_id"
+    e = written(edges.select(m, F.concat(F.lit("c"), "bank_txn_id").alias("a"), F.concat(F.lit("s"), "settlement_id").alias("b")).distinct())
+    state = None
     while True:
-        side = e.join(labels, ["merchant_id", "bank_txn_id"]).groupBy("merchant_id", "settlement_id").agg(F.min("label").alias("label"))
-        new = e.join(side, ["merchant_id", "settlement_id"]).groupBy("merchant_id", "bank_txn_id").agg(F.min("label").alias("label"))
-        labels = written(new.join(labels.withColumnRenamed("label", "old"), ["merchant_id", "bank_txn_id"]).withColumn("moved", F.col("label") != F.col("old")).drop("old"))
-        if labels.where("moved").isEmpty():
-            return labels.drop("moved")
-        labels = labels.drop("moved")
+        mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64(m, "a", "b"))).first()
+        if mark == state:
+            break
+        state = mark
+        both = e.select(m, F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(m, "b", "a"))
+        low = both.groupBy(m, "u").agg(F.least(F.min("v"), "u").alias("m"))
+        large = both.where("v > u").join(low, [m, "u"]).select(m, "v", "m").distinct()
+        step = large.join(large.groupBy(m, "v").agg(F.min("m").alias("least")), [m, "v"])
+        pairs = F.array(F.struct(F.col("least").alias("a"), F.col("v").alias("b")), F.struct(F.col("least").alias("a"), F.col("m").alias("b")))
+        e = written(step.select(m, F.explode(pairs).alias("e")).select(m, "e.a", "e.b").where("a < b").distinct())
+    stars = e.select(m, F.col("b").alias("node"), F.col("a").alias("label")).union(e.select(m, "a", "a").distinct())
+    return stars.where("node like 'c%'").select(m, F.expr("substring(node, 2)").alias("bank_txn_id"), "label")
 
 
 LINKS = "merchant_id string, bank_txn_id string, settlement_id string, confidence double, source string"
