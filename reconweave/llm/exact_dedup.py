@@ -13,7 +13,8 @@ partial aggregates of their partitions.
 
 Edge cases: a null text counts as empty, and empty texts equal each other; a
 null doc_id sorts last; of rows that repeat both doc_id and text, one is kept;
-an empty table gives no rows; further columns, whatever their names, are ignored.
+a very long text is hashed and compared whole; an empty table gives no rows;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -39,39 +40,32 @@ def normalized(text: Column) -> Column:
 
 
 def golomb_encode(values: np.ndarray) -> tuple[bytes, int]:
-    """Ascending integers as Golomb-coded gaps with a power-of-two parameter; (bytes, parameter's exponent)."""
+    """Ascending integers as Golomb-coded gaps with a power-of-two parameter; (bytes, parameter's exponent).
+
+    All unary heads come first and all remainders after them, each part in
+    whole bytes, so that either is coded and decoded in one step.
+    """
     gaps = np.diff(values, prepend=0).astype(np.uint64)
     mean = max(1.0, float(values[-1]) / len(values)) if len(values) else 1.0
     low = max(0, int(np.log2(mean * np.log(2) + 1)))
-    heads = (gaps >> np.uint64(low)).astype(np.int64)
-    ends = np.cumsum(heads + 1 + low)
-    bits = np.ones(int(ends[-1]) if len(ends) else 0, np.uint8)
-    stops = ends - low - 1
-    bits[stops] = 0
+    stops = np.cumsum((gaps >> np.uint64(low)).astype(np.int64) + 1) - 1
+    heads = np.ones(int(stops[-1]) + 1 if len(stops) else 0, np.uint8)
+    heads[stops] = 0
+    rests = np.empty((len(gaps), low), np.uint8)
     for i in range(low):
-        bits[stops + 1 + i] = (gaps >> np.uint64(low - 1 - i)) & np.uint64(1)
-    return np.packbits(bits).tobytes(), low
+        rests[:, i] = (gaps >> np.uint64(low - 1 - i)) & np.uint64(1)
+    return np.packbits(heads).tobytes() + np.packbits(rests.ravel()).tobytes(), low
 
 
 def golomb_decode(code: bytes, low: int, n: int) -> np.ndarray:
     """The ascending integers of ``golomb_encode``."""
-    bits = np.unpackbits(np.frombuffer(code, np.uint8))
-    zeros = np.flatnonzero(bits == 0)
-    stops = np.empty(n, np.int64)
-    if low == 0:
-        stops[:] = zeros[:n]
-    else:
-        # the first zero at or after a code's start ends its unary head
-        following = np.searchsorted(zeros, np.arange(len(bits) + 1))
-        at, zeros, following = 0, zeros.tolist(), following.tolist()
-        for i in range(n):
-            stop = zeros[following[at]]
-            stops[i] = stop
-            at = stop + 1 + low
-    starts = np.concatenate([[0], stops[:-1] + 1 + low]) if n else stops
-    gaps = (stops - starts).astype(np.uint64) << np.uint64(low)
+    raw = np.frombuffer(code, np.uint8)
+    split = len(raw) - (n * low + 7) // 8
+    stops = np.flatnonzero(np.unpackbits(raw[:split]) == 0)[:n]
+    gaps = (np.diff(stops, prepend=-1) - 1).astype(np.uint64)
+    rests = np.unpackbits(raw[split:], count=n * low).reshape(n, low)
     for i in range(low):
-        gaps |= bits[stops + 1 + i].astype(np.uint64) << np.uint64(low - 1 - i)
+        gaps = (gaps << np.uint64(1)) | rests[:, i].astype(np.uint64)
     return np.cumsum(gaps)
 
 

@@ -152,6 +152,13 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
     return TextModel(languages, counts)
 
 
+# Country domains and the language that most of their pages are in.
+COUNTRY_LANGUAGES = {
+    "ar": "es", "at": "de", "br": "pt", "cl": "es", "cn": "zh", "co": "es", "cz": "cs", "de": "de", "dk": "da", "es": "es", "fi": "fi", "fr": "fr", "gr": "el", "hu": "hu", "ie": "en", "it": "it", "jp": "ja", "kr": "ko",
+    "mx": "es", "nl": "nl", "no": "no", "nz": "en", "pe": "es", "pl": "pl", "pt": "pt", "ro": "ro", "ru": "ru", "se": "sv", "sk": "sk", "th": "th", "tr": "tr", "tw": "zh", "ua": "uk", "uk": "en", "us": "en", "vn": "vi",
+}
+
+
 def language_tag(declared: Column) -> Column:
     """Primary part of a language tag in lower case; blank as null."""
     tag = F.regexp_extract(F.lower(F.trim(declared.cast("string"))), "^([a-z]{2,3})([-_].*)?$", 1)
@@ -232,7 +239,8 @@ def of_pages(pages: DataFrame) -> DataFrame:
     html, url = F.col("html").cast("string"), F.col("url").cast("string")
     host = F.lower(F.regexp_extract(url, "^[a-zA-Z]+://([^/:?#]+)", 1))
     path = F.regexp_extract(F.lower(url), "^[a-z]+://[^/]+/([a-z]{2})(/|$)", 1)
-    country = F.regexp_extract(host, r"\.(de|fr|es|it|nl|pt|pl)$", 1)
+    table = F.create_map(*[F.lit(x) for kv in COUNTRY_LANGUAGES.items() for x in kv])
+    country = table[F.regexp_extract(host, r"\.([a-z]{2})$", 1)]
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), "(?s)<!--.*?-->", " "), "<[^>]*>", " ")
     return pages.select(
         F.col("page_id").cast("long").alias("id"),

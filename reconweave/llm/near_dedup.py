@@ -12,15 +12,21 @@
    every pair across components there, inside numpy tiles that give only the
    links that join components. So each pair that shares a bucket is either
    connected already or tested, and no pair list of a group is written out.
+   A bucket of over ``SPLIT`` classes, as a passage makes that many unlike texts
+   share, is first split by the other bands: its classes meet only where they
+   share a second band as well. So work grows with the bucket's size, not with
+   its square, unless many classes share two bands.
 
 At similarity 0.8 a pair shares none of the 32 bands of 4 with probability
-5e-8; the Bayesian tests add at most ``miss`` per batch.
+5e-8, and only one with 1e-6, which is what splitting can miss at most; the
+Bayesian tests add at most ``miss`` per batch.
 
 Edge cases: a null text is empty; a text without words is linked with nothing;
 one with fewer words than a shingle is a single shingle of all its words; a
-row with null doc_id is linked with nothing and kept; repeated rows are copies;
-an empty table gives no rows; further columns are ignored. doc_id identifies a
-document.
+very long text is hashed in windows and its set held whole by one task; a row
+with null doc_id is linked with nothing and kept; repeated rows are copies; of
+equal choices the smallest doc_id is taken; an empty table gives no rows;
+further columns are ignored. doc_id identifies a document.
 """
 
 from __future__ import annotations
@@ -42,6 +48,8 @@ PAIRS = "a long, b long"
 MISS = 1e-6
 #: Classes of one side of a tile in round two.
 TILE = 500
+#: Classes of a bucket from which it is split by a second band.
+SPLIT = 2000
 
 _seeds = np.random.default_rng(20240229)
 _A = _seeds.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -206,18 +214,39 @@ def components(links: DataFrame) -> DataFrame:
     return stars.union(edges.select("a", "a").distinct())
 
 
-def partners(sig: np.ndarray, label: np.ndarray, band: int, least: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of a bucket the later rows of other labels that are plausible and share no earlier band with it."""
+def partners(sig: np.ndarray, label: np.ndarray, band: int, second: int, least: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a bucket the later rows of other labels that are plausible and share no earlier band with it.
+
+    In a part of a split bucket, where rows share ``second`` too (else -1), they
+    share none between the two either.
+    """
+    before = np.array([i for i in range(max(band, second)) if i != band and (i < band or second >= 0)], np.int64)
     for x in range(len(label) - 1):
         y = x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
         y = y[plausible(np.broadcast_to(sig[x], (len(y), PERMUTATIONS)), sig[y], least)]
-        if band and len(y):
-            earlier = (sig[y, : band * ROWS] == sig[x, : band * ROWS]).reshape(len(y), band, ROWS).all(axis=2).any(axis=1)
+        if len(before) and len(y):
+            bands = sig.reshape(len(sig), BANDS, ROWS)
+            earlier = (bands[y][:, before] == bands[x, before]).all(axis=2).any(axis=1)
             y = y[~earlier]
         if len(y):
             yield x, y
 
 
+def split_buckets(at: DataFrame, reps: DataFrame, split: int) -> DataFrame:
+    """(band, second, key, rep, label): buckets of up to ``split`` classes as they are, larger ones by each other band, parts of one label left out."""
+    whole = at.select("band", F.lit(-1).alias("second"), "key", "rep", "label")
+    large = durable(at.groupBy("key").count().where(F.col("count") > split).select("key"), "large")
+    if large.isEmpty():
+        return whole
+    spread = at.join(small(large, 16), "key").join(reps.select("rep", "sig"), "rep")
+    others = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: j != F.col("band"))
+    parts = F.transform(others, lambda j: F.struct(j.alias("second"), F.xxhash64("key", j, F.substring("sig", j * 4 * ROWS + 1, F.lit(4 * ROWS))).alias("part")))
+    spread = spread.select("band", "rep", "label", F.explode(parts).alias("p")).select("band", "p.second", F.col("p.part").alias("key"), "rep", "label")
+    spread = durable(spread, "spread")
+    mixed = spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return whole.join(small(large, 16), "key", "left_anti").unionByName(spread.join(mixed, "key"))
+
+
 def across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
     """Confirmed links between components that meet in a bucket, at least as many as connect them.
 
@@ -230,7 +259,8 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFra
     at = members.where("n > 2").join(labels, "rep", "left").select("band", "key", "rep", F.coalesce("label", "rep").alias("label"))
     at = durable(at, "labelled")
     mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    sizes = at.join(small(durable(mixed, "mixed"), 16), "key", "left_semi").groupBy("key", "label").count()
+    at = durable(split_buckets(at.join(small(durable(mixed, "mixed"), 16), "key", "left_semi"), reps, SPLIT), "mixed-rows")
+    sizes = at.groupBy("key", "label").count()
     most = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n_all"))
     tiles = lambda n: F.ceil(n / TILE).cast("int")
     most = durable(most.select("key", "main", tiles(F.col("n_main")).alias("mains"), tiles(F.col("n_all") - F.col("n_main")).alias("others")), "buckets")
@@ -244,14 +274,14 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFra
         F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct((-1 - F.least(j, mine)).alias("i"), F.greatest(j, mine).alias("j"))),
     )
     dealt = rows.withColumn("tile", F.explode(F.when(F.col("label") == F.col("main"), main).otherwise(other)))
-    dealt = durable(dealt.select("band", "key", "tile.i", "tile.j", "rep", "label"), "dealt")
+    dealt = durable(dealt.select("band", "second", "key", "tile.i", "tile.j", "rep", "label"), "dealt")
     sig = reps.select("rep", "sig")
 
     def find(table):
         import pyarrow as pa
 
         label, found = table["label"].to_numpy(), np.zeros(table.num_rows, bool)
-        for x, y in partners(_stack(table["sig"]), label, table["band"][0].as_py(), least):
+        for x, y in partners(_stack(table["sig"]), label, table["band"][0].as_py(), table["second"][0].as_py(), least):
             found[x] = True
             found[y] = True
         return table.select(["key", "i", "j", "rep"]).filter(pa.array(found))
@@ -262,7 +292,7 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFra
         rep, label = table["rep"].to_numpy(), table["label"].to_numpy().copy()
         sets = [np.frombuffer(x, np.uint64) for x in table["words"].to_pylist()]
         links = []
-        for x, ys in partners(_stack(table["sig"]), label.copy(), table["band"][0].as_py(), least):
+        for x, ys in partners(_stack(table["sig"]), label.copy(), table["band"][0].as_py(), table["second"][0].as_py(), least):
             for y in ys.tolist():
                 if label[x] != label[y] and similar(sets[x], sets[y], percent):
                     links.append((rep[x], rep[y]))
@@ -270,12 +300,12 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFra
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     tile = ["key", "i", "j"]
-    wanted = durable(dealt.join(sig, "rep").select("band", *tile, "rep", "label", "sig").groupBy(*tile).applyInArrow(find, "key long, i int, j int, rep long"), "wanted")
+    wanted = durable(dealt.join(sig, "rep").select("band", "second", *tile, "rep", "label", "sig").groupBy(*tile).applyInArrow(find, "key long, i int, j int, rep long"), "wanted")
     if wanted.isEmpty():
         return wanted.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     sets = full_sets(wanted.select(F.col("rep").alias("doc_id")).distinct(), docs, k)
     again = dealt.join(wanted, [*tile, "rep"]).join(sig, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
-    return again.select("band", *tile, "rep", "label", "sig", "words").groupBy(*tile).applyInArrow(settle, PAIRS).distinct()
+    return again.select("band", "second", *tile, "rep", "label", "sig", "words").groupBy(*tile).applyInArrow(settle, PAIRS).distinct()
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

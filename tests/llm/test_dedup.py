@@ -72,6 +72,7 @@ def brute_components(rows, k, percent):
 
 def test_shingle_counts():
     texts = ["", "a", "A b", "a b c d", "a b c d e a b c d e", "x\x1fy z", "É é"]
+    texts += ["q" * 600_000 + " " + "é" * 300_000 + " x", " ".join(["ab", "cd", "ef"] * 120_000)]
     for k in (1, 4, 5):
         assert [len(s) for s in near_dedup.shingle_sets(pa.array(texts), k)] == [len(shingles(t, k)) for t in texts]
 
@@ -112,6 +113,39 @@ def test_links_beside_a_smaller_unlike_text(spark):
     assert {r.doc_id: r.component_id for r in got} == component
 
 
+def test_split_buckets_lose_no_link(spark, monkeypatch):
+    rng = random.Random(15)
+    monkeypatch.setattr(near_dedup, "SPLIT", 5)
+    monkeypatch.setattr(near_dedup, "TILE", 7)
+    passage = [f"p{i}" for i in range(120)]
+    rows = []
+    for t in range(90):
+        own = [f"t{t}w{i}" for i in range(70)]
+        for c in range(rng.choice([1, 1, 2])):
+            text = [*passage, *own]
+            for _ in range(c * 2):
+                text[rng.randrange(120, 190)] = f"c{t}"
+            rows.append(" ".join(text))
+    rows = list(enumerate(rows))
+    rng.shuffle(rows)
+    component, _ = brute_components(rows, 4, 80)
+    assert len(set(component.values())) < len(rows)
+    calls = []
+    real = near_dedup.split_buckets
+    monkeypatch.setattr(near_dedup, "split_buckets", lambda *a: calls.append(real(*a)) or calls[-1])
+    got = near_dedup.near_groups(frame(spark, rows), k=4).collect()
+    assert calls and calls[0].where("second >= 0").count() > 0
+    assert {r.doc_id: r.component_id for r in got} == component
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long_text = " ".join(f"w{i % 70001}" for i in range(400_000))
+    rows = [(1, long_text, "x", 1), (2, long_text + " end", "x", 1), (3, "a b c d e", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string, kept long")
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dedup.near_groups(docs, k=4).collect()}
+    assert got == {1: (1, len(shingles(long_text, 4))), 2: (1, len(shingles(long_text + " end", 4))), 3: (3, 2)}
+
+
 def test_near_edges(spark):
     got = near_dedup.near_groups(frame(spark, [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None)])).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == [(1, 1, True), (1, 1, True), (2, 2, True)]

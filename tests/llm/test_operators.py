@@ -1,14 +1,17 @@
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
-from reconweave.llm import language_id, licenses, mixing, pii, quality, sharding, warc
+from reconweave.llm import common,  language_id, licenses, mixing, pii, quality, sharding, warc
 
 EMPTY = "doc_id long, text string, source string, lang string"
 
@@ -121,6 +124,89 @@ def test_pages_evidence(spark):
     assert (r[1].declared, r[1].suffix, r[1].host, r[1].domain, r[1].text.split()) == ("fr-FR", "fr", "www.a.example.de", "example.de", ["le", "mot"])
 
 
+def plain_trigrams(text):
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    x = [b if 97 <= b <= 122 or b >= 128 else 32 for b in low]
+    wrap = lambda v: (v + 2**31) % 2**32 - 2**31
+    return [(wrap((a * 961 + b * 31 + c) * 40503) >> 7) & (language_id.BUCKETS - 1) for a, b, c in zip(x, x[1:], x[2:], strict=False) if (a, b, c) != (32, 32, 32)]
+
+
+def brute_languages(rows):
+    """{row: (language, confidence, text language, kept)} of (text, declared, suffix, host, domain) rows, all of which are trained on."""
+    texts = {t: d for t, d, *_ in reversed(rows) if t and d}
+    size = Counter(texts.values())
+    names = sorted(x for x in size if size[x] >= language_id.LEAST_DOCUMENTS)
+    counts = {x: Counter(g for t, d in texts.items() if d == x for g in plain_trigrams(t)) for x in names}
+    whole = {x: sum(c.values()) + 0.05 * language_id.BUCKETS for x, c in counts.items()}
+    k = len(names) + 1
+    logs = []
+    for t, *_ in rows:
+        grams = plain_trigrams(t or "")
+        scale = min(len(grams), language_id.EVIDENCE) / max(len(grams), 1)
+        own = [scale * sum(math.log((counts[x][g] + 0.05) / whole[x]) for g in grams) for x in names]
+        logs.append((own + [-scale * len(grams) * math.log(language_id.BUCKETS / 2)], len(grams)))
+    host, domain, corpus = defaultdict(lambda: [0.0] * k), defaultdict(lambda: [0.0] * k), [0.0] * k
+    for (_, _, _, h, d), (own, used) in zip(rows, logs, strict=True):
+        if used:
+            z = [math.exp(v - max(own)) for v in own]
+            for i, v in enumerate(z):
+                for sums in (host[h, d], domain[d], corpus):
+                    sums[i] += v / sum(z)
+    flat = [(1 - language_id.OTHER_PRIOR) / (k - 1)] * (k - 1) + [language_id.OTHER_PRIOR]
+    smooth = lambda sums, weight, above: [(v + weight * a) / (sum(sums) + weight) for v, a in zip(sums, above, strict=True)]
+    base = smooth(corpus, language_id.CORPUS_WEIGHT, flat)
+    out = []
+    for (_, declared, suffix, h, d), (own, used) in zip(rows, logs, strict=True):
+        prior = smooth(host[h, d], language_id.HOST_WEIGHT, smooth(domain[d], language_id.DOMAIN_WEIGHT, base)) if (h, d) in host else base
+
+        def told(tag, trust, i):
+            if tag not in names:
+                return 0.0
+            return math.log(0.5) if i == k - 1 else math.log(trust) if names[i] == tag else math.log((1 - trust) / max(1, k - 2))
+
+        joint = [own[i] + math.log(prior[i]) + told(declared, language_id.TRUST_DECLARED, i) + told(suffix, language_id.TRUST_SUFFIX, i) for i in range(k)]
+        label = lambda xs: [*names, "und"][xs.index(max(xs))]
+        sure = 1 / sum(math.exp(v - max(joint)) for v in joint)
+        out.append((label(joint), sure, label(own), label(joint) != "und" and round(sure, 6) >= language_id.SURE) if used else ("und", 0.0, "und", False))
+    return out
+
+
+def test_fusion_against_brute_force(spark):
+    rng = random.Random(13)
+    speech = {"en": "the and of this that with from house water night", "de": "der die und nicht mit haus wasser nacht schön über", "fr": "le la les est une dans pour être où maison eau nuit"}
+    rows = []
+    for i in range(150):
+        lang = rng.choice(["en", "en", "de", "fr"])
+        text = " ".join(rng.choices(speech[lang].split(), k=rng.choice([1, 2, 5, 30]))) + f" {i}"
+        host = rng.choice(["a", "b", "c"])
+        rows.append((text, rng.choice([lang, lang, None, "en", "xx"]), rng.choice([lang, None, "fr"]), host, "d" if host < "c" else "e"))
+    rows += [(None, "en", None, "a", "d"), ("", "de", "de", "a", "d"), ("1 2 3", "fr", "fr", "z", "y"), ("нет да нет да", None, None, "q", "q"), (rows[3][0], *rows[3][1:])]
+    # texts that are declared more than once take the least declaration, as the operator does
+    least = {}
+    for t, d, *_ in rows:
+        if t and d:
+            least[t] = min(d, least.get(t, d))
+    want = brute_languages([(t, d, *rest) for t, d, *rest in rows])
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, text string, declared string, suffix string, host string, domain string").repartition(3)
+    got = {r.id: r for r in language_id.identify(df, sample=10_000).collect()}
+    for i, (language, sure, text_language, kept) in enumerate(want):
+        assert (got[i].language, got[i].text_language, got[i].kept) == (language, text_language, kept), (i, rows[i])
+        assert got[i].confidence == pytest.approx(sure, abs=2e-3)
+
+
+def test_rows_that_share_an_id_are_judged_each_by_itself(spark):
+    rng = random.Random(3)
+    rows = [(None if i % 2 else 7, " ".join(rng.choices("the and of this house water night from".split(), k=20)) + f" {i}", "h", "en") for i in range(40)]
+    rows += [(None, "12 34", "h", "en"), (7, "!!", "h", "en"), (7, None, None, None)]
+    kept = language_id.keep_known_languages(docs(spark, rows)).collect()
+    assert Counter(r.text for r in kept) == Counter(t for _, t, *_ in rows[:40])
+
+
+def test_country_suffixes(spark):
+    page = spark.createDataFrame([(1, "http://x.co.at/", "<p>a"), (2, "http://x.com/", "<p>a"), (3, "http://x.br", "b")], "page_id long, url string, html string")
+    assert {r.id: r.suffix for r in language_id.of_pages(page).collect()} == {1: "de", 2: None, 3: "pt"}
+
+
 # --- mixing
 
 
@@ -200,6 +286,17 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_a_long_page_among_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 2000)
+    rng = random.Random(1)
+    rows = [(i, f"http://h/{i}", "".join(rng.choices("abcdefghij", k=rng.randint(0, 3000)))) for i in range(120)] + [(500, "http://h/long", "x" * 9_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    index = warc.write_archives(pages)
+    records = warc.read_records(index)
+    assert records.rdd.getNumPartitions() > 8
+    assert {(r.page_id, r.payload.decode()) for r in records.collect()} == {(i, h) for i, _, h in rows}
+
+
 def test_damaged_record_is_refused():
     row = {"payload": b"x" * 10, "sha1": hashlib.sha1(b"x" * 10).digest(), "record_type": "response", "page_id": 1, "url": "u", "record_id": "r", "refers_to_record": None}
     raw = warc._record(row)
@@ -310,6 +407,41 @@ def test_forest_separates_junk(spark):
     assert all(r.kept != r.base_failed for r in plain)
 
 
+def plain_score(forest, row):
+    """Mean path of a row, walked node by node, as the score."""
+    total = 0.0
+    for root in forest.roots:
+        node = root
+        while tuple(forest.child[node]) != (node, node):
+            node = forest.child[node][int(row[forest.column[node]] >= forest.value[node])]
+        total += forest.path[node]
+    return 2 ** (-total / len(forest.roots) / forest.unit)
+
+
+def test_scores_and_verdicts_against_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(10, 120))) + rng.choice(["", " ###" * 9, "\nsame line\nsame line"]) for _ in range(150)]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)] + [(5, texts[6], None, None), (700, "wort " * 300_000, None, None), (701, "\n".join(f"l{i} {i * 7} x" for i in range(200_000)), None, None)]
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(0, 150)], "doc_id long, quality int, toxic int")
+    # one of the rows that share doc_id 5 is trained on, so it is left out of the labels
+    labels = labels.where("doc_id <> 5")
+    wide = docs(spark, [(*r, 1, "x") for r in rows], EMPTY + ", n_words long, kept string")
+    forest, threshold = quality.fit(wide.select("doc_id", "text"), labels)
+    got = quality.judge(wide, labels).collect()
+    assert len(got) == len(rows)
+    by_counts = Counter()
+    for i, t, *_ in rows:
+        c = {k: v for k, v in quality.count_rules(pa.array([t])).items()}
+        assert tuple(int(c[k][0]) for k in quality.COUNTS[:5]) == brute_counts(t)
+        failed = bool(quality.base_fails(c)[0])
+        score = plain_score(forest, quality.features(c)[0])
+        by_counts[i, brute_counts(t), failed, round(score, 6), not failed and score <= threshold + 1e-12] += 1
+    assert by_counts == Counter((r.doc_id, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words), r.base_failed, round(r.score, 6), r.kept) for r in got)
+    empty = docs(spark, [])
+    assert quality.judge(empty, labels).count() == 0
+
+
 # --- shards
 
 
@@ -325,6 +457,45 @@ def test_shards(spark):
     assert sharding.shard_documents(docs(spark, []), 24).count() == 0
 
 
+def brute_draw(level, weights, key):
+    def u(child):
+        h = xxhash.xxh64(level.encode(), seed=42).intdigest()
+        h = xxhash.xxh64(child.to_bytes(4, "little"), seed=h).intdigest()
+        if key is not None:
+            h = xxhash.xxh64(key.to_bytes(8, "little", signed=True), seed=h).intdigest()
+        return ((h >> 11) + 0.5) / (1 << 53)
+
+    return min((-math.log(u(c)) / w, c) for c, w in weights.items())[1] if len(weights) > 1 else next(iter(weights))
+
+
+def brute_shard(tree, key):
+    weight = {r: {c: sum(s.values()) for c, s in racks.items()} for r, racks in tree.items()}
+    region = brute_draw("region", {r: sum(w.values()) for r, w in weight.items()}, key)
+    return brute_draw("shard", tree[region][brute_draw("rack", weight[region], key)], key)
+
+
+def test_shards_against_brute_force(spark):
+    rows = [(i * 7919 - 500, "é" * (i % 9), None, None) for i in range(400)] + [(None, None, None, None), (5, "a", None, None), (5, "a", None, None), (6, "z" * 3_000_000, None, None)]
+    tree = sharding.even_tree(24)
+    wide = spark.createDataFrame([(*r, "x", 1) for r in rows], EMPTY + ", shard string, slot long").repartition(3)
+    got = sharding.shard_documents(wide, 24).collect()
+    text = defaultdict(list)
+    for i, t, *_ in rows:
+        text[i].append((t or "").encode())
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["shard"], r["grown_shard"]) == (brute_shard(tree, r["doc_id"]), brute_shard(sharding.grown(tree, 24), r["doc_id"]))
+        assert (r["size"], r["text_crc32"]) in [(len(t) + 8, zlib.crc32(t)) for t in text[r["doc_id"]]]
+
+
+def test_ranks_over_many_buckets(spark):
+    df = spark.createDataFrame([("a" if i % 3 else "b", i % 50) for i in range(1000)], "k string, x long").repartition(4)
+    rows = common.with_rank(df, ["k"], ["x"], per_bucket=37).collect()
+    for k in "ab":
+        own = sorted(r["rank"] for r in rows if r["k"] == k)
+        assert own == list(range(len(own)))
+
+
 def test_growth_inside_a_region_stays_there(spark):
     tree = sharding.even_tree(24)
     heavier = {**tree, 1: {**tree[1], 3: {**tree[1][3], 99: 1.0}}}
