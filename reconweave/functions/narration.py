@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,25 +31,43 @@ def rail(canon: Column) -> Column:
     return out
 
 
-def _found(canon: Column, name: str, pattern: str) -> Column:
-    values = F.regexp_extract_all(canon, F.lit(pattern), F.lit(1))
-    if name == "neft_rtgs_despaced":
-        return F.transform(values, lambda v: F.replace(v, F.lit(" "), F.lit("")))
+def _kept(name: str, values: Column, text: Callable[[Column], Column] = lambda v: v) -> Column:
+    """The matches of a rule that count; ``text`` takes the matched text from an element."""
     if name == "mixed_numeric_damaged":
-        digits = lambda v: F.length(F.regexp_replace(v, "[^0-9]", ""))
-        return F.filter(values, lambda v: (digits(v) >= 8) & (digits(v) < F.length(v)))
+        digits = lambda v: F.length(F.regexp_replace(text(v), "[^0-9]", ""))
+        return F.filter(values, lambda v: (digits(v) >= 8) & (digits(v) < F.length(text(v))))
     return values
 
 
+def _value(name: str, v: Column) -> Column:
+    return F.replace(v, F.lit(" "), F.lit("")) if name == "neft_rtgs_despaced" else v
+
+
+def _found(canon: Column, name: str, pattern: str) -> Column:
+    values = F.regexp_extract_all(canon, F.lit(pattern), F.lit(1))
+    return F.transform(_kept(name, values), lambda v: _value(name, v))
+
+
 def utr_candidates(canon: Column) -> Column:
     """Reference candidates by priority of their shape, each once."""
     return F.array_distinct(F.concat(*[_found(canon, n, p) for n, p in RULES]))
 
 
 def utr_spans(canon: Column) -> Column:
-    """(rule, value, start) of the matches, start from 0 at the value's first occurrence, -1 where it was respaced."""
-    place = lambda v: F.instr(canon, v) - 1
-    return F.concat(*[F.transform(_found(canon, n, p), lambda v, n=n: F.struct(F.lit(n).alias("rule"), v.alias("value"), place(v).alias("start"))) for n, p in RULES])
+    """(field, rule, value, start, end) of every match of every rule, where it stands in the canonical text, from 0, end exclusive.
+
+    A match stands behind the texts between matches and the matches before it.
+    """
+
+    def spans(name: str, pattern: str) -> Column:
+        raw, between = F.regexp_extract_all(canon, F.lit(pattern), F.lit(1)), F.split(canon, pattern, -1)
+        total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + F.length(x))
+        starts = F.transform(raw, lambda v, i: F.struct(v.alias("v"), (total(F.slice(between, 1, i + 1)) + total(F.slice(raw, 1, i))).alias("start")))
+        kept = _kept(name, starts, lambda s: s["v"])
+        span = lambda s: F.struct(F.lit("utr").alias("field"), F.lit(name).alias("rule"), _value(name, s["v"]).alias("value"), s["start"].cast("long").alias("start"), (s["start"] + F.length(s["v"])).cast("long").alias("end"))
+        return F.transform(kept, span)
+
+    return F.concat(*[spans(n, p) for n, p in RULES])
 
 
 def entity_tokens(text: Column) -> Column:

@@ -73,6 +73,25 @@ def ingest_reasons(orders):
     return _ingested(orders)["rejects"].groupBy("file", "reject_reason").agg(F.count("*").alias("n"))
 
 
+@on_table("orders", f"SELECT 'ord_' || CAST(k AS VARCHAR) AS order_id, (k % 1000) * 100 + 50 AS amount FROM ({_SQL_ROWS}) AS r WHERE why IS NULL OR why = 'DUPLICATE_EXISTING'")
+def streamed_ingest(orders):
+    """ST-01, ST-02: the same files taken in by a stream from a folder, half of them again under other names: each id is accepted once."""
+    spark = orders.sparkSession
+    root = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
+    head = F.explode(F.when(F.col("line_no") == 2, F.array(F.lit(_HEADER), "line")).otherwise(F.array("line")))
+    rows = _lines(orders).repartition("file").sortWithinPartitions("file", "line_no").select("file", head.alias("line"))
+
+    def drain() -> None:
+        job = jobs.ingest_stream(jobs.landing_files(spark, f"{root}/in", "m1"), "payments", f"{root}/out", f"{root}/checkpoint")
+        job.awaitTermination()
+
+    rows.write.partitionBy("file").text(f"{root}/in/a")
+    drain()
+    rows.where("crc32(file) % 2 = 0").write.partitionBy("file").text(f"{root}/in/b")
+    drain()
+    return spark.read.parquet(f"{root}/out/accepted").select("order_id", "amount")
+
+
 @on_table(
     "customer",
     """SELECT 'c' || CAST(c_custkey AS VARCHAR) || '.csv' AS file, CASE WHEN c_nationkey = 24 THEN 'UNKNOWN_MERCHANT' WHEN c_custkey % 5 = 0 THEN 'EMPTY_FILE' WHEN c_custkey % 5 = 1 THEN 'NOT_UTF8' WHEN c_custkey % 5 = 2 THEN 'BAD_HEADER' END AS refusal FROM customer""",

@@ -52,11 +52,23 @@ def narration_fields(t):
     return p.select("merchant_id", "bank_txn_id", "canon", "rail", F.array_join("candidates", ",").alias("candidates"), F.array_join("tokens", ",").alias("tokens"))
 
 
-@query()
+def _spans_sql() -> str:
+    parts = []
+    for name, pattern in narration.RULES:
+        value = "replace(v, ' ', '')" if name == "neft_rtgs_despaced" else "v"
+        where = "WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) >= 8 AND length(regexp_replace(v, '[^0-9]', '', 'g')) < length(v)" if name == "mixed_numeric_damaged" else ""
+        at = "CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(vs[1:i - 1], lambda x: length(x))), 0) AS BIGINT)"
+        parts.append(f"""SELECT merchant_id, bank_txn_id, 'utr' AS field, '{name}' AS rule, {value} AS value, start, start + length(v) AS "end" FROM (
+            SELECT merchant_id, bank_txn_id, v, {at} AS start FROM (SELECT merchant_id, bank_txn_id, vs, gaps, unnest(vs) AS v, generate_subscripts(vs, 1) AS i FROM (
+                SELECT merchant_id, bank_txn_id, regexp_extract_all(canon, '{pattern}', 1) AS vs, string_split_regex(canon, '{pattern}') AS gaps FROM parsed) AS a) AS b) AS c {where}""")
+    return " UNION ALL ".join(parts)
+
+
+@query(_spans_sql())
 def narration_spans(t):
-    """FN-12: where each candidate stands and which rule found it."""
+    """FN-12: where each candidate stands in the canonical text and which rule found it."""
     p = matching.parsed(t["bank"]).select("merchant_id", "bank_txn_id", F.explode(narration.utr_spans(F.col("canon"))).alias("s"))
-    return p.select("merchant_id", "bank_txn_id", "s.rule", "s.value", F.col("s.start").cast("long").alias("start"))
+    return p.select("merchant_id", "bank_txn_id", "s.*")
 
 
 # --- fees and batches -------------------------------------------------------------
@@ -365,6 +377,30 @@ _EVIDENCE = f"""
     ) AS e GROUP BY ALL"""
 
 
+@query("SELECT merchant_id, settlement_id, n AS n_payments, CAST(gross AS BIGINT) AS batch_gross, CAST(card AS BIGINT) AS card_paise, n_card, n_upi, n_netbanking, n_wallet, first_card FROM mix")
+def batch_mix(t):
+    """AG-12: methods, gross, card volume and first card payment of each batch."""
+    return investigate.batch_mix(run(t).members, t["payment"], t["rate"]).drop("published_bp", "published_from")
+
+
+@query("SELECT h.merchant_id, h.settlement_id, f.refund_id, f.payment_id, f.amount_paise FROM members h JOIN refund f ON f.merchant_id = h.merchant_id AND f.payment_id = h.payment_id WHERE f.netted")
+def batch_refunds(t):
+    """JN-16: netted refunds of the payments of each batch."""
+    return investigate.in_batches(run(t).members, t["refund"].where("netted")).select("merchant_id", "settlement_id", "refund_id", "payment_id", "amount_paise")
+
+
+@query("SELECT h.merchant_id, h.settlement_id, f.dispute_id, f.payment_id, f.amount_paise, f.fee_paise FROM members h JOIN chargeback f ON f.merchant_id = h.merchant_id AND f.payment_id = h.payment_id")
+def batch_chargebacks(t):
+    """JN-17: disputes of the payments of each batch."""
+    return investigate.in_batches(run(t).members, t["chargeback"]).select("merchant_id", "settlement_id", "dispute_id", "payment_id", "amount_paise", "fee_paise")
+
+
+@query("SELECT s.merchant_id, s.settlement_id, f.reserve_id, f.amount_paise FROM settlement s JOIN reserve f ON f.merchant_id = s.merchant_id AND f.release_date = s.settle_date")
+def batch_reserves(t):
+    """JN-18: reserve entries that are released on the date of a batch."""
+    return investigate.on_run_date(t["settlement"], t["reserve"]).select("merchant_id", "settlement_id", "reserve_id", "amount_paise")
+
+
 @query("SELECT merchant_id, exception_seq, label, conf AS label_confidence, resolution FROM lab")
 def classifications(t):
     """INV-02, INV-06, INV-07: label and resolution of each exception from what its lookups found."""

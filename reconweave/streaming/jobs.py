@@ -14,37 +14,48 @@ from reconweave.operators import ledger as chain
 from reconweave.sources import ingest
 
 
-def landing_lines(spark: SparkSession, folder: str, merchant_id: str) -> DataFrame:
-    """Stream of (merchant_id, file, line_no, line) from text files that land in a folder."""
-    files = spark.readStream.text(folder, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    lines = files.select("file", F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("n", "line"))
-    return lines.select(F.lit(merchant_id).alias("merchant_id"), "file", (F.col("n") + 1).cast("long").alias("line_no"), "line")
+#: Parts of the table of committed ids, of which a micro-batch reads those that its ids fall into.
+ID_BUCKETS = 64
 
 
-def ingest_stream(lines: DataFrame, entity: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Validate each micro-batch against what is committed; append accepted rows and rejects.
+def landing_files(spark: SparkSession, folder: str, merchant_id: str) -> DataFrame:
+    """Stream of (merchant_id, file, content) of the files that land in a folder."""
+    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
+    return files.select(F.lit(merchant_id).alias("merchant_id"), F.col("path").alias("file"), "content")
+
+
+def ingest_stream(files: DataFrame, entity: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Pass each micro-batch through the gates and rules against what is committed; append accepted rows, rejects and ids.
 
     A batch writes under its own number, so a replayed batch overwrites itself.
+    Committed ids are a table of their own by hash, of which only the parts in
+    question are read.
     """
     key = next(iter(ingest.ENTITIES[entity]))
+    bucket = F.pmod(F.xxhash64("merchant_id", key), F.lit(ID_BUCKETS)).cast("int")
 
     def commit(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        accepted = f"{out}/accepted"
-        before = None
-        if number:
-            before = spark.read.option("recursiveFileLookup", False).parquet(accepted).where(F.col("batch") < number).select("merchant_id", key)
-        rows = ingest.validate(batch, entity, before).persist()
+        gated = ingest.gate_files(batch, entity).persist()
+        rows = ingest.validate(ingest.lines_of(gated), entity)
         # one id in two files of a micro-batch: the file first in name order keeps it
         first = rows.where("reject_reason is null").groupBy("merchant_id", key).agg(F.min("file").alias("_first"))
-        rows = rows.join(first, ["merchant_id", key], "left")
-        rows = rows.withColumn("reject_reason", F.when(F.col("reject_reason").isNull() & (F.col("file") != F.col("_first")), "DUPLICATE_EXISTING").otherwise(F.col("reject_reason"))).drop("_first")
-        kept = rows.where("reject_reason is null").drop("reject_reason", "line", "known")
-        kept.write.mode("overwrite").parquet(f"{accepted}/batch={number}")
-        ingest.rejects(rows).write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")
+        rows = rows.join(first, ["merchant_id", key], "left").withColumn("bucket", bucket).persist()
+        known = rows.select("merchant_id", key, "bucket").limit(0)
+        if number:
+            wanted = [r.bucket for r in rows.where("_first is not null").select("bucket").distinct().collect()]
+            known = spark.read.schema(f"merchant_id string, {key} string, batch int, bucket int").parquet(f"{out}/ids").where((F.col("batch") < number) & F.col("bucket").isin(wanted))
+        rows = rows.join(known.select("merchant_id", key, F.lit(True).alias("_known")), ["merchant_id", key], "left")
+        taken = F.col("reject_reason").isNull() & (F.col("_known") | (F.col("file") != F.col("_first")))
+        rows = rows.withColumns({"reject_reason": F.when(taken, "DUPLICATE_EXISTING").otherwise(F.col("reject_reason")), "detail": F.when(taken, F.concat(F.lit("already committed: "), F.col(key))).otherwise(F.col("detail"))})
+        kept = rows.where("reject_reason is null")
+        kept.drop("reject_reason", "detail", "line", "_first", "_known", "bucket").write.mode("overwrite").parquet(f"{out}/accepted/batch={number}")
+        ingest.refused_files(gated).unionByName(ingest.rejects(rows)).write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")
+        kept.select("merchant_id", key, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/ids/batch={number}")
         rows.unpersist()
+        gated.unpersist()
 
-    return lines.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def post_decisions(decided: DataFrame, out: str, number: int) -> DataFrame:

@@ -12,18 +12,19 @@ def test_ingest_stream_commits_each_id_once(spark, tmp_path):
     (landing / "a.csv").write_text("\n".join([HEADER, row("p1"), row("p2"), "p3,o,x,upi,captured,2025-12-01"]))
 
     def drain():
-        q = jobs.ingest_stream(jobs.landing_lines(spark, str(landing), "m"), "payments", out, str(tmp_path / "cp"))
+        q = jobs.ingest_stream(jobs.landing_files(spark, str(landing), "m"), "payments", out, str(tmp_path / "cp"))
         q.awaitTermination(60)
         assert q.exception() is None
 
     drain()
     (landing / "b.csv").write_text("\n".join([HEADER, row("p2"), row("p4")]))
+    (landing / "c.csv").write_bytes(HEADER.encode() + b"\np9,o,\xff,upi,captured,2025-12-01")
     drain()
     drain()
     got = spark.read.parquet(f"{out}/accepted")
     assert sorted(r.payment_id for r in got.collect()) == ["p1", "p2", "p4"]
     bad = spark.read.parquet(f"{out}/rejects")
-    assert sorted(r.reject_reason for r in bad.collect()) == ["DUPLICATE_EXISTING", "MALFORMED_AMOUNT"]
+    assert sorted(r.reject_reason for r in bad.collect()) == ["DUPLICATE_EXISTING", "MALFORMED_AMOUNT", "NOT_UTF8"]
 
 
 def test_rate_flags_on_a_stream(spark, tmp_path):
