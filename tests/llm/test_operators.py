@@ -202,6 +202,22 @@ def test_rows_that_share_an_id_are_judged_each_by_itself(spark):
     assert Counter(r.text for r in kept) == Counter(t for _, t, *_ in rows[:40])
 
 
+def test_language_edges(spark):
+    speech = {"en": "the and of this that with", "de": "der die und nicht mit haus"}
+    rows = [(i, f"{speech['en' if i % 2 else 'de']} {i}", "h", "en" if i % 2 else "de", "x", 1.5) for i in range(20)]
+    rows += [(50, speech["de"] * 60_000, "h", None, "x", 1.5), (51, rows[3][1], "h", "en", "x", 1.5), (52, "zzz", None, None, "x", 1.5)]
+    wide = docs(spark, rows, EMPTY + ", language string, confidence double")
+    got = {r.id: r for r in language_id.identify(language_id.of_documents(wide)).collect()}
+    assert len(got) == len(rows) and got[50].language == "de" and got[50].confidence > 0.99
+    assert (got[51].language, got[51].confidence) == (got[3].language, got[3].confidence)
+    assert language_id.keep_known_languages(wide).columns == wide.columns
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert language_id.identify(language_id.of_pages(pages)).count() == 0
+    # two languages that declare the same texts tie, and the first is taken
+    tied = [(i, f"wort {i // 2}", "h", None if i % 2 else "aa", "x", 1.5) for i in range(12)]
+    assert {r.language for r in language_id.identify(language_id.of_documents(docs(spark, tied, EMPTY + ", language string, confidence double"))).collect()} == {"aa"}
+
+
 def test_country_suffixes(spark):
     page = spark.createDataFrame([(1, "http://x.co.at/", "<p>a"), (2, "http://x.com/", "<p>a"), (3, "http://x.br", "b")], "page_id long, url string, html string")
     assert {r.id: r.suffix for r in language_id.of_pages(page).collect()} == {1: "de", 2: None, 3: "pt"}
@@ -257,6 +273,14 @@ def test_every_document_is_in_the_mixed_order(spark):
     assert all(abs(order[:t].count("hot") - 0.9 * t) < 30 for t in range(0, 601, 50))
 
 
+def test_mix_of_long_texts_and_clashing_columns(spark):
+    rows = [(i, "y" * (5_000_000 if i == 3 else 50), "ab"[i % 2], "en", 1, "s") for i in range(60)]
+    wide = docs(spark, rows, EMPTY + ", slot long, chunk string")
+    out = mixing.mix(wide, period=64, block_bytes=1000).toPandas()
+    assert len(out) == 60 and ((out.slot >= out.release) & (out.slot < out.deadline)).all()
+    assert Counter(map(tuple, mixing.in_order(wide, period=64, block_bytes=1000).collect())) == Counter(rows)
+
+
 def test_given_weights(spark):
     rows = [(i, "y" * 92, "ab"[i % 2], "en") for i in range(400)]
     out = mixing.mix(docs(spark, rows), weights={"a": 3, "b": 1}, period=64, block_bytes=1000).toPandas()
@@ -329,6 +353,13 @@ def brute_scan(text):
     return {n: s for n, s in best.items() if not any(n == a and b in best for a, b in licenses.contained(licenses.TEMPLATES))}
 
 
+def test_licence_edges(spark):
+    notice = licenses.TEMPLATES["mit/notice"]
+    rows = [(1, "x " * 400_000 + notice + " y" * 1000, None, None, "a", 1), (2, notice, None, None, "a", 1), (2, notice, None, None, "a", 1), (None, None, None, None, "a", 1)]
+    got = licenses.scan(docs(spark, rows, EMPTY + ", licenses string, best long")).collect()
+    assert sorted((r.doc_id or 0, r.licenses) for r in got if r.doc_id) == [(1, "mit/notice"), (2, "mit/notice"), (2, "mit/notice")]
+
+
 def test_wrapped_headers_above_code(spark):
     code = "\n".join(f"x{i} = f(y{i}, {i})" for i in range(200))
     rows = []

@@ -25,6 +25,14 @@ def test_ids_equal_the_tokenizers_library():
         assert packing.token_ids([t.encode() for t in texts], packing.vocabulary()) == reference_ids(texts)
 
 
+def test_long_texts_are_cut_between_words(monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 3000)
+    words = ["".join(rng.choices("abcdeé1.", k=rng.randint(1, 9))) for _ in range(500)]
+    texts = [rng.choice([" ", "\n\t "]).join(rng.choices(words, k=n)) for n in (1, 700, 9000)] + ["x" * 20_000, "a " * 9000 + "<|endoftext|> b " + "c " * 9000]
+    assert packing.token_ids([t.encode() for t in texts], packing.vocabulary()) == reference_ids(texts)
+
+
 def test_patterns_use_each_piece_once():
     rng = random.Random(2)
     for _ in range(20):
