@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
-FIELDS = ("actor", "action", "entity_type", "entity_id", "idempotency_key", "score", "verdict", "payload")
+FIELDS = ("actor", "action", "entity_type", "entity_id", "idempotency_key", "score", "verdict", "payload", "canon_ts")
 
 
 def canonical() -> Column:
@@ -23,7 +23,7 @@ def entries(decided: DataFrame) -> DataFrame:
     """Ledger rows of decided exceptions, still unchained."""
     return decided.select(
         "merchant_id", "exception_seq", F.lit("reconweave").alias("actor"), F.lit("resolve_exception").alias("action"), F.lit("settlement").alias("entity_type"),
-        F.coalesce("settlement_id", F.lit("")).alias("entity_id"), "idempotency_key", F.col("label_confidence").cast("double").alias("score"), "verdict", F.concat_ws("|", "label", F.col("residue").cast("string")).alias("payload"),
+        F.coalesce("settlement_id", F.lit("")).alias("entity_id"), "idempotency_key", F.col("label_confidence").cast("double").alias("score"), "verdict", F.concat_ws("|", "label", F.col("residue").cast("string")).alias("payload"), F.col("value_date").cast("string").alias("canon_ts"),
     )
 
 
@@ -67,21 +67,23 @@ def append(ledger: DataFrame | None, new: DataFrame) -> DataFrame:
         line = line.join(ends, "merchant_id", "left").withColumns({"last_seq": F.coalesce("last_seq", F.lit(0)), "last_hash": F.coalesce("last_hash", F.lit(GENESIS))})
     line = line.repartition("merchant_id").sortWithinPartitions("merchant_id", "exception_seq", "idempotency_key")
     chain = line.select("merchant_id", "idempotency_key", "canon", "last_seq", "last_hash").mapInArrow(_fold, CHAIN)
-    return chain.join(rows, ["merchant_id", "idempotency_key"]).select("merchant_id", "seq", *FIELDS, "prev_hash", "hash")
+    return chain.join(rows, ["merchant_id", "idempotency_key"]).select("merchant_id", "seq", *FIELDS, F.col("seq").alias("canon_seq"), "prev_hash", "hash")
 
 
 def verify(ledger: DataFrame) -> DataFrame:
-    """Each row with whether its link and its contents hold."""
+    """Each row with whether its link and its contents hold; a row without the time and number that were hashed is unverifiable, not valid."""
     w = Window.partitionBy("merchant_id").orderBy("seq")
     previous = F.coalesce(F.lag("hash").over(w), F.lit(GENESIS))
     gapless = F.col("seq") == F.coalesce(F.lag("seq").over(w), F.lit(0)) + 1
     out = ledger.withColumn("link_ok", (F.col("prev_hash") == previous) & gapless)
     same = F.sha2(F.concat("prev_hash", canonical()), 256) == F.col("hash")
-    return out.withColumn("verifiable", F.col("hash").isNotNull() & F.col("prev_hash").isNotNull()).withColumn("content_ok", F.coalesce(same, F.lit(False)))
+    whole = F.col("hash").isNotNull() & F.col("prev_hash").isNotNull() & F.col("canon_ts").isNotNull() & F.col("canon_seq").isNotNull()
+    same = same & (F.col("canon_seq") == F.col("seq"))
+    return out.withColumn("verifiable", whole).withColumn("content_ok", ~whole | F.coalesce(same, F.lit(False)))
 
 
 def summary(verified: DataFrame) -> DataFrame:
-    """Rows, breaks and head of each merchant's chain."""
+    """Rows, breaks, unverifiable rows and head of each merchant's chain."""
     bad = lambda c: F.sum((~F.col(c)).cast("long"))
     return verified.groupBy("merchant_id").agg(
         F.count("*").alias("n_rows"), bad("link_ok").alias("broken_links"), bad("content_ok").alias("altered"), bad("verifiable").alias("unverifiable"), F.max_by("hash", "seq").alias("head"),

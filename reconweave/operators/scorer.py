@@ -46,6 +46,17 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.withColumn("raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def of_width(rows: DataFrame, values: str, width: int = len(FEATURES)) -> DataFrame:
+    """Rows with ``accepted``: whether the array of feature values has the right width and no gap; others are not scored."""
+    right = (F.size(values) == width) & ~F.exists(values, lambda v: v.isNull() | F.isnan(v))
+    return rows.withColumn("accepted", F.coalesce(right, F.lit(False)))
+
+
+def from_vectors(rows: DataFrame, values: str) -> DataFrame:
+    """Feature columns from the arrays of accepted rows."""
+    return of_width(rows, values).where("accepted").withColumns({f"f_{n}": F.col(values)[i] for i, n in enumerate(FEATURES)}).drop("accepted", values)
+
+
 def calibrate(dev: DataFrame) -> IsotonicRegressionModel:
     """Isotonic map from raw to calibrated probability, from labelled dev rows."""
     return IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="probability").fit(dev)

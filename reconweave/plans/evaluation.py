@@ -286,6 +286,21 @@ def labelled_pairs(t):
     return rows.select("merchant_id", "bank_txn_id", "settlement_id", (F.col("label") == 1.0).alias("label"), "split")
 
 
+@query(
+    """SELECT merchant_id, bank_txn_id, settlement_id, banking_days::DOUBLE AS f_banking_day_delta, round(probability, 6) AS probability FROM score WHERE length(bank_txn_id) + abs(banking_days) % 2 <> 18"""
+)
+def vector_scores(t):
+    """SC-07, SC-02: scores of feature vectors handed in as arrays; those of a wrong width, here planted, are rejected."""
+    from reconweave.operators.matching import FEATURES, prior
+
+    c = run(t).matched["candidates"]
+    whole = F.array(*[F.col(f"f_{n}").cast("double") for n in FEATURES])
+    wrong = F.length("bank_txn_id") + F.abs("banking_days") % 2 == 18
+    rows = c.select("merchant_id", "bank_txn_id", "settlement_id", F.when(wrong, F.slice(whole, 1, len(FEATURES) - 1)).otherwise(whole).alias("values"))
+    scored = scorer.from_vectors(rows, "values")
+    return scored.select("merchant_id", "bank_txn_id", "settlement_id", "f_banking_day_delta", F.round(prior(scored), 6).alias("probability"))
+
+
 @query()
 def trained_scores(t):
     """SC-03..07, SRC-06: pairs scored by boosted trees trained on the train split, saved, loaded and calibrated on dev; without labels of both kinds, the prior's scores."""

@@ -331,7 +331,7 @@ def _chain() -> str:
         SELECT * FROM (
             WITH RECURSIVE one AS (
                 SELECT *, '{"actor":"reconweave"},{"action":"resolve_exception"},{"entity_type":"settlement"},{"entity_id":"' || coalesce(settlement_id, '') || '"},{"idempotency_key":"' || idempotency_key || '"},{"score":"' || printf('%.6f', conf)
-                          || '"},{"verdict":"' || verdict || '"},{"payload":"' || label || '|' || CAST(CAST(residue AS BIGINT) AS VARCHAR) || '"}' AS canon FROM (
+                          || '"},{"verdict":"' || verdict || '"},{"payload":"' || label || '|' || CAST(CAST(residue AS BIGINT) AS VARCHAR) || '"},{"canon_ts":"' || CAST(value_date AS VARCHAR) || '"}' AS canon FROM (
                     SELECT *, row_number() OVER (PARTITION BY merchant_id, idempotency_key ORDER BY exception_seq) AS again FROM verdicts
                 ) AS v WHERE again = 1
             ), line AS (SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY exception_seq) AS seq FROM one),
