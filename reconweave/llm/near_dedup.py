@@ -244,7 +244,7 @@ def split_buckets(at: DataFrame, reps: DataFrame, split: int) -> DataFrame:
     spread = spread.select("band", "rep", "label", F.explode(parts).alias("p")).select("band", "p.second", F.col("p.part").alias("key"), "rep", "label")
     spread = durable(spread, "spread")
     mixed = spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return whole.join(small(large, 16), "key", "left_anti").unionByName(spread.join(mixed, "key"))
+    return durable(whole.join(small(large, 16), "key", "left_anti").unionByName(spread.join(mixed, "key")), "split")
 
 
 def across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
@@ -259,7 +259,7 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFra
     at = members.where("n > 2").join(labels, "rep", "left").select("band", "key", "rep", F.coalesce("label", "rep").alias("label"))
     at = durable(at, "labelled")
     mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    at = durable(split_buckets(at.join(small(durable(mixed, "mixed"), 16), "key", "left_semi"), reps, SPLIT), "mixed-rows")
+    at = split_buckets(at.join(small(durable(mixed, "mixed"), 16), "key", "left_semi"), reps, SPLIT)
     sizes = at.groupBy("key", "label").count()
     most = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n_all"))
     tiles = lambda n: F.ceil(n / TILE).cast("int")
