@@ -93,7 +93,8 @@ def suspects(rows: DataFrame, n: int) -> DataFrame:
                 mine, again = values[owner == o], times[owner == o] > 1
                 code, low = golomb_encode(mine)
                 row = {"owner": o, "sender": sender, "part": part, "n": len(mine), "low": low, "code": code, "again": np.packbits(again).tobytes()}
-                yield pa.RecordBatch.from_pylist([row], pa.schema({"owner": pa.int32(), "sender": pa.int32(), "part": pa.int32(), "n": pa.int64(), "low": pa.int32(), "code": pa.binary(), "again": pa.binary()}.items()))
+                yield pa.RecordBatch.from_pylist([row], pa.schema({"owner": pa.int32(), "sender": pa.int32(), "part": pa.int32(),
+                    "n": pa.int64(), "low": pa.int32(), "code": pa.binary(), "again": pa.binary()}.items()))
 
     def answer(table):
         import pyarrow as pa
@@ -102,7 +103,8 @@ def suspects(rows: DataFrame, n: int) -> DataFrame:
         lists = [golomb_decode(m["code"], m["low"], m["n"]) for m in sent]
         values, times = np.unique(np.concatenate(lists), return_counts=True)
         twice = values[times > 1]
-        maps = [np.packbits(np.isin(v, twice, assume_unique=True) | np.unpackbits(np.frombuffer(m["again"], np.uint8), count=m["n"]).astype(bool)).tobytes() for v, m in zip(lists, sent, strict=True)]
+        maps = [np.packbits(np.isin(v, twice, assume_unique=True) | np.unpackbits(np.frombuffer(m["again"], np.uint8),
+            count=m["n"]).astype(bool)).tobytes() for v, m in zip(lists, sent, strict=True)]
         return pa.table({**{c: table[c] for c in ("owner", "sender", "part")}, "bitmap": pa.array(maps, pa.binary())})
 
     def mark(batches: Iterator) -> Iterator:
@@ -113,10 +115,13 @@ def suspects(rows: DataFrame, n: int) -> DataFrame:
                 set_bits = np.unpackbits(np.frombuffer(m["bitmap"], np.uint8), count=m["n"]).astype(bool)
                 found = golomb_decode(m["code"], m["low"], m["n"])[set_bits]
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), m["part"], np.int32)), pa.array(found.astype(np.int64))], ["part", "prefix"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), m["part"], np.int32)), pa.array(found.astype(np.int64))],
+                        ["part", "prefix"])
 
-    messages = durable(map_batches(rows.select("part", "fingerprint"), send, "owner int, sender int, part int, n long, low int, code binary, again binary"), "messages")
-    answers = messages.select("owner", "sender", "part", "n", "low", "code", "again").groupBy("owner").applyInArrow(answer, "owner int, sender int, part int, bitmap binary")
+    messages = durable(map_batches(rows.select("part", "fingerprint"), send,
+        "owner int, sender int, part int, n long, low int, code binary, again binary"), "messages")
+    answers = messages.select("owner", "sender", "part", "n", "low", "code", "again").groupBy("owner").applyInArrow(answer,
+        "owner int, sender int, part int, bitmap binary")
     answered = messages.drop("again").join(answers, ["owner", "sender", "part"]).select("part", "n", "low", "code", "bitmap")
     marked = map_batches(answered, mark, "part int, prefix long").distinct()
     prefix = F.shiftrightunsigned("fingerprint", 64 - bits)
@@ -132,7 +137,8 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     text = normalized(F.col(text_col))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("norm"))
     rows = durable(
-        base.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("uid"), F.xxhash64("norm").alias("fingerprint"), F.unhex(F.sha2("norm", 256)).alias("sha")),
+        base.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("uid"),
+            F.xxhash64("norm").alias("fingerprint"), F.unhex(F.sha2("norm", 256)).alias("sha")),
         "rows",
     )
     n = rows.count()
@@ -142,7 +148,8 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     # equal bytes are one group; the copies of a partition are one row before the shuffle
     verified = texts.groupBy("fingerprint", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = durable(verified.where("group_size > 1").select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "groups")
-    first = suspect.join(small(groups, 64), "sha").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.min("uid").alias("keep_uid"))
+    first = suspect.join(small(groups, 64),
+        "sha").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.min("uid").alias("keep_uid"))
     groups = durable(groups.join(first, "sha", "left"), "kept")
     out = rows.select("doc_id", "uid", "sha").join(small(groups, 64), "sha", "left")
     group_size = F.coalesce("group_size", F.lit(1)).cast("long")
@@ -157,7 +164,8 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, all columns as they are."""
-    dropped = durable(exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__again")).distinct(), "dropped")
+    dropped = durable(exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"),
+        F.col("text_sha256").alias("__gone_sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__again")).distinct(), "dropped")
     again = dropped.where("__again")
     gone = dropped.where("not __again")
     sha = F.sha2(normalized(F.col("text")), 256)

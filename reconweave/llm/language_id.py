@@ -141,7 +141,8 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
                     grams = trigrams(part)
                     times += np.bincount(grams[grams >= 0], minlength=BUCKETS)
                 at = np.flatnonzero(times)
-                yield pa.RecordBatch.from_pydict({"declared": pa.array([declared] * len(at), pa.string()), "gram": at.astype(np.int32), "n": times[at]})
+                yield pa.RecordBatch.from_pydict({"declared": pa.array([declared] * len(at), pa.string()), "gram": at.astype(np.int32),
+                    "n": times[at]})
 
     counted = map_batches(chosen, count, "declared string, gram int, n long").groupBy("declared", "gram").agg(F.sum("n").alias("n"))
     found = counted.toPandas()
@@ -154,8 +155,10 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
 
 # Country domains and the language that most of their pages are in.
 COUNTRY_LANGUAGES = {
-    "ar": "es", "at": "de", "br": "pt", "cl": "es", "cn": "zh", "co": "es", "cz": "cs", "de": "de", "dk": "da", "es": "es", "fi": "fi", "fr": "fr", "gr": "el", "hu": "hu", "ie": "en", "it": "it", "jp": "ja", "kr": "ko",
-    "mx": "es", "nl": "nl", "no": "no", "nz": "en", "pe": "es", "pl": "pl", "pt": "pt", "ro": "ro", "ru": "ru", "se": "sv", "sk": "sk", "th": "th", "tr": "tr", "tw": "zh", "ua": "uk", "uk": "en", "us": "en", "vn": "vi",
+    "ar": "es", "at": "de", "br": "pt", "cl": "es", "cn": "zh", "co": "es", "cz": "cs", "de": "de", "dk": "da", "es": "es", "fi": "fi",
+        "fr": "fr", "gr": "el", "hu": "hu", "ie": "en", "it": "it", "jp": "ja", "kr": "ko",
+    "mx": "es", "nl": "nl", "no": "no", "nz": "en", "pe": "es", "pl": "pl", "pt": "pt", "ro": "ro", "ru": "ru", "se": "sv", "sk": "sk",
+        "th": "th", "tr": "tr", "tw": "zh", "ua": "uk", "uk": "en", "us": "en", "vn": "vi",
 }
 
 
@@ -176,7 +179,8 @@ def identify(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def verdicts(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``identify`` of rows with a ``mark`` (long), which is carried along."""
-    rows = rows.select("id", "mark", F.col("text").cast("string").alias("text"), language_tag(F.col("declared")).alias("declared"), language_tag(F.col("suffix")).alias("suffix"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("domain", F.lit("")).alias("domain"))
+    rows = rows.select("id", "mark", F.col("text").cast("string").alias("text"), language_tag(F.col("declared")).alias("declared"),
+        language_tag(F.col("suffix")).alias("suffix"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("domain", F.lit("")).alias("domain"))
     model = fit(rows, sample)
     names = model.languages
     k = len(names)
@@ -207,9 +211,11 @@ def verdicts(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
     flat = [(1 - OTHER_PRIOR) / max(1, k - 1) if n != OTHER else OTHER_PRIOR for n in names]
     base = [((x or 0.0) + CORPUS_WEIGHT * f) / (total + CORPUS_WEIGHT) for x, f in zip(corpus, flat, strict=True)]
     domains = hosts.groupBy("domain").agg(*sums)
-    share = lambda pre, weight, above: [(F.col(f"{pre}{i}") + weight * a) / (sum(F.col(f"{pre}{j}") for j in range(k)) + weight) for i, a in enumerate(above)]
+    share = lambda pre, weight, above: [(F.col(f"{pre}{i}") + weight * a) / (sum(F.col(f"{pre}{j}") for j in range(k)) + weight) for i,
+        a in enumerate(above)]
     domains = domains.select("domain", F.array(*share("q", DOMAIN_WEIGHT, [F.lit(b) for b in base])).alias("above"))
-    priors = hosts.join(domains, "domain").select("host", "domain", F.array(*share("p", HOST_WEIGHT, [F.col("above")[i] for i in range(k)])).alias("prior"))
+    priors = hosts.join(domains, "domain").select("host", "domain", F.array(*share("p", HOST_WEIGHT,
+        [F.col("above")[i] for i in range(k)])).alias("prior"))
     priors = durable(priors, "priors")
 
     def told(column: str, trust: float, i: int) -> Column:
@@ -225,13 +231,15 @@ def verdicts(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
     place = lambda c: F.element_at(F.array(*map(F.lit, names)), F.array_position(c, F.array_max(c)).cast("int"))
     confidence = F.round(1 / F.aggregate("joint", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("best"))), 6)
     language = F.when(F.col("used") > 0, place(F.col("joint"))).otherwise(OTHER)
-    out = out.select("id", "mark", language.alias("language"), F.when(F.col("used") > 0, confidence).otherwise(0.0).alias("confidence"), F.when(F.col("used") > 0, place(F.col("logs"))).otherwise(OTHER).alias("text_language"))
+    out = out.select("id", "mark", language.alias("language"), F.when(F.col("used") > 0, confidence).otherwise(0.0).alias("confidence"),
+        F.when(F.col("used") > 0, place(F.col("logs"))).otherwise(OTHER).alias("text_language"))
     return out.withColumn("kept", (F.col("language") != OTHER) & (F.col("confidence") >= SURE))
 
 
 def of_documents(docs: DataFrame, *more: Column) -> DataFrame:
     """``documents`` as evidence: the declared language, and the source as host."""
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), F.lit("").alias("domain"), *more)
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").alias("declared"),
+        F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), F.lit("").alias("domain"), *more)
 
 
 def of_pages(pages: DataFrame) -> DataFrame:

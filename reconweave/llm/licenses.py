@@ -136,7 +136,8 @@ def windows(texts: DataFrame, rows: list[tuple[str, int, int]]) -> DataFrame:
     spots = lambda xs: F.array(*[F.struct(F.lit(p).alias("place"), F.lit(n).alias("n")) for p, n in xs])
     table = F.create_map(*[x for w, xs in places.items() for x in (F.lit(w), spots(xs))])
     seen = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("i"))), lambda s: s["word"].isin(*places))
-    starts = F.flatten(F.transform(seen, lambda s: F.transform(F.element_at(table, s["word"]), lambda p: F.struct(F.greatest(s["i"] - p["place"], F.lit(0)).alias("start"), p["n"].alias("n")))))
+    starts = F.flatten(F.transform(seen, lambda s: F.transform(F.element_at(table, s["word"]),
+        lambda p: F.struct(F.greatest(s["i"] - p["place"], F.lit(0)).alias("start"), p["n"].alias("n")))))
     cut = F.transform(F.array_distinct(starts), lambda s: F.slice("w", s["start"] + 1, s["n"]))
     return texts.select("uid", F.posexplode(cut).alias("i", "w")).select("uid", (-1 - F.col("i")).alias("at"), "w")
 
@@ -152,7 +153,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     scale = round(threshold * 1000)
     anchored = f"(?<![a-z0-9])(?:{'|'.join(anchors)})(?![a-z0-9])"
     # a row is counted under an id of its own; its result goes to all rows of equal doc_id and text
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"),
+        F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     texts = marked.withColumn("uid", F.struct(F.monotonically_increasing_id().alias("n"), "doc_id", "mark"))
     # a word that counts as such once normalised may stand beside a letter that does not: boundaries are those of a-z and 0-9
     texts = texts.where(F.lower("text").rlike(anchored))
@@ -160,13 +162,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     parts = texts.select("uid", F.posexplode(pieces(F.col("text"))).alias("at", "p")).select("uid", "at", "p.piece")
     # low bigrams take a word more, of one character at least, and as many spaces
     parts = parts.where((F.length("piece") >= 2 * low + 1) & F.lower("piece").rlike(anchored))
-    words = parts.select("uid", "at", flat(F.col("piece")).alias("w")).unionByName(windows(texts.select("uid", flat(F.col("text")).alias("w")), window_rows(templates, anchors)))
+    words = parts.select("uid", "at", flat(F.col("piece")).alias("w")).unionByName(windows(texts.select("uid", flat(F.col("text")).alias("w")),
+        window_rows(templates, anchors)))
     # distinct bigrams may be fewer than words, so only the lower bound holds for words; the upper one for their bigrams
     words = words.where(F.size("w") > low)
     shorter = F.size("w") - 1
     bigrams = F.array_distinct(F.zip_with(F.slice("w", 1, shorter), F.slice("w", 2, shorter), lambda a, b: F.concat_ws(" ", a, b)))
     sets = words.select("uid", "at", bigrams.alias("b")).withColumn("n", F.size("b")).where(F.col("n").between(low, high))
-    common = sets.select("uid", "at", "n", F.explode("b").alias("bigram")).join(F.broadcast(table), "bigram").where(F.col("n").between(F.col("least"), F.col("most")))
+    common = sets.select("uid", "at", "n", F.explode("b").alias("bigram")).join(F.broadcast(table),
+        "bigram").where(F.col("n").between(F.col("least"), F.col("most")))
     counted = common.groupBy("uid", "at", "n", "template", "n_template").agg(F.count("*").alias("c"))
     hits = counted.where(F.col("c") * 2000 >= scale * (F.col("n") + F.col("n_template")))
     dice = F.round(2 * F.col("c") / (F.col("n") + F.col("n_template")), 6)
@@ -180,6 +184,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         inside = F.array_contains(names, part) & F.array_contains(names, whole)
         without = F.expr(f"filter(all, x -> x.template <> '{part}')")
         found = found.withColumn("all", F.when(inside, without).otherwise(F.col("all")))
-    found = durable(found.select(F.col("doc_id").alias("__doc_id"), F.col("mark").alias("__mark"), F.array_join(F.array_sort(names), ",").alias("licenses"), F.get("all", 0).alias("best"), F.size("all").cast("long").alias("n_licenses")), "licenses")
-    out = marked.select("doc_id", "mark").join(small(found, 112), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("mark") == F.col("__mark")), "left")
-    return out.select("doc_id", "licenses", F.col("best.template").alias("best"), (-F.col("best.score")).alias("best_score"), F.coalesce("n_licenses", F.lit(0)).cast("long").alias("n_licenses"))
+    found = durable(found.select(F.col("doc_id").alias("__doc_id"), F.col("mark").alias("__mark"),
+        F.array_join(F.array_sort(names), ",").alias("licenses"), F.get("all", 0).alias("best"), F.size("all").cast("long").alias("n_licenses")),
+        "licenses")
+    out = marked.select("doc_id", "mark").join(small(found, 112),
+        F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("mark") == F.col("__mark")), "left")
+    return out.select("doc_id", "licenses", F.col("best.template").alias("best"), (-F.col("best.score")).alias("best_score"),
+        F.coalesce("n_licenses", F.lit(0)).cast("long").alias("n_licenses"))

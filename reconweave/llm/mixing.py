@@ -56,7 +56,8 @@ def default_weights(sizes: DataFrame) -> DataFrame:
 
 def quotas(weights: DataFrame, period: int = PERIOD) -> DataFrame:
     """(source, quota): slots of the period by largest remainder, at least one each."""
-    n = weights.select(F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"), F.sum("weight").over(Window.partitionBy(F.lit(0))).alias("total"), "source", "weight")
+    n = weights.select(F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"),
+        F.sum("weight").over(Window.partitionBy(F.lit(0))).alias("total"), "source", "weight")
     n = n.selectExpr("source", "n", f"1 + ({period} - n) * weight div total as base", f"(({period} - n) * weight) % total as rest")
     left = F.lit(period) - F.sum("base").over(Window.partitionBy(F.lit(0)))
     nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rest"), "source"))
@@ -73,7 +74,8 @@ def period_slots(quota: DataFrame, period: int = PERIOD) -> DataFrame:
         return F.struct(release.alias("release"), deadline.alias("deadline"))
 
     def step(state: Column, t: Column) -> Column:
-        ready = F.filter(F.transform(state["next"], lambda w, i: F.struct(w["deadline"].alias("deadline"), i.alias("i"), w["release"].alias("release"))), lambda w: w["release"] <= t)
+        ready = F.filter(F.transform(state["next"], lambda w, i: F.struct(w["deadline"].alias("deadline"), i.alias("i"),
+            w["release"].alias("release"))), lambda w: w["release"] <= t)
         took = F.transform(F.array(F.array_min(ready)["i"]), lambda i: i)
 
         def taken(i: Column) -> Column:
@@ -93,7 +95,8 @@ def period_slots(quota: DataFrame, period: int = PERIOD) -> DataFrame:
         F.array().cast("array<int>").alias("out"),
     )
     slots = one.select("q", F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, step)["out"].alias("out"))
-    slots = slots.select("q", F.posexplode("out").alias("slot", "i")).select(F.element_at("q", F.col("i") + 1).alias("s"), F.col("slot").cast("long").alias("slot"))
+    slots = slots.select("q", F.posexplode("out").alias("slot", "i")).select(F.element_at("q", F.col("i") + 1).alias("s"),
+        F.col("slot").cast("long").alias("slot"))
     nth = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
     return slots.select("s.source", "s.quota", "slot").select("source", "quota", nth.cast("long").alias("nth"), "slot")
 
@@ -117,8 +120,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
     if weights is None:
         target = default_weights(sizes)
     else:
-        given = spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for s, w in weights.items() for x in (s, int(w * 1_000_000))])).alias("source", "weight"))
-        target = sizes.select("source").join(F.broadcast(given), "source", "left").select("source", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
+        given = spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for s,
+            w in weights.items() for x in (s, int(w * 1_000_000))])).alias("source", "weight"))
+        target = sizes.select("source").join(F.broadcast(given), "source", "left").select("source",
+            F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
     while period < 4 * sizes.count():
         period *= 2
     slots = durable(period_slots(quotas(target, period), period), "slots")
@@ -126,9 +131,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
     # running sizes per source, chunk by chunk in the order of the key; a source has as many chunks as its rows need
     chunks = sizes.select("source", F.ceil(F.col("n") / CHUNK_ROWS).alias("chunks"))
     rows = rows.join(small(chunks, 40), "source")
-    rows = rows.withColumn("chunk", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * F.col("chunks") / (1 << 24)).cast("int")).drop("chunks")
+    rows = rows.withColumn("chunk", F.floor(F.conv(F.substring("key", 1, 6), 16,
+        10).cast("long") * F.col("chunks") / (1 << 24)).cast("int")).drop("chunks")
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("source", "chunk").agg(F.sum("size").alias("total")).select("source", "chunk", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    base = rows.groupBy("source", "chunk").agg(F.sum("size").alias("total")).select("source", "chunk",
+        F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "chunk").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base, ["source", "chunk"])
     rows = rows.select("doc_id", "source", "size", "key", F.expr(f"(base + start) div {block_bytes}").alias("block"))
@@ -136,7 +143,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
     # a source ends at the slot of its first block after the last
     quota = slots.select("source", "quota").distinct()
     ends = sizes.join(small(quota, 40), "source").selectExpr("source", "quota", f"(bytes + {block_bytes - 1}) div {block_bytes} as blocks")
-    ends = ends.selectExpr("source", "quota", "blocks div quota as turn", "blocks % quota as nth").join(small(slots.select("source", "nth", "slot"), 48), ["source", "nth"])
+    ends = ends.selectExpr("source", "quota", "blocks div quota as turn", "blocks % quota as nth").join(small(slots.select("source", "nth",
+        "slot"), 48), ["source", "nth"])
     ends = ends.select("quota", (F.col("turn") * period + F.col("slot")).alias("end"))
     gone = F.sum("quota").over(Window.partitionBy(F.lit(0)).orderBy("end"))
     horizon = ends.select("end", gone.alias("gone")).where(F.col("gone") * ENDED > period).agg(F.min("end").alias("horizon")).first()
@@ -166,7 +174,8 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, period: in
     the decision back to the rows and no text is shuffled.
     """
     bound = F.struct(order_key(F.col("doc_id")).alias("key"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
-    cuts = durable(mix(docs, weights, period, block_bytes).where("in_mix").groupBy(F.col("source").alias("__source")).agg(F.max(bound).alias("__cut")), "cuts")
+    cuts = durable(mix(docs, weights, period,
+        block_bytes).where("in_mix").groupBy(F.col("source").alias("__source")).agg(F.max(bound).alias("__cut")), "cuts")
     mine = F.struct(order_key(F.col("doc_id").cast("long")).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"))
     same = F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__source")
     return docs.join(small(cuts, 80), same & (mine <= F.col("__cut")), "left_semi")
@@ -175,7 +184,8 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, period: in
 def in_order(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All rows of ``docs`` in the mixed order; all columns as they are."""
     at = mix(docs, weights, period, block_bytes).select(
-        F.coalesce("doc_id", F.lit(0)).alias("__doc_id"), F.col("doc_id").isNull().alias("__null"), F.col("source").alias("__source"), F.col("size").alias("__size"), "slot", "place"
+        F.coalesce("doc_id", F.lit(0)).alias("__doc_id"), F.col("doc_id").isNull().alias("__null"), F.col("source").alias("__source"),
+            F.col("size").alias("__size"), "slot", "place"
     )
     # rows alike in these columns are side by side in the order, so all take the first one's place
     at = at.groupBy("__doc_id", "__null", "__source", "__size").agg(F.min(F.struct("slot", "place")).alias("__at"))

@@ -138,7 +138,8 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 sigs = iter(signatures(full)) if full else iter(())
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 rows = [next(sigs).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
+                    pa.array(rows, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
 
     return map_batches(docs, run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
@@ -183,7 +184,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
     def check(batches: Iterator) -> Iterator:
         for batch in batches:
-            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
+            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x,
+                y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).take(np.flatnonzero(ok))
 
     sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, k)
@@ -240,8 +242,10 @@ def split_buckets(at: DataFrame, reps: DataFrame, split: int) -> DataFrame:
         return whole
     spread = at.join(small(large, 16), "key").join(reps.select("rep", "sig"), "rep")
     others = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: j != F.col("band"))
-    parts = F.transform(others, lambda j: F.struct(j.alias("second"), F.xxhash64("key", j, F.substring("sig", j * 4 * ROWS + 1, F.lit(4 * ROWS))).alias("part")))
-    spread = spread.select("band", "rep", "label", F.explode(parts).alias("p")).select("band", "p.second", F.col("p.part").alias("key"), "rep", "label")
+    parts = F.transform(others, lambda j: F.struct(j.alias("second"), F.xxhash64("key", j,
+        F.substring("sig", j * 4 * ROWS + 1, F.lit(4 * ROWS))).alias("part")))
+    spread = spread.select("band", "rep", "label", F.explode(parts).alias("p")).select("band", "p.second", F.col("p.part").alias("key"), "rep",
+        "label")
     spread = durable(spread, "spread")
     mixed = spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     return durable(whole.join(small(large, 16), "key", "left_anti").unionByName(spread.join(mixed, "key")), "split")
@@ -261,9 +265,11 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFra
     mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     at = split_buckets(at.join(small(durable(mixed, "mixed"), 16), "key", "left_semi"), reps, SPLIT)
     sizes = at.groupBy("key", "label").count()
-    most = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n_all"))
+    most = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("n_main"),
+        F.sum("count").alias("n_all"))
     tiles = lambda n: F.ceil(n / TILE).cast("int")
-    most = durable(most.select("key", "main", tiles(F.col("n_main")).alias("mains"), tiles(F.col("n_all") - F.col("n_main")).alias("others")), "buckets")
+    most = durable(most.select("key", "main", tiles(F.col("n_main")).alias("mains"), tiles(F.col("n_all") - F.col("n_main")).alias("others")),
+        "buckets")
     rows = at.join(small(most, 32), "key")
     # a tile is (main i, other j), i from 0, or (other i, other j), i below 0
     own = lambda n: F.pmod(F.xxhash64("rep"), n)
@@ -271,7 +277,8 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFra
     mine = own(F.col("others")).cast("int")
     other = F.concat(
         F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda i: F.struct(i.alias("i"), mine.alias("j"))),
-        F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct((-1 - F.least(j, mine)).alias("i"), F.greatest(j, mine).alias("j"))),
+        F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct((-1 - F.least(j, mine)).alias("i"),
+            F.greatest(j, mine).alias("j"))),
     )
     dealt = rows.withColumn("tile", F.explode(F.when(F.col("label") == F.col("main"), main).otherwise(other)))
     dealt = durable(dealt.select("band", "second", "key", "tile.i", "tile.j", "rep", "label"), "dealt")
@@ -300,7 +307,8 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFra
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     tile = ["key", "i", "j"]
-    wanted = durable(dealt.join(sig, "rep").select("band", "second", *tile, "rep", "label", "sig").groupBy(*tile).applyInArrow(find, "key long, i int, j int, rep long"), "wanted")
+    wanted = durable(dealt.join(sig, "rep").select("band", "second", *tile, "rep", "label", "sig").groupBy(*tile).applyInArrow(find,
+        "key long, i int, j int, rep long"), "wanted")
     if wanted.isEmpty():
         return wanted.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     sets = full_sets(wanted.select(F.col("rep").alias("doc_id")).distinct(), docs, k)

@@ -78,7 +78,8 @@ def _license_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
     values = ", ".join("(" + ", ".join(map(quote, row)) + ")" for row in rows)
     scale = round(licenses.THRESHOLD * 1000)
-    anchors = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in licenses.window_rows(licenses.TEMPLATES, licenses.anchor_words(rows, licenses.THRESHOLD)))
+    anchors = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in licenses.window_rows(licenses.TEMPLATES,
+        licenses.anchor_words(rows, licenses.THRESHOLD)))
     inside = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in licenses.contained(licenses.TEMPLATES))
     return rf"""
         WITH t(template, n_template, least, most, bigram) AS (VALUES {values}),
@@ -92,7 +93,8 @@ def _license_sql() -> str:
         x AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM d),
         o AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM x),
         z AS (SELECT DISTINCT doc_id, greatest(i - place, 0) AS start, n FROM o JOIN (VALUES {anchors}) AS a(word, place, n) USING (word)),
-        w AS (SELECT doc_id, row_number() OVER () AS pos, w FROM (SELECT * FROM q UNION ALL SELECT doc_id, x.w[z.start + 1:z.start + z.n] FROM z JOIN x USING (doc_id)) AS u),
+        w AS (SELECT doc_id, row_number() OVER () AS pos, w FROM (SELECT * FROM q UNION ALL SELECT doc_id, x.w[z.start + 1:z.start + z.n] FROM z
+            JOIN x USING (doc_id)) AS u),
         b AS (SELECT doc_id, pos, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w),
         e AS (SELECT doc_id, pos, len(b) AS n, unnest(b) AS bigram FROM b),
         c AS (
@@ -104,7 +106,8 @@ def _license_sql() -> str:
             QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY round(2 * c / (n + n_template), 6) DESC, template) = 1
         ),
         g AS (SELECT doc_id, template, max(score) AS score FROM h GROUP BY doc_id, template),
-        s AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g AS b JOIN (VALUES {inside}) AS i(part, whole) ON b.template = whole WHERE b.doc_id = g.doc_id AND part = g.template)),
+        s AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g AS b JOIN (VALUES {inside}) AS i(part, whole) ON b.template = whole
+            WHERE b.doc_id = g.doc_id AND part = g.template)),
         f AS (
             SELECT doc_id, string_agg(template, ',' ORDER BY template) AS licenses, max(score) AS best_score, count(*) AS n_licenses,
                    first(template ORDER BY score DESC, template) AS best

@@ -71,7 +71,8 @@ def _record(row: dict) -> bytes:
         f"X-Page-Id: {page}",
     ]
     if revisit:
-        head[4:4] = [f"WARC-Refers-To: <urn:uuid:{row['refers_to_record']}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head[4:4] = [f"WARC-Refers-To: <urn:uuid:{row['refers_to_record']}>",
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -108,10 +109,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     base = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("sha1"), F.sha2(payload, 256).alias("sha256")
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"),
+            F.unhex(F.sha1(payload)).alias("sha1"), F.sha2(payload, 256).alias("sha256")
     ).withColumn("bytes", F.octet_length("payload"))
     # equal means equal in both digests and in length
-    groups = base.where(F.col("bytes") >= least_bytes).groupBy("sha1", "sha256", "bytes").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
+    groups = base.where(F.col("bytes") >= least_bytes).groupBy("sha1", "sha256", "bytes").agg(F.max("page_id").alias("first_id"),
+        F.count("*").alias("n"))
     groups = durable(groups.where("n > 1").select("sha1", "sha256", "bytes", "first_id", F.expr("uuid()").alias("response_id")), "groups")
     rows = base.join(small(groups, 160), ["sha1", "sha256", "bytes"], "left")
 
@@ -141,7 +144,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
                         row |= {"record_type": "response" if lead else "revisit", "record_id": record_id, "refers_to_record": row["response_id"]}
                         member = gzip.compress(_record(row), 1, mtime=0)
                         out.write(member)
-                        index.append((record_id, row["page_id"], row["url"], row["record_type"], bytes(row["sha1"]).hex(), name, at, len(member), row["response_id"]))
+                        index.append((record_id, row["page_id"], row["url"], row["record_type"], bytes(row["sha1"]).hex(), name, at, len(member),
+                            row["response_id"]))
                         at += len(member)
                     if index:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*index, strict=True), kinds, strict=True)], names)
@@ -149,7 +153,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
             if out is not None:
                 out.close()
 
-    index = durable(map_batches(rows.select("page_id", "url", "payload", "sha1", "first_id", "response_id"), write, INDEX + ", response_id string"), "index")
+    index = durable(map_batches(rows.select("page_id", "url", "payload", "sha1", "first_id", "response_id"), write,
+        INDEX + ", response_id string"), "index")
     return index.withColumn("archive", F.concat(F.lit(folder + "/"), "archive"))
 
 
@@ -208,6 +213,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     index = write_archives(pages)
     records = read_records(index, with_payload=False)
     # revisits name a record; its page is the index row of that id. Only groups of equal payloads have such rows
-    named = index.where("record_id = response_id").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to")).distinct()
+    named = index.where("record_id = response_id").select(F.col("record_id").alias("refers_to_record"),
+        F.col("page_id").alias("refers_to")).distinct()
     out = records.join(small(durable(named, "responses"), 64), "refers_to_record", "left")
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
