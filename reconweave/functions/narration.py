@@ -16,7 +16,8 @@ NUM_LONG = r"\b(\d{9,18})\b"
 ALNUM = r"\b([A-Z0-9]{14,22})\b"
 MIXED = r"\b([A-Z0-9]{10,13})\b"
 ENTITY = r"(?i)\b((?:rfnd|disp|pay|setl|rsrv)_[0-9a-zA-Z]+)\b"
-RULES = (("neft_rtgs_strict", NEFT), ("neft_rtgs_despaced", NEFT_LOOSE), ("imps_upi_12digit", NUM12), ("numeric_long", NUM_LONG), ("alnum_block", ALNUM), ("mixed_numeric_damaged", MIXED))
+RULES = (("neft_rtgs_strict", NEFT), ("neft_rtgs_despaced", NEFT_LOOSE), ("imps_upi_12digit", NUM12), ("numeric_long", NUM_LONG),
+    ("alnum_block", ALNUM), ("mixed_numeric_damaged", MIXED))
 RAILS = (("NEFT", "neft"), ("IMPS", "imps"), ("RTGS", "rtgs"), ("UPI", "upi_payout"), ("CMS", "corp"))
 
 
@@ -64,7 +65,8 @@ def utr_spans(canon: Column) -> Column:
         total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + F.length(x))
         starts = F.transform(raw, lambda v, i: F.struct(v.alias("v"), (total(F.slice(between, 1, i + 1)) + total(F.slice(raw, 1, i))).alias("start")))
         kept = _kept(name, starts, lambda s: s["v"])
-        span = lambda s: F.struct(F.lit("utr").alias("field"), F.lit(name).alias("rule"), _value(name, s["v"]).alias("value"), s["start"].cast("long").alias("start"), (s["start"] + F.length(s["v"])).cast("long").alias("end"))
+        span = lambda s: F.struct(F.lit("utr").alias("field"), F.lit(name).alias("rule"), _value(name, s["v"]).alias("value"),
+            s["start"].cast("long").alias("start"), (s["start"] + F.length(s["v"])).cast("long").alias("end"))
         return F.transform(kept, span)
 
     return F.concat(*[spans(n, p) for n, p in RULES])
@@ -118,6 +120,7 @@ def best_similarity(candidates: Column, utr: Column) -> Column:
     """Highest similarity of the candidates to a reference; without a reference 1, without candidates 0."""
 
     def best(lists: pd.Series, references: pd.Series) -> pd.Series:
-        return pd.Series([1.0 if not u else max((jaro_winkler(c, u) for c in cs), default=0.0) for cs, u in zip(lists, references, strict=True)], dtype="float64")
+        return pd.Series([1.0 if not u else max((jaro_winkler(c, u) for c in cs), default=0.0) for cs, u in zip(lists, references, strict=True)],
+            dtype="float64")
 
     return F.pandas_udf(best, "double")(candidates, utr)

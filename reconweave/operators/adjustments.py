@@ -19,11 +19,16 @@ def adjustments(refund: DataFrame, chargeback: DataFrame, reserve: DataFrame, ca
     reversals and reserve releases on their own date.
     """
     zero = F.lit(0).cast("long")
-    shape = lambda df, kind, id_col, amount, fee, due, sec: df.select("merchant_id", F.lit(kind).alias("type"), F.col(id_col).alias("adjustment_id"), F.col(amount).alias("amount_paise"), fee.alias("fee_paise"), F.col(due).alias("due_date"), F.col(sec).alias("sec"))
+    shape = lambda df, kind, id_col, amount, fee, due, sec: df.select("merchant_id", F.lit(kind).alias("type"),
+        F.col(id_col).alias("adjustment_id"), F.col(amount).alias("amount_paise"), fee.alias("fee_paise"), F.col(due).alias("due_date"),
+        F.col(sec).alias("sec"))
     parts = [
-        shape(add_banking_days(refund.where("netted"), cal, "created_date", 2, "due"), "refund", "refund_id", "amount_paise", zero, "due", "created_sec"),
-        shape(add_banking_days(chargeback, cal, "raised_date", 2, "due"), "chargeback", "dispute_id", "amount_paise", F.col("fee_paise"), "due", "raised_sec"),
-        shape(chargeback.where("reversed_date is not null"), "chargeback_reversal", "dispute_id", "amount_paise", zero, "reversed_date", "reversed_sec"),
+        shape(add_banking_days(refund.where("netted"), cal, "created_date", 2, "due"), "refund", "refund_id", "amount_paise", zero, "due",
+            "created_sec"),
+        shape(add_banking_days(chargeback, cal, "raised_date", 2, "due"), "chargeback", "dispute_id", "amount_paise", F.col("fee_paise"), "due",
+            "raised_sec"),
+        shape(chargeback.where("reversed_date is not null"), "chargeback_reversal", "dispute_id", "amount_paise", zero, "reversed_date",
+            "reversed_sec"),
         shape(reserve.where("netted"), "reserve_release", "reserve_id", "amount_paise", zero, "release_date", "released_sec"),
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -44,7 +49,8 @@ def attach_dates(adj: DataFrame, settlement: DataFrame) -> DataFrame:
         "after": F.first("run", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
     })
     nearer = F.col("after").isNull() | (F.datediff("d", "before") <= F.datediff("after", "d"))
-    found = both.where("run is null").select("merchant_id", F.col("d").alias("due_date"), F.when(nearer, F.col("before")).otherwise(F.col("after")).alias("settle_date"))
+    found = both.where("run is null").select("merchant_id", F.col("d").alias("due_date"),
+        F.when(nearer, F.col("before")).otherwise(F.col("after")).alias("settle_date"))
     return adj.join(found.where("settle_date is not null"), ["merchant_id", "due_date"])
 
 
@@ -58,13 +64,15 @@ def cycle_windows(members: DataFrame, payment: DataFrame) -> DataFrame:
     obs = secs.groupBy("merchant_id", "settle_date", "settlement_id").agg(F.min("capture_sec").alias("obs_lo"), F.max("capture_sec").alias("obs_hi"))
     day = Window.partitionBy("merchant_id", "settle_date")
     order = day.orderBy("obs_lo", "settlement_id")
-    n = obs.withColumns({"i": F.row_number().over(order) - 1, "k": F.count("*").over(day), "prev_hi": F.lag("obs_hi").over(order), "next_lo": F.lead("obs_lo").over(order)})
+    n = obs.withColumns({"i": F.row_number().over(order) - 1, "k": F.count("*").over(day), "prev_hi": F.lag("obs_hi").over(order),
+        "next_lo": F.lead("obs_lo").over(order)})
     width = F.floor(F.lit(DAY) / F.col("k"))
     fits = (F.lit(DAY) % F.col("k") == 0) & (F.col("obs_lo") >= F.col("i") * width) & (F.col("obs_hi") <= (F.col("i") + 1) * width - 1)
     n = n.withColumn("equal", F.bool_and(fits).over(day))
     lo = F.when(F.col("equal"), F.col("i") * width).otherwise(F.coalesce(F.floor((F.col("prev_hi") + F.col("obs_lo") + 1) / 2), F.lit(0)))
     hi = F.when(F.col("equal"), (F.col("i") + 1) * width - 1).otherwise(F.coalesce(F.floor((F.col("obs_hi") + F.col("next_lo")) / 2), F.lit(DAY - 1)))
-    return n.select("merchant_id", "settle_date", "settlement_id", "obs_lo", "obs_hi", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), "equal", F.col("k").alias("n_batches"))
+    return n.select("merchant_id", "settle_date", "settlement_id", "obs_lo", "obs_hi", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"),
+        "equal", F.col("k").alias("n_batches"))
 
 
 def attribute(adj: DataFrame, windows: DataFrame) -> DataFrame:
@@ -83,13 +91,15 @@ def attribute(adj: DataFrame, windows: DataFrame) -> DataFrame:
     ids = lambda cond: F.sort_array(F.collect_list(F.when(cond, F.col("settlement_id"))))
     keys = ["merchant_id", "type", "adjustment_id", "amount_paise", "fee_paise", "due_date", "settle_date", "sec"]
     g = j.groupBy(*keys).agg(
-        F.count("settlement_id").alias("n"), ids(F.col("settlement_id").isNotNull()).alias("all"), ids(bracket).alias("observed"), ids(inferred).alias("guessed"),
+        F.count("settlement_id").alias("n"), ids(F.col("settlement_id").isNotNull()).alias("all"), ids(bracket).alias("observed"),
+            ids(inferred).alias("guessed"),
         F.sort_array(F.collect_list(F.when(F.col("settlement_id").isNotNull(), F.struct(far.alias("far"), "settlement_id")))).alias("near"),
     )
     nearest = F.transform(F.filter("near", lambda x: x["far"] == F.col("near")[0]["far"]), lambda x: x["settlement_id"])
     seen = F.size("observed")
     basis = (
-        F.when(F.col("n") == 0, "no_batches_on_date").when(F.col("n") == 1, "sole_batch_on_date").when(seen == 1, "observed_members_bracket_timestamp")
+        F.when(F.col("n") == 0, "no_batches_on_date").when(F.col("n") == 1, "sole_batch_on_date").when(seen == 1,
+            "observed_members_bracket_timestamp")
         .when(seen > 1, "overlapping_observed_ranges").otherwise("timestamp_in_inferred_gap")
     )
     gap = F.when(F.size("guessed") > 0, F.col("guessed")).otherwise(nearest)
@@ -107,8 +117,10 @@ def deductions(attributed: DataFrame, separate: DataFrame) -> DataFrame:
     """Sums per batch; a dispute's fee always counts, its amount only when no bank debit carries it."""
     apart = separate.withColumn("apart", F.lit(True))
     owned = attributed.where("settlement_id is not null").join(apart, ["merchant_id", "adjustment_id"], "left")
-    total = lambda kind, c="amount_paise", extra=F.lit(True): F.coalesce(F.sum(F.when((F.col("type") == kind) & extra, F.col(c))), F.lit(0)).cast("long")
+    total = lambda kind, c="amount_paise", extra=F.lit(True): F.coalesce(F.sum(F.when((F.col("type") == kind) & extra, F.col(c))),
+        F.lit(0)).cast("long")
     return owned.groupBy("merchant_id", "settlement_id").agg(
-        total("refund").alias("refund_netted"), total("chargeback", extra=F.col("apart").isNull()).alias("chargeback"), total("chargeback", "fee_paise").alias("dispute_fee"),
+        total("refund").alias("refund_netted"), total("chargeback", extra=F.col("apart").isNull()).alias("chargeback"),
+            total("chargeback", "fee_paise").alias("dispute_fee"),
         total("chargeback_reversal").alias("reversal"), total("reserve_release").alias("reserve_released"),
     )

@@ -9,10 +9,12 @@ from reconweave.functions.money import TOLERANCE, pct_of
 from reconweave.operators.fees import batch_fees
 from reconweave.sources.derive import GST_BP
 
-COMPONENTS = ("gross", "platform_fee", "gst_on_fee", "tds_194o", "refund_netted", "chargeback_debit", "dispute_fee", "dispute_fee_gst", "chargeback_reversal", "reserve_held", "reserve_released")
+COMPONENTS = ("gross", "platform_fee", "gst_on_fee", "tds_194o", "refund_netted", "chargeback_debit", "dispute_fee", "dispute_fee_gst",
+    "chargeback_reversal", "reserve_held", "reserve_released")
 
 
-def decompose(settlement: DataFrame, bank: DataFrame, links: DataFrame, members: DataFrame, payment: DataFrame, rate: DataFrame, deducted: DataFrame, ambiguous_payments: DataFrame, near_ties: DataFrame, netted: bool = True) -> DataFrame:
+def decompose(settlement: DataFrame, bank: DataFrame, links: DataFrame, members: DataFrame, payment: DataFrame, rate: DataFrame,
+    deducted: DataFrame, ambiguous_payments: DataFrame, near_ties: DataFrame, netted: bool = True) -> DataFrame:
     """One row per settlement: eleven components, predicted net, residue, flags.
 
     A settlement without proved members takes its reported gross and fees, and
@@ -21,7 +23,8 @@ def decompose(settlement: DataFrame, bank: DataFrame, links: DataFrame, members:
     residue.
     """
     facts = members.join(payment.select("merchant_id", "payment_id", "amount_paise", "method", "capture_date"), ["merchant_id", "payment_id"])
-    own = batch_fees(facts, rate).select("merchant_id", "settlement_id", F.col("gross").alias("m_gross"), "fee", F.col("gst_on_fee").alias("m_gst"), "reserve_held", "n_members")
+    own = batch_fees(facts, rate).select("merchant_id", "settlement_id", F.col("gross").alias("m_gross"), "fee",
+        F.col("gst_on_fee").alias("m_gst"), "reserve_held", "n_members")
     tied = ambiguous_payments.select("merchant_id", "settlement_id").distinct().withColumn("tied", F.lit(True))
     near = near_ties.where("near_tie").select("merchant_id", "bank_txn_id").distinct().withColumn("near", F.lit(True))
     b = bank.select("merchant_id", "bank_txn_id", F.col("amount_paise").alias("bank_paise"), "value_date")
@@ -32,21 +35,27 @@ def decompose(settlement: DataFrame, bank: DataFrame, links: DataFrame, members:
     proven = F.col("n_members").isNotNull() if netted else F.lit(True)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     values = {
-        "gross": F.coalesce("m_gross", F.col("gross")), "platform_fee": -F.coalesce("fee", F.col("fees")), "gst_on_fee": -F.coalesce("m_gst", F.col("gst")), "tds_194o": -F.col("tds"),
-        "refund_netted": -zero("refund_netted"), "chargeback_debit": -zero("chargeback"), "dispute_fee": -zero("dispute_fee"), "dispute_fee_gst": -pct_of(zero("dispute_fee"), GST_BP),
+        "gross": F.coalesce("m_gross", F.col("gross")), "platform_fee": -F.coalesce("fee", F.col("fees")),
+            "gst_on_fee": -F.coalesce("m_gst", F.col("gst")), "tds_194o": -F.col("tds"),
+        "refund_netted": -zero("refund_netted"), "chargeback_debit": -zero("chargeback"), "dispute_fee": -zero("dispute_fee"),
+            "dispute_fee_gst": -pct_of(zero("dispute_fee"), GST_BP),
         "chargeback_reversal": zero("reversal"), "reserve_held": -zero("reserve_held"), "reserve_released": zero("reserve_released"),
     }
-    out = s.select("merchant_id", "settlement_id", "bank_txn_id", "settle_date", "value_date", "bank_paise", "confidence", "source", "tied", "near", proven.alias("membership_proven"), zero("n_members").alias("n_members"), F.col("net").alias("reported_net"), *[values[c].alias(c) for c in COMPONENTS])
+    out = s.select("merchant_id", "settlement_id", "bank_txn_id", "settle_date", "value_date", "bank_paise", "confidence", "source", "tied",
+        "near", proven.alias("membership_proven"), zero("n_members").alias("n_members"), F.col("net").alias("reported_net"),
+        *[values[c].alias(c) for c in COMPONENTS])
     out = out.withColumn("predicted", sum(F.col(c) for c in COMPONENTS[1:]) + F.col("gross")).withColumn("unmatched", F.col("bank_txn_id").isNull())
     out = out.withColumn("residue", F.when(F.col("unmatched"), -F.col("predicted")).otherwise(F.col("bank_paise") - F.col("predicted")))
     out = out.withColumn("within_tolerance", ~F.col("unmatched") & F.col("membership_proven") & (F.abs("residue") <= TOLERANCE))
-    flagged = (~F.col("unmatched") & F.coalesce("near", F.lit(False)) & (F.coalesce("source", F.lit("")) != "exact_utr")) | F.coalesce("tied", F.lit(False)) | (~F.col("unmatched") & ~F.col("membership_proven"))
+    flagged = (~F.col("unmatched") & F.coalesce("near", F.lit(False)) & (F.coalesce("source", F.lit("")) != "exact_utr")) | F.coalesce("tied",
+        F.lit(False)) | (~F.col("unmatched") & ~F.col("membership_proven"))
     return out.withColumn("ambiguous", flagged).withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).drop("tied", "near")
 
 
 def components_long(d: DataFrame) -> DataFrame:
     """(merchant, settlement, bank row, component, paise), with the residue and the credit as rows of their own."""
-    wide = d.select("merchant_id", "settlement_id", "bank_txn_id", *COMPONENTS, "residue", F.coalesce("bank_paise", F.lit(0)).alias("TOTAL_bank_credit"))
+    wide = d.select("merchant_id", "settlement_id", "bank_txn_id", *COMPONENTS, "residue",
+        F.coalesce("bank_paise", F.lit(0)).alias("TOTAL_bank_credit"))
     return wide.unpivot(["merchant_id", "settlement_id", "bank_txn_id"], [*COMPONENTS, "residue", "TOTAL_bank_credit"], "component", "amount_paise")
 
 
@@ -62,13 +71,17 @@ def exceptions(d: DataFrame, attributed: DataFrame, proofs: DataFrame | None = N
         d = d.join(proofs.select("merchant_id", "settlement_id", "outcome"), ["merchant_id", "settlement_id"], "left")
     unproven = F.when(~F.col("membership_proven"), F.coalesce("outcome", F.lit("NO_PAYMENTS")))
     from_batches = d.where(~F.col("within_tolerance") | F.col("ambiguous")).select(
-        "merchant_id", "settlement_id", "bank_txn_id", "residue", F.col("gross").alias("batch_value"), "confidence", "ambiguous", "unmatched", F.coalesce("value_date", "settle_date").alias("value_date"),
+        "merchant_id", "settlement_id", "bank_txn_id", "residue", F.col("gross").alias("batch_value"), "confidence", "ambiguous", "unmatched",
+            F.coalesce("value_date", "settle_date").alias("value_date"),
         unproven.alias("partition_refusal"), F.lit(None).cast("string").alias("attribution_refusal"), F.lit("").alias("adjustment"),
     )
     refused = attributed.where("settlement_id is null").select(
-        "merchant_id", F.when(F.col("candidates") != "", F.split("candidates", ",")[0]).alias("settlement_id"), F.lit(None).cast("string").alias("bank_txn_id"), (F.col("amount_paise") + F.col("fee_paise")).alias("residue"),
-        F.lit(0).cast("long").alias("batch_value"), F.lit(0.0).alias("confidence"), F.lit(True).alias("ambiguous"), F.lit(False).alias("unmatched"), F.col("settle_date").alias("value_date"),
-        F.lit(None).cast("string").alias("partition_refusal"), F.col("basis").alias("attribution_refusal"), F.concat_ws(":", "type", "adjustment_id").alias("adjustment"),
+        "merchant_id", F.when(F.col("candidates") != "", F.split("candidates", ",")[0]).alias("settlement_id"),
+            F.lit(None).cast("string").alias("bank_txn_id"), (F.col("amount_paise") + F.col("fee_paise")).alias("residue"),
+        F.lit(0).cast("long").alias("batch_value"), F.lit(0.0).alias("confidence"), F.lit(True).alias("ambiguous"),
+            F.lit(False).alias("unmatched"), F.col("settle_date").alias("value_date"),
+        F.lit(None).cast("string").alias("partition_refusal"), F.col("basis").alias("attribution_refusal"),
+            F.concat_ws(":", "type", "adjustment_id").alias("adjustment"),
     )
     both = from_batches.unionByName(refused)
     order = Window.partitionBy("merchant_id").orderBy("ambiguous", F.abs("residue").desc(), "settlement_id", "adjustment")
@@ -80,7 +93,8 @@ def run_totals(d: DataFrame, members: DataFrame, decided: DataFrame | None = Non
     m = members.groupBy("merchant_id").agg(F.count("*").alias("links"))
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     t = d.groupBy("merchant_id").agg(
-        F.count("*").alias("settlements"), n(~F.col("unmatched")).alias("credits_matched"), F.sum("residue").alias("net_residue"), F.sum(F.abs("residue")).alias("abs_residue"),
+        F.count("*").alias("settlements"), n(~F.col("unmatched")).alias("credits_matched"), F.sum("residue").alias("net_residue"),
+            F.sum(F.abs("residue")).alias("abs_residue"),
         F.sum("gross").alias("gross"), n(F.col("within_tolerance") & ~F.col("ambiguous")).alias("clean"),
     )
     t = t.join(m, "merchant_id", "left")
@@ -88,7 +102,8 @@ def run_totals(d: DataFrame, members: DataFrame, decided: DataFrame | None = Non
     if decided is not None:
         verdict = lambda v: n(F.col("verdict") == v)
         of = decided.groupBy("merchant_id").agg(
-            F.count("*").alias("exceptions"), verdict("AUTO_POST").alias("auto_posted"), verdict("ESCALATE").alias("escalated"), verdict("SUPPRESSED_DUPLICATE").alias("suppressed")
+            F.count("*").alias("exceptions"), verdict("AUTO_POST").alias("auto_posted"), verdict("ESCALATE").alias("escalated"),
+                verdict("SUPPRESSED_DUPLICATE").alias("suppressed")
         )
         t = t.join(of, "merchant_id", "left")
         counts += of.columns[1:]

@@ -15,7 +15,8 @@ def tier_ranges(rate: DataFrame) -> DataFrame:
     w = Window.partitionBy("merchant_id", "method").orderBy("effective_from")
     first = F.row_number().over(w) == 1
     return rate.select(
-        "merchant_id", "method", "effective_from", "pct_bp", "flat_paise", F.when(~first, F.col("effective_from")).alias("from_date"), F.lead("effective_from").over(w).alias("to_date")
+        "merchant_id", "method", "effective_from", "pct_bp", "flat_paise", F.when(~first, F.col("effective_from")).alias("from_date"),
+            F.lead("effective_from").over(w).alias("to_date")
     )
 
 
@@ -38,7 +39,8 @@ def payment_fees(payment: DataFrame, rate: DataFrame) -> DataFrame:
     priced = with_tier(payment, rate).withColumn("fee", pct_of(F.col("amount_paise"), F.col("pct_bp")) + F.col("flat_paise") + surcharge)
     priced = priced.withColumn("gst_on_fee", pct_of(F.col("fee"), GST_BP))
     held = F.col("method").isin(*RESERVE_METHODS)
-    return priced.withColumn("reserve_base", F.when(held, F.col("amount_paise") - F.col("fee") - F.col("gst_on_fee")).otherwise(F.lit(0)).cast("long"))
+    return priced.withColumn("reserve_base",
+        F.when(held, F.col("amount_paise") - F.col("fee") - F.col("gst_on_fee")).otherwise(F.lit(0)).cast("long"))
 
 
 def batch_fees(members: DataFrame, rate: DataFrame) -> DataFrame:
@@ -46,6 +48,7 @@ def batch_fees(members: DataFrame, rate: DataFrame) -> DataFrame:
     return (
         payment_fees(members, rate)
         .groupBy("merchant_id", "settlement_id", "instant")
-        .agg(F.sum("amount_paise").alias("gross"), F.sum("fee").alias("fee"), F.sum("gst_on_fee").alias("gst_on_fee"), F.sum("reserve_base").alias("reserve_base"), F.count("*").alias("n_members"))
+        .agg(F.sum("amount_paise").alias("gross"), F.sum("fee").alias("fee"), F.sum("gst_on_fee").alias("gst_on_fee"),
+            F.sum("reserve_base").alias("reserve_base"), F.count("*").alias("n_members"))
         .withColumn("reserve_held", F.when(F.col("instant"), F.lit(0).cast("long")).otherwise(pct_of(F.col("reserve_base"), RESERVE_BP)))
     )

@@ -22,8 +22,11 @@ def canonical() -> Column:
 def entries(decided: DataFrame) -> DataFrame:
     """Ledger rows of decided exceptions, still unchained."""
     return decided.select(
-        "merchant_id", "exception_seq", F.lit("reconweave").alias("actor"), F.lit("resolve_exception").alias("action"), F.lit("settlement").alias("entity_type"),
-        F.coalesce("settlement_id", F.lit("")).alias("entity_id"), "idempotency_key", F.col("label_confidence").cast("double").alias("score"), "verdict", F.concat_ws("|", "label", F.col("residue").cast("string")).alias("payload"), F.col("value_date").cast("string").alias("canon_ts"),
+        "merchant_id", "exception_seq", F.lit("reconweave").alias("actor"), F.lit("resolve_exception").alias("action"),
+            F.lit("settlement").alias("entity_type"),
+        F.coalesce("settlement_id", F.lit("")).alias("entity_id"), "idempotency_key", F.col("label_confidence").cast("double").alias("score"),
+            "verdict", F.concat_ws("|", "label", F.col("residue").cast("string")).alias("payload"),
+            F.col("value_date").cast("string").alias("canon_ts"),
     )
 
 
@@ -46,7 +49,8 @@ def _fold(batches: Iterator) -> Iterator:
             out.append((m, seq, key, before, end))
         columns = list(zip(*out, strict=True)) or [()] * 5
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["merchant_id", "seq", "idempotency_key", "prev_hash", "hash"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+            ["merchant_id", "seq", "idempotency_key", "prev_hash", "hash"])
 
 
 def append(ledger: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -64,10 +68,12 @@ def append(ledger: DataFrame | None, new: DataFrame) -> DataFrame:
         line = line.withColumns({"last_seq": F.lit(0).cast("long"), "last_hash": F.lit(GENESIS)})
     else:
         ends = ledger.groupBy("merchant_id").agg(F.max("seq").alias("last_seq"), F.max_by("hash", "seq").alias("last_hash"))
-        line = line.join(ends, "merchant_id", "left").withColumns({"last_seq": F.coalesce("last_seq", F.lit(0)), "last_hash": F.coalesce("last_hash", F.lit(GENESIS))})
+        line = line.join(ends, "merchant_id", "left").withColumns({"last_seq": F.coalesce("last_seq", F.lit(0)),
+            "last_hash": F.coalesce("last_hash", F.lit(GENESIS))})
     line = line.repartition("merchant_id").sortWithinPartitions("merchant_id", "exception_seq", "idempotency_key")
     chain = line.select("merchant_id", "idempotency_key", "canon", "last_seq", "last_hash").mapInArrow(_fold, CHAIN)
-    return chain.join(rows, ["merchant_id", "idempotency_key"]).select("merchant_id", "seq", *FIELDS, F.col("seq").alias("canon_seq"), "prev_hash", "hash")
+    return chain.join(rows, ["merchant_id", "idempotency_key"]).select("merchant_id", "seq", *FIELDS, F.col("seq").alias("canon_seq"),
+        "prev_hash", "hash")
 
 
 def verify(ledger: DataFrame) -> DataFrame:
@@ -86,7 +92,8 @@ def summary(verified: DataFrame) -> DataFrame:
     """Rows, breaks, unverifiable rows and head of each merchant's chain."""
     bad = lambda c: F.sum((~F.col(c)).cast("long"))
     return verified.groupBy("merchant_id").agg(
-        F.count("*").alias("n_rows"), bad("link_ok").alias("broken_links"), bad("content_ok").alias("altered"), bad("verifiable").alias("unverifiable"), F.max_by("hash", "seq").alias("head"),
+        F.count("*").alias("n_rows"), bad("link_ok").alias("broken_links"), bad("content_ok").alias("altered"),
+            bad("verifiable").alias("unverifiable"), F.max_by("hash", "seq").alias("head"),
     )
 
 

@@ -29,7 +29,8 @@ LEAST_PROBABILITY, NEAR_TIE = 0.55, 0.08
 def parsed(bank: DataFrame) -> DataFrame:
     """Bank rows with canonical text, rail, reference candidates and entity tokens."""
     with_canon = bank.withColumn("canon", N.canonical(F.col("narration")))
-    return with_canon.withColumns({"rail": N.rail(F.col("canon")), "candidates": N.utr_candidates(F.col("canon")), "tokens": N.entity_tokens(F.col("narration"))})
+    return with_canon.withColumns({"rail": N.rail(F.col("canon")), "candidates": N.utr_candidates(F.col("canon")),
+        "tokens": N.entity_tokens(F.col("narration"))})
 
 
 def wash_pairs(rows: DataFrame) -> DataFrame:
@@ -42,7 +43,8 @@ def wash_pairs(rows: DataFrame) -> DataFrame:
     """
     n = F.upper("narration")
     back = n.contains("RETURN") | n.contains("REVERSAL") | n.contains("REVERSED")
-    keyed = lambda df, name: df.select("merchant_id", F.col("bank_txn_id").alias(name), F.abs("amount_paise").alias("a"), F.col("value_date").alias(f"{name}_date"), F.explode("candidates").alias("ref"))
+    keyed = lambda df, name: df.select("merchant_id", F.col("bank_txn_id").alias(name), F.abs("amount_paise").alias("a"),
+        F.col("value_date").alias(f"{name}_date"), F.explode("candidates").alias("ref"))
     debits = keyed(rows.where((F.col("amount_paise") < 0) & back), "debit")
     credits = keyed(rows.where("amount_paise > 0"), "credit")
     near = F.abs(F.datediff("debit_date", "credit_date")) <= 5
@@ -69,7 +71,8 @@ def first_come(pairs: DataFrame, taker: str, taken: str, rank: str | None = None
         first = rest.groupBy("merchant_id", taken).agg(F.min(taker).alias(taker))
         final = written(mine.join(first, keys).select(*keys))
         chosen = chosen.unionByName(final)
-        rest = written(rest.join(final.select("merchant_id", taker), ["merchant_id", taker], "left_anti").join(final.select("merchant_id", taken), ["merchant_id", taken], "left_anti"))
+        rest = written(rest.join(final.select("merchant_id", taker), ["merchant_id", taker],
+            "left_anti").join(final.select("merchant_id", taken), ["merchant_id", taken], "left_anti"))
     return chosen
 
 
@@ -98,15 +101,18 @@ def repairs(rows: DataFrame, settlement: DataFrame) -> DataFrame:
     known = settlement.where("utr is not null and utr <> ''").select("merchant_id", "utr").distinct()
     cand = rows.where("amount_paise > 0").select("merchant_id", "bank_txn_id", F.posexplode("candidates").alias("pos", "cand"))
     keys = ["merchant_id", "bank_txn_id", "pos", "cand"]
-    exact = cand.join(known.withColumn("cand", F.col("utr")), ["merchant_id", "cand"]).select(*keys, "utr", F.lit(1).alias("n"), F.lit("exact").alias("method"), F.lit(1.0).alias("confidence"))
-    respaced = cand.withColumn("flat", F.regexp_replace("cand", r"\s", "")).where("flat <> cand").join(known.withColumn("flat", F.col("utr")), ["merchant_id", "flat"])
+    exact = cand.join(known.withColumn("cand", F.col("utr")), ["merchant_id", "cand"]).select(*keys, "utr", F.lit(1).alias("n"),
+        F.lit("exact").alias("method"), F.lit(1.0).alias("confidence"))
+    respaced = cand.withColumn("flat", F.regexp_replace("cand", r"\s", "")).where("flat <> cand").join(known.withColumn("flat", F.col("utr")),
+        ["merchant_id", "flat"])
     respaced = respaced.select(*keys, "utr", F.lit(1).alias("n"), F.lit("despaced").alias("method"), F.lit(0.98).alias("confidence"))
     # each reference stands under all its beginnings of eight signs or more, so that equal beginnings meet by an equi-join, whatever the bank's prefix
     begun = known.select("merchant_id", "utr", F.explode(F.when(F.length("utr") >= 8, F.sequence(F.lit(8), F.length("utr")))).alias("n"))
     begun = begun.select("merchant_id", "utr", F.substring("utr", F.lit(1), F.col("n")).alias("cand"))
     long_enough = cand.where(F.length("cand") >= 8)
     prefix = long_enough.join(begun, ["merchant_id", "cand"])
-    folded = long_enough.withColumn("h", fold(F.col("cand"))).join(begun.select("merchant_id", "utr", fold(F.col("cand")).alias("h")), ["merchant_id", "h"])
+    folded = long_enough.withColumn("h", fold(F.col("cand"))).join(begun.select("merchant_id", "utr", fold(F.col("cand")).alias("h")),
+        ["merchant_id", "h"])
     folded = folded.where(differing(F.col("cand"), F.col("utr")).between(1, 3))
     whole = F.length("utr") == F.length("cand")
 
@@ -114,7 +120,8 @@ def repairs(rows: DataFrame, settlement: DataFrame) -> DataFrame:
         found = hits.groupBy(*keys).agg(F.min("utr").alias("utr"), F.count_distinct("utr").cast("int").alias("n"))
         return found.select(*keys, "utr", "n", F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))
 
-    tries = exact.unionByName(respaced).unionByName(unique(prefix, "prefix", 0.94)).unionByName(unique(folded.where(whole), "confusion", 0.90)).unionByName(unique(folded.where(~whole), "confusion_prefix", 0.86))
+    tries = exact.unionByName(respaced).unionByName(unique(prefix, "prefix", 0.94)).unionByName(unique(folded.where(whole), "confusion",
+        0.90)).unionByName(unique(folded.where(~whole), "confusion_prefix", 0.86))
     # exact and respaced look at all candidates before any other method is tried
     stage = F.when(F.col("confidence") >= 0.98, 0).otherwise(1)
     order = F.struct(stage, F.col("pos"), -F.col("confidence"), F.col("n") > 1)
@@ -140,9 +147,11 @@ def repair_links(credits: DataFrame, settlement: DataFrame, repair: DataFrame, t
     """Open credits whose repaired reference points to a free settlement that no other open credit claims."""
     keys = ["merchant_id"]
     open_credits = credits.join(taken, [*keys, "bank_txn_id"], "left_anti").select(*keys, "bank_txn_id")
-    claims = open_credits.join(repair, [*keys, "bank_txn_id"]).join(owner_of_utr(settlement), [*keys, "utr"]).join(taken.select(*keys, "settlement_id"), [*keys, "settlement_id"], "left_anti")
+    claims = open_credits.join(repair, [*keys, "bank_txn_id"]).join(owner_of_utr(settlement),
+        [*keys, "utr"]).join(taken.select(*keys, "settlement_id"), [*keys, "settlement_id"], "left_anti")
     alone = claims.groupBy(*keys, "settlement_id").agg(F.count("*").alias("n")).where("n = 1").select(*keys, "settlement_id")
-    return claims.join(alone, [*keys, "settlement_id"]).select(*keys, "bank_txn_id", "settlement_id", "confidence", F.concat(F.lit("repaired_utr:"), "method").alias("source"))
+    return claims.join(alone, [*keys, "settlement_id"]).select(*keys, "bank_txn_id", "settlement_id", "confidence",
+        F.concat(F.lit("repaired_utr:"), "method").alias("source"))
 
 
 def candidates(credits: DataFrame, settlement: DataFrame, repair: DataFrame, cal: DataFrame) -> DataFrame:
@@ -153,9 +162,11 @@ def candidates(credits: DataFrame, settlement: DataFrame, repair: DataFrame, cal
     equi-join on (merchant, ordinal, step); those named by a reference are an
     equi-join of their own.
     """
-    named = repair.select("merchant_id", "bank_txn_id", F.col("utr").alias("repaired"), F.col("method"), F.col("confidence").alias("repair_confidence"))
+    named = repair.select("merchant_id", "bank_txn_id", F.col("utr").alias("repaired"), F.col("method"),
+        F.col("confidence").alias("repair_confidence"))
     c = with_ordinal(credits, cal, "value_date", "bank_ord").join(named, ["merchant_id", "bank_txn_id"], "left")
-    s = with_ordinal(settlement, cal, "settle_date", "settle_ord").select("merchant_id", "settle_ord", "settlement_id", "utr", "net", "settle_date", "instant")
+    s = with_ordinal(settlement, cal, "settle_date", "settle_ord").select("merchant_id", "settle_ord", "settlement_id", "utr", "net",
+        "settle_date", "instant")
     step = lambda x: F.floor(F.col(x) / F.lit(WINDOW_PAISE))
     around = s.withColumn("bank_ord", F.explode(F.sequence(F.col("settle_ord") - WINDOW_DAYS, F.col("settle_ord") + WINDOW_DAYS)))
     around = around.withColumn("step", F.explode(F.sequence(step("net") - 1, step("net") + 1)))
@@ -164,13 +175,16 @@ def candidates(credits: DataFrame, settlement: DataFrame, repair: DataFrame, cal
     told = c.where("repaired is not null").join(s.withColumn("repaired", F.col("utr")), ["merchant_id", "repaired"])
     told = told.where(far & (F.abs(F.col("bank_ord") - F.col("settle_ord")) <= WINDOW_DAYS))
     both = near.unionByName(told)
-    return both.withColumns({"utr_hit": F.coalesce(F.col("repaired") == F.col("utr"), F.lit(False)), "banking_days": F.col("bank_ord") - F.col("settle_ord")})
+    return both.withColumns({"utr_hit": F.coalesce(F.col("repaired") == F.col("utr"), F.lit(False)),
+        "banking_days": F.col("bank_ord") - F.col("settle_ord")})
 
 
 # The features in order; the prior's coefficients below.
 FEATURES = (
-    "abs_amount_delta_log", "signed_delta_sign", "delta_within_tolerance", "delta_rel_to_net", "banking_day_delta", "abs_banking_day_delta", "same_day", "utr_exact",
-    "utr_repaired", "utr_repair_confidence", "token_overlap", "jaro_winkler", "narration_has_any_utr", "settlement_utr_present", "is_instant", "amount_rank_gap",
+    "abs_amount_delta_log", "signed_delta_sign", "delta_within_tolerance", "delta_rel_to_net", "banking_day_delta", "abs_banking_day_delta",
+        "same_day", "utr_exact",
+    "utr_repaired", "utr_repair_confidence", "token_overlap", "jaro_winkler", "narration_has_any_utr", "settlement_utr_present", "is_instant",
+        "amount_rank_gap",
 )
 
 
@@ -181,9 +195,11 @@ def features(pairs: DataFrame) -> DataFrame:
     exact = has & F.coalesce(F.array_contains("candidates", F.col("utr")), F.lit(False))
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
     values = (
-        F.log1p(F.abs(delta).cast("double")), F.signum(delta.cast("double")), one(F.abs(delta) <= TOLERANCE), F.abs(delta) / F.greatest(F.abs("net"), F.lit(1)),
+        F.log1p(F.abs(delta).cast("double")), F.signum(delta.cast("double")), one(F.abs(delta) <= TOLERANCE),
+            F.abs(delta) / F.greatest(F.abs("net"), F.lit(1)),
         F.col("banking_days").cast("double"), F.abs("banking_days").cast("double"), one(F.col("value_date") == F.col("settle_date")), one(exact),
-        one(~exact & F.col("utr_hit")), F.coalesce("repair_confidence", F.lit(0.0)), N.trigram_jaccard(F.col("canon"), F.col("utr")), N.best_similarity(F.col("candidates"), F.col("utr")),
+        one(~exact & F.col("utr_hit")), F.coalesce("repair_confidence", F.lit(0.0)), N.trigram_jaccard(F.col("canon"), F.col("utr")),
+            N.best_similarity(F.col("candidates"), F.col("utr")),
         one(F.size("candidates") > 0), one(has), one(F.col("instant")), F.lit(0.0),
     )
     return pairs.withColumns({f"f_{n}": v for n, v in zip(FEATURES, values, strict=True)})
@@ -226,7 +242,8 @@ def greedy(cands: DataFrame) -> DataFrame:
     w = Window.partitionBy("merchant_id", "bank_txn_id").orderBy(F.desc("probability"), "settlement_id")
     best = cands.withColumn("rn", F.row_number().over(w)).where((F.col("rn") == 1) & (F.col("probability") >= LEAST_PROBABILITY))
     first = Window.partitionBy("merchant_id", "settlement_id").orderBy("bank_txn_id")
-    return best.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("merchant_id", "bank_txn_id", "settlement_id", F.col("probability").alias("confidence"), F.lit("greedy").alias("source"))
+    return best.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("merchant_id", "bank_txn_id", "settlement_id",
+        F.col("probability").alias("confidence"), F.lit("greedy").alias("source"))
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -328,7 +345,8 @@ def without_washed(bank: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def match(
-    rows: DataFrame, washed: DataFrame, credits: DataFrame, settlement: DataFrame, cal: DataFrame, use_exact: bool = True, use_repair: bool = True, use_global: bool = True,
+    rows: DataFrame, washed: DataFrame, credits: DataFrame, settlement: DataFrame, cal: DataFrame, use_exact: bool = True,
+        use_repair: bool = True, use_global: bool = True,
     probability: Callable[[DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """All stages after ``without_washed``; ``links`` holds the result, the other entries what each stage gave.

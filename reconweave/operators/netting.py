@@ -41,7 +41,8 @@ def ordered_blocks(pool: DataFrame, settlement: DataFrame) -> DataFrame:
     up = Window.partitionBy(*GROUP).orderBy("settlement_id").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*GROUP).orderBy(F.desc("settlement_id")).rowsBetween(Window.unboundedPreceding, 0)
     ends = batches.withColumns({"up": F.sum("gross").over(up), "down": F.sum("gross").over(down)})
-    ends = ends.select(*GROUP, "settlement_id", "gross", F.explode(F.array(F.struct(F.lit(0).alias("reverse"), F.col("up").alias("hi")), F.struct(F.lit(1).alias("reverse"), F.col("down").alias("hi")))).alias("e"))
+    ends = ends.select(*GROUP, "settlement_id", "gross", F.explode(F.array(F.struct(F.lit(0).alias("reverse"), F.col("up").alias("hi")),
+        F.struct(F.lit(1).alias("reverse"), F.col("down").alias("hi")))).alias("e"))
     ends = ends.select(*GROUP, "settlement_id", "e.reverse", (F.col("e.hi") - F.col("gross")).alias("lo"), "e.hi")
     totals = batches.groupBy(*GROUP).agg(F.sum("gross").alias("want"), F.count("*").alias("n_batches"))
     have = pool.groupBy(*GROUP).agg(F.sum("amount_paise").alias("have"))
@@ -106,9 +107,12 @@ def subset_proofs(pool: DataFrame, settlement: DataFrame) -> DataFrame:
     sizes = pool.groupBy(*GROUP).agg(F.count("*").alias("n"))
     batches = settlement.select(*GROUP, "settlement_id", "gross").join(sizes, GROUP)
     large = batches.where(F.col("n") > MAX_ITEMS)
-    refused = large.select(*GROUP, "settlement_id", F.lit("BOUND_ITEMS").alias("outcome"), F.col("n").alias("pool_size"), F.col("gross").alias("target"), F.lit(0).cast("long").alias("states"), F.array().cast("array<string>").alias("payment_ids"))
-    items = pool.join(sizes.where(F.col("n") <= MAX_ITEMS).select(*GROUP), GROUP).select(*GROUP, F.col("payment_id").alias("id"), F.col("amount_paise").alias("amount"), F.lit(0).alias("is_batch"))
-    rows = items.unionByName(batches.where(F.col("n") <= MAX_ITEMS).select(*GROUP, F.col("settlement_id").alias("id"), F.col("gross").alias("amount"), F.lit(1).alias("is_batch")))
+    refused = large.select(*GROUP, "settlement_id", F.lit("BOUND_ITEMS").alias("outcome"), F.col("n").alias("pool_size"),
+        F.col("gross").alias("target"), F.lit(0).cast("long").alias("states"), F.array().cast("array<string>").alias("payment_ids"))
+    items = pool.join(sizes.where(F.col("n") <= MAX_ITEMS).select(*GROUP), GROUP).select(*GROUP, F.col("payment_id").alias("id"),
+        F.col("amount_paise").alias("amount"), F.lit(0).alias("is_batch"))
+    rows = items.unionByName(batches.where(F.col("n") <= MAX_ITEMS).select(*GROUP, F.col("settlement_id").alias("id"),
+        F.col("gross").alias("amount"), F.lit(1).alias("is_batch")))
 
     def prove(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
@@ -142,7 +146,8 @@ def netting(payment: DataFrame, settlement: DataFrame, cal: DataFrame, use_subse
             rest = batches.join(blocks.select(*GROUP).distinct(), GROUP, "left_anti")
             tried = written(subset_proofs(pool.join(rest.select(*GROUP).distinct(), GROUP, "left_semi"), rest))
             proofs.append(tried)
-            unique = tried.where("outcome = 'UNIQUE'").select("merchant_id", "settlement_id", F.explode("payment_ids").alias("payment_id"), *GROUP[1:], F.lit(None).cast("int").alias("hypothesis"), F.lit("H2_subset_sum").alias("solver"))
+            unique = tried.where("outcome = 'UNIQUE'").select("merchant_id", "settlement_id", F.explode("payment_ids").alias("payment_id"),
+                *GROUP[1:], F.lit(None).cast("int").alias("hypothesis"), F.lit("H2_subset_sum").alias("solver"))
             members.append(unique)
         used = reduce(DataFrame.unionByName, members).select("merchant_id", "payment_id")
     return reduce(DataFrame.unionByName, members), reduce(DataFrame.unionByName, proofs) if proofs else None
@@ -198,4 +203,5 @@ def group_status(payment: DataFrame, settlement: DataFrame, cal: DataFrame, memb
     out = want.join(have, GROUP, "left").join(how, GROUP, "left")
     status = F.when(F.col("n_items").isNull(), "no_payments").otherwise(F.coalesce("solver", F.lit("failed")))
     paise = F.coalesce("pool_paise", F.lit(0))
-    return out.select(*GROUP, "n_batches", F.coalesce("n_items", F.lit(0)).alias("n_items"), paise.alias("pool_paise"), "batch_paise", (paise - F.col("batch_paise")).alias("delta"), status.alias("status"))
+    return out.select(*GROUP, "n_batches", F.coalesce("n_items", F.lit(0)).alias("n_items"), paise.alias("pool_paise"), "batch_paise",
+        (paise - F.col("batch_paise")).alias("delta"), status.alias("status"))

@@ -116,7 +116,8 @@ def ablation(rows: DataFrame) -> DataFrame:
     kinds = [r.label for r in seen.select("label").distinct().collect()]
     choices = []
     for name, features in SUBSETS.items() if len(kinds) == 2 else ():
-        best = score(train(seen, features, rounds=20), held.drop("probability")).groupBy(*credit).agg(F.max_by(F.struct("settlement_id", "label"), F.struct("raw", "settlement_id")).alias("b"))
+        best = score(train(seen, features, rounds=20), held.drop("probability")).groupBy(*credit).agg(F.max_by(F.struct("settlement_id",
+            "label"), F.struct("raw", "settlement_id")).alias("b"))
         choices.append(best.select(*credit, F.lit(name).alias("subset"), F.col("b.settlement_id").alias("chosen"), F.col("b.label").alias("right")))
     if not choices:
         return rows.sparkSession.createDataFrame([], "subset string, credits long, right long, changed long, fixed long, broken long")
@@ -146,7 +147,8 @@ def auc(rows: DataFrame, p: str = "probability", label: str = "label") -> DataFr
     Rows are counted per distinct score first, and scores cut into ranges by
     their leading digits, so no task ranks all rows.
     """
-    counts = rows.groupBy(F.col(p).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.count("*").alias("n")).withColumn("range", F.floor(F.col("s") * 1000))
+    counts = rows.groupBy(F.col(p).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.count("*").alias("n")).withColumn("range",
+        F.floor(F.col("s") * 1000))
     ranges = counts.groupBy("range").agg(F.sum("n").alias("in_range"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("base", F.coalesce(F.sum("in_range").over(before), F.lit(0)))

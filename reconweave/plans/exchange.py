@@ -24,13 +24,17 @@ _LINE = """
     CASE k % 40 WHEN 4 THEN '12.345' WHEN 5 THEN '-7.00' ELSE CAST(k % 1000 AS STRING) || '.50' END || ',' || CASE k % 40 WHEN 3 THEN '' ELSE 'upi' END || ',captured,' ||
     CASE k % 40 WHEN 6 THEN '2025-13-01T10:00:00+05:30' ELSE '2025-11-05T10:00:00+05:30' END || CASE k % 40 WHEN 1 THEN ',more' WHEN 9 THEN '"' ELSE '' END"""
 _WHY = "CASE k % 40 WHEN 1 THEN 'ARITY' WHEN 2 THEN 'MISSING_ID' WHEN 3 THEN 'MISSING_FIELD' WHEN 4 THEN 'MALFORMED_AMOUNT' WHEN 5 THEN 'MALFORMED_AMOUNT' WHEN 6 THEN 'INVALID_DATE' WHEN 7 THEN 'DUPLICATE_IN_FILE' WHEN 8 THEN 'DUPLICATE_EXISTING' WHEN 9 THEN 'INVALID_DATE' END"
-_ROWS = f"SELECT k, file, line, CASE WHEN why = 'DUPLICATE_IN_FILE' AND NOT has_first THEN NULL ELSE why END AS why, row_number() OVER (PARTITION BY file ORDER BY k) + 1 AS line_no FROM (SELECT k, 'f' || CAST({{div}} AS STRING) || '.csv' AS file, {_LINE} AS line, {_WHY} AS why, max(CASE WHEN k % 40 = 0 THEN k END) OVER (ORDER BY k ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) = k - k % 40 AS has_first FROM (SELECT CAST(o_orderkey AS BIGINT) AS k FROM {{orders}}) AS o) AS r"
+_ROWS = f"""SELECT k, file, line, CASE WHEN why = 'DUPLICATE_IN_FILE' AND NOT has_first THEN NULL ELSE why END AS why, row_number()
+    OVER (PARTITION BY file ORDER BY k) + 1 AS line_no FROM (SELECT k, 'f' || CAST({{div}} AS STRING) || '.csv' AS file, {_LINE} AS line, {_WHY}
+    AS why, max(CASE WHEN k % 40 = 0 THEN k END) OVER (ORDER BY k ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) = k - k % 40 AS has_first
+    FROM (SELECT CAST(o_orderkey AS BIGINT) AS k FROM {{orders}}) AS o) AS r"""
 _SQL_ROWS = _ROWS.format(div="k // 4000", orders="orders")
 
 
 def _lines(orders: DataFrame) -> DataFrame:
     """(k, file, line_no, line) of the planted files."""
-    rows = orders.select(F.col("o_orderkey").cast("long").alias("k")).withColumns({"file": F.concat(F.lit("f"), F.floor(F.col("k") / 4000).cast("string"), F.lit(".csv")), "line": F.expr(_LINE)})
+    rows = orders.select(F.col("o_orderkey").cast("long").alias("k")).withColumns({"file": F.concat(F.lit("f"),
+        F.floor(F.col("k") / 4000).cast("string"), F.lit(".csv")), "line": F.expr(_LINE)})
     return rows.withColumn("line_no", (F.row_number().over(Window.partitionBy("file").orderBy("k")) + 1).cast("long"))
 
 
@@ -42,7 +46,8 @@ def _files(orders: DataFrame) -> DataFrame:
 
 
 def _ingested(orders: DataFrame) -> dict[str, DataFrame]:
-    committed = orders.where("o_orderkey % 40 = 8").select(F.lit("m1").alias("merchant_id"), F.concat(F.lit("pay_"), F.col("o_orderkey").cast("string")).alias("payment_id"))
+    committed = orders.where("o_orderkey % 40 = 8").select(F.lit("m1").alias("merchant_id"),
+        F.concat(F.lit("pay_"), F.col("o_orderkey").cast("string")).alias("payment_id"))
     return ingest.ingest(_files(orders), "payments", committed=committed)
 
 
@@ -52,7 +57,10 @@ def ingest_rejects(orders):
     return _ingested(orders)["rejects"].select("file", "line_no", "reject_reason", "raw_line")
 
 
-@on_table("orders", f"SELECT 'pay_' || CAST(k AS VARCHAR) AS payment_id, (k % 1000) * 100 + 50 AS amount, TIMESTAMP '2025-11-05 10:00:00' AS created_at_ist FROM ({_SQL_ROWS}) AS r WHERE why IS NULL AND k % 40 <> 7 UNION ALL SELECT 'pay_' || CAST(k - 7 AS VARCHAR), (k % 1000) * 100 + 50, TIMESTAMP '2025-11-05 10:00:00' FROM ({_SQL_ROWS}) AS r WHERE why IS NULL AND k % 40 = 7")
+@on_table("orders", f"""SELECT 'pay_' || CAST(k AS VARCHAR) AS payment_id, (k % 1000) * 100 + 50 AS amount, TIMESTAMP '2025-11-05 10:00:00'
+    AS created_at_ist FROM ({_SQL_ROWS}) AS r WHERE why IS NULL AND k % 40 <> 7 UNION ALL
+    SELECT 'pay_' || CAST(k - 7 AS VARCHAR), (k % 1000) * 100 + 50, TIMESTAMP '2025-11-05 10:00:00' FROM ({_SQL_ROWS}) AS r
+    WHERE why IS NULL AND k % 40 = 7""")
 def ingest_accepted(orders):
     """ING-04..12, FN-01: accepted rows of the files, typed."""
     return _ingested(orders)["accepted"].select("payment_id", "amount", "created_at_ist")
@@ -60,7 +68,8 @@ def ingest_accepted(orders):
 
 @on_table(
     "orders",
-    f"""SELECT file, sha256('{_HEADER}' || chr(10) || string_agg(line, chr(10) ORDER BY line_no)) AS sha256, count(*) AS seen, count(*) FILTER (why IS NULL) AS accepted, count(why) AS rejected FROM ({_SQL_ROWS}) AS r GROUP BY file""",
+    f"""SELECT file, sha256('{_HEADER}' || chr(10) || string_agg(line, chr(10) ORDER BY line_no)) AS sha256, count(*) AS seen, count(*)
+        FILTER (why IS NULL) AS accepted, count(why) AS rejected FROM ({_SQL_ROWS}) AS r GROUP BY file""",
 )
 def ingest_report(orders):
     """ING-15, AG-16: of each file its digest, rows seen, accepted and rejected."""
@@ -73,7 +82,8 @@ def ingest_reasons(orders):
     return _ingested(orders)["rejects"].groupBy("file", "reject_reason").agg(F.count("*").alias("n"))
 
 
-@on_table("orders", f"SELECT 'ord_' || CAST(k AS VARCHAR) AS order_id, (k % 1000) * 100 + 50 AS amount FROM ({_SQL_ROWS}) AS r WHERE why IS NULL OR why = 'DUPLICATE_EXISTING'")
+@on_table("orders", f"""SELECT 'ord_' || CAST(k AS VARCHAR) AS order_id, (k % 1000) * 100 + 50 AS amount FROM ({_SQL_ROWS}) AS r
+    WHERE why IS NULL OR why = 'DUPLICATE_EXISTING'""")
 def streamed_ingest(orders):
     """ST-01, ST-02: the same files taken in by a stream from a folder, half of them again under other names: each id is accepted once."""
     spark = orders.sparkSession
@@ -94,18 +104,21 @@ def streamed_ingest(orders):
 
 @on_table(
     "customer",
-    """SELECT 'c' || CAST(c_custkey AS VARCHAR) || '.csv' AS file, CASE WHEN c_nationkey = 24 THEN 'UNKNOWN_MERCHANT' WHEN c_custkey % 5 = 0 THEN 'EMPTY_FILE' WHEN c_custkey % 5 = 1 THEN 'NOT_UTF8' WHEN c_custkey % 5 = 2 THEN 'BAD_HEADER' END AS refusal FROM customer""",
+    """SELECT 'c' || CAST(c_custkey AS VARCHAR) || '.csv' AS file, CASE WHEN c_nationkey = 24 THEN 'UNKNOWN_MERCHANT' WHEN c_custkey % 5 = 0
+        THEN 'EMPTY_FILE' WHEN c_custkey % 5 = 1 THEN 'NOT_UTF8' WHEN c_custkey % 5 = 2 THEN 'BAD_HEADER' END AS refusal FROM customer""",
 )
 def ingest_file_gates(customer):
     """ING-01..03: which whole files are refused, and why; a byte order mark and the case of the header do not matter."""
     k = F.col("c_custkey")
     header = F.lit(_HEADER)
     content = (
-        F.when(k % 5 == 0, F.lit("").cast("binary")).when(k % 5 == 1, F.concat(header.cast("binary"), F.unhex(F.lit("0AFF")))).when(k % 5 == 2, F.lit("id,amount\n1,2").cast("binary"))
+        F.when(k % 5 == 0, F.lit("").cast("binary")).when(k % 5 == 1, F.concat(header.cast("binary"), F.unhex(F.lit("0AFF")))).when(k % 5 == 2,
+            F.lit("id,amount\n1,2").cast("binary"))
         .when(k % 5 == 3, F.concat(F.unhex(F.lit("EFBBBF")), header.cast("binary"))).otherwise(F.upper(header).cast("binary"))
     )
     merchant = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
-    files = customer.select(merchant.alias("merchant_id"), F.concat(F.lit("c"), k.cast("string"), F.lit(".csv")).alias("file"), content.alias("content"))
+    files = customer.select(merchant.alias("merchant_id"), F.concat(F.lit("c"), k.cast("string"), F.lit(".csv")).alias("file"),
+        content.alias("content"))
     merchants = customer.where("c_nationkey <> 24").select(merchant.alias("merchant_id")).distinct()
     return ingest.gate_files(files, "payments", merchants).select("file", "refusal")
 
@@ -120,7 +133,8 @@ def csv_rules(part):
 
 def _card(rate: DataFrame) -> DataFrame:
     """Rate cards as JSON text, one a merchant."""
-    tier = F.struct(F.col("effective_from").cast("string").alias("effective_from"), F.format_string("%.2f", F.col("pct_bp") / 100.0).alias("pct"), F.col("flat_paise").cast("long").alias("flat_paise"))
+    tier = F.struct(F.col("effective_from").cast("string").alias("effective_from"),
+        F.format_string("%.2f", F.col("pct_bp") / 100.0).alias("pct"), F.col("flat_paise").cast("long").alias("flat_paise"))
     per = rate.groupBy("merchant_id", "method").agg(F.array_sort(F.collect_list(tier)).alias("tiers"))
     per = per.groupBy("merchant_id").agg(F.map_from_entries(F.collect_list(F.struct("method", "tiers"))).alias("methods"))
     return per.select("merchant_id", F.to_json(F.struct("merchant_id", F.lit(100).alias("tolerance_paise"), "methods")).alias("card"))
@@ -142,30 +156,39 @@ def _written_dataset(t: Entities) -> str:
     flag = lambda c: F.col(c).cast("int").cast("string")
     money = lambda c: fmt(F.col(c))
     files = {
-        "payments": ("payment", [F.col("payment_id"), F.col("order_id"), money("amount_paise"), F.col("method"), F.col("status"), stamp("capture_date", "capture_sec")]),
+        "payments": ("payment", [F.col("payment_id"), F.col("order_id"), money("amount_paise"), F.col("method"), F.col("status"),
+            stamp("capture_date", "capture_sec")]),
         "orders": ("purchase", [F.col("order_id"), F.col("customer_id"), money("amount_paise"), F.col("created_date").cast("string")]),
-        "settlements": ("settlement", [F.col("settlement_id"), F.coalesce("utr", F.lit("")), money("gross"), money("fees"), money("gst"), fmt(F.col("tds") + F.col("held")), money("net"), F.col("settle_date").cast("string"), flag("instant")]),
+        "settlements": ("settlement", [F.col("settlement_id"), F.coalesce("utr", F.lit("")), money("gross"), money("fees"), money("gst"),
+            fmt(F.col("tds") + F.col("held")), money("net"), F.col("settle_date").cast("string"), flag("instant")]),
         "bank_statement": ("bank", [F.col("bank_txn_id"), F.col("value_date").cast("string"), money("amount_paise"), F.col("narration")]),
         "refunds": ("refund", [F.col("refund_id"), F.col("payment_id"), money("amount_paise"), stamp("created_date", "created_sec"), flag("netted")]),
-        "chargebacks": ("chargeback", [F.col("dispute_id"), F.col("payment_id"), money("amount_paise"), money("fee_paise"), stamp("raised_date", "raised_sec"), F.coalesce(F.col("reversed_date").cast("string"), F.lit(""))]),
-        "reserve_ledger": ("reserve", [F.col("reserve_id"), money("amount_paise"), F.col("held_on").cast("string"), F.col("release_date").cast("string"), stamp("release_date", "released_sec"), flag("netted")]),
+        "chargebacks": ("chargeback", [F.col("dispute_id"), F.col("payment_id"), money("amount_paise"), money("fee_paise"),
+            stamp("raised_date", "raised_sec"), F.coalesce(F.col("reversed_date").cast("string"), F.lit(""))]),
+        "reserve_ledger": ("reserve", [F.col("reserve_id"), money("amount_paise"), F.col("held_on").cast("string"),
+            F.col("release_date").cast("string"), stamp("release_date", "released_sec"), flag("netted")]),
     }
     heads = dict(zip(files, ingest.ENTITIES.values(), strict=True))
     merchants = [r.merchant_id for r in t["rate"].select("merchant_id").distinct().collect()]
     for name, (entity, columns) in files.items():
         rows = t[entity].select("merchant_id", *[c.alias(n) for c, n in zip(columns, heads[name], strict=True)])
         for m in merchants:
-            rows.where(F.col("merchant_id") == m).drop("merchant_id").write.option("header", True).option("emptyValue", "").csv(f"{root}/{m}/observable/{name}.csv")
+            rows.where(F.col("merchant_id") == m).drop("merchant_id").write.option("header", True).option("emptyValue",
+                "").csv(f"{root}/{m}/observable/{name}.csv")
     for m in merchants:
         _card(t["rate"]).where(F.col("merchant_id") == m).select("card").coalesce(1).write.text(f"{root}/{m}/config/rate_card_published.json")
     return root
 
 
 @query(
-    """SELECT 'payments' AS entity, merchant_id, count(*) AS n, CAST(sum(amount_paise) AS BIGINT) AS paise FROM payment GROUP BY ALL UNION ALL SELECT 'orders', merchant_id, count(*), CAST(sum(amount_paise) AS BIGINT) FROM purchase GROUP BY ALL
-       UNION ALL SELECT 'settlements', merchant_id, count(*), CAST(sum(net) AS BIGINT) FROM settlement GROUP BY ALL UNION ALL SELECT 'bank', merchant_id, count(*), CAST(sum(amount_paise) AS BIGINT) FROM bank GROUP BY ALL
-       UNION ALL SELECT 'refunds', merchant_id, count(*), CAST(sum(amount_paise) AS BIGINT) FROM refund GROUP BY ALL UNION ALL SELECT 'chargebacks', merchant_id, count(*), CAST(sum(amount_paise) AS BIGINT) FROM chargeback GROUP BY ALL
-       UNION ALL SELECT 'reserve', merchant_id, count(*), CAST(sum(amount_paise) AS BIGINT) FROM reserve GROUP BY ALL UNION ALL SELECT 'rate', merchant_id, count(*), CAST(sum(flat_paise) AS BIGINT) FROM rate GROUP BY ALL"""
+    """SELECT 'payments' AS entity, merchant_id, count(*) AS n, CAST(sum(amount_paise) AS BIGINT) AS paise FROM payment GROUP BY ALL UNION ALL
+        SELECT 'orders', merchant_id, count(*), CAST(sum(amount_paise) AS BIGINT) FROM purchase GROUP BY ALL
+       UNION ALL SELECT 'settlements', merchant_id, count(*), CAST(sum(net) AS BIGINT) FROM settlement GROUP BY ALL UNION ALL
+           SELECT 'bank', merchant_id, count(*), CAST(sum(amount_paise) AS BIGINT) FROM bank GROUP BY ALL
+       UNION ALL SELECT 'refunds', merchant_id, count(*), CAST(sum(amount_paise) AS BIGINT) FROM refund GROUP BY ALL UNION ALL
+           SELECT 'chargebacks', merchant_id, count(*), CAST(sum(amount_paise) AS BIGINT) FROM chargeback GROUP BY ALL
+       UNION ALL SELECT 'reserve', merchant_id, count(*), CAST(sum(amount_paise) AS BIGINT) FROM reserve GROUP BY ALL UNION ALL
+           SELECT 'rate', merchant_id, count(*), CAST(sum(flat_paise) AS BIGINT) FROM rate GROUP BY ALL"""
 )
 def loaded_dataset(t):
     """SRC-01: all entities of all merchants, written as files and loaded again."""
@@ -191,8 +214,10 @@ def merchant_scan(t):
 
 
 @query(
-    """SELECT 'payment_link' AS name, merchant_id, count(*) AS n FROM members GROUP BY ALL UNION ALL SELECT 'bank_link', merchant_id, count(*) FROM links GROUP BY ALL UNION ALL SELECT 'decomposition', merchant_id, 13 * count(*) FROM dec GROUP BY ALL
-       UNION ALL SELECT 'exception', merchant_id, count(*) FROM exc GROUP BY ALL UNION ALL SELECT 'summary', merchant_id, 1 FROM (SELECT DISTINCT merchant_id FROM dec) AS m"""
+    """SELECT 'payment_link' AS name, merchant_id, count(*) AS n FROM members GROUP BY ALL UNION ALL SELECT 'bank_link', merchant_id, count(*)
+        FROM links GROUP BY ALL UNION ALL SELECT 'decomposition', merchant_id, 13 * count(*) FROM dec GROUP BY ALL
+       UNION ALL SELECT 'exception', merchant_id, count(*) FROM exc GROUP BY ALL UNION ALL SELECT 'summary', merchant_id, 1
+           FROM (SELECT DISTINCT merchant_id FROM dec) AS m"""
 )
 def saved_run(t):
     """SNK-01, SNK-03: the tables of a run, written all or nothing and read back as a committed run."""
@@ -200,8 +225,10 @@ def saved_run(t):
 
     r = run(t)
     root = f"{shared_dir(t.spark)}/runs-{uuid.uuid4().hex}"
-    verdicts = r.verdicts.select("merchant_id", "exception_seq", "settlement_id", "bank_txn_id", "label", "residue", "verdict", "policy_reason", "idempotency_key", "resolution")
-    tables = {"payment_link": r.members, "bank_link": r.matched["links"], "decomposition": components_long(r.decomposition), "exception": verdicts, "summary": r.totals}
+    verdicts = r.verdicts.select("merchant_id", "exception_seq", "settlement_id", "bank_txn_id", "label", "residue", "verdict", "policy_reason",
+        "idempotency_key", "resolution")
+    tables = {"payment_link": r.members, "bank_link": r.matched["links"], "decomposition": components_long(r.decomposition),
+        "exception": verdicts, "summary": r.totals}
     sinks.save_run(tables, root, "1")
     out = None
     for name in tables:
@@ -211,30 +238,41 @@ def saved_run(t):
 
 
 _F = """
-    SELECT f.merchant_id, f.bank_txn_id, f.settlement_id, 'candidate' AS source, round(dl, 6) AS f_abs_amount_delta_log, CAST(sign(amount_paise - net) AS DOUBLE) AS f_signed_delta_sign, tol::DOUBLE AS f_delta_within_tolerance,
-           round(abs(amount_paise - net) / greatest(abs(net), 1)::DOUBLE, 6) AS f_delta_rel_to_net, banking_days::DOUBLE AS f_banking_day_delta, abs(banking_days)::DOUBLE AS f_abs_banking_day_delta, CASE WHEN value_date = settle_date THEN 1.0::DOUBLE ELSE 0.0 END AS f_same_day,
-           ex::DOUBLE AS f_utr_exact, CASE WHEN ex = 0 AND utr_hit THEN 1.0::DOUBLE ELSE 0.0 END AS f_utr_repaired, coalesce(repair_confidence, 0.0)::DOUBLE AS f_utr_repair_confidence, round(tri, 6)::DOUBLE AS f_token_overlap, round(jw, 6)::DOUBLE AS f_jaro_winkler,
-           CASE WHEN len(candidates) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS f_narration_has_any_utr, CASE WHEN utr IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0 END AS f_settlement_utr_present, CASE WHEN instant THEN 1.0::DOUBLE ELSE 0.0 END AS f_is_instant, round(gap, 6)::DOUBLE AS f_amount_rank_gap
+    SELECT f.merchant_id, f.bank_txn_id, f.settlement_id, 'candidate' AS source, round(dl, 6) AS f_abs_amount_delta_log, CAST(sign(amount_paise - net)
+        AS DOUBLE) AS f_signed_delta_sign, tol::DOUBLE AS f_delta_within_tolerance,
+           round(abs(amount_paise - net) / greatest(abs(net), 1)::DOUBLE, 6) AS f_delta_rel_to_net, banking_days::DOUBLE AS f_banking_day_delta,
+               abs(banking_days)::DOUBLE AS f_abs_banking_day_delta, CASE WHEN value_date = settle_date THEN 1.0::DOUBLE ELSE 0.0 END AS f_same_day,
+           ex::DOUBLE AS f_utr_exact, CASE WHEN ex = 0 AND utr_hit THEN 1.0::DOUBLE ELSE 0.0 END AS f_utr_repaired, coalesce(repair_confidence,
+               0.0)::DOUBLE AS f_utr_repair_confidence, round(tri, 6)::DOUBLE AS f_token_overlap, round(jw, 6)::DOUBLE AS f_jaro_winkler,
+           CASE WHEN len(candidates) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS f_narration_has_any_utr, CASE WHEN utr IS NOT NULL THEN 1.0::DOUBLE
+               ELSE 0.0 END AS f_settlement_utr_present, CASE WHEN instant THEN 1.0::DOUBLE ELSE 0.0 END AS f_is_instant, round(gap, 6)::DOUBLE
+               AS f_amount_rank_gap
     FROM score f JOIN (SELECT merchant_id, bank_txn_id, max(probability) - coalesce(max(probability) FILTER (rn = 2), 0) AS gap FROM (
-        SELECT *, row_number() OVER (PARTITION BY merchant_id, bank_txn_id ORDER BY probability DESC) AS rn FROM score) AS s GROUP BY ALL) AS g USING (merchant_id, bank_txn_id)"""
+        SELECT *, row_number() OVER (PARTITION BY merchant_id, bank_txn_id ORDER BY probability DESC) AS rn FROM score) AS s
+            GROUP BY ALL) AS g USING (merchant_id, bank_txn_id)"""
 
 
 @query(_F)
 def candidate_features(t):
     """SNK-02, SC-01: all sixteen features of the candidate pairs, as they are handed to training."""
     c = run(t).matched["candidates"]
-    return c.select("merchant_id", "bank_txn_id", "settlement_id", F.lit("candidate").alias("source"), *[F.round(F.col(f"f_{n}").cast("double"), 6).alias(f"f_{n}") for n in FEATURES])
+    return c.select("merchant_id", "bank_txn_id", "settlement_id", F.lit("candidate").alias("source"),
+        *[F.round(F.col(f"f_{n}").cast("double"), 6).alias(f"f_{n}") for n in FEATURES])
 
 
 @query(
-    """SELECT merchant_id, method, effective_from, CASE WHEN method = 'card' THEN 230 ELSE pct_bp END AS pct_bp, flat_paise FROM rate WHERE method <> 'upi'
-       UNION ALL SELECT merchant_id, method, effective_from, pct_bp, 5 FROM rate WHERE method = 'upi' UNION ALL SELECT DISTINCT merchant_id, 'emi', DATE '2025-01-01', 300, 0 FROM rate"""
+    """SELECT merchant_id, method, effective_from, CASE WHEN method = 'card' THEN 230 ELSE pct_bp END AS pct_bp, flat_paise FROM rate
+        WHERE method <> 'upi'
+       UNION ALL SELECT merchant_id, method, effective_from, pct_bp, 5 FROM rate WHERE method = 'upi' UNION ALL
+           SELECT DISTINCT merchant_id, 'emi', DATE '2025-01-01', 300, 0 FROM rate"""
 )
 def seed_upsert(t):
     """SNK-04: seed rows written over the rate tiers: changed ones replace, new ones come in, the rest stays."""
     key = ["merchant_id", "method", "effective_from"]
-    changed = t["rate"].where("method in ('card', 'upi')").withColumns({"pct_bp": F.when(F.col("method") == "card", 230).otherwise(F.col("pct_bp")), "flat_paise": F.when(F.col("method") == "upi", 5).otherwise(F.col("flat_paise"))})
-    new = t["rate"].select("merchant_id").distinct().select("merchant_id", F.lit("emi").alias("method"), F.lit("2025-01-01").cast("date").alias("effective_from"), F.lit(300).alias("pct_bp"), F.lit(0).alias("flat_paise"))
+    changed = t["rate"].where("method in ('card', 'upi')").withColumns({"pct_bp": F.when(F.col("method") == "card",
+        230).otherwise(F.col("pct_bp")), "flat_paise": F.when(F.col("method") == "upi", 5).otherwise(F.col("flat_paise"))})
+    new = t["rate"].select("merchant_id").distinct().select("merchant_id", F.lit("emi").alias("method"),
+        F.lit("2025-01-01").cast("date").alias("effective_from"), F.lit(300).alias("pct_bp"), F.lit(0).alias("flat_paise"))
     return sinks.upsert(t["rate"], changed.unionByName(new), key)
 
 

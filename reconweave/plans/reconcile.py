@@ -33,7 +33,8 @@ class Reconciliation:
     ``like`` is a run over the same tables; equal stages of such runs are made once.
     """
 
-    def __init__(self, tables: dict[str, DataFrame], preset: str = "full", probability: Callable[[DataFrame], DataFrame] | None = None, like: Reconciliation | None = None):
+    def __init__(self, tables: dict[str, DataFrame], preset: str = "full", probability: Callable[[DataFrame], DataFrame] | None = None,
+        like: Reconciliation | None = None):
         self.t = tables
         self.on = set(PRESETS[preset])
         self.probability = probability if "model" in self.on else None
@@ -89,7 +90,8 @@ class Reconciliation:
     @cached_property
     def decomposition(self) -> DataFrame:
         m, t = self.matched, self.t
-        return written(decompose.decompose(t["settlement"], t["bank"], m["links"], self.members, t["payment"], t["rate"], self.deducted, self.tied, m["candidates"], self.netted))
+        return written(decompose.decompose(t["settlement"], t["bank"], m["links"], self.members, t["payment"], t["rate"], self.deducted,
+            self.tied, m["candidates"], self.netted))
 
     @cached_property
     def exceptions(self) -> DataFrame:
@@ -118,17 +120,20 @@ class Reconciliation:
 
     @property
     def residues(self) -> DataFrame:
-        return self.decomposition.select("merchant_id", "settlement_id", "bank_txn_id", "gross", "predicted", "residue", "membership_proven", "within_tolerance", "ambiguous")
+        return self.decomposition.select("merchant_id", "settlement_id", "bank_txn_id", "gross", "predicted", "residue", "membership_proven",
+            "within_tolerance", "ambiguous")
 
     @property
     def totals(self) -> DataFrame:
         return decompose.run_totals(self.decomposition, self.members, self.verdicts if "agent" in self.on else None)
 
 
-def reconcile(tables: dict[str, DataFrame], preset: str = "full", probability: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+def reconcile(tables: dict[str, DataFrame], preset: str = "full", probability: Callable[[DataFrame], DataFrame] | None = None) -> dict[str,
+    DataFrame]:
     """Result tables of one run."""
     r = Reconciliation(tables, preset, probability)
     return {
-        "payment_link": r.members, "bank_link": r.matched["links"], "decomposition": decompose.components_long(r.decomposition), "exception": r.verdicts,
+        "payment_link": r.members, "bank_link": r.matched["links"], "decomposition": decompose.components_long(r.decomposition),
+            "exception": r.verdicts,
         "candidate": r.matched["candidates"], "totals": r.totals.withColumn("preset", F.lit(preset)),
     }

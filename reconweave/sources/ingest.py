@@ -18,11 +18,14 @@ from reconweave.functions.money import AMOUNT
 ENTITIES: dict[str, dict[str, str]] = {
     "payments": {"payment_id": "id", "order_id": "text", "amount": "amount", "method": "text!", "status": "text!", "created_at_ist": "ts_ist"},
     "orders": {"order_id": "id", "customer_id": "text", "amount": "amount", "created_at_utc": "ts_utc"},
-    "settlements": {"settlement_id": "id", "utr": "text", "gross": "amount", "fees": "amount", "gst": "amount", "tds": "amount", "net": "amount", "settled_at": "ts_ist", "instant": "flag"},
+    "settlements": {"settlement_id": "id", "utr": "text", "gross": "amount", "fees": "amount", "gst": "amount", "tds": "amount", "net": "amount",
+        "settled_at": "ts_ist", "instant": "flag"},
     "bank": {"bank_txn_id": "id", "value_date": "date", "amount": "amount±", "narration": "text"},
     "refunds": {"refund_id": "id", "payment_id": "text!", "amount": "amount", "created_at_ist": "ts_ist", "netted_flag": "flag"},
-    "chargebacks": {"dispute_id": "id", "payment_id": "text!", "amount": "amount", "fee": "amount", "raised_at_ist": "ts_ist", "reversed_at_ist": "ts_ist?"},
-    "reserve": {"reserve_id": "id", "amount": "amount", "held_on": "date", "release_date": "date", "released_at_ist": "ts_ist?", "netted_flag": "flag"},
+    "chargebacks": {"dispute_id": "id", "payment_id": "text!", "amount": "amount", "fee": "amount", "raised_at_ist": "ts_ist",
+        "reversed_at_ist": "ts_ist?"},
+    "reserve": {"reserve_id": "id", "amount": "amount", "held_on": "date", "release_date": "date", "released_at_ist": "ts_ist?",
+        "netted_flag": "flag"},
 }
 FLAGS_TRUE, FLAGS_FALSE = ("true", "t", "1", "yes", "y"), ("false", "f", "0", "no", "n", "")
 MAX_ID, MAX_RAW, MAX_FILE = 128, 400, 64 << 20
@@ -39,7 +42,8 @@ def _stamp(text: Column, zone_minutes: int) -> Column:
     full = F.concat(body, F.lit(" "), F.when(clock == "", "00:00:00").when(F.length(clock) == 5, F.concat(clock, F.lit(":00"))).otherwise(clock))
     local = full.try_cast("timestamp_ntz")
     digits = F.regexp_replace(offset, "[^0-9]", "")
-    minutes = (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")) * F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
+    minutes = (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")) * F.when(F.startswith(offset,
+        F.lit("-")), -1).otherwise(1)
     shift = F.when(offset == "", F.lit(0)).when(offset == "Z", F.lit(zone_minutes)).otherwise(F.lit(zone_minutes) - minutes)
     return F.when(body != "", local + F.make_dt_interval(mins=shift))
 
@@ -93,7 +97,8 @@ def gate_files(files: DataFrame, entity: str, merchants: DataFrame | None = None
     header = F.lower(F.trim(F.split(F.regexp_replace(text, "^\ufeff", ""), "\r?\n")[0]))
     size = F.octet_length("content")
     why = (
-        F.when(F.col("known").isNull(), "UNKNOWN_MERCHANT").when(F.coalesce(size, F.lit(0)) == 0, "EMPTY_FILE").when(size > MAX_FILE, "FILE_TOO_LARGE")
+        F.when(F.col("known").isNull(), "UNKNOWN_MERCHANT").when(F.coalesce(size, F.lit(0)) == 0, "EMPTY_FILE").when(size > MAX_FILE,
+            "FILE_TOO_LARGE")
         .when(text.isNull(), "NOT_UTF8").when(header != ",".join(ENTITIES[entity]), "BAD_HEADER")
     )
     return files.withColumn("refusal", why).drop("known")
@@ -160,7 +165,8 @@ def rejects(validated: DataFrame) -> DataFrame:
 def refused_files(gated: DataFrame) -> DataFrame:
     """A reject row, line 0, for each file that is refused whole."""
     return gated.where("refusal is not null").select(
-        "merchant_id", "file", F.lit(0).cast("long").alias("line_no"), F.col("refusal").alias("reject_reason"), F.concat(F.coalesce(F.octet_length("content"), F.lit(0)).cast("string"), F.lit(" bytes")).alias("detail"), F.lit("").alias("raw_line")
+        "merchant_id", "file", F.lit(0).cast("long").alias("line_no"), F.col("refusal").alias("reject_reason"),
+            F.concat(F.coalesce(F.octet_length("content"), F.lit(0)).cast("string"), F.lit(" bytes")).alias("detail"), F.lit("").alias("raw_line")
     )
 
 
@@ -173,14 +179,18 @@ def file_report(gated: DataFrame, validated: DataFrame) -> DataFrame:
     """Of each file, refused ones included: SHA-256, refusal, rows seen, accepted, rejected, rejects by reason, and the first twenty rejected lines."""
     keys = ["merchant_id", "file"]
     bad = F.col("reject_reason").isNotNull()
-    n = validated.groupBy(*keys).agg(F.count("*").alias("seen"), F.count(F.when(~bad, 1)).alias("accepted"), F.count(F.when(bad, 1)).alias("rejected"))
+    n = validated.groupBy(*keys).agg(F.count("*").alias("seen"), F.count(F.when(~bad, 1)).alias("accepted"),
+        F.count(F.when(bad, 1)).alias("rejected"))
     why = validated.where(bad).groupBy(*keys, "reject_reason").agg(F.count("*").alias("n"))
-    why = why.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "reject_reason", F.col("n").cast("string")))), ",").alias("by_reason"))
+    why = why.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "reject_reason", F.col("n").cast("string")))),
+        ",").alias("by_reason"))
     first = validated.where(bad).withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("line_no"))).where(F.col("nth") <= SAMPLE)
-    first = first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("line_no")), lambda x: x.cast("string")), ",").alias("sample_lines"))
+    first = first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("line_no")), lambda x: x.cast("string")),
+        ",").alias("sample_lines"))
     files = gated.select(*keys, F.sha2("content", 256).alias("sha256"), "refusal")
     out = files.join(n, keys, "left").join(why, keys, "left").join(first, keys, "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("seen", "accepted", "rejected")} | {c: F.coalesce(c, F.lit("")) for c in ("by_reason", "sample_lines")})
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("seen", "accepted", "rejected")} | {c: F.coalesce(c,
+        F.lit("")) for c in ("by_reason", "sample_lines")})
 
 
 def ingest(files: DataFrame, entity: str, merchants: DataFrame | None = None, committed: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -20,7 +20,8 @@ ID_BUCKETS = 64
 
 def landing_files(spark: SparkSession, folder: str, merchant_id: str) -> DataFrame:
     """Stream of (merchant_id, file, content) of the files that land in a folder."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
+    files = spark.readStream.format("binaryFile").option("recursiveFileLookup",
+        True).schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
     return files.select(F.lit(merchant_id).alias("merchant_id"), F.col("path").alias("file"), "content")
 
 
@@ -47,7 +48,8 @@ def ingest_stream(files: DataFrame, entity: str, out: str, checkpoint: str) -> S
             known = spark.read.schema(f"merchant_id string, {key} string, batch int, bucket int").parquet(f"{out}/ids").where((F.col("batch") < number) & F.col("bucket").isin(wanted))
         rows = rows.join(known.select("merchant_id", key, F.lit(True).alias("_known")), ["merchant_id", key], "left")
         taken = F.col("reject_reason").isNull() & (F.col("_known") | (F.col("file") != F.col("_first")))
-        rows = rows.withColumns({"reject_reason": F.when(taken, "DUPLICATE_EXISTING").otherwise(F.col("reject_reason")), "detail": F.when(taken, F.concat(F.lit("already committed: "), F.col(key))).otherwise(F.col("detail"))})
+        rows = rows.withColumns({"reject_reason": F.when(taken, "DUPLICATE_EXISTING").otherwise(F.col("reject_reason")),
+            "detail": F.when(taken, F.concat(F.lit("already committed: "), F.col(key))).otherwise(F.col("detail"))})
         kept = rows.where("reject_reason is null")
         kept.drop("reject_reason", "detail", "line", "_first", "_known", "bucket").write.mode("overwrite").parquet(f"{out}/accepted/batch={number}")
         ingest.refused_files(gated).unionByName(ingest.rejects(rows)).write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")
@@ -77,7 +79,8 @@ def rate_flags(events: DataFrame, key: str, at: str, limit: int, width: str = "1
 def wash_stream(credits: DataFrame, debits: DataFrame, days: int = 5) -> DataFrame:
     """Interval join of credits and return debits (merchant_id, amount, ref, at, id): same reference and size, the debit within ``days`` after."""
     c = credits.withWatermark("at", f"{days} days").select("merchant_id", "amount", "ref", F.col("at").alias("c_at"), F.col("id").alias("credit"))
-    d = debits.withWatermark("at", f"{days} days").select(F.col("merchant_id").alias("m"), F.col("amount").alias("a"), F.col("ref").alias("r"), F.col("at").alias("d_at"), F.col("id").alias("debit"))
+    d = debits.withWatermark("at", f"{days} days").select(F.col("merchant_id").alias("m"), F.col("amount").alias("a"), F.col("ref").alias("r"),
+        F.col("at").alias("d_at"), F.col("id").alias("debit"))
     near = F.expr(f"d_at >= c_at AND d_at <= c_at + INTERVAL {days} DAYS")
     return c.join(d, (F.col("merchant_id") == F.col("m")) & (F.col("amount") == -F.col("a")) & (F.col("ref") == F.col("r")) & near).select("merchant_id", "credit", "debit")
 
