@@ -84,8 +84,14 @@ def exceptions(d: DataFrame, attributed: DataFrame, proofs: DataFrame | None = N
             F.concat_ws(":", "type", "adjustment_id").alias("adjustment"),
     )
     both = from_batches.unionByName(refused)
-    order = Window.partitionBy("merchant_id").orderBy("ambiguous", F.abs("residue").desc(), "settlement_id", "adjustment")
-    return both.withColumn("exception_seq", F.row_number().over(order).cast("long"))
+    # sizes of one bit length are ranked by themselves, after the counts of all larger ones, so that no task orders a whole merchant
+    both = both.withColumn("_part", F.when(F.col("ambiguous"), 100).otherwise(0) - F.length(F.bin(F.abs("residue"))))
+    before = Window.partitionBy("merchant_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = both.groupBy("merchant_id", "_part").count()
+    base = counts.select("merchant_id", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    order = Window.partitionBy("merchant_id", "_part").orderBy(F.abs("residue").desc(), "settlement_id", "adjustment")
+    ranked = both.withColumn("_nth", F.row_number().over(order)).join(base, ["merchant_id", "_part"])
+    return ranked.withColumn("exception_seq", (F.col("_base") + F.col("_nth")).cast("long")).drop("_part", "_base", "_nth")
 
 
 def run_totals(d: DataFrame, members: DataFrame, decided: DataFrame | None = None) -> DataFrame:

@@ -176,6 +176,7 @@ def test_ledger_detects_every_change(spark):
     assert ledger.append(chain, ledger.entries(rows)).count() == 0
     assert ok(chain.withColumn("payload", F.when(F.col("seq") == 3, "x").otherwise(F.col("payload")))).altered == 1
     assert ok(chain.where("seq <> 3")).broken_links == 1
+    assert ok(chain.unionByName(chain.where("seq = 2"))).broken_links == 2
     bare = ledger.verify_ledger(chain.withColumn("canon_seq", F.when(F.col("seq") != 4, F.col("canon_seq")))).first()
     assert (bare.unverifiable, bare.altered, bare.broken_links) == (1, 0, 0)
     assert ok(chain.withColumn("prev_hash", F.when(F.col("seq") == 2, "0").otherwise(F.col("prev_hash")))).broken_links == 1
