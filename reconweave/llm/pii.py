@@ -13,7 +13,7 @@ trained on the exact likelihood with a small labelled table, at most
 batches inside the tasks. Words far from any digit or "@" cannot start or hold
 a span, so only the stretches around the others are decoded. An added span
 overlaps no rule's span, holds as many digits as its kind needs and, but for
-addresses and secrets, no letter; a secret has ``SECRET`` signs at least, both
+addresses and secrets, no letter; a card passes the Luhn test; a secret has ``SECRET`` signs at least, both
 letters and digits, and no white space.
 
 Edge cases: a null or empty text has no spans; a null doc_id is carried;
@@ -353,6 +353,8 @@ def added_spans(field: Field, texts: list[str], ruled: list[list[Span]], whole:
             digits = sum(c in "0123456789" for c in body)
             worded = any(c.isalpha() for c in body)
             fits = kind == "email" or not worded
+            if kind == "card":
+                fits = fits and luhn("".join(c for c in body if c in "0123456789"))
             if kind == "secret":
                 fits = worded and len(body) >= SECRET and not _SPACED.search(body)
             if least <= digits <= most and ("@" in body) == (kind == "email") and fits and not any(lo < b and a < hi for _, a, b in ruled[i]):
