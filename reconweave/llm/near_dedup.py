@@ -13,9 +13,8 @@
    links that join components. So each pair that shares a bucket is either
    connected already or tested, and no pair list of a group is written out.
    A bucket of over ``SPLIT`` classes, as a passage makes that many unlike texts
-   share, is first split by the other bands: its classes meet only where they
-   share a second band as well. So work grows with the bucket's size, not with
-   its square, unless many classes share two bands.
+   share, is first split by the other bands, where that at least halves its pairs:
+   its classes meet only where they share a second band as well.
 
 At similarity 0.8 a pair shares none of the 32 bands of 4 with probability
 5e-8, and only one with 1e-6, which is what splitting can miss at most; the
@@ -48,8 +47,8 @@ PAIRS = "a long, b long"
 MISS = 1e-6
 #: Classes of one side of a tile in round two.
 TILE = 500
-#: Classes of a bucket from which it is split by a second band.
-SPLIT = 2000
+#: Classes of a bucket from which it is split by a second band, where that makes at most one part in GAIN of the pairs.
+SPLIT, GAIN = 2000, 2
 
 _seeds = np.random.default_rng(20240229)
 _A = _seeds.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -237,18 +236,25 @@ def partners(sig: np.ndarray, label: np.ndarray, band: int, second: int, least:
 def split_buckets(at: DataFrame, reps: DataFrame, split: int) -> DataFrame:
     """(band, second, key, rep, label): buckets of up to ``split`` classes as they are, larger ones by each other band, parts of one label left out."""
     whole = at.select("band", F.lit(-1).alias("second"), "key", "rep", "label")
-    large = durable(at.groupBy("key").count().where(F.col("count") > split).select("key"), "large")
+    large = durable(at.groupBy("key").agg(F.count("*").alias("n_all")).where(F.col("n_all") > split), "large")
     if large.isEmpty():
         return whole
-    spread = at.join(small(large, 16), "key").join(reps.select("rep", "sig"), "rep")
+    spread = at.join(small(large, 24), "key").join(reps.select("rep", "sig"), "rep")
     others = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: j != F.col("band"))
     parts = F.transform(others, lambda j: F.struct(j.alias("second"), F.xxhash64("key", j,
         F.substring("sig", j * 4 * ROWS + 1, F.lit(4 * ROWS))).alias("part")))
-    spread = spread.select("band", "rep", "label", F.explode(parts).alias("p")).select("band", "p.second", F.col("p.part").alias("key"), "rep",
-        "label")
+    spread = spread.select("band", F.col("key").alias("bucket"), "n_all", "rep", "label", F.explode(parts).alias("p"))
+    spread = spread.select("band", "p.second", F.col("p.part").alias("key"), "rep", "label", "bucket", "n_all")
     spread = durable(spread, "spread")
-    mixed = spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return durable(whole.join(small(large, 16), "key", "left_anti").unionByName(spread.join(mixed, "key")), "split")
+    sizes = spread.groupBy("bucket", "n_all", "key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    mixed = durable(sizes.where("lo <> hi").select("bucket", "n_all", "key", "n"), "mixed-parts")
+    # a bucket whose classes mostly share second bands too is left whole, as its parts would make more pairs, not fewer
+    work = mixed.groupBy("bucket").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+    fewer = F.coalesce("work", F.lit(0)) * GAIN <= F.col("n_all") * F.col("n_all")
+    worth = durable(large.join(work, F.col("key") == F.col("bucket"), "left").where(fewer).select("key"), "worth")
+    kept = spread.join(small(worth.withColumnRenamed("key", "bucket"), 16), "bucket", "left_semi")
+    kept = kept.join(mixed.select("bucket", "key"), ["bucket", "key"], "left_semi")
+    return durable(whole.join(small(worth, 16), "key", "left_anti").unionByName(kept.drop("bucket", "n_all")), "split")
 
 
 def across(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
