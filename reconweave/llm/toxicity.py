@@ -50,11 +50,11 @@ BUCKETS = 1 << 18
 #: Weight of a beginning's prior, in words.
 PRIOR = 2.0
 #: What a word without evidence takes from a passage's score.
-DRIFT = 0.7
+DRIFT = 2.0
 #: Expected passages by chance, below which a passage is reported.
 SIGNIFICANT = 0.01
 #: Scores of a segment from which it adds to a document's mass.
-MASS_FROM = 3.0
+MASS_FROM = 1.0
 HELD = 5
 
 # bytes that belong to words keep their lower-cased value, all others become spaces
