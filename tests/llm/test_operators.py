@@ -226,38 +226,70 @@ def test_country_suffixes(spark):
 # --- mixing
 
 
-def brute_slots(quota, period):
-    done = dict.fromkeys(quota, 0)
-    out = []
-    for t in range(period):
-        ready = [(-(-(done[s] + 1) * period // q), s) for s, q in sorted(quota.items()) if done[s] * period // q <= t]
-        s = min(ready)[1]
-        out.append(s)
-        done[s] += 1
+def plain_schedule(weight, slots, span):
+    """Cuts by halving and earliest deadlines, job by job."""
+    total = sum(weight.values())
+    step = 1
+    while step * span < slots:
+        step *= 2
+
+    def shares(at, lo=None, hi=None):
+        base = {s: at * span * w // total for s, w in weight.items()}
+        rank = lambda s: (lo is not None and lo[s] <= base[s], hi is not None and hi[s] <= base[s], -(at * span * weight[s] % total), s)
+        for s in sorted(weight, key=rank)[: at * span - sum(base.values())]:
+            base[s] += 1
+        return base
+
+    cut = {0: shares(0), step: shares(step)}
+    last = step
+    while step > 1:
+        for at in range(0, last, step):
+            cut[at + step // 2] = shares(at + step // 2, cut[at], cut[at + step])
+        step //= 2
+    out = {}
+    for at in range(last):
+        done = dict(cut[at])
+        for t in range(at * span, (at + 1) * span):
+            due = [(-(-(done[s] + 1) * total // weight[s]), s) for s in weight if done[s] < cut[at + 1][s] and done[s] * total // weight[s] <= t]
+            assert due
+            s = min(due)[1]
+            out[t] = (s, done[s])
+            done[s] += 1
     return out
 
 
-def test_period_equals_a_simulated_schedule(spark):
-    quota = {"a": 7, "b": 5, "c": 3, "d": 1}
-    table = spark.createDataFrame(list(quota.items()), "source string, quota long")
-    slots = {r.slot: r.source for r in mixing.period_slots(table, 16).collect()}
-    assert [slots[t] for t in range(16)] == brute_slots(quota, 16)
-    for t in range(1, 17):
-        for s, q in quota.items():
-            assert abs(sum(slots[i] == s for i in range(t)) - t * q / 16) < 1
+@pytest.mark.parametrize("weight", [{"a": 7, "b": 5, "c": 3, "d": 1}, {"a": 10**14, "b": 3, "c": 10**13 + 7}, {f"s{i:02}": 1 + i * i for i in range(14)}])
+def test_schedule_equals_a_simulated_one(spark, weight):
+    got = mixing.schedule(spark.createDataFrame(list(weight.items()), "source string, weight long"), 500, 64).collect()
+    assert {r.slot: (r.source, r.block) for r in got} == plain_schedule(weight, 500, 64)
+
+
+def test_deviation_stays_under_a_block(spark):
+    weight = {f"s{k:03}": 10**9 // (k + 1) for k in range(120)}
+    got = mixing.schedule(spark.createDataFrame(list(weight.items()), "source string, weight long"), 100_000).orderBy("slot").collect()
+    assert [r.slot for r in got] == list(range(len(got))) and len(got) >= 100_000
+    place = {s: i for i, s in enumerate(weight)}
+    part = np.array(list(weight.values())) / sum(weight.values())
+    count, worst = np.zeros(len(part)), 0.0
+    for t, r in enumerate(got):
+        i = place[r.source]
+        assert r.block == count[i]
+        count[i] += 1
+        worst = max(worst, np.abs(count - (t + 1) * part).max())
+    assert worst < 1
 
 
 def test_mix_is_whole_and_on_time(spark):
     rng = random.Random(3)
     rows = [(i, "x" * rng.randint(0, 400), rng.choice("aaaaaabbcd") if i % 50 else None, "en") for i in range(800)] + [(5, "same", "a", "en"), (5, "same", "a", "en"), (None, None, "b", None)]
-    out = mixing.mix(docs(spark, rows), period=64, block_bytes=1000).toPandas()
+    out = mixing.mix(docs(spark, rows), span=64, block_bytes=1000).toPandas()
     assert len(out) == len(rows)
     assert ((out.slot >= out.release) & (out.slot < out.deadline)).all()
     assert not out.duplicated(["slot", "place"]).any() and not out.drop_duplicates(["source", "block"]).slot.duplicated().any()
     last = out[out.in_mix].slot.max()
     share = out[(out.slot <= last)].groupby("source").size().sum()
     assert share == out.in_mix.sum() < len(rows)
-    kept = mixing.mixture(docs(spark, rows), period=64, block_bytes=1000)
+    kept = mixing.mixture(docs(spark, rows), span=64, block_bytes=1000)
     assert kept.columns == ["doc_id", "text", "source", "lang"] and kept.count() == out.in_mix.sum()
     assert mixing.mix(docs(spark, [])).count() == 0
 
@@ -267,23 +299,21 @@ def test_every_document_is_in_the_mixed_order(spark):
     got = corpus_pipeline.mixing_stage(spark, docs(spark, rows), "")
     assert got.columns == ["doc_id", "text", "source", "lang"]
     assert Counter(map(tuple, got.collect())) == Counter(rows)
-    n = {r.source: r.quota for r in mixing.quotas(mixing.default_weights(spark.createDataFrame([("a", 900), ("b", 100)], "source string, bytes long")), 64).collect()}
-    assert n == {"a": 57, "b": 7}
-    order = [r.source for r in mixing.in_order(docs(spark, rows[:600]), period=64, block_bytes=1000).collect()]
+    order = [r.source for r in mixing.in_order(docs(spark, rows[:600]), span=64, block_bytes=1000).collect()]
     assert all(abs(order[:t].count("hot") - 0.9 * t) < 30 for t in range(0, 601, 50))
 
 
 def test_mix_of_long_texts_and_clashing_columns(spark):
     rows = [(i, "y" * (5_000_000 if i == 3 else 50), "ab"[i % 2], "en", 1, "s") for i in range(60)]
     wide = docs(spark, rows, EMPTY + ", slot long, chunk string")
-    out = mixing.mix(wide, period=64, block_bytes=1000).toPandas()
+    out = mixing.mix(wide, span=64, block_bytes=1000).toPandas()
     assert len(out) == 60 and ((out.slot >= out.release) & (out.slot < out.deadline)).all()
-    assert Counter(map(tuple, mixing.in_order(wide, period=64, block_bytes=1000).collect())) == Counter(rows)
+    assert Counter(map(tuple, mixing.in_order(wide, span=64, block_bytes=1000).collect())) == Counter(rows)
 
 
 def test_given_weights(spark):
     rows = [(i, "y" * 92, "ab"[i % 2], "en") for i in range(400)]
-    out = mixing.mix(docs(spark, rows), weights={"a": 3, "b": 1}, period=64, block_bytes=1000).toPandas()
+    out = mixing.mix(docs(spark, rows), weights={"a": 3, "b": 1}, span=64, block_bytes=1000).toPandas()
     first = out[out.in_mix]
     n = Counter(first.source)
     assert 2.5 < n["a"] / n["b"] < 3.5

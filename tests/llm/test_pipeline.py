@@ -7,6 +7,7 @@ import corpus_pipeline
 from reconweave.llm import mixing
 
 from test_dedup import brute_components
+from test_operators import plain_schedule
 
 
 def corpus():
@@ -30,30 +31,26 @@ def brute_order(rows):
     for i, _, s in rows:
         by[s].append(i)
     weight = {s: sum(size[i] for i in ids) for s, ids in by.items()}
-    w, period, n = sum(weight.values()), mixing.PERIOD, len(by)
-    quota = {s: 1 + (period - n) * weight[s] // w for s in by}
-    order = sorted(by, key=lambda s: (-((period - n) * weight[s] % w), s))
-    for s in order[: period - sum(quota.values())]:
-        quota[s] += 1
     blocks = {}
     for s, ids in by.items():
         at = 0
         for i in sorted(ids, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)):
             blocks.setdefault((s, at // mixing.BLOCK_BYTES), []).append(i)
             at += size[i]
-    out, done, t = {}, dict.fromkeys(by, 0), 0
-    while len(out) < len(rows):
-        s = min((-(-(done[x] + 1) * period // q), x) for x, q in quota.items() if done[x] * period // q <= t)[1]
-        for place, i in enumerate(blocks.get((s, done[s]), [])):
+    total = sum(weight.values())
+    last = max(-(-(-(-w // mixing.BLOCK_BYTES)) * total // w) for w in weight.values())
+    span = 64
+    while span < 4 * len(by):
+        span *= 2
+    out = {}
+    for t, block in plain_schedule(weight, last, span).items():
+        for place, i in enumerate(blocks.get(block, [])):
             out[i] = (t, place)
-        done[s] += 1
-        t += 1
     return out
 
 
 def test_stages_against_brute_force(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_BYTES", 500)
-    monkeypatch.setattr(mixing, "PERIOD", 64)
     monkeypatch.setattr(mixing.in_order, "__defaults__", (None, 64, 500))
     rows = corpus()
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
