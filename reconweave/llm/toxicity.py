@@ -94,16 +94,15 @@ class Odds:
     every: np.ndarray
     share: float
 
-    def scores(self, keys: np.ndarray, without: int | None = None) -> np.ndarray:
-        """Log-odds of each word less the drift; with ``without``, the class of the text these words are, its own counts left out."""
+    def scores(self, keys: np.ndarray, own: list[np.ndarray] | None = None, toxic: np.ndarray | None = None) -> np.ndarray:
+        """Log-odds of each word less the drift; with ``own``, each word's counts within its text by length, these are left out of the counts of the text's class."""
         p = np.full(keys.shape[1], self.share)
-        for row in keys:
-            toxic, every = self.toxic[row].astype(np.float64), self.every[row].astype(np.float64)
-            if without is not None:
-                _, at, own = np.unique(row, return_inverse=True, return_counts=True)
-                every = np.maximum(every - own[at], 0)
-                toxic = np.clip(toxic - own[at], 0, every) if without else np.minimum(toxic, every)
-            p = (toxic + PRIOR * p) / (every + PRIOR)
+        for i, row in enumerate(keys):
+            bad, every = self.toxic[row].astype(np.float64), self.every[row].astype(np.float64)
+            if own is not None:
+                every = np.maximum(every - own[i], 0)
+                bad = np.where(toxic, np.clip(bad - own[i], 0, every), np.minimum(bad, every))
+            p = (bad + PRIOR * p) / (every + PRIOR)
         return np.log(p / (1 - p)) - np.log(self.share / (1 - self.share)) - DRIFT
 
 
@@ -131,15 +130,32 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(y - x)) for a, b, x, y in zip(first, end, low, high, strict=True)]
 
 
-def _texts(column):
-    """(row, lower-cased bytes, starts, ends, keys) of each text of an Arrow column."""
+@dataclass
+class Texts:
+    """A slice of an Arrow column: its first row, bytes, and words; words cuts[i] to cuts[i + 1] are those of text i."""
+
+    first: int
+    raw: np.ndarray
+    offsets: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    keys: np.ndarray
+    cuts: np.ndarray
+
+    def segments(self, scores: np.ndarray):
+        """(text, maximal segments as words of the slice) of each text with a word that scores."""
+        positive = np.searchsorted(self.cuts, np.flatnonzero(scores > 0), "right") - 1
+        for i in np.unique(positive):
+            a = int(self.cuts[i])
+            yield int(i), [(a + x, a + y, s) for x, y, s in maximal_segments(scores[a : self.cuts[i + 1]])]
+
+
+def _slices(column):
+    """The texts of an Arrow column, slice by slice, so that work arrays stay small."""
     for lo, hi in text_slices(column):
         raw, offsets = text_buffer(column.slice(lo, hi - lo))
         low, starts, ends = words_of(raw, offsets)
-        cuts = np.searchsorted(starts, offsets)
-        for i in range(hi - lo):
-            a, b = cuts[i], cuts[i + 1]
-            yield lo + i, raw, int(offsets[i]), low, starts[a:b], ends[a:b]
+        yield Texts(lo, raw, offsets, starts, ends, keys_of(low, starts, ends), np.searchsorted(starts, offsets))
 
 
 # --- fitting -----------------------------------------------------------------------------
@@ -161,9 +177,11 @@ def _count(batches):
     counts = [np.zeros((len(STEMS) + 1) * BUCKETS, np.int64) for _ in range(2)]
     for batch in batches:
         toxic = batch["toxic"].to_numpy()
-        for row, _, _, low, starts, ends in _texts(batch["text"]):
-            for k in keys_of(low, starts, ends):
-                np.add.at(counts[int(toxic[row])], k, 1)
+        for t in _slices(batch["text"]):
+            bad = np.repeat(toxic[t.first : t.first + len(t.cuts) - 1] == 1, np.diff(t.cuts))
+            for side in (0, 1):
+                found, n = np.unique(t.keys[:, bad == side], return_counts=True)
+                counts[side][found] += n
     seen = np.flatnonzero(counts[0] + counts[1])
     for at in range(0, len(seen), 1 << 16):
         part = seen[at : at + (1 << 16)]
@@ -239,11 +257,17 @@ def _evidence(odds):
         for batch in batches:
             toxic = batch["toxic"].to_numpy()
             n, best, mass = (np.zeros(len(toxic)) for _ in range(3))
-            for row, _, _, low, starts, ends in _texts(batch["text"]):
-                n[row] = len(starts)
-                found = maximal_segments(model.scores(keys_of(low, starts, ends), int(toxic[row]))) if len(starts) else []
-                best[row] = max((s for *_, s in found), default=0.0)
-                mass[row] = sum(max(0.0, s - MASS_FROM) for *_, s in found)
+            for t in _slices(batch["text"]):
+                size = np.diff(t.cuts)
+                n[t.first : t.first + len(size)] = size
+                text = np.repeat(np.arange(len(size)), size)
+                own = []
+                for row in t.keys:
+                    _, at, many = np.unique(text * t.keys.max(initial=0) + text + row, return_inverse=True, return_counts=True)
+                    own.append(many[at])
+                for i, found in t.segments(model.scores(t.keys, own, toxic[t.first + text] == 1)):
+                    best[t.first + i] = max(s for *_, s in found)
+                    mass[t.first + i] = sum(max(0.0, s - MASS_FROM) for *_, s in found)
             yield pa.RecordBatch.from_arrays([pa.array(toxic), pa.array(n), pa.array(best), pa.array(mass)], ["toxic", "n", "best", "mass"])
 
     return run
@@ -289,16 +313,16 @@ def _score(odds, law):
             n, best, mass, many = np.zeros(size, np.int64), np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
             places = [""] * size
             if odds is not None:
-                for row, raw, begin, low, starts, ends in _texts(batch["text"]):
-                    n[row] = len(starts)
-                    if not len(starts):
-                        continue
-                    found = maximal_segments(odds.value.scores(keys_of(low, starts, ends)))
-                    best[row] = max((s for *_, s in found), default=0.0)
-                    mass[row] = sum(max(0.0, s - MASS_FROM) for *_, s in found)
-                    least = (law.log_k + np.log(len(starts)) - np.log(SIGNIFICANT)) / law.rate
-                    sure = [(int(starts[a]), int(ends[b - 1])) for a, b, s in found if s >= least]
-                    many[row], places[row] = len(sure), _places(raw, begin, sure)
+                for t in _slices(batch["text"]):
+                    size = np.diff(t.cuts)
+                    n[t.first : t.first + len(size)] = size
+                    least = (law.log_k + np.log(np.maximum(size, 1)) - np.log(SIGNIFICANT)) / law.rate
+                    for i, found in t.segments(odds.value.scores(t.keys)):
+                        row = t.first + i
+                        best[row] = max(s for *_, s in found)
+                        mass[row] = sum(max(0.0, s - MASS_FROM) for *_, s in found)
+                        sure = [(int(t.starts[a]), int(t.ends[b - 1])) for a, b, s in found if s >= least[i]]
+                        many[row], places[row] = len(sure), _places(t.raw, int(t.offsets[i]), sure)
                 score = law.probability(n, best, mass)
             else:
                 score = np.full(size, law)

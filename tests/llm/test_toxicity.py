@@ -120,7 +120,8 @@ def test_own_counts_are_left_out():
     for row in keys:
         odds.toxic[row[0]] = odds.every[row[0]] = 2
     assert odds.scores(keys)[0] > 2
-    assert odds.scores(keys, 1) == pytest.approx([-toxicity.DRIFT] * 2)
+    own = [np.array([2, 2])] * len(keys)
+    assert odds.scores(keys, own, np.array([True, True])) == pytest.approx([-toxicity.DRIFT] * 2)
 
 
 def test_accuracy_on_held_out_documents(spark):
