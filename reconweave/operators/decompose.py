@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconweave.functions.money import TOLERANCE, pct_of
-from reconweave.operators.fees import batch_fees
-from reconweave.sources.derive import GST_BP
+from reconweave.functions.money import pct_of
+from reconweave.operators.fees import batch_fees, with_terms
 
 COMPONENTS = ("gross", "platform_fee", "gst_on_fee", "tds_194o", "refund_netted", "chargeback_debit", "dispute_fee", "dispute_fee_gst",
     "chargeback_reversal", "reserve_held", "reserve_released")
 
 
 def decompose(settlement: DataFrame, bank: DataFrame, links: DataFrame, members: DataFrame, payment: DataFrame, rate: DataFrame,
-    deducted: DataFrame, ambiguous_payments: DataFrame, near_ties: DataFrame, netted: bool = True) -> DataFrame:
+    deducted: DataFrame, ambiguous_payments: DataFrame, near_ties: DataFrame, netted: bool = True, terms: DataFrame | None = None) -> DataFrame:
     """One row per settlement: eleven components, predicted net, residue, flags.
 
     A settlement without proved members takes its reported gross and fees, and
@@ -23,7 +22,7 @@ def decompose(settlement: DataFrame, bank: DataFrame, links: DataFrame, members:
     residue.
     """
     facts = members.join(payment.select("merchant_id", "payment_id", "amount_paise", "method", "capture_date"), ["merchant_id", "payment_id"])
-    own = batch_fees(facts, rate).select("merchant_id", "settlement_id", F.col("gross").alias("m_gross"), "fee",
+    own = batch_fees(facts, rate, terms).select("merchant_id", "settlement_id", F.col("gross").alias("m_gross"), "fee",
         F.col("gst_on_fee").alias("m_gst"), "reserve_held", "n_members")
     tied = ambiguous_payments.select("merchant_id", "settlement_id").distinct().withColumn("tied", F.lit(True))
     near = near_ties.where("near_tie").select("merchant_id", "bank_txn_id").distinct().withColumn("near", F.lit(True))
@@ -32,21 +31,22 @@ def decompose(settlement: DataFrame, bank: DataFrame, links: DataFrame, members:
     s = settlement.join(link, ["merchant_id", "settlement_id"], "left").join(b, ["merchant_id", "bank_txn_id"], "left")
     s = s.join(own, ["merchant_id", "settlement_id"], "left").join(deducted, ["merchant_id", "settlement_id"], "left")
     s = s.join(tied, ["merchant_id", "settlement_id"], "left").join(near, ["merchant_id", "bank_txn_id"], "left")
+    s = with_terms(s, terms)
     proven = F.col("n_members").isNotNull() if netted else F.lit(True)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     values = {
         "gross": F.coalesce("m_gross", F.col("gross")), "platform_fee": -F.coalesce("fee", F.col("fees")),
             "gst_on_fee": -F.coalesce("m_gst", F.col("gst")), "tds_194o": -F.col("tds"),
         "refund_netted": -zero("refund_netted"), "chargeback_debit": -zero("chargeback"), "dispute_fee": -zero("dispute_fee"),
-            "dispute_fee_gst": -pct_of(zero("dispute_fee"), GST_BP),
+            "dispute_fee_gst": -pct_of(zero("dispute_fee"), F.col("gst_bp")),
         "chargeback_reversal": zero("reversal"), "reserve_held": -zero("reserve_held"), "reserve_released": zero("reserve_released"),
     }
     out = s.select("merchant_id", "settlement_id", "bank_txn_id", "settle_date", "value_date", "bank_paise", "confidence", "source", "tied",
-        "near", proven.alias("membership_proven"), zero("n_members").alias("n_members"), F.col("net").alias("reported_net"),
+        "near", proven.alias("membership_proven"), zero("n_members").alias("n_members"), F.col("net").alias("reported_net"), "tolerance_paise",
         *[values[c].alias(c) for c in COMPONENTS])
     out = out.withColumn("predicted", sum(F.col(c) for c in COMPONENTS[1:]) + F.col("gross")).withColumn("unmatched", F.col("bank_txn_id").isNull())
     out = out.withColumn("residue", F.when(F.col("unmatched"), -F.col("predicted")).otherwise(F.col("bank_paise") - F.col("predicted")))
-    out = out.withColumn("within_tolerance", ~F.col("unmatched") & F.col("membership_proven") & (F.abs("residue") <= TOLERANCE))
+    out = out.withColumn("within_tolerance", ~F.col("unmatched") & F.col("membership_proven") & (F.abs("residue") <= F.col("tolerance_paise")))
     flagged = (~F.col("unmatched") & F.coalesce("near", F.lit(False)) & (F.coalesce("source", F.lit("")) != "exact_utr")) | F.coalesce("tied",
         F.lit(False)) | (~F.col("unmatched") & ~F.col("membership_proven"))
     return out.withColumn("ambiguous", flagged).withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).drop("tied", "near")
@@ -74,6 +74,7 @@ def exceptions(d: DataFrame, attributed: DataFrame, proofs: DataFrame | None = N
         "merchant_id", "settlement_id", "bank_txn_id", "residue", F.col("gross").alias("batch_value"), "confidence", "ambiguous", "unmatched",
             F.coalesce("value_date", "settle_date").alias("value_date"),
         unproven.alias("partition_refusal"), F.lit(None).cast("string").alias("attribution_refusal"), F.lit("").alias("adjustment"),
+        "tolerance_paise",
     )
     refused = attributed.where("settlement_id is null").select(
         "merchant_id", F.when(F.col("candidates") != "", F.split("candidates", ",")[0]).alias("settlement_id"),
@@ -81,7 +82,7 @@ def exceptions(d: DataFrame, attributed: DataFrame, proofs: DataFrame | None = N
         F.lit(0).cast("long").alias("batch_value"), F.lit(0.0).alias("confidence"), F.lit(True).alias("ambiguous"),
             F.lit(False).alias("unmatched"), F.col("settle_date").alias("value_date"),
         F.lit(None).cast("string").alias("partition_refusal"), F.col("basis").alias("attribution_refusal"),
-            F.concat_ws(":", "type", "adjustment_id").alias("adjustment"),
+            F.concat_ws(":", "type", "adjustment_id").alias("adjustment"), F.lit(0).alias("tolerance_paise"),
     )
     both = from_batches.unionByName(refused)
     # sizes of one bit length are ranked by themselves, after the counts of all larger ones, so that no task orders a whole merchant

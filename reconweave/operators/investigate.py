@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconweave.functions.calendar import with_ordinal
-from reconweave.functions.money import TOLERANCE, fmt, fmt_inr
+from reconweave.functions.money import fmt, fmt_inr
 from reconweave.functions.narration import best_similarity
 from reconweave.operators.fees import with_tier
 from reconweave.operators.matching import WINDOW_DAYS
@@ -102,13 +102,13 @@ def _documents(gaps: DataFrame, rows: DataFrame, id_col: str, size: Column, expl
 def signals(exc: DataFrame, members: DataFrame, t: dict[str, DataFrame], parsed: DataFrame) -> DataFrame:
     """Each exception with what the eleven lookups found; exceptions of a refused adjustment have no batch to look into."""
     keys = ["merchant_id", "exception_seq"]
-    of_batch = exc.where("adjustment = ''").select(*keys, "settlement_id", F.abs("residue").alias("gap"))
-    close = lambda x: F.abs(x - F.col("gap")) <= TOLERANCE
+    of_batch = exc.where("adjustment = ''").select(*keys, "settlement_id", F.abs("residue").alias("gap"), "tolerance_paise")
+    close = lambda x: F.abs(x - F.col("gap")) <= F.col("tolerance_paise")
     refunds = _documents(of_batch, in_batches(members, t["refund"].where("netted")), "refund_id", F.col("amount_paise"),
         F.bool_or(close(F.col("amount_paise"))), "refunds")
     disputes = in_batches(members, t["chargeback"])
     disputes = _documents(of_batch, disputes, "dispute_id", F.col("amount_paise") + F.col("fee_paise"),
-        F.abs(F.sum("size") - F.first("gap")) <= TOLERANCE, "chargebacks")
+        F.abs(F.sum("size") - F.first("gap")) <= F.first("tolerance_paise"), "chargebacks")
     held = _documents(of_batch, on_run_date(t["settlement"], t["reserve"]), "reserve_id", F.col("amount_paise"),
         F.bool_or(close(F.col("amount_paise"))), "reserves")
     mix = of_batch.select(*keys, "settlement_id").join(batch_mix(members, t["payment"], t["rate"]),
@@ -143,7 +143,7 @@ def signals(exc: DataFrame, members: DataFrame, t: dict[str, DataFrame], parsed:
 def planned() -> Column:
     """The lookups in the order that they are made: as many as the plan needs, six at most, then the decisive ones not yet made."""
     names = lambda *xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
-    inside = F.abs("residue") <= TOLERANCE
+    inside = F.abs("residue") <= F.col("tolerance_paise")
     rest = names("inspect_narration")
     rest = F.when(F.col("residue") < 0, F.concat(names("get_payments_in_batch"),
         rest)).otherwise(F.concat(names("get_payments_in_batch", "check_rate_card"), rest))
@@ -283,7 +283,7 @@ def label() -> Column:
     return (
         F.when(x("attribution_refusal").isNotNull(), "attribution_ambiguous").when(x("partition_refusal").isNotNull(),
             "partition_unproven").when(x("ambiguous"), "ambiguous_candidates")
-        .when(x("unmatched"), "duplicate_credit").when(F.abs("residue") <= TOLERANCE, "timing_offset").when(x("refunds_explain"), "netted_refund")
+        .when(x("unmatched"), "duplicate_credit").when(F.abs("residue") <= F.col("tolerance_paise"), "timing_offset").when(x("refunds_explain"), "netted_refund")
         .when(x("chargebacks_explain"), "chargeback_debit").when(x("reserves_explain"), "reserve_movement").when(x("fee_variance"),
             "fee_variance").otherwise("unexplained")
     )

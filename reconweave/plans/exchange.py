@@ -7,6 +7,7 @@ that SQL knows the expected reason of each row without parsing anything.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from reconweave.functions.durable import shared_dir, written
 from reconweave.operators.matching import FEATURES
 from reconweave.plans.registry import Entities, on_table, query, run
-from reconweave.sources import ingest, sinks
+from reconweave.plans.reconcile import Reconciliation
+from reconweave.sources import ingest, normalise, sinks
 from reconweave.streaming import jobs
 
 _HEADER = ",".join(ingest.ENTITIES["payments"])
@@ -131,74 +133,114 @@ def csv_rules(part):
     return rows.select("p_partkey", F.col("f.c0").alias("quoted"), F.col("f.c1").alias("plain"), F.coalesce("f.c2", F.lit("")).alias("missing"))
 
 
-def _card(rate: DataFrame) -> DataFrame:
+def _card(rate: DataFrame, terms: DataFrame) -> DataFrame:
     """Rate cards as JSON text, one a merchant."""
-    tier = F.struct(F.col("effective_from").cast("string").alias("effective_from"),
-        F.format_string("%.2f", F.col("pct_bp") / 100.0).alias("pct"), F.col("flat_paise").cast("long").alias("flat_paise"))
+    pct = lambda c: F.format_string("%.2f", F.col(c) / 100.0)
+    tier = F.struct(F.col("effective_from").cast("string").alias("effective_from"), pct("pct_bp").alias("pct"), F.col("flat_paise").cast("long").alias("flat_paise"))
     per = rate.groupBy("merchant_id", "method").agg(F.array_sort(F.collect_list(tier)).alias("tiers"))
     per = per.groupBy("merchant_id").agg(F.map_from_entries(F.collect_list(F.struct("method", "tiers"))).alias("methods"))
-    return per.select("merchant_id", F.to_json(F.struct("merchant_id", F.lit(100).alias("tolerance_paise"), "methods")).alias("card"))
+    card = F.struct(
+        "merchant_id",
+        pct("gst_bp").alias("gst_rate_pct"),
+        pct("tds_bp").alias("tds_rate_pct"),
+        pct("reserve_bp").alias("reserve_rate_pct"),
+        F.split("reserve_methods", ",").alias("reserve_methods"),
+        pct("instant_bp").alias("instant_surcharge_pct"),
+        pct("dispute_fee_paise").alias("dispute_fee"),
+        "tolerance_paise",
+        "methods",
+    )
+    return per.join(terms, "merchant_id").select("merchant_id", F.to_json(card).alias("card"))
 
 
-@query("SELECT merchant_id, method, effective_from, CAST(pct_bp AS BIGINT) AS pct_bp, CAST(flat_paise AS BIGINT) AS flat_paise FROM rate")
+@query(
+    """SELECT merchant_id, method, effective_from, CAST(pct_bp AS BIGINT) AS pct_bp, CAST(flat_paise AS BIGINT) AS flat_paise
+        FROM rate WHERE merchant_id IN (SELECT merchant_id FROM payment)"""
+)
 def rate_card_tiers(t):
-    """SRC-04: tiers read from rate cards in JSON."""
-    return ingest.rate_tiers(_card(t["rate"]))
+    """SRC-04: tiers read from the rate cards of the merchants with payments, in JSON."""
+    known = t["payment"].select("merchant_id").distinct()
+    return ingest.rate_tiers(_card(t["rate"].join(known, "merchant_id", "left_semi"), t["terms"]))
+
+
+@query(
+    """SELECT t.merchant_id, count(*) AS payments, CAST(gst_bp AS BIGINT) AS gst_bp, CAST(tds_bp AS BIGINT) AS tds_bp, CAST(reserve_bp AS BIGINT) AS reserve_bp,
+        reserve_methods, CAST(instant_bp AS BIGINT) AS instant_bp, CAST(dispute_fee_paise AS BIGINT) AS dispute_fee_paise,
+        CAST(tolerance_paise AS BIGINT) AS tolerance_paise FROM terms t JOIN payment p ON p.merchant_id = t.merchant_id GROUP BY ALL"""
+)
+def rate_card_terms(t):
+    """SRC-04: all other terms of the rate cards, with the number of payments that they hold for."""
+    terms = ingest.rate_terms(_card(t["rate"], t["terms"]))
+    return t["payment"].groupBy("merchant_id").agg(F.count("*").alias("payments")).join(terms, "merchant_id")
 
 
 def _written_dataset(t: Entities) -> str:
-    """The derived entities as a dataset of CSV and JSON files, merchant by merchant."""
+    """The derived entities as a dataset of CSV and JSON files, an entity a folder with a part a merchant; no field is changed."""
     from reconweave.functions.money import fmt
 
     root = f"{shared_dir(t.spark)}/dataset-{uuid.uuid4().hex}"
-    stamp = lambda day, sec: F.date_format(F.timestamp_seconds(F.unix_date(F.col(day)) * 86400 + F.col(sec)), "yyyy-MM-dd'T'HH:mm:ss")
-    midnight = F.lit(0)
+    clock = F.timestamp_seconds
+    stamp = lambda day, sec: F.date_format(clock(F.unix_date(F.col(day)) * 86400 + F.col(sec)), "yyyy-MM-dd'T'HH:mm:ss")
     flag = lambda c: F.col(c).cast("int").cast("string")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     money = lambda c: fmt(F.col(c))
     files = {
-        "payments": ("payment", [F.col("payment_id"), F.col("order_id"), money("amount_paise"), F.col("method"), F.col("status"),
+        "payments": ("payment", [text("payment_id"), text("order_id"), money("amount_paise"), text("method"), text("status"),
             stamp("capture_date", "capture_sec")]),
-        "orders": ("purchase", [F.col("order_id"), F.col("customer_id"), money("amount_paise"), F.col("created_date").cast("string")]),
-        "settlements": ("settlement", [F.col("settlement_id"), F.coalesce("utr", F.lit("")), money("gross"), money("fees"), money("gst"),
-            fmt(F.col("tds") + F.col("held")), money("net"), F.col("settle_date").cast("string"), flag("instant")]),
-        "bank_statement": ("bank", [F.col("bank_txn_id"), F.col("value_date").cast("string"), money("amount_paise"), F.col("narration")]),
-        "refunds": ("refund", [F.col("refund_id"), F.col("payment_id"), money("amount_paise"), stamp("created_date", "created_sec"), flag("netted")]),
-        "chargebacks": ("chargeback", [F.col("dispute_id"), F.col("payment_id"), money("amount_paise"), money("fee_paise"),
-            stamp("raised_date", "raised_sec"), F.coalesce(F.col("reversed_date").cast("string"), F.lit(""))]),
-        "reserve_ledger": ("reserve", [F.col("reserve_id"), money("amount_paise"), F.col("held_on").cast("string"),
-            F.col("release_date").cast("string"), stamp("release_date", "released_sec"), flag("netted")]),
+        "orders": ("purchase", [text("order_id"), text("customer_id"), money("amount_paise"), text("created_date")]),
+        "settlements": ("settlement", [text("settlement_id"), text("utr"), money("gross"), money("fees"), money("gst"), money("tds"),
+            money("net"), text("settle_date"), flag("instant")]),
+        "bank_statement": ("bank", [text("bank_txn_id"), text("value_date"), money("amount_paise"), text("narration")]),
+        "refunds": ("refund", [text("refund_id"), text("payment_id"), money("amount_paise"), stamp("created_date", "created_sec"), flag("netted")]),
+        "chargebacks": ("chargeback", [text("dispute_id"), text("payment_id"), money("amount_paise"), money("fee_paise"),
+            stamp("raised_date", "raised_sec"), F.coalesce(stamp("reversed_date", "reversed_sec"), F.lit(""))]),
+        "reserve_ledger": ("reserve", [text("reserve_id"), money("amount_paise"), text("held_on"), text("release_date"),
+            stamp("release_date", "released_sec"), flag("netted")]),
     }
     heads = dict(zip(files, ingest.ENTITIES.values(), strict=True))
-    merchants = [r.merchant_id for r in t["rate"].select("merchant_id").distinct().collect()]
     for name, (entity, columns) in files.items():
         rows = t[entity].select("merchant_id", *[c.alias(n) for c, n in zip(columns, heads[name], strict=True)])
-        for m in merchants:
-            rows.where(F.col("merchant_id") == m).drop("merchant_id").write.option("header", True).option("emptyValue",
-                "").csv(f"{root}/{m}/observable/{name}.csv")
-    for m in merchants:
-        _card(t["rate"]).where(F.col("merchant_id") == m).select("card").coalesce(1).write.text(f"{root}/{m}/config/rate_card_published.json")
+        out = rows.repartition("merchant_id").write.partitionBy("merchant_id").option("header", True).option("emptyValue", "")
+        out.csv(f"{root}/parts/{name}.csv")
+    cards = _card(t["rate"], t["terms"])
+    cards.repartition(cards.count()).select("card").write.option("maxRecordsPerFile", 1).text(f"{root}/parts/rate_cards")
     return root
 
 
-@query(
-    """SELECT 'payments' AS entity, merchant_id, count(*) AS n, CAST(sum(amount_paise) AS BIGINT) AS paise FROM payment GROUP BY ALL UNION ALL
-        SELECT 'orders', merchant_id, count(*), CAST(sum(amount_paise) AS BIGINT) FROM purchase GROUP BY ALL
-       UNION ALL SELECT 'settlements', merchant_id, count(*), CAST(sum(net) AS BIGINT) FROM settlement GROUP BY ALL UNION ALL
-           SELECT 'bank', merchant_id, count(*), CAST(sum(amount_paise) AS BIGINT) FROM bank GROUP BY ALL
-       UNION ALL SELECT 'refunds', merchant_id, count(*), CAST(sum(amount_paise) AS BIGINT) FROM refund GROUP BY ALL UNION ALL
-           SELECT 'chargebacks', merchant_id, count(*), CAST(sum(amount_paise) AS BIGINT) FROM chargeback GROUP BY ALL
-       UNION ALL SELECT 'reserve', merchant_id, count(*), CAST(sum(amount_paise) AS BIGINT) FROM reserve GROUP BY ALL UNION ALL
-           SELECT 'rate', merchant_id, count(*), CAST(sum(flat_paise) AS BIGINT) FROM rate GROUP BY ALL"""
+#: The fields of each entity, which queries and SQL join to one text.
+_FIELDS = {
+    "payment": ("payment_id", "order_id", "amount_paise", "method", "status", "capture_date", "capture_sec"),
+    "purchase": ("order_id", "customer_id", "amount_paise", "created_date"),
+    "settlement": ("settlement_id", "utr", "gross", "fees", "gst", "tds", "net", "settle_date", "instant"),
+    "bank": ("bank_txn_id", "value_date", "amount_paise", "narration"),
+    "refund": ("refund_id", "payment_id", "amount_paise", "created_date", "created_sec", "netted"),
+    "chargeback": ("dispute_id", "payment_id", "amount_paise", "fee_paise", "raised_date", "raised_sec", "reversed_date", "reversed_sec"),
+    "reserve": ("reserve_id", "amount_paise", "held_on", "release_date", "released_sec", "netted"),
+    "rate": ("method", "effective_from", "pct_bp", "flat_paise"),
+}
+_AS_TEXT = " UNION ALL ".join(
+    f"SELECT '{e}' AS entity, merchant_id, " + " || '|' || ".join(f"coalesce(CAST({c} AS STRING), '')" for c in columns) + f" AS fields FROM {e}"
+    for e, columns in _FIELDS.items()
 )
+
+
+@query(_AS_TEXT + " WHERE merchant_id IN (SELECT merchant_id FROM terms)")
 def loaded_dataset(t):
-    """SRC-01: all entities of all merchants, written as files and loaded again."""
-    data = ingest.load_dataset(t.spark, _written_dataset(t))
-    out = None
-    for name, df in data.items():
-        size = F.col("flat_paise" if name == "rate" else "net" if name == "settlements" else "amount")
-        part = df.groupBy(F.lit(name).alias("entity"), "merchant_id").agg(F.count("*").alias("n"), F.sum(size).alias("paise"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """SRC-01: every field of every row of all entities, written as files, loaded again and made into entities."""
+    tables = normalise.entities(ingest.load_dataset(t.spark, _written_dataset(t)))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    parts = [tables[e].select(F.lit(e).alias("entity"), "merchant_id", F.concat_ws("|", *map(text, columns)).alias("fields")) for e, columns in _FIELDS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    """SELECT merchant_id, settlement_id, bank_txn_id, predicted, residue, membership_proven, within_tolerance, ambiguous, n_members FROM dec"""
+)
+def run_from_files(t):
+    """SRC-01: a whole run over the loaded files; its rows are those of the run over the entities themselves."""
+    tables = {n: written(df) for n, df in normalise.entities(ingest.load_dataset(t.spark, _written_dataset(t))).items()}
+    d = Reconciliation(tables).decomposition
+    return d.select("merchant_id", "settlement_id", "bank_txn_id", "predicted", "residue", "membership_proven", "within_tolerance", "ambiguous", "n_members")
 
 
 @query("SELECT merchant_id, payment_id, amount_paise, row_number() OVER (ORDER BY payment_id) AS nth FROM payment WHERE merchant_id = 'm1'")

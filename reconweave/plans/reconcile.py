@@ -46,6 +46,14 @@ class Reconciliation:
             self.made[key] = make()
         return self.made[key]
 
+    @property
+    def terms(self) -> DataFrame | None:
+        """Each merchant's terms, if the tables have them; without, the standard ones hold."""
+        try:
+            return self.t["terms"]
+        except KeyError:
+            return None
+
     @property
     def matched(self) -> dict[str, DataFrame]:
         stages = ["exact" in self.on, "repair" in self.on, "global" in self.on]
@@ -91,7 +99,7 @@ class Reconciliation:
     def decomposition(self) -> DataFrame:
         m, t = self.matched, self.t
         return written(decompose.decompose(t["settlement"], t["bank"], m["links"], self.members, t["payment"], t["rate"], self.deducted,
-            self.tied, m["candidates"], self.netted))
+            self.tied, m["candidates"], self.netted, self.terms))
 
     @cached_property
     def exceptions(self) -> DataFrame:

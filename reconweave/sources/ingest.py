@@ -80,9 +80,13 @@ def _rule(name: str, text: Column, kind: str) -> Column:
 
 
 def read_files(spark: SparkSession, path: str, merchant_id: str | None = None) -> DataFrame:
-    """(merchant_id, file, content) of files; without a merchant the folder above ``observable`` names it."""
-    files = spark.read.format("binaryFile").load(path)
-    merchant = F.lit(merchant_id) if merchant_id is not None else F.regexp_extract("path", "/([^/]+)/observable/", 1)
+    """(merchant_id, file, content) of files; without a merchant the folder ``merchant_id=`` or the one above ``observable`` names it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    if merchant_id is not None:
+        merchant = F.lit(merchant_id)
+    else:
+        named = [F.regexp_extract("path", p, 1) for p in ("/merchant_id=([^/]+)/", "/([^/]+)/observable/")]
+        merchant = F.coalesce(*[F.when(m != "", m) for m in named])
     return files.select(merchant.alias("merchant_id"), F.col("path").alias("file"), "content")
 
 
@@ -117,12 +121,13 @@ def parse_line(line: Column, columns: int) -> Column:
     return F.from_csv(line, F.lit(schema), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
 
 
-def validate(lines: DataFrame, entity: str, committed: DataFrame | None = None) -> DataFrame:
+def validate(lines: DataFrame, entity: str, committed: DataFrame | None = None, sums: bool = True) -> DataFrame:
     """Each data line with its typed columns, ``reject_reason`` (null if it is accepted) and ``detail``.
 
     Order: column count, the fields' rules in column order, the sum of a
     settlement, quotes that do not close, a repeated id within the file among
-    rows that parse, an id that was committed before.
+    rows that parse, an id that was committed before. Without ``sums`` a
+    settlement may report any net.
     """
     columns = ENTITIES[entity]
     header = ",".join(columns)
@@ -138,7 +143,7 @@ def validate(lines: DataFrame, entity: str, committed: DataFrame | None = None)
     typed = {n: _value(field(i), k) for i, (n, k) in enumerate(columns.items())}
     out = parsed.withColumns(typed).withColumn("r", F.coalesce(*rules))
     late = []
-    if entity == "settlements":
+    if entity == "settlements" and sums:
         off = F.col("gross") - F.col("fees") - F.col("gst") - F.col("tds") != F.col("net")
         late.append(reject(F.when(off, "MONETARY_INCONSISTENT"), F.lit("net is not gross less fees, gst and tds")))
     open_quote = F.length(F.regexp_replace(F.regexp_replace("line", QUOTED, ""), '[^"]', "")) > 0
@@ -193,31 +198,72 @@ def file_report(gated: DataFrame, validated: DataFrame) -> DataFrame:
         F.lit("")) for c in ("by_reason", "sample_lines")})
 
 
-def ingest(files: DataFrame, entity: str, merchants: DataFrame | None = None, committed: DataFrame | None = None) -> dict[str, DataFrame]:
+def ingest(files: DataFrame, entity: str, merchants: DataFrame | None = None, committed: DataFrame | None = None, sums: bool = True) -> dict[str, DataFrame]:
     """Accepted rows, all rejects (of files and of lines) and the report of (merchant_id, file, content) rows."""
     gated = gate_files(files, entity, merchants)
-    rows = validate(lines_of(gated), entity, committed)
+    rows = validate(lines_of(gated), entity, committed, sums)
     accepted = rows.where("reject_reason is null").select("merchant_id", *ENTITIES[entity])
     return {"accepted": accepted, "rejects": refused_files(gated).unionByName(rejects(rows)), "report": file_report(gated, rows)}
 
 
-def load_dataset(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The seven entities of all merchants under ``root``/<merchant>/observable, accepted rows only, and the tiers of their rate cards.
+#: Names of an entity's file where they are not the entity's.
+FILES = {"bank": "{bank,bank_statement}", "reserve": "{reserve,reserve_ledger}"}
+
 
-    An entity is a file, or a folder of files each with the header.
+def load_dataset(spark: SparkSession, root: str, merchant_id: str | None = None, cards: str | None = None) -> dict[str, DataFrame]:
+    """The seven entities, accepted rows only, with the tiers (``rate``) and other terms (``terms``) of the merchants' rate cards.
+
+    Files lie under ``root``/<merchant>/observable with the cards in
+    ``root``/<merchant>/config; or each entity is a folder in ``root``/parts with a part
+    merchant_id=<merchant> each; or ``merchant_id`` names the one merchant whose files
+    are in ``root`` itself. An entity is a file, or a folder of files each with
+    the header. ``cards`` is another place of the cards. Settlements are taken
+    as they were reported, whether or not their sums agree; ``ingest`` is the
+    gate for that.
     """
-    names = {"settlements": "settlements", "bank": "bank_statement", "reserve": "reserve_ledger"}
-    out = {e: ingest(read_files(spark, f"{root}/*/observable/{names.get(e, e)}.csv"), e)["accepted"] for e in ENTITIES}
-    cards = spark.read.text(f"{root}/*/config/rate_card_published.json", wholetext=True)
-    return out | {"rate": rate_tiers(cards.select(F.col("value").alias("card")))}
+    flat = merchant_id is not None
+    path = lambda e: f"{root}/{FILES.get(e, e)}.csv" if flat else f"{root}/{{*/observable,parts}}/{FILES.get(e, e)}.csv"
+    out = {e: ingest(read_files(spark, path(e), merchant_id), e, sums=False)["accepted"] for e in ENTITIES}
+    cards = cards or (f"{root}/rate_card_published.json" if flat else f"{root}/{{*/config/rate_card_published.json,parts/rate_cards}}")
+    card = spark.read.option("wholetext", True).text(cards).select(F.col("value").alias("card"))
+    if flat:
+        card = card.withColumn("merchant_id", F.lit(merchant_id))
+    return out | {"rate": rate_tiers(card), "terms": rate_terms(card)}
+
 
+CARD = "merchant_id string, gst_rate_pct string, tds_rate_pct string, reserve_rate_pct string, instant_surcharge_pct string, dispute_fee string, tolerance_paise bigint, reserve_methods array<string>, methods map<string,array<struct<effective_from:string,pct:string,flat_paise:bigint>>>"
 
-CARD = "merchant_id string, tolerance_paise bigint, reserve_methods array<string>, methods map<string,array<struct<effective_from:string,pct:string,flat_paise:bigint>>>"
+
+def _basis_points(pct: Column) -> Column:
+    return F.round(pct.cast("decimal(9,4)") * 100).cast("long")
+
+
+def _cards(cards: DataFrame) -> DataFrame:
+    """Rate cards parsed; a column ``merchant_id`` beside the text goes before the one inside."""
+    read = cards.withColumn("c", F.from_json("card", CARD))
+    merchant = F.coalesce("merchant_id", "c.merchant_id") if "merchant_id" in cards.columns else F.col("c.merchant_id")
+    return read.select(merchant.alias("merchant_id"), "c")
 
 
 def rate_tiers(cards: DataFrame) -> DataFrame:
     """(merchant_id, method, effective_from, pct_bp, flat_paise) from rate cards as JSON text in ``card``."""
-    card = cards.select(F.from_json("card", CARD).alias("c")).select("c.merchant_id", F.explode("c.methods").alias("method", "tiers"))
+    card = _cards(cards).select("merchant_id", F.explode("c.methods").alias("method", "tiers"))
     tiers = card.select("merchant_id", "method", F.explode("tiers").alias("t"))
-    bp = F.round(F.col("t.pct").cast("decimal(9,4)") * 100).cast("long")
-    return tiers.select("merchant_id", "method", F.col("t.effective_from").cast("date").alias("effective_from"), bp.alias("pct_bp"), "t.flat_paise")
+    from_date = F.col("t.effective_from").cast("date").alias("effective_from")
+    return tiers.select("merchant_id", "method", from_date, _basis_points(F.col("t.pct")).alias("pct_bp"), "t.flat_paise")
+
+
+def rate_terms(cards: DataFrame) -> DataFrame:
+    """(merchant_id, gst_bp, tds_bp, reserve_bp, reserve_methods, instant_bp, dispute_fee_paise, tolerance_paise); null where a card does not say."""
+    card = _cards(cards)
+    bp = lambda n, as_: _basis_points(F.col(f"c.{n}")).alias(as_)
+    return card.select(
+        "merchant_id",
+        bp("gst_rate_pct", "gst_bp"),
+        bp("tds_rate_pct", "tds_bp"),
+        bp("reserve_rate_pct", "reserve_bp"),
+        F.array_join("c.reserve_methods", ",").alias("reserve_methods"),
+        bp("instant_surcharge_pct", "instant_bp"),
+        (F.col("c.dispute_fee").cast("decimal(18,2)") * 100).cast("long").alias("dispute_fee_paise"),
+        "c.tolerance_paise",
+    )

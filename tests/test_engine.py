@@ -125,7 +125,7 @@ def test_a_large_component_keeps_its_links(spark):
 
 @pytest.mark.parametrize(("residue", "inside"), [(99, True), (100, True), (-100, True), (101, False), (-101, False), (10_000, False)])
 def test_tolerance_is_one_rupee(spark, residue, inside):
-    row = spark.createDataFrame([(residue, None, None, False, False, False, False, False, False)], "residue bigint, attribution_refusal string, partition_refusal string, ambiguous boolean, unmatched boolean, refunds_explain boolean, chargebacks_explain boolean, reserves_explain boolean, fee_variance boolean")
+    row = spark.createDataFrame([(residue, None, None, False, False, False, False, False, False, 100)], "residue bigint, attribution_refusal string, partition_refusal string, ambiguous boolean, unmatched boolean, refunds_explain boolean, chargebacks_explain boolean, reserves_explain boolean, fee_variance boolean, tolerance_paise int")
     assert row.select(investigate.label().alias("l")).first().l == ("timing_offset" if inside else "unexplained")
     pairs = spark.createDataFrame([(5000 + residue, 5000, "U", ["U"], False, 0.0, "U", 0, D, D, False)], "amount_paise bigint, net bigint, utr string, candidates array<string>, utr_hit boolean, repair_confidence double, canon string, banking_days int, value_date date, settle_date date, instant boolean")
     assert matching.features(pairs).first().f_delta_within_tolerance == float(inside)
