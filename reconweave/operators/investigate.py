@@ -172,6 +172,12 @@ def _when(condition: Column, *facts: Column) -> Column:
     return F.when(condition, F.array(*facts).cast(EVIDENCE)).otherwise(F.array().cast(EVIDENCE))
 
 
+def implied_text() -> Column:
+    """The residue in percent of the card volume, four decimals, half up in whole numbers."""
+    parts = F.expr("(abs(residue) * 2000000 + card_paise) div (2 * card_paise)")
+    return F.concat(F.floor(parts / 10_000).cast("string"), F.lit("."), F.lpad((parts % 10_000).cast("string"), 4, "0"))
+
+
 def lookup_facts() -> dict[str, Column]:
     """What each lookup states, with the row that each statement is read from."""
     inr, x = fmt_inr, F.col
@@ -211,7 +217,7 @@ def lookup_facts() -> dict[str, Column]:
             x("card_paise") > 0,
             _fact(F.concat(F.lit("published card rate "), F.format_string("%.2f", x("published_bp") / 100.0), F.lit("% from "),
                 x("published_from").cast("string")), "rate_card", "merchant_id"),
-            _fact(F.concat(F.lit("residue is "), F.format_string("%.4f", x("implied_pct")), F.lit("% of the card volume")), "settlement",
+            _fact(F.concat(F.lit("residue is "), implied_text(), F.lit("% of the card volume")), "settlement",
                 "settlement_id", "residue"),
         ),
         "check_swap_invariance": _when(x("ambiguous"),
@@ -254,7 +260,7 @@ def rationale() -> Column:
     """Why the exception has its label, in words, with the figures that decided."""
     head = F.concat(F.lit("Residue "), fmt_inr(F.col("residue")), F.lit(" on "), fmt_inr(F.col("batch_value")), F.lit(": "), F.col("label"),
         F.lit(". "))
-    rate = F.concat(F.lit("The gap is "), F.format_string("%.4f", F.col("implied_pct")), F.lit("% of the card volume above the published "),
+    rate = F.concat(F.lit("The gap is "), implied_text(), F.lit("% of the card volume above the published "),
         F.format_string("%.2f", F.col("published_bp") / 100.0), F.lit("%."))
     why = (
         F.when(F.col("label") == "fee_variance", rate)
@@ -304,13 +310,18 @@ def classify(sig: DataFrame) -> DataFrame:
     return sig.withColumn("label", label()).withColumn("label_confidence", conf).withColumn("resolution", how)
 
 
+def evidence_digest(ev: Column) -> Column:
+    """16 signs of the hash of the kind and id of the rows that the statements are read from, in the order of kind and id."""
+    rows = F.transform(ev, lambda e: F.struct(e["source"].alias("source"), F.coalesce(e["source_id"], F.lit("")).alias("id")))
+    text = F.array_join(F.transform(F.array_sort(rows), lambda r: F.concat(r["source"], F.lit(":"), r["id"], F.lit(";"))), "")
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
 def idempotency(classified: DataFrame) -> DataFrame:
-    """``idempotency_key``: hash of merchant, settlement, action, label, residue and the digest of the evidence."""
-    digest = F.substring(F.sha2(F.concat_ws(";", F.concat(F.lit("settlement:"), F.coalesce("settlement_id", F.lit(""))),
-        F.concat(F.lit("bank:"), F.coalesce("bank_txn_id", F.lit(""))), F.concat(F.lit("adjustment:"), F.col("adjustment"))), 256), 1, 16)
-    text = F.concat_ws("|", "merchant_id", F.coalesce("settlement_id", F.lit("")), F.lit("resolve_exception"), "label",
-        F.col("residue").cast("string"), digest)
-    return classified.withColumn("idempotency_key", F.substring(F.sha2(text, 256), 1, 32))
+    """``idempotency_key``: hash of merchant, settlement, action, label, residue and the digest of the evidence, so that changed evidence is decided anew."""
+    found = explained(classified).withColumn("digest", evidence_digest(F.col("evidence"))).drop("steps", "evidence", "rationale")
+    text = F.concat_ws("|", "merchant_id", F.coalesce("settlement_id", F.lit("")), F.lit("resolve_exception"), "label", F.col("residue").cast("string"), "digest")
+    return found.withColumn("idempotency_key", F.substring(F.sha2(text, 256), 1, 32)).drop("digest")
 
 
 def gates(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
@@ -333,27 +344,36 @@ def gates(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     return out.join(prior, ["merchant_id", "idempotency_key"], "left").withColumn("suppressed", F.col("prior_verdict").isNotNull())
 
 
+def _budgets(batches):
+    """The exceptions that a merchant's day has room for, of rows that come day by day in order; two sums are held."""
+    import pyarrow as pa
+
+    day, n, total = None, 0, 0
+    for batch in batches:
+        posted = []
+        for m, d, seq, size in zip(*(batch[c].to_pylist() for c in ("merchant_id", "value_date", "exception_seq", "size")), strict=True):
+            if (m, d) != day:
+                day, n, total = (m, d), 0, 0
+            if n < DAILY_COUNT and total + size <= DAILY_PAISE:
+                n, total = n + 1, total + size
+                posted.append((m, seq))
+        columns = list(zip(*posted, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64()), strict=True)], ["merchant_id", "exception_seq"])
+
+
 def decide(gated: DataFrame) -> DataFrame:
     """``verdict`` of each exception, with the daily budgets of its merchant and value date.
 
     In order of ``exception_seq`` an exception that passes the gates is posted
     if count and value still fit, else it is escalated and takes nothing, so
-    later smaller ones may fit. The fold runs over those that pass, few a day.
+    later smaller ones may fit. A day's rows that pass go by in order, row by row.
     """
     keys = ["merchant_id", "value_date"]
-    able = gated.where("failed_arms = '' and not suppressed")
-    items = able.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("exception_seq", F.abs("residue").alias("size")))).alias("xs"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("n"), zero.alias("total"), F.array().cast("array<bigint>").alias("posted"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = (s["n"] < DAILY_COUNT) & (s["total"] + x["size"] <= DAILY_PAISE)
-        return F.struct((s["n"] + fits.cast("long")).alias("n"), (s["total"] + F.when(fits, x["size"]).otherwise(zero)).alias("total"),
-            F.when(fits, F.array_append(s["posted"], x["exception_seq"])).otherwise(s["posted"]).alias("posted"))
-
-    posted = items.select("merchant_id", F.explode(F.aggregate("xs", start, step)["posted"]).alias("exception_seq")).withColumn("posted", F.lit(True))
+    able = gated.where("failed_arms = '' and not suppressed").select(*keys, F.col("exception_seq").cast("long").alias("exception_seq"), F.abs("residue").alias("size"))
+    rows = able.repartition(*keys).sortWithinPartitions(*keys, "exception_seq")
+    posted = rows.mapInArrow(_budgets, "merchant_id string, exception_seq long").withColumn("posted", F.lit(True))
     out = gated.join(posted, ["merchant_id", "exception_seq"], "left")
     verdict = F.when(F.col("suppressed"), "SUPPRESSED_DUPLICATE").when(F.col("posted"), "AUTO_POST").otherwise("ESCALATE")
-    reason = F.when(F.col("suppressed"), "decided before").when(F.col("failed_arms") != "", F.col("failed_arms")).when(F.col("posted"),
-        "all arms pass").otherwise("daily budget")
+    reason = F.when(F.col("suppressed"), "decided before").when(F.col("failed_arms") != "", F.col("failed_arms"))
+    reason = reason.when(F.col("posted"), "all arms pass").otherwise("daily budget")
     return out.withColumn("verdict", verdict).withColumn("policy_reason", reason).drop("posted")

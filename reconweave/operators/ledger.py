@@ -9,25 +9,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
-FIELDS = ("actor", "action", "entity_type", "entity_id", "idempotency_key", "score", "verdict", "payload", "canon_ts")
+FIELDS = ("actor", "action", "entity_type", "entity_id", "idempotency_key", "model_version", "score", "verdict", "payload", "canon_ts")
+
+
+def _object(*fields: str, **named: str) -> Column:
+    """The fields as the inside of a JSON object, in their order; a null is an empty text."""
+    columns = {f: f for f in fields} | named
+    text = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in columns.items()]))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def middle() -> Column:
+    """The hashed object of a row between its number and the hash before it; the score has six decimals, the payload sorted keys."""
+    head = F.struct(F.coalesce("canon_ts", F.lit("")).alias("timestamp"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in FIELDS[:6]])
+    text = F.to_json(head)
+    parts = [F.substring(text, F.lit(2), F.length(text) - 2), F.concat(F.lit('"score":'), F.format_string("%.6f", F.col("score"))), _object("verdict")]
+    return F.concat_ws(",", *parts, F.concat(F.lit('"payload":'), F.coalesce("payload", F.lit("{}"))))
 
 
 def canonical() -> Column:
-    """One text per row: the fields in declared order as JSON, the score with six decimals."""
-    quoted = lambda c: F.to_json(F.struct(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)))
-    parts = [F.expr(f"'{{\"score\":\"'||format_string('%.6f', score)||'\"}}'") if c == "score" else quoted(c) for c in FIELDS]
-    return F.concat_ws(",", *parts)
+    """The whole hashed object of a ledger row: its number first, the hash before it last, no blanks."""
+    before = F.coalesce("prev_hash", F.lit(""))
+    return F.concat(F.lit('{"seq":'), F.col("canon_seq").cast("string"), F.lit(","), middle(), F.lit(',"prev_hash":"'), before, F.lit('"}'))
 
 
-def entries(decided: DataFrame) -> DataFrame:
+def payload(**fields: Column) -> Column:
+    """A JSON object of texts, its keys in order."""
+    return F.to_json(F.struct(*[F.coalesce(fields[n].cast("string"), F.lit("")).alias(n) for n in sorted(fields)]))
+
+
+def entries(decided: DataFrame, model_version: str = "prior") -> DataFrame:
     """Ledger rows of decided exceptions, still unchained."""
     return decided.select(
-        "merchant_id", "exception_seq", F.lit("reconweave").alias("actor"), F.lit("resolve_exception").alias("action"),
-            F.lit("settlement").alias("entity_type"),
-        F.coalesce("settlement_id", F.lit("")).alias("entity_id"), "idempotency_key", F.col("label_confidence").cast("double").alias("score"),
-            "verdict", F.concat_ws("|", "label", F.col("residue").cast("string")).alias("payload"),
-            F.col("value_date").cast("string").alias("canon_ts"),
-    )
+        "merchant_id",
+        "exception_seq",
+        F.lit("reconweave").alias("actor"),
+        F.lit("resolve_exception").alias("action"),
+        F.lit("settlement").alias("entity_type"),
+        F.coalesce("settlement_id", F.lit("")).alias("entity_id"),
+        "idempotency_key",
+        F.lit(model_version).alias("model_version"),
+        F.col("label_confidence").cast("double").alias("score"),
+        "verdict",
+        payload(label=F.col("label"), residue=F.col("residue")).alias("payload"),
+        F.col("value_date").cast("string").alias("canon_ts"),
+    )
 
 
 CHAIN = "merchant_id string, seq long, idempotency_key string, prev_hash string, hash string"
@@ -45,7 +71,7 @@ def _fold(batches: Iterator) -> Iterator:
             if m != merchant:
                 merchant, seq, end = m, last_seq, last_hash
             before, seq = end, seq + 1
-            end = hashlib.sha256((before + canon).encode()).hexdigest()
+            end = hashlib.sha256(f'{before}{{"seq":{seq},{canon},"prev_hash":"{before}"}}'.encode()).hexdigest()
             out.append((m, seq, key, before, end))
         columns = list(zip(*out, strict=True)) or [()] * 5
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
@@ -63,7 +89,7 @@ def append(ledger: DataFrame | None, new: DataFrame) -> DataFrame:
     rows = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     if ledger is not None:
         rows = rows.join(ledger.select("merchant_id", "idempotency_key"), ["merchant_id", "idempotency_key"], "left_anti")
-    line = rows.select("merchant_id", "exception_seq", "idempotency_key", canonical().alias("canon"))
+    line = rows.select("merchant_id", "exception_seq", "idempotency_key", middle().alias("canon"))
     if ledger is None:
         line = line.withColumns({"last_seq": F.lit(0).cast("long"), "last_hash": F.lit(GENESIS)})
     else:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reconweave.functions.durable import shared_dir
 from reconweave.operators import decompose, netting, scorer
 from reconweave.plans import oracle
 from reconweave.plans.queries import PLAN
 from reconweave.plans.registry import Entities, query, run
 from reconweave.plans.reconcile import PRESETS, Reconciliation
+from reconweave.sources import sinks
 
 # Hours to unwind a false match, minutes for a missed one, paise an hour.
 UNWIND_HOURS, MISS_MINUTES, RATE_PAISE = 2.5, 6, 120_000
@@ -455,13 +459,20 @@ def stress_totals(t):
     return _totals(t, [p for p in PRESETS if p not in LADDER])
 
 
-@query(None, f"""SELECT run_id, merchant_id, preset, settlements, abs_residue
-    FROM (SELECT step + 1 AS run_id, *, row_number() OVER (PARTITION BY merchant_id ORDER BY step DESC) AS rn FROM ({_ALL}) AS u) AS r WHERE rn = 1""")
+@query(None, f"""SELECT '2' AS run_id, 'full' AS preset, merchant_id, settlements, abs_residue FROM ({_preset_sql('full', _ROW)}) AS x""")
 def latest_runs(t):
-    """WIN-10: the last of each merchant's runs."""
-    w = Window.partitionBy("merchant_id").orderBy(F.desc("run_id"))
-    runs = _totals(t, LADDER).select((F.col("step") + 1).alias("run_id"), "merchant_id", "preset", "settlements", "abs_residue")
-    return runs.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """WIN-10: of three runs saved on disk, the last of which failed half way, the last that succeeded, with its figures."""
+    runs = sinks.Runs(t.spark, f"{shared_dir(t.spark)}/runs-{uuid.uuid4().hex}")
+    runs.save({"summary": run(t, "deterministic").totals}, "1", "deterministic")
+    runs.save({"summary": run(t).totals}, "2")
+    torn = run(t).totals.withColumn("settlements", F.when(F.col("settlements") >= 0, F.raise_error(F.lit("no room"))).cast("long"))
+    try:
+        runs.save({"summary": run(t).totals, "torn": torn}, "3")
+    except PySparkException:
+        pass
+    last = runs.latest()
+    figures = runs.read("summary", last.agg(F.max("run_id")).first()[0]).select("merchant_id", "settlements", "abs_residue")
+    return last.join(figures, "merchant_id").select("run_id", "preset", "merchant_id", "settlements", "abs_residue")
 
 
 # --- data quality -------------------------------------------------------------------

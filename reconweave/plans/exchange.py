@@ -271,10 +271,11 @@ def saved_run(t):
         "idempotency_key", "resolution")
     tables = {"payment_link": r.members, "bank_link": r.matched["links"], "decomposition": components_long(r.decomposition),
         "exception": verdicts, "summary": r.totals}
-    sinks.save_run(tables, root, "1")
+    runs = sinks.Runs(t.spark, root)
+    runs.save(tables, "1")
     out = None
     for name in tables:
-        part = sinks.read_run(t.spark, root, name, "1").groupBy(F.lit(name).alias("name"), "merchant_id").agg(F.count("*").alias("n"))
+        part = runs.read(name, "1").groupBy(F.lit(name).alias("name"), "merchant_id").agg(F.count("*").alias("n"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -303,28 +304,37 @@ def candidate_features(t):
 
 
 @query(
-    """SELECT merchant_id, method, effective_from, CASE WHEN method = 'card' THEN 230 ELSE pct_bp END AS pct_bp, flat_paise FROM rate
-        WHERE method <> 'upi'
-       UNION ALL SELECT merchant_id, method, effective_from, pct_bp, 5 FROM rate WHERE method = 'upi' UNION ALL
-           SELECT DISTINCT merchant_id, 'emi', DATE '2025-01-01', 300, 0 FROM rate"""
+    """SELECT 'settlement' AS name, merchant_id, settlement_id AS id, CASE WHEN gross % 3 = 0 THEN 0 ELSE net END AS paise FROM settlement
+       UNION ALL SELECT 'bank', merchant_id, bank_txn_id, CASE WHEN abs(amount_paise) % 2 = 0 THEN 0 ELSE amount_paise END FROM bank"""
 )
 def seed_upsert(t):
-    """SNK-04: seed rows written over the rate tiers: changed ones replace, new ones come in, the rest stays."""
-    key = ["merchant_id", "method", "effective_from"]
-    changed = t["rate"].where("method in ('card', 'upi')").withColumns({"pct_bp": F.when(F.col("method") == "card",
-        230).otherwise(F.col("pct_bp")), "flat_paise": F.when(F.col("method") == "upi", 5).otherwise(F.col("flat_paise"))})
-    new = t["rate"].select("merchant_id").distinct().select("merchant_id", F.lit("emi").alias("method"),
-        F.lit("2025-01-01").cast("date").alias("effective_from"), F.lit(300).alias("pct_bp"), F.lit(0).alias("flat_paise"))
-    return sinks.upsert(t["rate"], changed.unionByName(new), key)
+    """SNK-04: rows seeded twice on disk: settlements are updated where they stood, bank rows that stood are left as they were."""
+    root = f"{shared_dir(t.spark)}/seed-{uuid.uuid4().hex}"
+    out = []
+    for name, key, paise, stood in (("settlement", "settlement_id", "net", "gross % 2 = 0 or gross % 3 = 0"), ("bank", "bank_txn_id", "amount_paise", "abs(amount_paise) % 2 = 0")):
+        rows = t[name].select("merchant_id", F.col(key).alias("id"), F.col(paise).cast("long").alias("paise"), F.expr(stood).alias("stood"),
+            (F.col("gross") % 3 == 0 if name == "settlement" else F.lit(False)).alias("kept"))
+        table = sinks.KeyedTable(t.spark, f"{root}/{name}", ["merchant_id", "id"], "merchant_id string, id string, paise long", 16)
+        table.insert(rows.where("stood").select("merchant_id", "id", F.lit(0).cast("long").alias("paise")), ["paise"])
+        again = rows.where("not kept").select("merchant_id", "id", "paise")
+        if name == "settlement":
+            table.upsert(again)
+        else:
+            table.insert(again, ["paise"])
+        out.append(table.read().select(F.lit(name).alias("name"), "merchant_id", "id", "paise"))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("SELECT merchant_id, bank_txn_id, amount_paise FROM bank WHERE amount_paise > 0")
 def inserted_rows(t):
-    """SNK-03, JN-21: rows inserted where their key is absent; a second insert of the same and other rows adds the others only."""
+    """SNK-03, JN-21: rows inserted on disk where their key is absent, in two inserts that overlap: each key is there once."""
     rows = t["bank"].where("amount_paise > 0").select("merchant_id", "bank_txn_id", "amount_paise")
     half = rows.where("crc32(bank_txn_id) % 2 = 0")
-    first = written(sinks.absent(half.unionByName(half), None, ["merchant_id", "bank_txn_id"], ["amount_paise"]))
-    return first.unionByName(sinks.absent(rows, first, ["merchant_id", "bank_txn_id"], ["amount_paise"]))
+    root = f"{shared_dir(t.spark)}/insert-{uuid.uuid4().hex}"
+    table = sinks.KeyedTable(t.spark, root, ["merchant_id", "bank_txn_id"], "merchant_id string, bank_txn_id string, amount_paise long", 16)
+    table.insert(half.unionByName(half), ["amount_paise"])
+    table.insert(rows, ["amount_paise"])
+    return table.read()
 
 
 @query("SELECT merchant_id, idempotency_key, verdict FROM chain")

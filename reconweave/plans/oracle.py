@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from reconweave.functions import narration as N
+from reconweave.plans.lookups import DIGEST, inr  # noqa: F401
 from reconweave.sources.derive import Dialect, entity_sql, ordered
 
 GROUP = "merchant_id, settle_date, instant"
@@ -14,13 +15,6 @@ def pct(p: str, bp: object) -> str:
     return f"((({p}) * {bp} + 5000) // 10000)"
 
 
-def inr(x: str) -> str:
-    """Rupees with Indian grouping of an amount in paise."""
-    whole = f"CAST(abs({x}) // 100 AS VARCHAR)"
-    grouped = f"CASE WHEN length({whole}) > 3 THEN ltrim(reverse(regexp_replace(reverse(left({whole}, length({whole}) - 3)), '(\\d\\d)', '\\1,', 'g')), ',') || ',' || right({whole}, 3) ELSE {whole} END"
-    return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || {grouped} || '.' || lpad(CAST(abs({x}) % 100 AS VARCHAR), 2, '0'))"
-
-
 def _candidates() -> str:
     parts = []
     for name, pattern in N.RULES:
@@ -275,7 +269,7 @@ BODIES: dict[str, str | None] = {
             FROM settlement s JOIN cal sc ON sc.d = s.settle_date JOIN (SELECT b.*, c.ord AS o FROM bank b JOIN cal c ON c.d = b.value_date
                 WHERE amount_paise > 0) AS b ON b.merchant_id = s.merchant_id AND abs(b.o - sc.ord) <= 3
         ) AS x GROUP BY ALL""",
-    "lab": f"""
+    "lab0": f"""
         SELECT x.*, CASE label WHEN 'attribution_ambiguous' THEN 0.0 WHEN 'partition_unproven' THEN 0.0 WHEN 'ambiguous_candidates' THEN 0.99
             WHEN 'duplicate_credit' THEN 0.72 WHEN 'timing_offset' THEN 0.90
                     WHEN 'netted_refund' THEN 0.85 WHEN 'chargeback_debit' THEN 0.87 WHEN 'reserve_movement' THEN 0.88 WHEN 'fee_variance' THEN 0.96
@@ -283,11 +277,7 @@ BODIES: dict[str, str | None] = {
                CASE WHEN label IN ('timing_offset', 'netted_refund', 'reserve_movement', 'chargeback_debit') THEN 'journal_entry'
                    WHEN label = 'fee_variance' THEN CASE WHEN abs(residue) <= 10000 THEN 'journal_entry' ELSE 'chase_platform' END
                     WHEN label IN ('ambiguous_candidates', 'duplicate_credit', 'attribution_ambiguous', 'partition_unproven') THEN 'escalate' ELSE
-                        CASE WHEN abs(residue) <= 10000 THEN 'write_off_within_limit' ELSE 'escalate' END END AS resolution,
-               substr(sha256(concat_ws('|', merchant_id, coalesce(settlement_id, ''), 'resolve_exception', label, CAST(CAST(residue AS BIGINT)
-                   AS VARCHAR),
-                   substr(sha256('settlement:' || coalesce(settlement_id, '') || ';bank:' || coalesce(bank_txn_id, '') || ';adjustment:'
-                       || adjustment), 1, 16))), 1, 32) AS idempotency_key
+                        CASE WHEN abs(residue) <= 10000 THEN 'write_off_within_limit' ELSE 'escalate' END END AS resolution
         FROM (
             SELECT sig.*, CASE WHEN basis IS NOT NULL THEN 'attribution_ambiguous' WHEN unproven IS NOT NULL THEN 'partition_unproven' WHEN ambiguous
                 THEN 'ambiguous_candidates' WHEN unmatched THEN 'duplicate_credit' WHEN abs(residue) <= {TOLERANCE} THEN 'timing_offset'
@@ -295,6 +285,11 @@ BODIES: dict[str, str | None] = {
                     ELSE 'unexplained' END AS label
             FROM sig
         ) AS x""",
+    "digests": None,
+    "lab": """
+        SELECT x.*, substr(sha256(concat_ws('|', merchant_id, coalesce(settlement_id, ''), 'resolve_exception', label,
+            CAST(CAST(residue AS BIGINT) AS VARCHAR), coalesce(digest, substr(sha256(''), 1, 16)))), 1, 32) AS idempotency_key
+        FROM lab0 x LEFT JOIN digests USING (merchant_id, exception_seq)""",
     "gate": """
         SELECT lab.*, concat_ws('; ', CASE WHEN conf < 0.95 THEN 'confidence' END, CASE WHEN NOT (abs(residue) <= 10000 OR (batch_value > 0
             AND abs(residue) <= (batch_value * 10 + 5000) // 10000)) THEN 'residue' END,
@@ -448,18 +443,19 @@ def _chain() -> str:
         SELECT * FROM (
             WITH RECURSIVE one AS (
                 SELECT *,
-                    '{"actor":"reconweave"},{"action":"resolve_exception"},{"entity_type":"settlement"},{"entity_id":"' || coalesce(settlement_id, '') || '"},{"idempotency_key":"' || idempotency_key || '"},{"score":"' || printf('%.6f', conf)
-                          || '"},{"verdict":"' || verdict || '"},{"payload":"' || label || '|' || CAST(CAST(residue AS BIGINT) AS VARCHAR)
-                              || '"},{"canon_ts":"' || CAST(value_date AS VARCHAR) || '"}' AS canon FROM (
+                    '{"label":"' || label || '","residue":"' || CAST(CAST(residue AS BIGINT) AS VARCHAR) || '"}' AS payload FROM (
                     SELECT *, row_number() OVER (PARTITION BY merchant_id, idempotency_key ORDER BY exception_seq) AS again FROM verdicts
                 ) AS v WHERE again = 1
             ), line AS (SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY exception_seq) AS seq FROM one),
             links AS (
                 SELECT DISTINCT merchant_id, CAST(0 AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS idempotency_key, CAST(NULL AS VARCHAR) AS prev_hash,
                     repeat('0', 64) AS hash FROM line
-                UNION ALL SELECT l.merchant_id, l.seq, l.idempotency_key, c.hash, sha256(c.hash || l.canon) FROM links c
+                UNION ALL SELECT l.merchant_id, l.seq, l.idempotency_key, c.hash, sha256(c.hash || '{"seq":' || CAST(l.seq AS VARCHAR) || ',"timestamp":"' || CAST(l.value_date AS VARCHAR)
+                    || '","actor":"reconweave","action":"resolve_exception","entity_type":"settlement","entity_id":"' || coalesce(l.settlement_id, '')
+                    || '","idempotency_key":"' || l.idempotency_key || '","model_version":"prior","score":' || printf('%.6f', l.conf)
+                    || ',"verdict":"' || l.verdict || '","payload":' || l.payload || ',"prev_hash":"' || c.hash || '"}') FROM links c
                     JOIN line l ON l.merchant_id = c.merchant_id AND l.seq = c.seq + 1
-            ) SELECT c.merchant_id, c.seq, c.idempotency_key, c.prev_hash, c.hash, l.verdict, l.canon, l.label, l.residue FROM links c
+            ) SELECT c.merchant_id, c.seq, c.idempotency_key, c.prev_hash, c.hash, l.verdict, l.payload, l.label, l.residue FROM links c
                 JOIN line l USING (merchant_id, seq)
         ) AS c"""
 
@@ -495,6 +491,7 @@ def stages() -> dict[str, str]:
         "exact": f"""SELECT merchant_id, taker AS bank_txn_id, picked AS settlement_id, 1.0::DOUBLE AS confidence, 'exact_utr' AS source
             FROM ({_first_come('claims')}) AS w""",
         "assigned": _assigned(),
+        "digests": DIGEST,
         "verdicts": _verdicts(),
         "chain": _chain(),
     }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reconweave.functions.money import fmt_inr
 from reconweave.operators import decompose, investigate
-from reconweave.plans.oracle import inr
+from reconweave.plans.lookups import inr
 from reconweave.plans.queries import PLAN
 from reconweave.plans.registry import query, run
 

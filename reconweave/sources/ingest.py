@@ -225,7 +225,7 @@ def load_dataset(spark: SparkSession, root: str, merchant_id: str | None = None,
     path = lambda e: f"{root}/{FILES.get(e, e)}.csv" if flat else f"{root}/{{*/observable,parts}}/{FILES.get(e, e)}.csv"
     out = {e: ingest(read_files(spark, path(e), merchant_id), e, sums=False)["accepted"] for e in ENTITIES}
     cards = cards or (f"{root}/rate_card_published.json" if flat else f"{root}/{{*/config/rate_card_published.json,parts/rate_cards}}")
-    card = spark.read.option("wholetext", True).text(cards).select(F.col("value").alias("card"))
+    card = spark.read.text(cards, wholetext=True).select(F.col("value").alias("card"))
     if flat:
         card = card.withColumn("merchant_id", F.lit(merchant_id))
     return out | {"rate": rate_tiers(card), "terms": rate_terms(card)}

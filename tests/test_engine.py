@@ -1,3 +1,4 @@
+import hashlib
 import datetime as dt
 import itertools
 import random
@@ -182,6 +183,32 @@ def test_ledger_detects_every_change(spark):
     assert ok(chain.withColumn("prev_hash", F.when(F.col("seq") == 2, "0").otherwise(F.col("prev_hash")))).broken_links == 1
 
 
+def test_the_hashed_object_of_a_ledger_row(spark):
+    rows = investigate.decide(investigate.gates(spark.createDataFrame([exception(1, "fee_variance", 5, 0.96)], FIELDS)))
+    row = ledger.append(None, ledger.entries(rows)).first()
+    text = (
+        '{"seq":1,"timestamp":"' + row.canon_ts + '","actor":"reconweave","action":"resolve_exception","entity_type":"settlement","entity_id":"s1","idempotency_key":"k1",'
+        '"model_version":"prior","score":0.960000,"verdict":"AUTO_POST","payload":{"label":"fee_variance","residue":"5"},"prev_hash":"' + "0" * 64 + '"}'
+    )
+    assert row.hash == hashlib.sha256(("0" * 64 + text).encode()).hexdigest()
+
+
+def test_a_renumbered_row_is_found_by_its_contents(spark):
+    rows = investigate.decide(investigate.gates(spark.createDataFrame([exception(i, "fee_variance", i, 0.96) for i in (1, 2)], FIELDS)))
+    chain = ledger.append(None, ledger.entries(rows))
+    moved = chain.withColumns({"seq": F.col("seq") + 7, "canon_seq": F.col("canon_seq") + 7})
+    assert not any(r.content_ok for r in ledger.verify(moved).collect())
+
+
+def test_changed_evidence_gives_a_new_key(spark):
+    kind = "array<struct<claim:string,source:string,source_id:string,paise:bigint>>"
+    one, two = [("refund of 1", "refund", "r1", 1)], [("refund of 1", "refund", "r2", 1)]
+    table = spark.createDataFrame([(one,), (one,), (two,), ([*one, *two],), ([*two, *one],), ([],)], f"ev {kind}")
+    got = [r[0] for r in table.select(investigate.evidence_digest(F.col("ev"))).collect()]
+    assert got[0] == got[1] == hashlib.sha256(b"refund:r1;").hexdigest()[:16]
+    assert got[3] == got[4] and len(set(got)) == 4
+
+
 def test_merchants_never_meet(spark):
     p = pool(spark, [100]).unionByName(pool(spark, [250], "n"))
     b = batches(spark, [100]).unionByName(batches(spark, [250], "n"))

@@ -67,19 +67,3 @@ def test_open_quotes_and_details(spark):
     got = {r.line_no: (r.reject_reason, r.detail) for r in v.collect()}
     assert got[3] == (None, None) and got[4] == ("DUPLICATE_IN_FILE", "same id as line 3") and got[5] == ("MALFORMED_AMOUNT", "amount: x")
     assert got[2][0] in ("INVALID_DATE", "UNPARSEABLE")
-
-
-def test_runs_count_only_when_committed(spark, tmp_path):
-    from reconweave.sources import sinks
-
-    df = spark.createDataFrame([("m", 1), ("n", 2)], "merchant_id string, x int")
-    sinks.save_run({"a": df, "b": df}, str(tmp_path), "r1")
-    df.write.partitionBy("merchant_id").parquet(str(tmp_path / "a" / "run_id=r2"))
-    assert sinks.read_run(spark, str(tmp_path), "a", "r1").count() == 2
-    with pytest.raises(ValueError, match="not committed"):
-        sinks.read_run(spark, str(tmp_path), "a", "r2")
-    sinks.save_run({"a": df.limit(1), "b": df}, str(tmp_path), "r1")
-    assert sinks.read_run(spark, str(tmp_path), "a", "r1").count() == 1
-    more = spark.createDataFrame([("m", 9), ("o", 3)], "merchant_id string, x int")
-    assert {tuple(r) for r in sinks.upsert(df, more, ["merchant_id"]).collect()} == {("m", 9), ("n", 2), ("o", 3)}
-    assert {tuple(r) for r in sinks.absent(more, df, ["merchant_id"], ["x"]).collect()} == {("o", 3)}

@@ -24,7 +24,7 @@ def card(**more):
     base = {"merchant_id": "inside", "gst_rate_pct": "18.0", "tds_rate_pct": "1.0", "reserve_rate_pct": "5.0", "reserve_methods": ["card"], "instant_surcharge_pct": "0.25",
         "dispute_fee": "300.00", "tolerance_paise": 100, "methods": {"card": [{"effective_from": "2025-01-01", "pct": "2.00", "flat_paise": 0}],
             "upi": [{"effective_from": "2025-01-01", "pct": "0.00", "flat_paise": 0}]}}
-    return json.dumps(base | more)
+    return json.dumps(base | more, indent=1)
 
 
 def rows(fee, gst, held, off=0):
