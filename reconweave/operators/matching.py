@@ -36,10 +36,7 @@ def parsed(bank: DataFrame) -> DataFrame:
 def wash_pairs(rows: DataFrame) -> DataFrame:
     """(merchant, debit, credit) pairs that cancel: a return debit and the first free credit of the same amount and a shared reference within five days.
 
-    Debits and credits are each used once. Each round gives every open debit
-    its first free credit in bank order and every such credit its first debit;
-    a debit that lost its credit tries again, so rounds are as few as the
-    longest queue for equal credits.
+    Debits and credits are each used once, debits in bank order.
     """
     n = F.upper("narration")
     back = n.contains("RETURN") | n.contains("REVERSAL") | n.contains("REVERSED")
@@ -52,28 +49,47 @@ def wash_pairs(rows: DataFrame) -> DataFrame:
     return first_come(pairs, "debit", "credit")
 
 
+CHOSEN = "merchant_id string, taker string, taken string"
+
+
+def _in_turn(batches):
+    """The first free item of each taker, of rows that come component by component, taker by taker, best item first; a component's taken items are held."""
+    import pyarrow as pa
+
+    component, used, served = None, set(), None
+    for batch in batches:
+        out = []
+        for m, label, who, what in zip(*(batch[c].to_pylist() for c in ("merchant_id", "label", "taker", "taken")), strict=True):
+            if (m, label) != component:
+                component, used, served = (m, label), set(), None
+            if who != served and what not in used:
+                used.add(what)
+                served = who
+                out.append((m, who, what))
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["merchant_id", "taker", "taken"])
+
+
 def first_come(pairs: DataFrame, taker: str, taken: str, rank: str | None = None) -> DataFrame:
     """One-to-one choice in id order: each taker in turn gets its first still free item.
 
-    ``rank`` orders a taker's items (default: the item's id). A pair is final
-    when no other taker that comes first still wants the item and the taker
-    has no better free item; such pairs are taken round by round.
+    ``rank`` orders a taker's items (default: the item's id). A pair that shares
+    neither side is chosen at once. The others are split into components, and
+    each component is gone through once, in order; how long a queue for one
+    item is does not matter.
     """
-    best = F.struct(F.col(rank) if rank else F.lit(0), F.col(taken))
-    pairs = written(pairs)
-    keys = ["merchant_id", taker, taken]
-    only = pairs.groupBy("merchant_id", taker).agg(F.count("*").alias("n")).where("n = 1").select("merchant_id", taker)
-    wanted = pairs.groupBy("merchant_id", taken).agg(F.count("*").alias("n")).where("n = 1").select("merchant_id", taken)
-    chosen = pairs.join(only, ["merchant_id", taker]).join(wanted, ["merchant_id", taken]).select(*keys)
-    rest = written(pairs.join(chosen, keys, "left_anti"))
-    while not rest.isEmpty():
-        mine = rest.groupBy("merchant_id", taker).agg(F.min(best).alias("b")).select("merchant_id", taker, F.col(f"b.{taken}").alias(taken))
-        first = rest.groupBy("merchant_id", taken).agg(F.min(taker).alias(taker))
-        final = written(mine.join(first, keys).select(*keys))
-        chosen = chosen.unionByName(final)
-        rest = written(rest.join(final.select("merchant_id", taker), ["merchant_id", taker],
-            "left_anti").join(final.select("merchant_id", taken), ["merchant_id", taken], "left_anti"))
-    return chosen
+    order = F.col(rank) if rank else F.lit(0)
+    pairs = written(pairs.select("merchant_id", F.col(taker).alias("taker"), F.col(taken).alias("taken"), order.alias("rank")))
+    single = lambda c: pairs.groupBy("merchant_id", c).agg(F.count("*").alias("n")).where("n = 1").select("merchant_id", c)
+    alone = pairs.join(single("taker"), ["merchant_id", "taker"]).join(single("taken"), ["merchant_id", "taken"]).select("merchant_id", "taker", "taken")
+    rest = written(pairs.join(alone, ["merchant_id", "taker", "taken"], "left_anti"))
+    chosen = alone
+    if not rest.isEmpty():
+        labels = component_labels(rest.select("merchant_id", F.col("taker").alias("bank_txn_id"), F.col("taken").alias("settlement_id")))
+        rows = rest.join(labels.withColumnRenamed("bank_txn_id", "taker"), ["merchant_id", "taker"])
+        rows = rows.repartition("merchant_id", "label").sortWithinPartitions("merchant_id", "label", "taker", "rank", "taken")
+        chosen = alone.unionByName(written(rows.select("merchant_id", "label", "taker", "taken").mapInArrow(_in_turn, CHOSEN)))
+    return chosen.select("merchant_id", F.col("taker").alias(taker), F.col("taken").alias(taken))
 
 
 FOLD = ("OISBZ", "01582")

@@ -51,10 +51,24 @@ def ordered_blocks(pool: DataFrame, settlement: DataFrame) -> DataFrame:
     instant = F.unix_seconds(F.col("created_at").cast("timestamp"))
     keys = F.array(*[F.struct(F.lit(i).alias("key"), k.cast("long").alias("by")) for i, k in enumerate((F.col("capture_sec"), instant, F.lit(0)))])
     spread = pool.join(open_groups, GROUP).select(*GROUP, "n_batches", "payment_id", "amount_paise", F.explode(keys).alias("o"))
-    w = Window.partitionBy(*GROUP, "o.key").orderBy("o.by", "payment_id").rowsBetween(Window.unboundedPreceding, 0)
-    runs = spread.withColumn("run", F.sum("amount_paise").over(w))
-    at = runs.join(ends, GROUP).where((F.col("run") - F.col("amount_paise") >= F.col("lo")) & (F.col("run") - F.col("amount_paise") < F.col("hi")))
-    at = at.withColumn("hypothesis", F.col("o.key") * 2 + F.col("reverse"))
+    spread = spread.select(*GROUP, "n_batches", "payment_id", "amount_paise", "o.key", "o.by")
+    # chunks of the sorted rows, each summed by itself after the sums of those before it; written, so that a lost chunk comes back the same
+    line = [*GROUP, "key"]
+    dealt = written(spread.repartitionByRange(*line, "by", "payment_id").withColumn("chunk", F.spark_partition_id()))
+    before = Window.partitionBy(*line).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = dealt.groupBy(*line, "chunk").agg(F.sum("amount_paise").alias("total"))
+    chunks = chunks.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    # a chunk's row carries the batches whose range it meets, so payments find theirs without a join by ranges
+    meets = (F.col("lo") < F.col("base") + F.col("total")) & (F.col("hi") > F.col("base"))
+    batch = F.struct("reverse", "lo", "hi", "settlement_id")
+    chunks = chunks.join(ends, GROUP).where(meets).groupBy(*line, "chunk", "base").agg(F.collect_list(batch).alias("batches"))
+    inside = Window.partitionBy(*line, "chunk").orderBy("by", "payment_id").rowsBetween(Window.unboundedPreceding, 0)
+    runs = dealt.withColumn("inside", F.sum("amount_paise").over(inside)).join(chunks, [*line, "chunk"])
+    runs = runs.withColumn("run", F.col("base") + F.col("inside"))
+    prior = F.col("run") - F.col("amount_paise")
+    own = F.filter("batches", lambda x: (prior >= x["lo"]) & (prior < x["hi"]))
+    at = runs.select(*line, "n_batches", "payment_id", "run", F.explode(own).alias("e")).select(*line, "n_batches", "payment_id", "run", "e.*")
+    at = at.withColumn("hypothesis", F.col("key") * 2 + F.col("reverse"))
     hit = at.groupBy(*GROUP, "n_batches", "hypothesis", "settlement_id").agg(F.max((F.col("run") == F.col("hi")).cast("int")).alias("hit"))
     proved = hit.groupBy(*GROUP, "n_batches", "hypothesis").agg(F.sum("hit").alias("hits")).where("hits = n_batches")
     first = proved.groupBy(*GROUP).agg(F.min("hypothesis").alias("hypothesis"))

@@ -84,6 +84,40 @@ def ingest_reasons(orders):
     return _ingested(orders)["rejects"].groupBy("file", "reject_reason").agg(F.count("*").alias("n"))
 
 
+# settlement and bank lines, a file per 3,000 orders; every twentieth has one of the faults that payments cannot have
+_SETTLEMENT_LINE = """'setl_' || CAST(k AS STRING) || ',,100.00,2.00,0.36,1.00,' || CASE k % 20 WHEN 1 THEN '96.65' ELSE '96.64' END || ',2025-11-06T18:00:00,' ||
+    CASE k % 20 WHEN 2 THEN 'maybe' WHEN 3 THEN 'Y' WHEN 4 THEN 'True' WHEN 5 THEN '' WHEN 6 THEN 'no' WHEN 7 THEN '2' ELSE '1' END"""
+_SETTLEMENT_WHY = "CASE k % 20 WHEN 1 THEN 'MONETARY_INCONSISTENT' WHEN 2 THEN 'MALFORMED_FIELD' WHEN 7 THEN 'MALFORMED_FIELD' END"
+_BANK_LINE = """'bnk_' || CAST(k AS STRING) || ',2025-11-06,' || CASE k % 20 WHEN 3 THEN '-' ELSE '' END || CAST(k AS STRING) || '.5,' ||
+    CASE k % 20 WHEN 1 THEN '"NEFT' WHEN 2 THEN '"NEFT, a"' ELSE 'NEFT' END"""
+_BANK_WHY = "CASE k % 20 WHEN 1 THEN 'UNPARSEABLE' END"
+
+
+def _validated(orders: DataFrame, entity: str, line: str) -> DataFrame:
+    """Accepted and rejected lines of an entity's planted files."""
+    rows = orders.select(F.col("o_orderkey").cast("long").alias("k")).withColumns({"file": F.expr("concat('f', k div 4000)"), "line": F.expr(line)})
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n")
+    head = F.lit(",".join(ingest.ENTITIES[entity]) + "\n")
+    files = rows.groupBy("file").agg(F.concat(head, body).cast("binary").alias("content")).withColumn("merchant_id", F.lit("m1"))
+    return ingest.validate(ingest.lines_of(ingest.gate_files(files, entity)), entity)
+
+
+@on_table("orders", f"""SELECT 'f' || CAST(k // 4000 AS VARCHAR) AS file, {_SETTLEMENT_LINE} AS line, {_SETTLEMENT_WHY} AS reject_reason,
+    CASE WHEN k % 20 NOT IN (2, 7) THEN k % 20 NOT IN (5, 6) END AS instant FROM (SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders) AS o""")
+def ingest_settlements(orders):
+    """ING-09, ING-10: lines of settlement files with the value of their flag, rejected where it is none, or where the net is not what remains."""
+    return _validated(orders, "settlements", _SETTLEMENT_LINE).select("file", "line", "reject_reason", "instant")
+
+
+@on_table("orders", f"""SELECT 'f' || CAST(k // 4000 AS VARCHAR) AS file, {_BANK_LINE} AS line, {_BANK_WHY} AS reject_reason, (k * 100 + 50) * CASE k % 20 WHEN 3
+    THEN -1 ELSE 1 END AS amount, CASE k % 20 WHEN 2 THEN 'NEFT, a' WHEN 1 THEN NULL ELSE 'NEFT' END AS narration
+    FROM (SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders) AS o""")
+def ingest_bank_rows(orders):
+    """ING-07, ING-13: lines of bank files, with signed amounts and quoted narrations, rejected where a quote does not close."""
+    narration = F.when(F.col("reject_reason").isNull(), F.col("narration"))
+    return _validated(orders, "bank", _BANK_LINE).select("file", "line", "reject_reason", "amount", narration.alias("narration"))
+
+
 @on_table("orders", f"""SELECT 'ord_' || CAST(k AS VARCHAR) AS order_id, (k % 1000) * 100 + 50 AS amount FROM ({_SQL_ROWS}) AS r
     WHERE why IS NULL OR why = 'DUPLICATE_EXISTING'""")
 def streamed_ingest(orders):
