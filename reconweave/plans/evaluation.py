@@ -465,7 +465,7 @@ def latest_runs(t):
     runs = sinks.Runs(t.spark, f"{shared_dir(t.spark)}/runs-{uuid.uuid4().hex}")
     runs.save({"summary": run(t, "deterministic").totals}, "1", "deterministic")
     runs.save({"summary": run(t).totals}, "2")
-    torn = run(t).totals.withColumn("settlements", F.when(F.col("settlements") >= 0, F.raise_error(F.lit("no room"))).cast("long"))
+    torn = run(t).totals.drop("merchant_id")  # cannot be laid out by merchant
     try:
         runs.save({"summary": run(t).totals, "torn": torn}, "3")
     except PySparkException:

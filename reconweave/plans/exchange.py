@@ -6,6 +6,7 @@ that SQL knows the expected reason of each row without parsing anything.
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconweave.functions.durable import shared_dir, written
+from reconweave.operators import artefact
 from reconweave.operators.matching import FEATURES
 from reconweave.plans.registry import Entities, on_table, query, run
 from reconweave.plans.reconcile import Reconciliation
@@ -337,6 +339,20 @@ def candidate_features(t):
         *[F.round(F.col(f"f_{n}").cast("double"), 6).alias(f"f_{n}") for n in FEATURES])
 
 
+_MODEL = artefact.bundled()
+
+
+@query(f"""SELECT merchant_id, bank_txn_id, settlement_id, round(probability, 6) AS probability
+    FROM ({artefact.scored_sql(_MODEL, f"({_F}) AS f", "merchant_id, bank_txn_id, settlement_id")}) AS p""")
+def artefact_scores(t):
+    """SRC-06, SC-03, SC-04, SC-07: pairs scored by a model read from its JSON artefact, its trees and calibration compiled into a column."""
+    folder = f"{shared_dir(t.spark)}/model-{uuid.uuid4().hex}"
+    t.spark.range(1).select(F.lit(json.dumps(_MODEL)).alias("value")).coalesce(1).write.text(folder)
+    model = artefact.compiled(artefact.read(t.spark, folder))
+    c = run(t).matched["candidates"].withColumns({f"f_{n}": F.round(F.col(f"f_{n}").cast("double"), 6) for n in FEATURES})
+    return model(c).select("merchant_id", "bank_txn_id", "settlement_id", F.round("probability", 6).alias("probability"))
+
+
 @query(
     """SELECT 'settlement' AS name, merchant_id, settlement_id AS id, CASE WHEN gross % 3 = 0 THEN 0 ELSE net END AS paise FROM settlement
        UNION ALL SELECT 'bank', merchant_id, bank_txn_id, CASE WHEN abs(amount_paise) % 2 = 0 THEN 0 ELSE amount_paise END FROM bank"""
