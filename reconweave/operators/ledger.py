@@ -79,27 +79,39 @@ def _fold(batches: Iterator) -> Iterator:
             ["merchant_id", "seq", "idempotency_key", "prev_hash", "hash"])
 
 
+HEADS = "merchant_id string, last_seq long, last_hash string"
+
+
+def heads(ledger: DataFrame) -> DataFrame:
+    """(merchant_id, last_seq, last_hash): where each merchant's chain ends."""
+    return ledger.groupBy("merchant_id").agg(F.max("seq").alias("last_seq"), F.max_by("hash", "seq").alias("last_hash"))
+
+
 def append(ledger: DataFrame | None, new: DataFrame) -> DataFrame:
-    """New rows as chained ledger rows per merchant, after the ledger's last; keys already there, or repeated, add nothing.
+    """New rows as chained ledger rows per merchant, after the ledger's last; keys already there, or repeated, add nothing."""
+    return chained(new) if ledger is None else chained(new, ledger.select("merchant_id", "idempotency_key"), heads(ledger))
+
+
+def chained(new: DataFrame, seen: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """New rows chained after ``ends``, the heads of the merchants' chains, but for those whose key is in ``seen`` or repeated.
 
     Each hash needs the one before, so a merchant's new rows pass through one
     task in order, row by row, while merchants run in parallel.
     """
     first = Window.partitionBy("merchant_id", "idempotency_key").orderBy("exception_seq")
     rows = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    if ledger is not None:
-        rows = rows.join(ledger.select("merchant_id", "idempotency_key"), ["merchant_id", "idempotency_key"], "left_anti")
+    if seen is not None:
+        rows = rows.join(seen, ["merchant_id", "idempotency_key"], "left_anti")
     line = rows.select("merchant_id", "exception_seq", "idempotency_key", middle().alias("canon"))
-    if ledger is None:
+    if ends is None:
         line = line.withColumns({"last_seq": F.lit(0).cast("long"), "last_hash": F.lit(GENESIS)})
     else:
-        ends = ledger.groupBy("merchant_id").agg(F.max("seq").alias("last_seq"), F.max_by("hash", "seq").alias("last_hash"))
-        line = line.join(ends, "merchant_id", "left").withColumns({"last_seq": F.coalesce("last_seq", F.lit(0)),
-            "last_hash": F.coalesce("last_hash", F.lit(GENESIS))})
+        line = line.join(ends, "merchant_id", "left")
+        line = line.withColumns({"last_seq": F.coalesce("last_seq", F.lit(0)), "last_hash": F.coalesce("last_hash", F.lit(GENESIS))})
     line = line.repartition("merchant_id").sortWithinPartitions("merchant_id", "exception_seq", "idempotency_key")
     chain = line.select("merchant_id", "idempotency_key", "canon", "last_seq", "last_hash").mapInArrow(_fold, CHAIN)
-    return chain.join(rows, ["merchant_id", "idempotency_key"]).select("merchant_id", "seq", *FIELDS, F.col("seq").alias("canon_seq"),
-        "prev_hash", "hash")
+    out = chain.join(rows, ["merchant_id", "idempotency_key"])
+    return out.select("merchant_id", "seq", *FIELDS, F.col("seq").alias("canon_seq"), "prev_hash", "hash")
 
 
 def verify(ledger: DataFrame) -> DataFrame:

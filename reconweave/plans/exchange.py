@@ -395,7 +395,7 @@ def posted_decisions(t):
     jobs.post_decisions(decided.where("exception_seq % 2 = 0"), out, 0)
     for _ in range(2):
         jobs.post_decisions(decided, out, 1)
-    return t.spark.read.parquet(out).select("merchant_id", "idempotency_key", "verdict")
+    return jobs.posted(t.spark, out).select("merchant_id", "idempotency_key", "verdict")
 
 
 @query("SELECT merchant_id, count(*) AS settlements, false AS reflects_current_run FROM dec GROUP BY merchant_id")

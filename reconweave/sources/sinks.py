@@ -36,7 +36,8 @@ class KeyedTable:
     """A table with one row a key, dealt over buckets; each version's manifest names the folders of every bucket.
 
     An insert or upsert reads and writes the buckets of its rows alone. Writers
-    take turns: of two that make one version the later fails.
+    take turns: of two that make one version the later fails, unless it is told to
+    ``replay``, to make that version again.
     """
 
     MANIFEST = "bucket int, folder string"
@@ -59,35 +60,40 @@ class KeyedTable:
         paths = sorted({f"{self.root}/data/{r.folder}/bucket={r.bucket}" for r in rows if buckets is None or r.bucket in buckets})
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
+    def of(self, rows: DataFrame, number: int) -> DataFrame:
+        """The rows of a version in the buckets in which the keys of ``rows`` lie."""
+        touched = [r.bucket for r in self._dealt(rows).select("bucket").distinct().collect()]
+        return self.read(number, touched)
+
     def _dealt(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
-    def _commit(self, rows: DataFrame, before: int, number: int, replace: bool) -> int:
-        """Write dealt ``rows`` and the manifest of version ``number``; with ``replace`` they are all that their buckets hold."""
+    def _commit(self, rows: DataFrame, before: int, replace: bool, replay: bool) -> int:
+        """Write dealt ``rows`` and the manifest of the version after ``before``; with ``replace`` they are all that their buckets hold."""
         folder = uuid.uuid4().hex
         rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/{folder}")
         new = {r.bucket for r in _read(self.spark, self.schema + ", bucket int", f"{self.root}/data/{folder}").select("bucket").distinct().collect()}
         kept = [(r.bucket, r.folder) for r in self._manifest(before) if not (replace and r.bucket in new)]
         lines = kept + [(b, folder) for b in sorted(new)]
         manifest = self.spark.createDataFrame(lines, self.MANIFEST).coalesce(1)
-        manifest.write.mode("overwrite" if number <= before else "errorifexists").parquet(f"{self.root}/manifest/number={number}")
-        return number
+        manifest.write.mode("overwrite" if replay else "errorifexists").parquet(f"{self.root}/manifest/number={before + 1}")
+        return before + 1
 
-    def insert(self, new: DataFrame, order: list[str], before: int | None = None) -> int:
+    def insert(self, new: DataFrame, order: list[str], before: int | None = None, replay: bool = False) -> int:
         """Add the rows whose key is not there yet, of equal keys the first in ``order``; gives the new version's number."""
         before = self.version() if before is None else before
         rows = written(self._dealt(first_rows(new, self.keys, order)))
         touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
         there = self.read(before, touched).select(*self.keys)
-        return self._commit(rows.join(there, self.keys, "left_anti"), before, before + 1, replace=False)
+        return self._commit(rows.join(there, self.keys, "left_anti"), before, False, replay)
 
-    def upsert(self, new: DataFrame, before: int | None = None) -> int:
+    def upsert(self, new: DataFrame, before: int | None = None, replay: bool = False) -> int:
         """Put rows in the place of those with equal keys; keys of ``new`` are unique. Gives the new version's number."""
         before = self.version() if before is None else before
         rows = written(self._dealt(new))
         touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
         rest = self._dealt(self.read(before, touched)).join(rows.select(*self.keys), self.keys, "left_anti")
-        return self._commit(rest.unionByName(rows.select(*rest.columns)), before, before + 1, replace=True)
+        return self._commit(rest.unionByName(rows.select(*rest.columns)), before, True, replay)
 
 
 def first_rows(new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from reconweave.functions.durable import written
 from reconweave.operators import ledger as chain
-from reconweave.sources import ingest
+from reconweave.sources import ingest, sinks
 
 
 #: Parts of the table of committed ids, of which a micro-batch reads those that its ids fall into.
@@ -61,12 +62,27 @@ def ingest_stream(files: DataFrame, entity: str, out: str, checkpoint: str) -> S
 
 
 def post_decisions(decided: DataFrame, out: str, number: int) -> DataFrame:
-    """Append one batch of decisions to the ledger of the earlier batches; a replay of the batch gives the same rows."""
+    """Append one batch of decisions to the ledger of the earlier batches; a replay of the batch gives the same rows.
+
+    The ends of the chains and the keys that were posted are tables of their
+    own, with a version a batch. A batch reads the heads and the keys in the buckets
+    of its own rows, never the ledger.
+    """
     spark = decided.sparkSession
-    before = spark.read.parquet(out).where(F.col("batch") < number).drop("batch") if number else None
-    new = chain.append(before, chain.entries(decided))
-    new.write.mode("overwrite").parquet(f"{out}/batch={number}")
-    return new
+    keys = sinks.KeyedTable(spark, f"{out}/keys", ["merchant_id", "idempotency_key"], "merchant_id string, idempotency_key string", 256)
+    heads = sinks.KeyedTable(spark, f"{out}/heads", ["merchant_id"], chain.HEADS, 64)
+    entries = written(chain.entries(decided))
+    new = chain.chained(entries, keys.of(entries, number), heads.of(entries, number))
+    new.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+    rows = spark.read.schema(new.schema).parquet(f"{out}/rows/batch={number}")
+    keys.insert(rows.select("merchant_id", "idempotency_key"), ["merchant_id"], number, replay=True)
+    heads.upsert(chain.heads(rows), number, replay=True)
+    return rows
+
+
+def posted(spark: SparkSession, out: str) -> DataFrame:
+    """The ledger of all batches."""
+    return spark.read.parquet(f"{out}/rows").drop("batch")
 
 
 def rate_flags(events: DataFrame, key: str, at: str, limit: int, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from reconweave.operators import ledger
+from reconweave.sources import sinks
 from reconweave.streaming import jobs
 
 HEADER = "payment_id,order_id,amount,method,status,created_at_ist"
@@ -46,3 +48,32 @@ def test_wash_stream(spark, tmp_path):
     q = jobs.wash_stream(read("c"), read("d")).writeStream.format("memory").queryName("washed").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [tuple(r) for r in spark.table("washed").collect()] == [("m", "c1", "d1")]
+
+
+def decisions(spark, keys, label="unexplained"):
+    kinds = "merchant_id string, exception_seq int, settlement_id string, idempotency_key string, label_confidence double, verdict string, label string, residue long, value_date date"
+    rows = [(m, i, f"s{i}", f"{m}{k}", 0.5, "ESCALATE", label, 7, dt.date(2025, 11, 3)) for i, (m, k) in enumerate(keys, 1)]
+    return spark.createDataFrame(rows, kinds)
+
+
+def test_posting_reads_heads_and_its_own_keys_only(spark, tmp_path):
+    out = str(tmp_path)
+    first = decisions(spark, [("a", i) for i in range(40)] + [("b", i) for i in range(5)])
+    jobs.post_decisions(first, out, 0)
+    one = sorted(map(tuple, jobs.posted(spark, out).collect()))
+    jobs.post_decisions(first, out, 0)
+    assert sorted(map(tuple, jobs.posted(spark, out).collect())) == one and len(one) == 45
+    # a second batch repeats a key, and goes on where the chains end
+    second = decisions(spark, [("a", 39), ("a", 100), ("c", 1)])
+    for _ in range(2):
+        jobs.post_decisions(second, out, 1)
+    rows = jobs.posted(spark, out)
+    assert rows.count() == 47 and {(r.merchant_id, r.seq) for r in rows.collect()} >= {("a", 41), ("c", 1)}
+    check = {r.merchant_id: r for r in ledger.verify_ledger(rows).collect()}
+    assert all(r.broken_links == r.altered == r.unverifiable == 0 for r in check.values())
+    keys = sinks.KeyedTable(spark, f"{out}/keys", ["merchant_id", "idempotency_key"], "merchant_id string, idempotency_key string", 256)
+    assert keys.of(decisions(spark, [("a", 3)]), 2).count() < 8 and keys.read(2).count() == 47
+    # a batch without rows, then one that only repeats
+    jobs.post_decisions(second.limit(0), out, 2)
+    jobs.post_decisions(first, out, 3)
+    assert jobs.posted(spark, out).count() == 47
