@@ -10,6 +10,20 @@ def inr(x: str) -> str:
     return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || {grouped} || '.' || lpad(CAST(abs({x}) % 100 AS VARCHAR), 2, '0'))"
 
 
+def jaro_winkler(a: str, b: str) -> str:
+    """Similarity of two texts in SQL, from the places in ``b`` that the letters of ``a`` take in turn; letters out of order count half, no rounding."""
+    reach = f"greatest(greatest(length({a}), length({b})) // 2 - 1, 0)"
+    near = f"range(greatest(1, i[1] - {reach}), least(length({b}), i[1] + {reach}) + 1)"
+    place = f"coalesce(list_filter({near}, lambda j: substr({b}, j, 1) = substr({a}, i[1], 1) AND NOT list_contains(s, j))[1], 0)"
+    each = f"list_prepend([]::BIGINT[], list_transform(range(1, length({a}) + 1), lambda i: [i]))"
+    taken = f"list_filter(list_reduce({each}, lambda s, i: list_append(s, {place})), lambda j: j > 0)"
+    odd = f"len(list_filter(list_zip(w.t, list_sort(w.t)), lambda z: substr({b}, z[1], 1) <> substr({b}, z[2], 1))) / 2.0::DOUBLE"
+    m = "len(w.t)::DOUBLE"
+    jaro = f"CASE WHEN len(w.t) = 0 THEN 0.0::DOUBLE ELSE ({m} / length({a}) + {m} / length({b}) + ({m} - {odd}) / {m}) / 3 END"
+    same = " + ".join(f"CASE WHEN length({a}) >= {n} AND left({a}, {n}) = left({b}, {n}) THEN 1 ELSE 0 END" for n in (1, 2, 3, 4))
+    return f"list_transform([{{'t': {taken}}}], lambda w: CASE WHEN len(w.t) = 0 THEN 0.0::DOUBLE ELSE 1 - (1 - ({jaro})) * (1 - 0.1 * ({same})) END)[1]"
+
+
 #: The residue in percent of the card volume, four decimals, half up in whole numbers.
 _PARTS = "(CAST(abs(residue) AS BIGINT) * 2000000 + card) // (2 * card)"
 IMPLIED = f"CAST({_PARTS} // 10000 AS VARCHAR) || '.' || lpad(CAST({_PARTS} % 10000 AS VARCHAR), 4, '0')"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from reconweave.functions import narration as N
-from reconweave.plans.lookups import DIGEST, inr  # noqa: F401
+from reconweave.plans.lookups import DIGEST, inr, jaro_winkler  # noqa: F401
 from reconweave.sources.derive import Dialect, entity_sql, ordered
 
 GROUP = "merchant_id, settle_date, instant"
@@ -117,10 +117,7 @@ BODIES: dict[str, str | None] = {
                CASE WHEN utr IS NOT NULL AND list_contains(candidates, utr) THEN 1.0 ELSE 0.0 END AS ex,
                CASE WHEN len(ga) = 0 OR len(gb) = 0 THEN 0.0 ELSE len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga,
                    gb)))::DOUBLE END AS tri,
-               CASE WHEN utr IS NULL THEN 1.0 ELSE coalesce(list_max(list_transform(candidates, lambda c: jaro_similarity(c,
-                   utr) + 0.1 * (1 - jaro_similarity(c, utr)) *
-                   CASE WHEN left(c, 4) = left(utr, 4) THEN 4 WHEN left(c, 3) = left(utr, 3) THEN 3 WHEN left(c, 2) = left(utr, 2) THEN 2 WHEN left(c,
-                       1) = left(utr, 1) THEN 1 ELSE 0 END)), 0.0) END AS jw
+               CASE WHEN utr IS NULL THEN 1.0 ELSE coalesce(list_max(list_transform(candidates, lambda c: {jaro_winkler('c', 'utr')})), 0.0) END AS jw
         FROM (
             SELECT cand.*, list_distinct(list_filter(list_transform(range(1, length(regexp_replace(canon, '[^A-Z0-9]', '', 'g')) - 1),
                 lambda i: substr(regexp_replace(canon, '[^A-Z0-9]', '', 'g'), i, 3)), lambda g: length(g) = 3)) AS ga,

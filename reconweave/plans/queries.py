@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reconweave.functions import calendar, money, narration
 from reconweave.functions.durable import written
 from reconweave.operators import adjustments, decompose, fees, investigate, ledger, matching, netting
-from reconweave.plans.lookups import EVIDENCE, IMPLIED, PLAN, inr
+from reconweave.plans.lookups import EVIDENCE, IMPLIED, PLAN, inr, jaro_winkler
 from reconweave.plans.oracle import pct
 from reconweave.plans.registry import ORACLE_SQL, QUERIES, Query, entities, on_table, query, run  # noqa: F401
 from reconweave.streaming import jobs
@@ -433,10 +433,8 @@ def rate_checks(t):
 
 
 @query(
-    """SELECT merchant_id, exception_seq, narration, coalesce(len(ctokens), 0) AS n_tokens, utr_exact, round(CASE WHEN utr IS NULL THEN 1.0
-        ELSE coalesce(list_max(list_transform(ctokens, lambda c: jaro_similarity(c, utr) + 0.1 * (1 - jaro_similarity(c, utr)) *
-         CASE WHEN left(c, 4) = left(utr, 4) THEN 4 WHEN left(c, 3) = left(utr, 3) THEN 3 WHEN left(c, 2) = left(utr, 2) THEN 2 WHEN left(c,
-             1) = left(utr, 1) THEN 1 ELSE 0 END)), 0.0) END::DOUBLE, 6) AS similarity FROM sig"""
+    f"""SELECT merchant_id, exception_seq, narration, coalesce(len(ctokens), 0) AS n_tokens, utr_exact, round(CASE WHEN utr IS NULL THEN 1.0
+        ELSE coalesce(list_max(list_transform(ctokens, lambda c: {jaro_winkler('c', 'utr')})), 0.0) END::DOUBLE, 6) AS similarity FROM sig"""
 )
 def narration_checks(t):
     """INV-04: what the narration of each exception's credit says about its reference."""
