@@ -16,7 +16,7 @@ passages stay short.
 value law, P(S >= s) = 1 - exp(-K n exp(-lambda s)). Lambda and K are fitted to
 the clean labelled texts, each scored without its own counts. A passage whose
 expected number by chance is under ``SIGNIFICANT`` is returned with its place. A
-document's evidence, the best passage's significance and the mass of all
+document's evidence, the best passage's significance and score and the mass of all
 passages, is turned into a probability by a logistic curve fitted to the same
 texts.
 
@@ -96,14 +96,15 @@ class Odds:
 
     def scores(self, keys: np.ndarray, own: list[np.ndarray] | None = None, toxic: np.ndarray | None = None) -> np.ndarray:
         """Log-odds of each word less the drift; with ``own``, each word's counts within its text by length, these are left out of the counts of the text's class."""
-        p = np.full(keys.shape[1], self.share)
+        # the share and what it lacks to one are kept apart: near one, 1 - p would round to nothing and the odds to infinity
+        p, q = np.full(keys.shape[1], self.share), np.full(keys.shape[1], 1 - self.share)
         for i, row in enumerate(keys):
             bad, every = self.toxic[row].astype(np.float64), self.every[row].astype(np.float64)
             if own is not None:
                 every = np.maximum(every - own[i], 0)
                 bad = np.where(toxic, np.clip(bad - own[i], 0, every), np.minimum(bad, every))
-            p = (bad + PRIOR * p) / (every + PRIOR)
-        return np.log(p / (1 - p)) - np.log(self.share / (1 - self.share)) - DRIFT
+            p, q = (bad + PRIOR * p) / (every + PRIOR), (every - bad + PRIOR * q) / (every + PRIOR)
+        return np.log(p) - np.log(q) - np.log(self.share) + np.log(1 - self.share) - DRIFT
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -214,7 +215,7 @@ class Law:
         # the mass that a clean text of this length has by chance
         chance = np.exp(np.minimum(self.log_k + size - self.rate * MASS_FROM, 50)) / self.rate
         # beyond about 30 a chance passage is out of the question, so more adds little
-        return np.stack([np.ones_like(size), np.tanh((self.rate * best - self.log_k - size) / 30) * 30, np.log1p(mass / (1 + chance))], axis=-1)
+        return np.stack([np.ones_like(size), np.tanh((self.rate * best - self.log_k - size) / 30) * 30, np.log1p(mass / (1 + chance)), np.log1p(best)], axis=-1)
 
     def probability(self, n, best, mass) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.evidence(n, best, mass) @ self.curve, -30, 30)))
@@ -224,20 +225,19 @@ def fit_law(toxic: np.ndarray, n: np.ndarray, best: np.ndarray, mass: np.ndarray
     """Lambda and K by maximum likelihood on clean texts, then a logistic curve with a small ridge by Newton steps."""
     clean = (toxic == 0) & (n > 0)
     s, size = best[clean], np.log(n[clean])
-    rate = 1.0
-    if len(s) > 1:
-        for _ in range(100):
-            x = s - size / rate
-            w = np.exp(-rate * (x - x.min()))
-            spread = max(x.mean() - (x * w).sum() / w.sum(), 0.05)
-            rate = 0.5 * rate + 0.5 / spread
-        x = s - size / rate
-        log_k = -float(np.log(np.mean(np.exp(-rate * (x - x.min())))) - rate * x.min())
-    else:
-        log_k = 0.0
-    law = Law(float(rate), log_k, np.zeros(3))
+    rate, log_k = 1.0, 0.0
+    found = s > 0
+    if found.any():
+        # a text without a segment tells only that none reached zero; the slope of the likelihood in lambda, with K at its best, has one root, found by halving
+        low, high = 1e-6, 20.0
+        for _ in range(60):
+            rate = (low * high) ** 0.5
+            w = np.exp(size - size.max() - rate * s)
+            low, high = (rate, high) if 1 / rate > s[found].mean() - (s * w).sum() / w.sum() else (low, rate)
+        log_k = float(np.log(found.sum()) - np.log(np.exp(size - size.max() - rate * s).sum()) - size.max())
+    law = Law(float(rate), log_k, np.zeros(4))
     z = law.evidence(n, best, mass)
-    ridge = np.diag([1e-3, 1e-2, 1e-2])
+    ridge = np.diag([1e-3, 1e-2, 1e-2, 1e-2])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ law.curve, -30, 30)))
         slope = z.T @ (weights * (toxic - p)) - ridge @ law.curve

@@ -131,3 +131,29 @@ def test_accuracy_on_held_out_documents(spark):
     hit, missed, wrong = table.get((1, 1), 0), table.get((1, 0), 0), table.get((0, 1), 0)
     assert hit + missed > 50
     assert hit >= 0.9 * (hit + missed) and hit >= 0.9 * (hit + wrong), table
+
+
+def test_words_of_toxic_texts_alone_have_finite_scores():
+    """However often a word occurs, only in toxic texts or only in clean ones, its odds stay finite and grow with its counts."""
+    buckets = (len(toxicity.STEMS) + 1) * toxicity.BUCKETS
+    toxic, every = np.zeros(buckets, np.float32), np.zeros(buckets, np.float32)
+    keys = np.stack([np.arange(4) + i * toxicity.BUCKETS for i in range(len(toxicity.STEMS) + 1)])
+    every[keys] = [1000, 1_000_000, 1000, 1_000_000]
+    toxic[keys[:, :2]] = every[keys[:, :2]]
+    scores = toxicity.Odds(toxic, every, 0.1).scores(keys)
+    assert np.isfinite(scores).all()
+    assert scores[3] < scores[2] < 0 < scores[0] < scores[1]
+
+
+def test_law_of_texts_that_mostly_have_no_segment():
+    """The fitted lambda is where the likelihood is largest, texts without a segment censored, also where these are most and lengths differ much."""
+    rng = np.random.default_rng(5)
+    n = np.exp(rng.uniform(1, 9, 4000)).round()
+    best = np.where(rng.random(4000) < 0.7, 0, rng.exponential(0.6, 4000))
+    law = toxicity.fit_law(np.zeros(4000), n, best, np.maximum(best - 1, 0), np.ones(4000))
+
+    def likelihood(rate):
+        return (best > 0).sum() * (np.log(rate) - np.log((n * np.exp(-rate * best)).sum())) - rate * best.sum()
+
+    rates = np.exp(np.linspace(np.log(1e-3), np.log(20), 2000))
+    assert abs(law.rate / rates[np.argmax([likelihood(r) for r in rates])] - 1) < 0.02
