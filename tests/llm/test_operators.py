@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from reconweave.llm import common,  language_id, licenses, mixing, pii, quality, sharding, warc
 
@@ -503,6 +504,20 @@ def test_scores_and_verdicts_against_brute_force(spark):
     assert quality.judge(empty, labels).count() == 0
 
 
+def test_quality_is_fitted_on_every_labelled_document(spark):
+    """Box, draws and threshold come from all labelled rows, however many."""
+    n = 6_000
+    texts = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), (F.col("id") * 7 + i * i).cast("string")))).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(1).alias("quality"))
+    rows = quality.labelled_features(quality.rule_counts(texts), labels)
+    assert rows.count() == n and rows.where("good").count() == n - n // 3
+    forest, bound = quality.fit(texts, labels)
+    assert 0 < bound <= 1 and len(forest.roots) == quality.TREES
+    assert quality.threshold(np.array([0, 5, 0, 0, 0]), np.array([0, 0, 0, 0, 9])) == 2 / quality.STEPS
+
+
+
+
 # --- shards
 
 
