@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over ``documents``, each written as Parquet and reread by the next.
 
 Languages that are not known go first, then exact copies, then near copies;
-the sources are mixed in proportion to their bytes, and what remains is packed.
+the sources are mixed in proportion to their bytes, and what remains is packed
+into sequences that come in the mixed order.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reconweave.llm import exact_dedup, language_id, mixing, near_dedup, packing
 from reconweave.llm.common import shared_dir
@@ -35,8 +37,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All token pieces with their places in sequences."""
-    return packing.pack(docs, with_ids=False)
+    """All token pieces with their places in sequences, which are numbered in the mixed order: by files and their rows, as the mixing stage wrote them."""
+    order = docs.select("doc_id", F.struct("_metadata.file_name", "_metadata.row_index").alias("at"))
+    return packing.in_order(packing.pack(docs, with_ids=False), order)
 
 
 STAGES = [

@@ -297,3 +297,23 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocab:
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return map_batches(ranked.select(*[n for n in schema.names if n in ranked.columns], "rank"), place, schema)
+
+
+def in_order(packed: DataFrame, order: DataFrame) -> DataFrame:
+    """``packed`` with sequences numbered anew, without gaps, in the order of documents that (doc_id, at) rows give.
+
+    A sequence stands where its longest piece's document stands, of equal ones
+    the first; a repeated doc_id stands where it occurs first. Sequences are
+    numbered chunk by chunk of their sorted places.
+    """
+    first = order.groupBy(F.col("doc_id").cast("long").alias("__doc_id")).agg(F.min("at").alias("at"))
+    packed = durable(packed, "packed")
+    placed = packed.join(first, F.col("doc_id").eqNullSafe(F.col("__doc_id"))).select("sequence_id", F.struct((-F.col("length")).alias("by"), "at").alias("piece"))
+    stand = placed.groupBy("sequence_id").agg(F.min("piece").alias("piece")).select("sequence_id", F.col("piece.at").alias("at"))
+    # written, so that a lost chunk comes back the same
+    dealt = durable(stand.repartitionByRange("at", "sequence_id").withColumn("chunk", F.spark_partition_id()), "dealt")
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("chunk").agg(F.count("*").alias("n")).select("chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    nth = F.row_number().over(Window.partitionBy("chunk").orderBy("at", "sequence_id")) - 1
+    named = dealt.withColumn("nth", nth).join(base, "chunk").select("sequence_id", (F.col("base") + F.col("nth")).cast("long").alias("number"))
+    return packed.join(named, "sequence_id").withColumn("sequence_id", F.col("number")).select(*packed.columns)

@@ -80,6 +80,10 @@ def test_stages_against_brute_force(spark, tmp_path, monkeypatch):
     packed = after["packing"]
     assert set(packed.doc_id) == set(near)
     assert (packed.groupby("doc_id").length.sum() == packed.groupby("doc_id").doc_tokens.first()).all()
+    # sequences come in the mixed order, each where its longest piece stands
+    place = {i: n for n, i in enumerate(sorted(near, key=order.get))}
+    stands = [min((-r.length, place[r.doc_id]) for r in rows.itertuples())[1] for _, rows in sorted(packed.groupby("sequence_id"))]
+    assert stands == sorted(stands) and sorted(packed.sequence_id.unique()) == list(range(len(stands))) and len(stands) > 3
 
 
 def test_run_reads_back_every_stage(spark, tmp_path):
