@@ -210,6 +210,10 @@ def rate_card_terms(t):
     return t["payment"].groupBy("merchant_id").agg(F.count("*").alias("payments")).join(terms, "merchant_id")
 
 
+#: Most rows of a file of the written dataset: some 25 MB, well under ``ingest.MAX_FILE``, above which a whole file is refused.
+FILE_ROWS = 200_000
+
+
 def _written_dataset(t: Entities) -> str:
     """The derived entities as a dataset of CSV and JSON files, an entity a folder with a part a merchant; no field is changed."""
     from reconweave.functions.money import fmt
@@ -236,8 +240,9 @@ def _written_dataset(t: Entities) -> str:
     heads = dict(zip(files, ingest.ENTITIES.values(), strict=True))
     for name, (entity, columns) in files.items():
         rows = t[entity].select("merchant_id", *[c.alias(n) for c, n in zip(columns, heads[name], strict=True)])
-        out = rows.repartition("merchant_id").write.partitionBy("merchant_id").option("header", True).option("emptyValue", "")
-        out.csv(f"{root}/parts/{name}.csv")
+        # a large merchant is many tasks and many files, each of which stays under the gate's size
+        out = rows.hint("rebalance", F.col("merchant_id")).write.partitionBy("merchant_id").option("maxRecordsPerFile", FILE_ROWS)
+        out.option("header", True).option("emptyValue", "").csv(f"{root}/parts/{name}.csv")
     cards = _card(t["rate"], t["terms"])
     cards.repartition(cards.count()).select("card").write.option("maxRecordsPerFile", 1).text(f"{root}/parts/rate_cards")
     return root

@@ -67,3 +67,17 @@ def test_open_quotes_and_details(spark):
     got = {r.line_no: (r.reject_reason, r.detail) for r in v.collect()}
     assert got[3] == (None, None) and got[4] == ("DUPLICATE_IN_FILE", "same id as line 3") and got[5] == ("MALFORMED_AMOUNT", "amount: x")
     assert got[2][0] in ("INVALID_DATE", "UNPARSEABLE")
+
+
+def test_a_large_merchant_is_written_as_many_files_and_loaded_whole(spark, monkeypatch):
+    """A merchant's part was one file, refused whole once it was over the gate's size."""
+    from reconweave.plans import exchange
+    from reconweave.plans.registry import entities
+
+    t = entities(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(exchange, "FILE_ROWS", 40)
+    monkeypatch.setattr(ingest, "MAX_FILE", 6000)
+    files = ingest.read_files(spark, exchange._written_dataset(t) + "/parts/payments.csv")
+    assert files.selectExpr("max(octet_length(content))").first()[0] <= 6000
+    loaded = ingest.ingest(files, "payments")["accepted"].select("merchant_id", "payment_id")
+    assert sorted(loaded.collect()) == sorted(t["payment"].select("merchant_id", "payment_id").collect())
