@@ -10,7 +10,7 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconweave.functions.durable import shared_dir, written
@@ -35,10 +35,19 @@ _ROWS = f"""SELECT k, file, line, CASE WHEN why = 'DUPLICATE_IN_FILE' AND NOT ha
 _SQL_ROWS = _ROWS.format(div="k // 4000", orders="orders")
 
 
+#: Rows of the planted files that are a task. Files are few bytes for much work, so their tasks grow with the rows, not with the bytes.
+TASK_ROWS = 25_000
+
+
+def _planted(orders: DataFrame, file: Column, line: str) -> DataFrame:
+    """(k, file, line) of planted files, a file whole in its partition."""
+    rows = orders.select(F.col("o_orderkey").cast("long").alias("k")).withColumns({"file": file, "line": F.expr(line)})
+    return rows.repartition(1 + orders.count() // TASK_ROWS, "file")
+
+
 def _lines(orders: DataFrame) -> DataFrame:
     """(k, file, line_no, line) of the planted files."""
-    rows = orders.select(F.col("o_orderkey").cast("long").alias("k")).withColumns({"file": F.concat(F.lit("f"),
-        F.floor(F.col("k") / 4000).cast("string"), F.lit(".csv")), "line": F.expr(_LINE)})
+    rows = _planted(orders, F.concat(F.lit("f"), F.floor(F.col("k") / 4000).cast("string"), F.lit(".csv")), _LINE)
     return rows.withColumn("line_no", (F.row_number().over(Window.partitionBy("file").orderBy("k")) + 1).cast("long"))
 
 
@@ -97,7 +106,7 @@ _BANK_WHY = "CASE k % 20 WHEN 1 THEN 'UNPARSEABLE' END"
 
 def _validated(orders: DataFrame, entity: str, line: str) -> DataFrame:
     """Accepted and rejected lines of an entity's planted files."""
-    rows = orders.select(F.col("o_orderkey").cast("long").alias("k")).withColumns({"file": F.expr("concat('f', k div 4000)"), "line": F.expr(line)})
+    rows = _planted(orders, F.expr("concat('f', k div 4000)"), line)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n")
     head = F.lit(",".join(ingest.ENTITIES[entity]) + "\n")
     files = rows.groupBy("file").agg(F.concat(head, body).cast("binary").alias("content")).withColumn("merchant_id", F.lit("m1"))
@@ -127,7 +136,7 @@ def streamed_ingest(orders):
     spark = orders.sparkSession
     root = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
     head = F.explode(F.when(F.col("line_no") == 2, F.array(F.lit(_HEADER), "line")).otherwise(F.array("line")))
-    rows = _lines(orders).repartition("file").sortWithinPartitions("file", "line_no").select("file", head.alias("line"))
+    rows = _lines(orders).sortWithinPartitions("file", "line_no").select("file", head.alias("line"))
 
     def drain() -> None:
         job = jobs.ingest_stream(jobs.landing_files(spark, f"{root}/in", "m1"), "payments", f"{root}/out", f"{root}/checkpoint")

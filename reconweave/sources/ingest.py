@@ -34,11 +34,14 @@ SAMPLE = 20
 QUOTED = '"([^"]|"")*"'
 
 
-def _stamp(text: Column, zone_minutes: int) -> Column:
-    """Strict ISO timestamp or date as local wall clock; an offset in the text is converted."""
-    body = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})([T ](\d{2}:\d{2}(:\d{2})?))?(Z|[+-]\d{2}:?\d{2})?$", 1)
-    clock = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})([T ](\d{2}:\d{2}(:\d{2})?))?(Z|[+-]\d{2}:?\d{2})?$", 3)
-    offset = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})([T ](\d{2}:\d{2}(:\d{2})?))?(Z|[+-]\d{2}:?\d{2})?$", 5)
+STAMP = r"^(\d{4}-\d{2}-\d{2})([T ](\d{2}:\d{2}(:\d{2})?))?(Z|[+-]\d{2}:?\d{2})?$"
+#: Parts of a timestamp with the group of each, empty where the text is none.
+PARTS = {"day": 1, "clock": 3, "zone": 5}
+
+
+def _stamp(name: str, zone_minutes: int) -> Column:
+    """A timestamp's parts as local wall clock; an offset is converted."""
+    body, clock, offset = (F.col(f"_{name}_{part}") for part in PARTS)
     full = F.concat(body, F.lit(" "), F.when(clock == "", "00:00:00").when(F.length(clock) == 5, F.concat(clock, F.lit(":00"))).otherwise(clock))
     local = full.try_cast("timestamp_ntz")
     digits = F.regexp_replace(offset, "[^0-9]", "")
@@ -48,12 +51,13 @@ def _stamp(text: Column, zone_minutes: int) -> Column:
     return F.when(body != "", local + F.make_dt_interval(mins=shift))
 
 
-def _value(text: Column, kind: str) -> Column:
-    t = F.trim(text)
+def _value(name: str, kind: str) -> Column:
+    """Value of a field from its trimmed text, of a timestamp from its parts."""
+    t = F.col(f"_{name}_t")
     if kind.startswith("amount"):
         return (t.try_cast("decimal(18,2)") * 100).cast("long")
     if kind.startswith("ts_"):
-        return _stamp(t, 330 if kind.startswith("ts_ist") else 0)
+        return _stamp(name, 330 if kind.startswith("ts_ist") else 0)
     if kind == "date":
         return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t.try_cast("date"))
     if kind == "flag":
@@ -61,9 +65,9 @@ def _value(text: Column, kind: str) -> Column:
     return F.when(t != "", t)
 
 
-def _rule(name: str, text: Column, kind: str) -> Column:
-    """Reason why a field is rejected, or null."""
-    t = F.trim(text)
+def _rule(name: str, kind: str) -> Column:
+    """Reason why a field is rejected, by its trimmed text and value, or null."""
+    t, value = F.col(f"_{name}_t"), F.col(name)
     if kind == "id":
         return F.when((t == "") | (F.length(t) > MAX_ID), "MISSING_ID")
     if kind == "text!":
@@ -72,10 +76,9 @@ def _rule(name: str, text: Column, kind: str) -> Column:
         bad = ~t.rlike(AMOUNT)
         return F.when(bad if kind.endswith("±") else bad | t.startswith("-"), "MALFORMED_AMOUNT")
     if kind.startswith("ts_") or kind == "date":
-        wrong = _value(text, kind).isNull()
-        return F.when((t != "") & wrong if kind.endswith("?") else wrong, "INVALID_DATE")
+        return F.when((t != "") & value.isNull() if kind.endswith("?") else value.isNull(), "INVALID_DATE")
     if kind == "flag":
-        return F.when(_value(text, kind).isNull(), "MALFORMED_FIELD")
+        return F.when(value.isNull(), "MALFORMED_FIELD")
     return F.lit(None).cast("string")
 
 
@@ -133,22 +136,28 @@ def validate(lines: DataFrame, entity: str, committed: DataFrame | None = None,
     header = ",".join(columns)
     bad_files = lines.where((F.col("line_no") == 1) & (F.lower(F.trim("line")) != header)).select("merchant_id", "file").distinct()
     data = lines.where((F.col("line_no") > 1) & (F.trim("line") != "")).join(bad_files, ["merchant_id", "file"], "left_anti")
-    parsed = data.withColumn("f", parse_line(F.col("line"), len(columns) + 1))
-    field = lambda i: F.coalesce(F.col(f"f.c{i}"), F.lit(""))
-    # quoted commas do not separate: count those outside quotes
-    commas = F.length(F.regexp_replace(F.regexp_replace("line", QUOTED, ""), "[^,]", ""))
+    # layer by layer: each text is parsed once, and the generated methods stay small enough to be compiled
+    out = data.withColumn("f", parse_line(F.col("line"), len(columns) + 1))
+    out = out.withColumns({f"_{n}": F.coalesce(F.col(f"f.c{i}"), F.lit("")) for i, n in enumerate(columns)}).drop("f")
+    out = out.withColumns({f"_{n}_t": F.trim(F.col(f"_{n}")) for n in columns})
+    out = out.withColumns({f"_{n}_{part}": F.regexp_extract(F.col(f"_{n}_t"), STAMP, group) for n, k in columns.items() if k.startswith("ts_")
+        for part, group in PARTS.items()})
+    out = out.withColumns({n: _value(n, k) for n, k in columns.items()})
+    # quoted commas and quotes do not count
+    out = out.withColumn("_bare", F.regexp_replace("line", QUOTED, ""))
+    out = out.withColumn("_commas", F.length(F.regexp_replace("_bare", "[^,]", "")))
+    out = out.withColumns({f"_{n}_why": _rule(n, k) for n, k in columns.items()})
     reject = lambda reason, detail: F.when(reason.isNotNull(), F.struct(reason.alias("reason"), detail.alias("detail")))
-    rules = [reject(F.when(commas != len(columns) - 1, "ARITY"), F.concat((commas + 1).cast("string"), F.lit(f" fields instead of {len(columns)}")))]
-    rules += [reject(_rule(n, field(i), k), F.concat(F.lit(f"{n}: "), field(i))) for i, (n, k) in enumerate(columns.items())]
-    typed = {n: _value(field(i), k) for i, (n, k) in enumerate(columns.items())}
-    out = parsed.withColumns(typed).withColumn("r", F.coalesce(*rules))
+    arity = F.when(F.col("_commas") != len(columns) - 1, "ARITY")
+    rules = [reject(arity, F.concat((F.col("_commas") + 1).cast("string"), F.lit(f" fields instead of {len(columns)}")))]
+    rules += [reject(F.col(f"_{n}_why"), F.concat(F.lit(f"{n}: "), F.col(f"_{n}"))) for n in columns]
     late = []
     if entity == "settlements" and sums:
         off = F.col("gross") - F.col("fees") - F.col("gst") - F.col("tds") != F.col("net")
         late.append(reject(F.when(off, "MONETARY_INCONSISTENT"), F.lit("net is not gross less fees, gst and tds")))
-    open_quote = F.length(F.regexp_replace(F.regexp_replace("line", QUOTED, ""), '[^"]', "")) > 0
+    open_quote = F.contains("_bare", F.lit('"'))
     late.append(reject(F.when(open_quote, "UNPARSEABLE"), F.lit("a quote does not close")))
-    out = out.withColumn("r", F.coalesce("r", *late))
+    out = out.withColumn("r", F.coalesce(*rules, *late)).select(*data.columns, *columns, "r")
     key = next(iter(columns))
     same = Window.partitionBy("merchant_id", "file", key, F.col("r").isNull()).orderBy("line_no")
     out = out.withColumns({"n": F.row_number().over(same), "first": F.min("line_no").over(same)})
@@ -158,7 +167,7 @@ def validate(lines: DataFrame, entity: str, committed: DataFrame | None = None,
         known = committed.select("merchant_id", F.col(key)).distinct().withColumn("known", F.lit(True))
         before = reject(F.when(F.col("known"), "DUPLICATE_EXISTING"), F.concat(F.lit("already committed: "), F.col(key)))
         out = out.join(known, ["merchant_id", key], "left").withColumn("r", F.coalesce("r", before)).drop("known")
-    return out.withColumns({"reject_reason": F.col("r.reason"), "detail": F.col("r.detail")}).drop("f", "r")
+    return out.withColumns({"reject_reason": F.col("r.reason"), "detail": F.col("r.detail")}).drop("r")
 
 
 def rejects(validated: DataFrame) -> DataFrame:
@@ -184,16 +193,16 @@ def file_report(gated: DataFrame, validated: DataFrame) -> DataFrame:
     """Of each file, refused ones included: SHA-256, refusal, rows seen, accepted, rejected, rejects by reason, and the first twenty rejected lines."""
     keys = ["merchant_id", "file"]
     bad = F.col("reject_reason").isNotNull()
-    n = validated.groupBy(*keys).agg(F.count("*").alias("seen"), F.count(F.when(~bad, 1)).alias("accepted"),
-        F.count(F.when(bad, 1)).alias("rejected"))
-    why = validated.where(bad).groupBy(*keys, "reject_reason").agg(F.count("*").alias("n"))
-    why = why.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "reject_reason", F.col("n").cast("string")))),
-        ",").alias("by_reason"))
-    first = validated.where(bad).withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("line_no"))).where(F.col("nth") <= SAMPLE)
-    first = first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("line_no")), lambda x: x.cast("string")),
-        ",").alias("sample_lines"))
+    # the lines are read once: counted by file and reason, then by file
+    n = validated.groupBy(*keys, "reject_reason").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(bad, F.col("line_no")))).alias("lines"))
+    rejected = F.when(bad, F.col("n"))
+    why = F.when(bad, F.concat_ws(":", "reject_reason", F.col("n").cast("string")))
+    first = F.slice(F.sort_array(F.flatten(F.collect_list(F.slice("lines", 1, SAMPLE)))), 1, SAMPLE)
+    n = n.groupBy(*keys).agg(F.sum("n").alias("seen"), F.sum(F.when(~bad, F.col("n"))).alias("accepted"), F.sum(rejected).alias("rejected"),
+        F.array_join(F.array_sort(F.collect_list(why)), ",").alias("by_reason"),
+        F.array_join(F.transform(first, lambda x: x.cast("string")), ",").alias("sample_lines"))
     files = gated.select(*keys, F.sha2("content", 256).alias("sha256"), "refusal")
-    out = files.join(n, keys, "left").join(why, keys, "left").join(first, keys, "left")
+    out = files.join(n, keys, "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("seen", "accepted", "rejected")} | {c: F.coalesce(c,
         F.lit("")) for c in ("by_reason", "sample_lines")})
 

@@ -3,8 +3,11 @@
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from reconweave.operators import netting
+from reconweave.plans import exchange
+from reconweave.sources import ingest
 
 
 def _plainly(amounts, target):
@@ -40,3 +43,26 @@ def test_subsets_are_counted_by_merges():
         took.append(time.perf_counter() - began)
         assert found[0] == ("BOUND_STATES", found[0][1])
     assert took[0] < took[1] / 2
+
+
+def test_lines_are_parsed_once(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    good = [f"p{i},o,1.00,upi,captured,2025-12-01T11:00:00" for i in range(30)]
+    bad = [f"q{i},o,x,upi,captured,2025-12-01" for i in range(24)] + ["r,o,1.00,upi,captured,2025-13-01", "p1,o,1.00,upi,captured,2025-12-01"]
+    text = "\n".join([",".join(ingest.ENTITIES["payments"]), *bad[:20], *good, *bad[20:]])
+    files = spark.createDataFrame([("m", "f", bytearray(text.encode())), ("m", "g", bytearray(b"")), ("m", "h", bytearray(text.split("\n")[0].encode()))],
+        "merchant_id string, file string, content binary")
+    report = ingest.ingest(files, "payments")["report"]
+    got = {r.file: (r.seen, r.accepted, r.rejected, r.by_reason, r.sample_lines) for r in report.collect()}
+    lines = ",".join(str(i) for i in range(2, 22))
+    assert got == {"f": (56, 30, 26, "DUPLICATE_IN_FILE:1,INVALID_DATE:1,MALFORMED_AMOUNT:24", lines), "g": (0, 0, 0, "", ""), "h": (0, 0, 0, "", "")}
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") == 1
+    rows = ingest.validate(ingest.lines_of(ingest.gate_files(files, "payments")), "payments")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 3
+
+
+def test_planted_files_are_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    orders = spark.range(20_000).select(F.col("id").alias("o_orderkey"))
+    monkeypatch.setattr(exchange, "TASK_ROWS", 1000, raising=False)
+    assert exchange._lines(orders).rdd.getNumPartitions() == 21
