@@ -54,7 +54,7 @@ def ingest_stream(files: DataFrame, entity: str, out: str, checkpoint: str) -> S
         kept = rows.where("reject_reason is null")
         kept.drop("reject_reason", "detail", "line", "_first", "_known", "bucket").write.mode("overwrite").parquet(f"{out}/accepted/batch={number}")
         ingest.refused_files(gated).unionByName(ingest.rejects(rows)).write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")
-        kept.select("merchant_id", key, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/ids/batch={number}")
+        kept.select("merchant_id", key, "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/ids/batch={number}")
         rows.unpersist()
         gated.unpersist()
 
