@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconweave.functions.calendar import add_banking_days
+from reconweave.operators.fees import with_facts
 
 DAY = 86400
 
@@ -60,7 +61,7 @@ def cycle_windows(members: DataFrame, payment: DataFrame) -> DataFrame:
     Inferred ranges are equal parts of the day if every batch of the date fits
     its own, else they meet halfway between the observed ones.
     """
-    secs = members.where("not instant").join(payment.select("merchant_id", "payment_id", "capture_sec"), ["merchant_id", "payment_id"])
+    secs = with_facts(members.where("not instant"), payment, "capture_sec")
     obs = secs.groupBy("merchant_id", "settle_date", "settlement_id").agg(F.min("capture_sec").alias("obs_lo"), F.max("capture_sec").alias("obs_hi"))
     day = Window.partitionBy("merchant_id", "settle_date")
     order = day.orderBy("obs_lo", "settlement_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconweave.functions.money import pct_of
-from reconweave.operators.fees import batch_fees, with_terms
+from reconweave.operators.fees import batch_fees, with_facts, with_terms
 
 COMPONENTS = ("gross", "platform_fee", "gst_on_fee", "tds_194o", "refund_netted", "chargeback_debit", "dispute_fee", "dispute_fee_gst",
     "chargeback_reversal", "reserve_held", "reserve_released")
@@ -21,7 +21,7 @@ def decompose(settlement: DataFrame, bank: DataFrame, links: DataFrame, members:
     (``netted`` false); one without a credit has its whole predicted payout as
     residue.
     """
-    facts = members.join(payment.select("merchant_id", "payment_id", "amount_paise", "method", "capture_date"), ["merchant_id", "payment_id"])
+    facts = with_facts(members, payment, "amount_paise", "method", "capture_date")
     own = batch_fees(facts, rate, terms).select("merchant_id", "settlement_id", F.col("gross").alias("m_gross"), "fee",
         F.col("gst_on_fee").alias("m_gst"), "reserve_held", "n_members")
     tied = ambiguous_payments.select("merchant_id", "settlement_id").distinct().withColumn("tied", F.lit(True))

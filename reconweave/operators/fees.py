@@ -13,6 +13,17 @@ STANDARD = {"gst_bp": 1800, "tds_bp": 100, "reserve_bp": 500, "reserve_methods":
     "tolerance_paise": 100}
 
 
+#: What is read of the payments of the batches.
+FACTS = ("amount_paise", "method", "capture_date", "capture_sec")
+
+
+def with_facts(members: DataFrame, payment: DataFrame, *columns: str) -> DataFrame:
+    """Members with these columns of their payments, which are joined only where the members do not carry them already."""
+    if set(columns) <= set(members.columns):
+        return members
+    return members.join(payment.select("merchant_id", "payment_id", *columns), ["merchant_id", "payment_id"])
+
+
 def with_terms(df: DataFrame, terms: DataFrame | None) -> DataFrame:
     """``df`` with the terms of its merchants as columns; the standard ones where a merchant, or a term of it, has none."""
     if terms is None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reconweave.functions.calendar import with_ordinal
 from reconweave.functions.money import fmt, fmt_inr
 from reconweave.functions.narration import best_similarity
-from reconweave.operators.fees import with_tier
+from reconweave.operators.fees import with_facts, with_tier
 from reconweave.operators.matching import WINDOW_DAYS
 
 # Fixed confidence of each label.
@@ -63,9 +63,8 @@ def closest_credits(settlement: DataFrame, bank: DataFrame, cal: DataFrame) -> D
 def batch_mix(members: DataFrame, payment: DataFrame, rate: DataFrame) -> DataFrame:
     """Of each batch: payments, gross, card volume, counts by method, and the published tier of its first card payment."""
     keys = ["merchant_id", "settlement_id"]
-    rows = members.select(*keys, "payment_id").join(payment.select("merchant_id", "payment_id", "amount_paise", "method", "capture_date"),
-        ["merchant_id", "payment_id"])
-    rows = with_tier(rows, rate)
+    facts = ("amount_paise", "method", "capture_date")
+    rows = with_tier(with_facts(members, payment, *facts).select(*keys, "payment_id", *facts), rate)
     card = F.col("method") == "card"
     n = lambda m: F.count(F.when(F.col("method") == m, 1)).alias(f"n_{m}")
     first = F.min(F.when(card, F.struct("payment_id", "pct_bp", "effective_from")))

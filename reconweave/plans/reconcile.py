@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reconweave.functions.durable import written
-from reconweave.operators import adjustments, decompose, investigate, ledger, matching, netting
+from reconweave.operators import adjustments, decompose, fees, investigate, ledger, matching, netting
 
 STAGES = ("exact", "repair", "model", "global", "netting", "agent")
 # The stages that each preset turns on; the last two leave references out, so that only scores link.
@@ -81,14 +81,19 @@ class Reconciliation:
     def proofs(self) -> DataFrame | None:
         return self._netted[1] if self.netted else None
 
-    @cached_property
+    @property
+    def facts(self) -> DataFrame:
+        """The members with what is read of their payments, joined once for all that follows."""
+        return self.once(("facts", self.netted), lambda: written(fees.with_facts(self.members, self.t["payment"], *fees.FACTS)))
+
+    @property
     def tied(self) -> DataFrame:
-        return netting.swap_invariant(self.members, self.t["payment"], self.t["rate"])
+        return self.once(("tied", self.netted), lambda: written(netting.swap_invariant(self.facts, self.t["payment"], self.t["rate"])))
 
     @cached_property
     def attributed(self) -> DataFrame:
         all_ = adjustments.adjustments(self.t["refund"], self.t["chargeback"], self.t["reserve"], self.t["cal"])
-        windows = adjustments.cycle_windows(self.members, self.t["payment"])
+        windows = adjustments.cycle_windows(self.facts, self.t["payment"])
         return written(adjustments.attribute(adjustments.attach_dates(all_, self.t["settlement"]), windows))
 
     @cached_property
@@ -98,7 +103,7 @@ class Reconciliation:
     @cached_property
     def decomposition(self) -> DataFrame:
         m, t = self.matched, self.t
-        return written(decompose.decompose(t["settlement"], t["bank"], m["links"], self.members, t["payment"], t["rate"], self.deducted,
+        return written(decompose.decompose(t["settlement"], t["bank"], m["links"], self.facts, t["payment"], t["rate"], self.deducted,
             self.tied, m["candidates"], self.netted, self.terms))
 
     @cached_property
@@ -108,7 +113,7 @@ class Reconciliation:
     @cached_property
     def signals(self) -> DataFrame:
         """Each exception with what the lookups found."""
-        return written(investigate.signals(self.exceptions, self.members, self.t, self.matched["parsed"]))
+        return written(investigate.signals(self.exceptions, self.facts, self.t, self.matched["parsed"]))
 
     @cached_property
     def classified(self) -> DataFrame:

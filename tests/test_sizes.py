@@ -66,3 +66,19 @@ def test_planted_files_are_as_many_tasks_as_their_rows_need(spark, monkeypatch):
     orders = spark.range(20_000).select(F.col("id").alias("o_orderkey"))
     monkeypatch.setattr(exchange, "TASK_ROWS", 1000, raising=False)
     assert exchange._lines(orders).rdd.getNumPartitions() == 21
+
+
+def test_facts_of_members_are_joined_once(spark):
+    """Members that carry what is read of their payments need no payments."""
+    from reconweave.operators import adjustments, fees
+
+    members = spark.sql("SELECT 'm' AS merchant_id, concat('s', id % 2) AS settlement_id, concat('p', id) AS payment_id, DATE '2025-11-05' AS settle_date, false AS instant FROM range(6)")
+    payment = spark.sql("SELECT 'm' AS merchant_id, concat('p', id) AS payment_id, id div 4 AS amount_paise, 'upi' AS method, DATE '2025-11-03' AS capture_date, id * 10 AS capture_sec FROM range(9)")
+    rate = spark.sql("SELECT 'm' AS merchant_id, 'upi' AS method, DATE '2025-01-01' AS effective_from, 0 AS pct_bp, 0 AS flat_paise")
+    facts = members.join(payment, ["merchant_id", "payment_id"])
+    for one, two in (
+        (netting.swap_invariant(facts, None, rate), netting.swap_invariant(members, payment, rate)),
+        (adjustments.cycle_windows(facts, None), adjustments.cycle_windows(members, payment)),
+    ):
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.count() == two.count() > 0
+    assert fees.with_facts(facts, None, *fees.FACTS) is facts
