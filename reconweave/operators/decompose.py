@@ -13,16 +13,18 @@ COMPONENTS = ("gross", "platform_fee", "gst_on_fee", "tds_194o", "refund_netted"
 
 
 def decompose(settlement: DataFrame, bank: DataFrame, links: DataFrame, members: DataFrame, payment: DataFrame, rate: DataFrame,
-    deducted: DataFrame, ambiguous_payments: DataFrame, near_ties: DataFrame, netted: bool = True, terms: DataFrame | None = None) -> DataFrame:
+    deducted: DataFrame, ambiguous_payments: DataFrame, near_ties: DataFrame, netted: bool = True, terms: DataFrame | None = None,
+    sums: DataFrame | None = None) -> DataFrame:
     """One row per settlement: eleven components, predicted net, residue, flags.
 
     A settlement without proved members takes its reported gross and fees, and
     is ambiguous and never within tolerance, unless no membership was looked for
     (``netted`` false); one without a credit has its whole predicted payout as
-    residue.
+    residue. ``sums`` are the batches' fees where they are made already.
     """
-    facts = with_facts(members, payment, "amount_paise", "method", "capture_date")
-    own = batch_fees(facts, rate, terms).select("merchant_id", "settlement_id", F.col("gross").alias("m_gross"), "fee",
+    if sums is None:
+        sums = batch_fees(with_facts(members, payment, "amount_paise", "method", "capture_date"), rate, terms)
+    own = sums.select("merchant_id", "settlement_id", F.col("gross").alias("m_gross"), "fee",
         F.col("gst_on_fee").alias("m_gst"), "reserve_held", "n_members")
     tied = ambiguous_payments.select("merchant_id", "settlement_id").distinct().withColumn("tied", F.lit(True))
     near = near_ties.where("near_tie").select("merchant_id", "bank_txn_id").distinct().withColumn("near", F.lit(True))

@@ -12,7 +12,6 @@ from collections.abc import Callable
 from heapq import heappop, heappush
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -323,6 +322,42 @@ def assign_pairs(pairs: list[dict[int, int]]) -> list[int | None]:
     return [j if j >= 0 else None for j in column_of]
 
 
+def _links(merchant: str, rows: list[tuple]) -> list[tuple]:
+    """Links of one component from its (bank row, settlement, probability, named by a reference), sorted by both ids."""
+    at = {(x, y): (p, hit) for x, y, p, hit in rows}
+    b, s = sorted({x for x, _ in at}), sorted({y for _, y in at})
+    row, column = ({x: i for i, x in enumerate(side)} for side in (b, s))
+    pairs = [{} for _ in b]
+    for (x, y), (p, _) in at.items():
+        pairs[row[x]][column[y]] = int(np.round(-np.log(max(p, 1e-9)) * 1e6))
+    chosen = [(x, s[j], *at[x, s[j]]) for x, j in zip(b, assign_pairs(pairs), strict=True) if j is not None]
+    return [(merchant, x, y, p, "repaired_utr" if hit else "global_assignment") for x, y, p, hit in chosen if p >= LEAST_PROBABILITY]
+
+
+def _assigned(batches):
+    """Links of rows that come component by component; one component is held."""
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in LINKS.split(", ")]
+    record = lambda out: pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "confidence" else pa.string())
+        for n, c in zip(names, list(zip(*out, strict=True)) or [()] * 5, strict=True)], names)
+    component, rows = None, []
+    for batch in batches:
+        out = []
+        for m, label, *pair in zip(*(batch[c].to_pylist() for c in PAIR), strict=True):
+            if (m, label) != component:
+                if rows:
+                    out += _links(component[0], rows)
+                component, rows = (m, label), []
+            rows.append(tuple(pair))
+        yield record(out)
+    if rows:
+        yield record(_links(component[0], rows))
+
+
+PAIR = ("merchant_id", "label", "bank_txn_id", "settlement_id", "probability", "utr_hit")
+
+
 def assignment(cands: DataFrame) -> DataFrame:
     """Optimal one-to-one links within each component of the candidate graph.
 
@@ -331,25 +366,10 @@ def assignment(cands: DataFrame) -> DataFrame:
     without a matrix and without a cap.
     """
     labels = component_labels(cands)
-    rows = cands.join(labels, ["merchant_id", "bank_txn_id"])
-    rows = rows.select("merchant_id", "label", "bank_txn_id", "settlement_id", "probability", "utr_hit")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bank_txn_id", "settlement_id"])
-        b, s = sorted(pdf.bank_txn_id.unique()), sorted(pdf.settlement_id.unique())
-        at = {(r.bank_txn_id, r.settlement_id): r for r in pdf.itertuples()}
-        row, column = ({x: i for i, x in enumerate(side)} for side in (b, s))
-        pairs = [{} for _ in b]
-        for (x, y), r in at.items():
-            pairs[row[x]][column[y]] = int(np.round(-np.log(max(r.probability, 1e-9)) * 1e6))
-        out = []
-        for x, j in zip(b, assign_pairs(pairs), strict=True):
-            r = at[x, s[j]] if j is not None else None
-            if r is not None and r.probability >= LEAST_PROBABILITY:
-                out.append((r.merchant_id, x, r.settlement_id, r.probability, "repaired_utr" if r.utr_hit else "global_assignment"))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in LINKS.split(", ")])
-
-    return rows.groupBy("merchant_id", "label").applyInPandas(solve, LINKS)
+    rows = cands.join(labels, ["merchant_id", "bank_txn_id"]).select(*PAIR)
+    # few bytes but much work, so adaptive execution would put all components into one task: dealt by a number it leaves alone
+    dealt = rows.repartition(cands.sparkSession.sparkContext.defaultParallelism * 2, "merchant_id", "label")
+    return dealt.sortWithinPartitions(*PAIR[:4]).mapInArrow(_assigned, LINKS)
 
 
 def without_washed(bank: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

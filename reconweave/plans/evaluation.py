@@ -430,7 +430,7 @@ LADDER = [p for p in PRESETS if not p.startswith("stress")]
 
 
 def _totals(t: Entities, presets: list[str]) -> DataFrame:
-    parts = [run(t, p).totals.select(F.lit(i).cast("long").alias("step"), F.lit(p).alias("preset"), "merchant_id", "settlements",
+    parts = [run(t, p).figures.select(F.lit(i).cast("long").alias("step"), F.lit(p).alias("preset"), "merchant_id", "settlements",
         "credits_matched", "links", "abs_residue") for i, p in enumerate(presets)]
     w = Window.partitionBy("merchant_id").orderBy("step")
     change = lambda c: F.col(c) - F.lag(c).over(w)

@@ -90,11 +90,19 @@ class Reconciliation:
     def tied(self) -> DataFrame:
         return self.once(("tied", self.netted), lambda: written(netting.swap_invariant(self.facts, self.t["payment"], self.t["rate"])))
 
-    @cached_property
+    @property
     def attributed(self) -> DataFrame:
-        all_ = adjustments.adjustments(self.t["refund"], self.t["chargeback"], self.t["reserve"], self.t["cal"])
-        windows = adjustments.cycle_windows(self.facts, self.t["payment"])
-        return written(adjustments.attribute(adjustments.attach_dates(all_, self.t["settlement"]), windows))
+        def make() -> DataFrame:
+            all_ = adjustments.adjustments(self.t["refund"], self.t["chargeback"], self.t["reserve"], self.t["cal"])
+            windows = adjustments.cycle_windows(self.facts, self.t["payment"])
+            return written(adjustments.attribute(adjustments.attach_dates(all_, self.t["settlement"]), windows))
+
+        return self.once(("attributed", self.netted), make)
+
+    @property
+    def fees(self) -> DataFrame:
+        """Sums of fees per batch, which hold whatever credits are linked."""
+        return self.once(("fees", self.netted), lambda: written(fees.batch_fees(self.facts, self.t["rate"], self.terms)))
 
     @cached_property
     def deducted(self) -> DataFrame:
@@ -104,7 +112,7 @@ class Reconciliation:
     def decomposition(self) -> DataFrame:
         m, t = self.matched, self.t
         return written(decompose.decompose(t["settlement"], t["bank"], m["links"], self.facts, t["payment"], t["rate"], self.deducted,
-            self.tied, m["candidates"], self.netted, self.terms))
+            self.tied, m["candidates"], self.netted, self.terms, self.fees))
 
     @cached_property
     def exceptions(self) -> DataFrame:
@@ -136,6 +144,11 @@ class Reconciliation:
         return self.decomposition.select("merchant_id", "settlement_id", "bank_txn_id", "gross", "predicted", "residue", "membership_proven",
             "within_tolerance", "ambiguous")
 
+    @property
+    def figures(self) -> DataFrame:
+        """The totals of links and residues, for which nothing needs to be decided."""
+        return decompose.run_totals(self.decomposition, self.members)
+
     @property
     def totals(self) -> DataFrame:
         return decompose.run_totals(self.decomposition, self.members, self.verdicts if "agent" in self.on else None)

@@ -82,3 +82,23 @@ def test_facts_of_members_are_joined_once(spark):
     ):
         assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.count() == two.count() > 0
     assert fees.with_facts(facts, None, *fees.FACTS) is facts
+
+
+def test_components_are_many_tasks(spark, monkeypatch):
+    """Components are few bytes, so adaptive execution would put them all into one task."""
+    from reconweave.operators import matching
+
+    cands = spark.sql("SELECT 'm' AS merchant_id, concat('b', id) AS bank_txn_id, concat('s', id) AS settlement_id, 0.9D AS probability, false AS utr_hit FROM range(200)")
+    monkeypatch.setattr(matching, "component_labels", lambda e: e.select("merchant_id", "bank_txn_id", F.col("bank_txn_id").alias("label")))
+    links = matching.assignment(cands)
+    assert links.where("substring(bank_txn_id, 2) = substring(settlement_id, 2) and confidence = 0.9").count() == links.count() == 200
+    assert links.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_presets_share_what_no_link_changes():
+    from reconweave.plans.reconcile import Reconciliation
+
+    one = Reconciliation({}, "stress_greedy")
+    one.made |= {("attributed", True): "attributed", ("fees", True): "fees"}
+    two = Reconciliation({}, "stress_global", like=one)
+    assert (two.attributed, two.fees) == ("attributed", "fees")
