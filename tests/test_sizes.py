@@ -123,3 +123,21 @@ def test_payments_are_judged_in_one_shuffle(spark, monkeypatch):
     assert tuple(evaluation.refusal_scores.of(t).first())[:7] == ("m", 1, 1, 2, 1, 1, 0)
     plan = evaluation._judged(t)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_truth_sorts_only_the_merchants_that_cut_quarters(spark):
+    import duckdb
+
+    from reconweave.plans import oracle
+    from reconweave.sources import derive
+
+    sf = "/root/testdata/sf0.001"
+    text = derive.entity_sql(derive.Dialect(spark=True))["truth"]
+    assert text.count("ntile(") == 1 and "merchant_id IN ('m1', 'm2')" in text
+    con = duckdb.connect()
+    for name in ("orders", "customer", "lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    columns = "payment_id, settlement_id, cycle, fee, gst, instant"
+    want = con.execute(oracle.sql(f"SELECT {columns} FROM truth")).fetchall()
+    got = derive.Entities(spark, sf)["truth"].selectExpr(*columns.split(", ")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 1000
