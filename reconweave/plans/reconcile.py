@@ -62,11 +62,8 @@ class Reconciliation:
 
     @property
     def _netted(self) -> tuple[DataFrame, DataFrame]:
-        def make() -> tuple[DataFrame, DataFrame]:
-            members, proofs = netting.netting(self.t["payment"], self.t["settlement"], self.t["cal"])
-            return written(members), proofs
-
-        return self.once("netted", make)
+        """The members with what is read of their payments, and the proofs."""
+        return self.once("netted", lambda: netting.netting(self.t["payment"], self.t["settlement"], self.t["cal"], carry=fees.FACTS))
 
     @property
     def netted(self) -> bool:
@@ -75,7 +72,7 @@ class Reconciliation:
     @cached_property
     def members(self) -> DataFrame:
         """Payments of each batch whose members are proved."""
-        return self._netted[0] if self.netted else self.t["bank"].sparkSession.createDataFrame([], netting.MEMBERS)
+        return self._netted[0].drop(*fees.FACTS) if self.netted else self.t["bank"].sparkSession.createDataFrame([], netting.MEMBERS)
 
     @property
     def proofs(self) -> DataFrame | None:
@@ -83,8 +80,8 @@ class Reconciliation:
 
     @property
     def facts(self) -> DataFrame:
-        """The members with what is read of their payments, joined once for all that follows."""
-        return self.once(("facts", self.netted), lambda: written(fees.with_facts(self.members, self.t["payment"], *fees.FACTS)))
+        """The members with what is read of their payments, by all that follows."""
+        return self._netted[0] if self.netted else fees.with_facts(self.members, self.t["payment"], *fees.FACTS)
 
     @property
     def tied(self) -> DataFrame:

@@ -141,3 +141,26 @@ def test_truth_sorts_only_the_merchants_that_cut_quarters(spark):
     want = con.execute(oracle.sql(f"SELECT {columns} FROM truth")).fetchall()
     got = derive.Entities(spark, sf)["truth"].selectExpr(*columns.split(", ")).collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 1000
+
+
+def test_held_groups_give_what_chunks_give(spark, monkeypatch):
+    """Orders by second, instant and id, batches up and down, none at all: one task a group and chunks of all rows agree, and carry the same facts."""
+    rows, ends = [], []
+    rng = np.random.default_rng(5)
+    for nth, order in enumerate(("sec", "at", "id", "none") * 3):
+        items = [(f"m{nth}", f"p{nth}-{i:02}", int(rng.integers(0, 9)), int(rng.integers(0, 4)), int(rng.integers(0, 5000))) for i in range(40)]
+        rows += items
+        by = {"sec": lambda r: (r[3], r[1]), "at": lambda r: (r[4], r[1]), "id": lambda r: r[1], "none": lambda r: (r[2], r[1])}[order]
+        amounts = [r[2] for r in sorted(items, key=by)]
+        sums = [sum(amounts[:13]), sum(amounts[13:21]), sum(amounts[21:])]
+        ends += [(f"m{nth}", f"s{i}", gross) for i, gross in enumerate(sums[::-1] if nth % 2 else sums)]
+    day = "DATE '2025-11-05' AS settle_date"
+    pool = spark.createDataFrame(rows, "merchant_id string, payment_id string, amount_paise long, capture_sec long, at long")
+    pool = pool.selectExpr("*", day, "false AS instant", "timestamp_seconds(at) AS created_at", "concat('x', payment_id) AS method").repartition(3)
+    batches = spark.createDataFrame(ends, "merchant_id string, settlement_id string, gross long").selectExpr("*", day, "false AS instant")
+    found = []
+    for most in (netting.HELD_ROWS, 20):
+        monkeypatch.setattr(netting, "HELD_ROWS", most)
+        found.append(sorted(map(tuple, netting.ordered_blocks(pool, batches, pool, ("amount_paise", "method")).collect())))
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) >= 9
+    assert all(r[-1] == f"x{r[2]}" for r in found[0])
