@@ -172,9 +172,10 @@ def _when(condition: Column, *facts: Column) -> Column:
 
 
 def implied_text() -> Column:
-    """The residue in percent of the card volume, four decimals, half up in whole numbers."""
-    parts = F.expr("(abs(residue) * 2000000 + card_paise) div (2 * card_paise)")
-    return F.concat(F.floor(parts / 10_000).cast("string"), F.lit("."), F.lpad((parts % 10_000).cast("string"), 4, "0"))
+    """The residue in percent of the card volume, four decimals, half up in whole numbers; a product of paise and 2,000,000 can be beyond a long."""
+    rest = F.expr("(CAST(abs(residue) % card_paise AS DECIMAL(20, 0)) * 2000000 + card_paise) div (CAST(card_paise AS DECIMAL(20, 0)) * 2)")
+    whole = F.expr("CAST(abs(residue) div card_paise AS DECIMAL(20, 0)) * 100") + F.floor(rest / 10_000)
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((rest % 10_000).cast("string"), 4, "0"))
 
 
 def lookup_facts() -> dict[str, Column]:

@@ -164,3 +164,13 @@ def test_held_groups_give_what_chunks_give(spark, monkeypatch):
         found.append(sorted(map(tuple, netting.ordered_blocks(pool, batches, pool, ("amount_paise", "method")).collect())))
     assert found[0] == found[1] and len({r[0] for r in found[0]}) >= 9
     assert all(r[-1] == f"x{r[2]}" for r in found[0])
+
+
+def test_rates_of_large_payouts(spark):
+    """A day's payout of a large merchant times 2,000,000 is beyond a long: its implied rate and its key are made all the same."""
+    from reconweave.operators import investigate
+
+    pairs = [(1, 3), (-250, 10_000), (5, 20_000), (4_700_000_000_000, 900_000_000_000), (-6_400_000_000_001, 1), (9 * 10**17, 9 * 10**18), (0, 7), (3, 2_000_000)]
+    rows = spark.createDataFrame(pairs, "residue long, card_paise long").withColumn("text", investigate.implied_text())
+    parts = {(r, c): (abs(r) * 2_000_000 + c) // (2 * c) for r, c in pairs}
+    assert {(r.residue, r.card_paise): r.text for r in rows.collect()} == {k: f"{n // 10_000}.{n % 10_000:04}" for k, n in parts.items()}
